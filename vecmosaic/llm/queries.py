@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vecmosaic.llm.quality_rules import quality_verdicts
+from vecmosaic.llm.secret_scan import secret_spans
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,5 +16,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_quality_rules": op6_quality_rules}
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op6_quality_rules": op6_quality_rules,
+    "op10_secret_scan": op10_secret_scan,
+}
 ORACLES: dict[str, str] = {}
