@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vecmosaic.llm.license_scan import license_scan
 from vecmosaic.llm.quality_rules import quality_verdicts
 from vecmosaic.llm.secret_scan import secret_spans
 
@@ -16,12 +17,17 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op6_quality_rules": op6_quality_rules,
+    "op8_license_scan": op8_license_scan,
     "op10_secret_scan": op10_secret_scan,
 }
 ORACLES: dict[str, str] = {}
