@@ -7,12 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 from vecmosaic.llm.license_scan import license_scan
 from vecmosaic.llm.quality_rules import quality_verdicts
 from vecmosaic.llm.secret_scan import secret_spans
+from vecmosaic.llm.token_store import TokenStoreOptions, read_tokens, write_tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents"))
 
@@ -21,6 +28,12 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    options = TokenStoreOptions(tokenizer=_tokenizer("byte_bpe_50k.json"))
+    files, dictionary = write_tokens(_table(spark, sf_dir, "documents"), options)
+    return read_tokens(files, dictionary, options)
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(_table(spark, sf_dir, "documents"))
 
@@ -28,6 +41,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op8_license_scan": op8_license_scan,
+    "op9_token_store": op9_token_store,
     "op10_secret_scan": op10_secret_scan,
 }
 ORACLES: dict[str, str] = {}
