@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vecmosaic.llm.license_scan import license_scan
+from vecmosaic.llm.near_dup import near_duplicates
 from vecmosaic.llm.quality_rules import quality_verdicts
 from vecmosaic.llm.secret_scan import secret_spans
 from vecmosaic.llm.token_store import TokenStoreOptions, read_tokens, write_tokens
@@ -20,6 +21,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents"))
 
@@ -39,6 +44,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_dup": op1_near_dup,
     "op6_quality_rules": op6_quality_rules,
     "op8_license_scan": op8_license_scan,
     "op9_token_store": op9_token_store,
