@@ -28,7 +28,7 @@ def new_folder(spark: SparkSession, tag: str) -> str:
 
 def writer(uri: str) -> BinaryIO:
     system, path = fs.FileSystem.from_uri(uri)
-    return system.open_output_stream(path)
+    return system.open_output_stream(path, compression=None)
 
 
 def reader(uri: str) -> BinaryIO:

@@ -9,6 +9,7 @@ from vecmosaic.llm.near_dup import near_duplicates
 from vecmosaic.llm.quality_rules import quality_verdicts
 from vecmosaic.llm.secret_scan import secret_spans
 from vecmosaic.llm.token_store import TokenStoreOptions, read_tokens, write_tokens
+from vecmosaic.llm.warc import read_records, write_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,11 @@ def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = write_warc(_table(spark, sf_dir, "pages"))
+    return read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents"))
 
@@ -45,6 +51,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_near_dup": op1_near_dup,
+    "op2_warc": op2_warc,
     "op6_quality_rules": op6_quality_rules,
     "op8_license_scan": op8_license_scan,
     "op9_token_store": op9_token_store,
