@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from vecmosaic.llm.ann_tree import nearest_neighbours
 from vecmosaic.llm.license_scan import license_scan
 from vecmosaic.llm.near_dup import near_duplicates
 from vecmosaic.llm.quality_rules import quality_verdicts
@@ -31,6 +33,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
+def op3_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents"))
 
@@ -52,6 +58,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_near_dup": op1_near_dup,
     "op2_warc": op2_warc,
+    "op3_ann_tree": op3_ann_tree,
     "op6_quality_rules": op6_quality_rules,
     "op8_license_scan": op8_license_scan,
     "op9_token_store": op9_token_store,
