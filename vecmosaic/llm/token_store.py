@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import uuid
 import zlib
 from array import array
@@ -32,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,18 +51,24 @@ class TokenStoreOptions:
     dictionary_bytes: int = 65_536
     sample_docs: int = 1_000
     sample_chars: int = 20_000
-    cached_pieces: int = 400_000
+    cached_pieces: int = 600_000
     read_bytes: int = 8 << 20
 
 
+#: Signs at the end of a piece.
+_SIGNS = re.compile(r"[^\w\s]+\Z").search
 #: White space other than the blank and the line feed; a text that has any is encoded whole.
 _OTHER_SPACE = [c for c in map(chr, range(0x110000)) if c.isspace() and c not in " \n"]
 
 
 class PieceEncoder:
-    """Texts to id bytes; ids of pieces between single blanks are kept."""
+    """Texts to id bytes; ids of pieces between single blanks or line feeds are kept.
 
-    def __init__(self, path: str, cached: int = 400_000):
+    New pieces go to the library many at a time, joined by line feeds: a line feed between
+    non-blank characters is one token of its own, so it also separates the ids.
+    """
+
+    def __init__(self, path: str, cached: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -68,47 +76,95 @@ class PieceEncoder:
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
-        self.cached, self.cache, self.heads = cached, {}, {}
+        self.feed = self._plain(["\n"])[0]
+        self.cached, self.cache, self.signs = cached, {"\n": self.feed}, {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _plain(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _parts(self, text: str) -> list[str] | None:
-        if not text or text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text:
-            return None
-        if any(c in text for c in _OTHER_SPACE) or any(s in text for s in self.special):
-            return None
-        return text.split(" ")
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def _splits(self, text: str) -> bool:
+        """Whether every blank and line feed of the text has a non-blank character on both sides."""
+        if not text or text[0] in " \n" or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
+            return False
+        return not (any(c in text for c in _OTHER_SPACE) or any(s in text for s in self.special))
+
+    def _encode(self, pieces: list[str]) -> None:
+        for a in range(0, len(pieces), 4096):
+            part = pieces[a : a + 4096]
+            bare = [p[1:] if p[0] == "\n" else " " + p for p in part]
+            ids = self._plain(["\n".join(bare)])[0]
+            width, found = self.width, np.frombuffer(ids, dtype="<u2" if self.width == 2 else "<u4")
+            cuts = np.flatnonzero(found == int.from_bytes(self.feed, "little")) * width if len(self.feed) == width else ()
+            if len(cuts) == len(part) - 1:
+                values = [ids[i:j] for i, j in zip([0, *(cuts + width).tolist()], [*cuts.tolist(), len(ids)], strict=True)]
+            else:  # a vocabulary in which the line feed isn't one token
+                values = self._plain(bare)
+            self.cache.update((p, self.feed + v if p[0] == "\n" else v) for p, v in zip(part, values, strict=True))
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Letters and the signs after them are split by every such vocabulary, so their ids add up."""
+        stems, whole, cache = {}, {}, self.cache
+        for p in pieces:
+            m = _SIGNS(p)
+            if m and (stem := p[: m.start()]).lstrip("\n").isalpha():
+                stems[p] = stem, m.group()
+                if stem not in cache:
+                    whole[stem] = None
+            else:
+                whole[p] = None
+        self._encode(list(whole))
+        signs = list({s for _, s in stems.values()} - self.signs.keys())
+        self.signs.update(zip(signs, self._plain(signs), strict=True))
+        cache.update((p, cache[stem] + self.signs[sign]) for p, (stem, sign) in stems.items())
+
+    def __call__(self, texts: pa.Array, end: bytes = b"") -> list[bytes]:
+        """The id bytes of each text, each followed by ``end``."""
         if len(self.cache) > self.cached:
-            self.cache.clear()
-        if len(self.heads) > self.cached // 8:
-            self.heads.clear()
-        parts = [self._parts(t) for t in texts]
-        need, heads = set(), set()
-        for p in parts:
-            if p:
-                heads.add(p[0])
-                need.update(p[1:])
-        new = list(need.difference(self.cache))
-        self.cache.update(zip(new, self._ids([" " + x for x in new]), strict=True))
-        new = list(heads.difference(self.heads))
-        self.heads.update(zip(new, self._ids(new), strict=True))
-        whole = iter(self._ids([t for t, p in zip(texts, parts, strict=True) if not p]))
-        get = self.cache.__getitem__
-        return [self.heads[p[0]] + b"".join(map(get, p[1:])) if p else next(whole) for p in parts]
-
-
-def _chunks(texts: list[str], chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
+            self.cache = {"\n": self.feed}
+            self.signs = {}
+        texts = texts.fill_null("")
+        plain = texts.to_pylist()
+        apart = [self._splits(t) for t in plain]
+        out = [b""] * len(plain)
+        rest = [k for k, ok in enumerate(apart) if not ok and plain[k]]
+        for k, ids in zip(rest, self._plain([plain[k] for k in rest]), strict=True):
+            out[k] = ids
+        some = [k for k, ok in enumerate(apart) if ok]
+        if some:
+            split = texts if len(some) == len(plain) else texts.take(pa.array(some))
+            # the first piece and each after a line feed begin with the line feed
+            split = pc.split_pattern(pc.binary_join_element_wise("\n", pc.replace_substring(split, "\n", " \n"), ""), " ")
+            coded = split.flatten().dictionary_encode()
+            names = coded.dictionary.to_pylist()
+            values = list(map(self.cache.get, names))
+            gaps = [i for i, v in enumerate(values) if v is None]
+            if gaps:
+                self._learn([names[i] for i in gaps])
+                for i in gaps:
+                    values[i] = self.cache[names[i]]
+            sizes = np.fromiter(map(len, values), np.int64, len(values)) // self.width
+            firsts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            ids = np.frombuffer(b"".join(values), dtype="<u2" if self.width == 2 else "<u4")
+            index = coded.indices.to_numpy()
+            n = sizes[index]
+            to = np.concatenate([[0], np.cumsum(n)])
+            flat = ids[np.repeat(firsts[index] - to[:-1], n) + np.arange(to[-1])].tobytes()
+            at = (to[split.offsets.to_numpy() - split.offsets[0].as_py()] * self.width).tolist()
+            for k, i, j in zip(some, at, at[1:], strict=False):
+                out[k] = flat[i + len(self.feed) : j]
+        return [x + end for x in out] if end else out
+
+
+def _chunks(sizes: list[int], total: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``total`` together."""
     a = n = 0
-    for i, t in enumerate(texts):
-        n += len(t)
-        if n >= chars or i - a >= 511:
+    for i, size in enumerate(sizes):
+        n += size
+        if n >= total:
             yield a, i + 1
             a, n = i + 1, 0
-    if a < len(texts):
-        yield a, len(texts)
+    if a < len(sizes):
+        yield a, len(sizes)
 
 
 def _dictionary(docs: DataFrame, options: TokenStoreOptions) -> bytes:
@@ -116,7 +172,7 @@ def _dictionary(docs: DataFrame, options: TokenStoreOptions) -> bytes:
     import zstandard
 
     rows = docs.select(F.substring(F.coalesce("text", F.lit("")), 1, options.sample_chars).alias("t")).limit(options.sample_docs).collect()
-    samples = [x for x in PieceEncoder(options.tokenizer)([r.t for r in rows]) if x]
+    samples = [x for x in PieceEncoder(options.tokenizer)(pa.array([r.t for r in rows], pa.string())) if x]
     try:
         return zstandard.train_dictionary(options.dictionary_bytes, samples).as_bytes() if len(samples) >= 16 else b""
     except zstandard.ZstdError:
@@ -231,9 +287,8 @@ def write_tokens(docs: DataFrame, options: TokenStoreOptions, folder: str | None
         one, pack = PieceEncoder(options.tokenizer, options.cached_pieces), _compressor(dictionary, options.level)
         end = array(one.code, [options.end_id]).tobytes()
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in _chunks(texts):
-                ids = [x + end for x in one(texts[a:b])]
+            for a, b in _chunks(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()):
+                ids = one(batch.column("text").slice(a, b - a), end)
                 key = batch.column("doc_id").slice(a, b - a)
                 at = np.searchsorted(bounds, key.fill_null(-(1 << 63)).to_numpy(), side="right")
                 yield pa.RecordBatch.from_arrays(
