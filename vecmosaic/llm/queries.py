@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecmosaic.llm.ann_tree import nearest_neighbours
+from vecmosaic.llm.language_id import language_id
 from vecmosaic.llm.license_scan import license_scan
 from vecmosaic.llm.near_dup import near_duplicates
+from vecmosaic.llm.packing import pack
+from vecmosaic.llm.piece_fst import PieceOptions, piece_digests
 from vecmosaic.llm.quality_rules import quality_verdicts
 from vecmosaic.llm.secret_scan import secret_spans
 from vecmosaic.llm.token_store import TokenStoreOptions, read_tokens, write_tokens
@@ -37,10 +40,22 @@ def op3_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents"))
 
 
+def op7_piece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(_table(spark, sf_dir, "documents"), PieceOptions(model=_tokenizer("piece_bpe_32k.model")))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"))
 
@@ -59,7 +74,10 @@ QUERIES = {
     "op1_near_dup": op1_near_dup,
     "op2_warc": op2_warc,
     "op3_ann_tree": op3_ann_tree,
+    "op4_language_id": op4_language_id,
+    "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
+    "op7_piece_fst": op7_piece_fst,
     "op8_license_scan": op8_license_scan,
     "op9_token_store": op9_token_store,
     "op10_secret_scan": op10_secret_scan,
