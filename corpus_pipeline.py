@@ -1,25 +1,61 @@
-"""The corpus pipeline: its stages in order, each written as Parquet and read again for the next."""
+"""The corpus pipeline: its stages in order, each written as Parquet and read again for the next.
+
+Every stage but the last returns the columns of its input: rejected documents are gone and
+secrets are replaced in the text.  The last one returns the packing of what is left.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vecmosaic.llm.language_id import language_filter
+from vecmosaic.llm.near_dup import without_near_duplicates
+from vecmosaic.llm.packing import pack
 from vecmosaic.llm.quality_rules import quality_filter
+from vecmosaic.llm.secret_scan import redacted
 from vecmosaic.session import written
 
 
-def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and whose host isn't rejected."""
     return quality_filter(docs)
 
 
-STAGES = [("quality rules", _quality)]
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language, predicted with a fair score."""
+    return language_filter(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group."""
+    return without_near_duplicates(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced."""
+    return redacted(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bins of documents."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("language ID", language),
+    ("MinHash near-dedup", near_dedup),
+    ("secret scans", secrets),
+    ("best-fit packing", packing),
+]
+
+#: Learned weights and best-fit search can't be put in SQL; tests/llm hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packing of the documents of ``sf_dir`` after all stages."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, name.replace(" ", "-"))
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
