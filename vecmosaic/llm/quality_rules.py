@@ -137,5 +137,8 @@ def quality_filter(docs: DataFrame, options: QualityOptions = QualityOptions(),
     cols = docs.columns
     counted = measured(docs.select(F.col(text).alias("__text"), F.col(host).alias("__src")), "__text", options).select("__src", "__fails")
     bad = written(host_verdicts(counted, "__src", options).where("host_rejected").select("__host"), "bad-hosts")
-    good = measured(docs, text, options).where(~F.col("__base"))
+    # a plain filter would be pushed below the measures and copy their arrays into every use; a
+    # generator that gives one row or none stays where it is
+    one = F.explode(F.when(F.col("__base"), F.array().cast("array<int>")).otherwise(F.array(F.lit(1)))).alias("__one")
+    good = measured(docs, text, options).select(*[F.col(c) for c in cols], one)
     return good.join(bad, F.col(host).eqNullSafe(F.col("__host")), "left_anti").select(*cols)
