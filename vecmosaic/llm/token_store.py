@@ -22,6 +22,7 @@ characters of each; where that is too little for training there is no dictionary
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 import re
@@ -51,7 +52,7 @@ class TokenStoreOptions:
     dictionary_bytes: int = 65_536
     sample_docs: int = 1_000
     sample_chars: int = 20_000
-    cached_pieces: int = 600_000
+    cached_pieces: int = 300_000
     read_bytes: int = 8 << 20
 
 
@@ -68,7 +69,7 @@ class PieceEncoder:
     non-blank characters is one token of its own, so it also separates the ids.
     """
 
-    def __init__(self, path: str, cached: int = 600_000):
+    def __init__(self, path: str, cached: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -77,7 +78,7 @@ class PieceEncoder:
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
         self.feed = self._plain(["\n"])[0]
-        self.cached, self.cache, self.signs = cached, {"\n": self.feed}, {}
+        self.cached, self.cache, self.old, self.signs = cached, {"\n": self.feed}, {}, {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -88,40 +89,51 @@ class PieceEncoder:
             return False
         return not (any(c in text for c in _OTHER_SPACE) or any(s in text for s in self.special))
 
-    def _encode(self, pieces: list[str]) -> None:
-        for a in range(0, len(pieces), 4096):
-            part = pieces[a : a + 4096]
-            bare = [p[1:] if p[0] == "\n" else " " + p for p in part]
-            ids = self._plain(["\n".join(bare)])[0]
-            width, found = self.width, np.frombuffer(ids, dtype="<u2" if self.width == 2 else "<u4")
-            cuts = np.flatnonzero(found == int.from_bytes(self.feed, "little")) * width if len(self.feed) == width else ()
+    def _ids(self, bare: list[str]) -> list[bytes]:
+        """Ids of pieces without blanks at their ends or line feeds, many in one text."""
+        out: list[bytes] = []
+        width, kind = self.width, "<u2" if self.width == 2 else "<u4"
+        for a in range(0, len(bare), 4096):
+            part = bare[a : a + 4096]
+            ids = self._plain(["\n".join(part)])[0]
+            cuts = (np.flatnonzero(np.frombuffer(ids, dtype=kind) == int.from_bytes(self.feed, "little")) * width).tolist() if len(self.feed) == width else []
             if len(cuts) == len(part) - 1:
-                values = [ids[i:j] for i, j in zip([0, *(cuts + width).tolist()], [*cuts.tolist(), len(ids)], strict=True)]
+                out += [ids[i:j] for i, j in zip([0, *[c + width for c in cuts]], [*cuts, len(ids)], strict=True)]
             else:  # a vocabulary in which the line feed isn't one token
-                values = self._plain(bare)
-            self.cache.update((p, self.feed + v if p[0] == "\n" else v) for p, v in zip(part, values, strict=True))
+                out += self._plain(part)
+        return out
 
     def _learn(self, pieces: list[str]) -> None:
         """Letters and the signs after them are split by every such vocabulary, so their ids add up."""
-        stems, whole, cache = {}, {}, self.cache
-        for p in pieces:
-            m = _SIGNS(p)
-            if m and (stem := p[: m.start()]).lstrip("\n").isalpha():
-                stems[p] = stem, m.group()
-                if stem not in cache:
-                    whole[stem] = None
-            else:
-                whole[p] = None
-        self._encode(list(whole))
-        signs = list({s for _, s in stems.values()} - self.signs.keys())
+        cache, old, feed = self.cache, self.old.get, self.feed
+        signed, whole = [], [p for p in pieces if p[-1].isalpha()]
+        if len(whole) < len(pieces):
+            stems = {}
+            for p in pieces:
+                if not p[-1].isalpha():
+                    m = _SIGNS(p)
+                    if m and (stem := p[: m.start()]).lstrip("\n").isalpha():
+                        signed.append((p, stem, m.group()))
+                        stems[stem] = None
+                    else:
+                        whole.append(p)
+            lacking = stems.keys() - cache.keys() if len(stems) > len(cache) else [x for x in stems if x not in cache]
+            for x in lacking:
+                if (v := old(x)) is not None:
+                    cache[x] = v
+            whole = list(dict.fromkeys(whole + [x for x in lacking if x not in cache]))
+        spaced, heads = [p for p in whole if p[0] != "\n"], [p for p in whole if p[0] == "\n"]
+        cache.update(zip(spaced, self._ids([" " + p for p in spaced]), strict=True))
+        cache.update(zip(heads, [feed + v for v in self._ids([p[1:] for p in heads])], strict=True))
+        signs = list({x for _, _, x in signed} - self.signs.keys())
         self.signs.update(zip(signs, self._plain(signs), strict=True))
-        cache.update((p, cache[stem] + self.signs[sign]) for p, (stem, sign) in stems.items())
+        after = self.signs
+        cache.update([(p, cache[stem] + after[sign]) for p, stem, sign in signed])
 
     def __call__(self, texts: pa.Array, end: bytes = b"") -> list[bytes]:
         """The id bytes of each text, each followed by ``end``."""
-        if len(self.cache) > self.cached:
-            self.cache = {"\n": self.feed}
-            self.signs = {}
+        if len(self.cache) > self.cached:  # what is asked for again comes back from the older half
+            self.cache, self.old, self.signs = {"\n": self.feed}, self.cache, {}
         texts = texts.fill_null("")
         plain = texts.to_pylist()
         apart = [self._splits(t) for t in plain]
@@ -139,23 +151,34 @@ class PieceEncoder:
             values = list(map(self.cache.get, names))
             gaps = [i for i, v in enumerate(values) if v is None]
             if gaps:
-                self._learn([names[i] for i in gaps])
-                for i in gaps:
-                    values[i] = self.cache[names[i]]
-            sizes = np.fromiter(map(len, values), np.int64, len(values)) // self.width
-            firsts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                asked = [names[i] for i in gaps]
+                before = list(map(self.old.get, asked))
+                self.cache.update([(p, v) for p, v in zip(asked, before, strict=True) if v is not None])
+                self._learn([p for p, v in zip(asked, before, strict=True) if v is None])
+                for i, v in zip(gaps, map(self.cache.__getitem__, asked), strict=True):
+                    values[i] = v
+            sizes = (np.fromiter(map(len, values), np.int32, len(values)) // self.width).astype(np.int32)
+            firsts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int32)
             ids = np.frombuffer(b"".join(values), dtype="<u2" if self.width == 2 else "<u4")
             index = coded.indices.to_numpy()
             n = sizes[index]
-            to = np.concatenate([[0], np.cumsum(n)])
-            flat = ids[np.repeat(firsts[index] - to[:-1], n) + np.arange(to[-1])].tobytes()
+            to = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            spots = np.repeat(firsts[index] - to[:-1], n)
+            spots += np.arange(to[-1], dtype=np.int32)
+            flat = ids[spots].tobytes()
             at = (to[split.offsets.to_numpy() - split.offsets[0].as_py()] * self.width).tolist()
             for k, i, j in zip(some, at, at[1:], strict=False):
                 out[k] = flat[i + len(self.feed) : j]
         return [x + end for x in out] if end else out
 
 
-def _chunks(sizes: list[int], total: int = 4 << 20) -> Iterator[tuple[int, int]]:
+@functools.lru_cache(maxsize=1)
+def shared_encoder(path: str, cached: int) -> PieceEncoder:
+    """One encoder for all tasks of a worker process."""
+    return PieceEncoder(path, cached)
+
+
+def _chunks(sizes: list[int], total: int = 8 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``total`` together."""
     a = n = 0
     for i, size in enumerate(sizes):
@@ -167,12 +190,12 @@ def _chunks(sizes: list[int], total: int = 4 << 20) -> Iterator[tuple[int, int]]
         yield a, len(sizes)
 
 
-def _dictionary(docs: DataFrame, options: TokenStoreOptions) -> bytes:
+def _dictionary(docs: DataFrame, one: PieceEncoder, options: TokenStoreOptions) -> bytes:
     """Trained on a bounded number of rows of bounded length; empty where these are too few."""
     import zstandard
 
     rows = docs.select(F.substring(F.coalesce("text", F.lit("")), 1, options.sample_chars).alias("t")).limit(options.sample_docs).collect()
-    samples = [x for x in PieceEncoder(options.tokenizer)(pa.array([r.t for r in rows], pa.string())) if x]
+    samples = [x for x in one(pa.array([r.t for r in rows], pa.string())) if x]
     try:
         return zstandard.train_dictionary(options.dictionary_bytes, samples).as_bytes() if len(samples) >= 16 else b""
     except zstandard.ZstdError:
@@ -281,10 +304,11 @@ def write_tokens(docs: DataFrame, options: TokenStoreOptions, folder: str | None
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     folder = folder or new_folder(spark, "tokens")
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds, dictionary = np.array(_bounds(docs, buckets), dtype="i8"), _dictionary(docs, options)
+    here = PieceEncoder(options.tokenizer)
+    width, bounds, dictionary = here.width, np.array(_bounds(docs, buckets), dtype="i8"), _dictionary(docs, here, options)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, pack = PieceEncoder(options.tokenizer, options.cached_pieces), _compressor(dictionary, options.level)
+        one, pack = shared_encoder(options.tokenizer, options.cached_pieces), _compressor(dictionary, options.level)
         end = array(one.code, [options.end_id]).tobytes()
         for batch in batches:
             for a, b in _chunks(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()):
@@ -297,7 +321,7 @@ def write_tokens(docs: DataFrame, options: TokenStoreOptions, folder: str | None
                 )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width, now, done = PieceEncoder(options.tokenizer).width, None, []
+        now, done = None, []
         for batch in batches:
             for bucket, key, n, frame in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if now is None or now.bucket != bucket:
