@@ -1,3 +1,2 @@
 """Named queries; importing MODULES registers them all."""
 
-MODULES: tuple = ()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +28,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+MODULES = ("matching",)
+
+
 def _load() -> None:
-    from vecmosaic.plans import MODULES  # noqa: F401
+    for name in MODULES:
+        importlib.import_module(f"vecmosaic.plans.{name}")
 
 
 def queries() -> dict[str, Query]:
