@@ -25,7 +25,6 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
-import re
 import uuid
 import zlib
 from array import array
@@ -52,12 +51,12 @@ class TokenStoreOptions:
     dictionary_bytes: int = 65_536
     sample_docs: int = 1_000
     sample_chars: int = 20_000
-    cached_pieces: int = 300_000
+    cached_pieces: int = 600_000
     read_bytes: int = 8 << 20
 
 
-#: Signs at the end of a piece.
-_SIGNS = re.compile(r"[^\w\s]+\Z").search
+#: Signs at the end of a piece that are neither letters, numbers, marks nor blanks.
+_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"
 #: White space other than the blank and the line feed; a text that has any is encoded whole.
 _OTHER_SPACE = [c for c in map(chr, range(0x110000)) if c.isspace() and c not in " \n"]
 
@@ -69,7 +68,7 @@ class PieceEncoder:
     non-blank characters is one token of its own, so it also separates the ids.
     """
 
-    def __init__(self, path: str, cached: int = 300_000):
+    def __init__(self, path: str, cached: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -108,20 +107,22 @@ class PieceEncoder:
         cache, old, feed = self.cache, self.old.get, self.feed
         signed, whole = [], [p for p in pieces if p[-1].isalpha()]
         if len(whole) < len(pieces):
-            stems = {}
             for p in pieces:
-                if not p[-1].isalpha():
-                    m = _SIGNS(p)
-                    if m and (stem := p[: m.start()]).lstrip("\n").isalpha():
-                        signed.append((p, stem, m.group()))
-                        stems[stem] = None
+                stem = p.rstrip(_SIGNS)
+                if len(stem) == len(p):
+                    continue
+                if stem.isalpha() or (stem[:1] == "\n" and stem[1:].isalpha()):
+                    signed.append((p, stem, p[len(stem) :]))
+                else:
+                    whole.append(p)
+            whole += [p for p in pieces if not p[-1].isalpha() and p[-1] not in _SIGNS]
+            for x in {x for _, x, _ in signed}:
+                if x not in cache:
+                    if (v := old(x)) is None:
+                        whole.append(x)
                     else:
-                        whole.append(p)
-            lacking = stems.keys() - cache.keys() if len(stems) > len(cache) else [x for x in stems if x not in cache]
-            for x in lacking:
-                if (v := old(x)) is not None:
-                    cache[x] = v
-            whole = list(dict.fromkeys(whole + [x for x in lacking if x not in cache]))
+                        cache[x] = v
+        whole = list(dict.fromkeys(whole))
         spaced, heads = [p for p in whole if p[0] != "\n"], [p for p in whole if p[0] == "\n"]
         cache.update(zip(spaced, self._ids([" " + p for p in spaced]), strict=True))
         cache.update(zip(heads, [feed + v for v in self._ids([p[1:] for p in heads])], strict=True))
