@@ -119,7 +119,7 @@ def powers_of_two(first: int, last: int, step: int) -> list[float]:
 def sign_words(v: Column, bits: int = 32) -> Column:
     """Sign bits of a vector packed into words, least significant first: a binary descriptor."""
     word = lambda k: F.aggregate(
-        F.transform(F.slice(v, k * bits + 1, bits), lambda x, i: F.when(x > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))),
+        F.transform(F.slice(v, k * bits + 1, bits), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))),
         F.lit(0).cast("long"), lambda a, x: a + x,
     )
     return F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / bits).cast("int") - 1), word)

@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-MODULES = ("matching", "geometry")
+MODULES = ("matching", "geometry", "graphs", "scoring")
 
 
 def _load() -> None:
