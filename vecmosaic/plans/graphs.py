@@ -49,7 +49,7 @@ def threshold_sql(need: str, n: int, name: str = "th", start: float = 0.0) -> st
 {name} AS (SELECT CASE WHEN k IS NULL THEN {start} WHEN k = 0 THEN 1.0 ELSE 1 + k * ({start} - 1.0)::DOUBLE / {n - 1} END::DOUBLE AS t FROM {name}m)"""
 
 
-@query("GM1_hamming_distances", f"""WITH {FEATURES}, {GROUP}, h AS (SELECT a.id AS src, b.id AS dst, list_sum(list_transform(range(1, 65), i -> CASE WHEN (a.v[i] > 0) <> (b.v[i] > 0) THEN 1 ELSE 0 END))::BIGINT AS value FROM g a JOIN g b ON a.id <> b.id)
+@query("GM1_hamming_distances", f"""WITH {FEATURES}, {GROUP}, h AS (SELECT a.id AS src, b.id AS dst, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (a.v[i] > 0) <> (b.v[i] > 0) THEN 1 ELSE 0 END))::BIGINT AS value FROM g a JOIN g b ON a.id <> b.id)
 SELECT * FROM h WHERE src < 60 AND dst < 60""")
 def hamming(spark, sf):
     w = features(spark, sf).where("feature_id < 60").select("feature_id", V.sign_words(F.col("descriptor")).alias("words"))
