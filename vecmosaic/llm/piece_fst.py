@@ -167,6 +167,8 @@ class PieceEncoder(PieceCoder):
         self.pairs: dict[tuple[str, str], bool] = {}
         self.paths: dict[str, list[str]] = {}
         self.cut = re.compile("([^" + re.escape(model.inside) + "])", re.S)
+        #: Single blanks between other characters; a line feed has no piece, so it always separates.
+        self.apart_unless = rf"\A | \z|  | \n|\n |{BLANK}" if model.free and model.prefix else r"(?s)."
         self.segment = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+", re.S)
 
     def shortest_path(self, text: str) -> list[str]:
@@ -219,12 +221,6 @@ class PieceEncoder(PieceCoder):
                 out.extend(map(model.id.__getitem__, self.shortest_path(part)))
         return out.tobytes()
 
-    def splits(self, text: str) -> bool:
-        """Single blanks between other characters; a line feed has no piece, so it always separates."""
-        if not text or not self.model.free or not self.model.prefix:
-            return False
-        return not (text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or BLANK in text)
-
     def learn(self, names: list[str]) -> None:
         """Where the last piece of a segment's letters and the first of the signs after them may be
         neighbours, their two paths together are the path of both."""

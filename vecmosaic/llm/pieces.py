@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: White space other than the blank and the line feed.
-OTHER_SPACE = [c for c in map(chr, range(0x110000)) if c.isspace() and c not in " \n"]
+#: White space other than the blank and the line feed, as a pattern.
+OTHER_SPACE = r"[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def chunks(sizes: list[int], total: int = 8 << 20) -> Iterator[tuple[int, int]]:
@@ -31,19 +31,19 @@ def chunks(sizes: list[int], total: int = 8 << 20) -> Iterator[tuple[int, int]]:
 
 
 class PieceCoder:
-    """Base of the coders; ``head`` marks a text's first piece and ``skip`` is the bytes it adds."""
+    """Base of the coders.
 
-    width, head, skip = 2, "", 0
+    ``apart_unless`` is a pattern that texts have whose pieces aren't independent; ``head`` marks a
+    text's first piece and ``skip`` is the bytes it adds.
+    """
+
+    width, head, skip, apart_unless = 2, "", 0, ""
 
     def __init__(self, cached: int):
         self.cached = cached
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def splits(self, text: str) -> bool:
-        """Whether the pieces of the text are independent."""
-        raise NotImplementedError
-
     def learn(self, names: list[str]) -> None:
         """Put new pieces into the cache; one that doesn't begin with a line feed follows a blank."""
         raise NotImplementedError
@@ -69,16 +69,16 @@ class PieceCoder:
     def __call__(self, texts: pa.Array, end: bytes = b"") -> list[bytes]:
         """The id bytes of each text, each followed by ``end``."""
         texts = texts.fill_null("")
-        plain = texts.to_pylist()
-        apart = [self.splits(t) for t in plain]
-        out = [b""] * len(plain)
-        rest = [k for k, ok in enumerate(apart) if not ok and plain[k]]
+        full = pc.greater(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        apart = full & ~pc.match_substring_regex(texts, self.apart_unless).to_numpy(zero_copy_only=False)
+        out = [b""] * len(texts)
+        rest = np.flatnonzero(full & ~apart).tolist()
         if rest:
-            for k, ids in zip(rest, self.whole([plain[k] for k in rest]), strict=True):
+            for k, ids in zip(rest, self.whole(texts.take(pa.array(rest)).to_pylist()), strict=True):
                 out[k] = ids
-        some = [k for k, ok in enumerate(apart) if ok]
+        some = np.flatnonzero(apart).tolist()
         if some:
-            split = texts if len(some) == len(plain) else texts.take(pa.array(some))
+            split = texts if len(some) == len(texts) else texts.take(pa.array(some))
             split = pc.split_pattern(pc.binary_join_element_wise(self.head, pc.replace_substring(split, "\n", " \n"), ""), " ")
             coded = split.flatten().dictionary_encode()
             values = self._values(coded.dictionary.to_pylist())

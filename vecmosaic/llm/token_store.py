@@ -25,6 +25,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
+import re
 import uuid
 import zlib
 from array import array
@@ -38,6 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecmosaic.llm.files import new_folder, reader, writer
+from vecmosaic.llm.pieces import OTHER_SPACE, PieceCoder, chunks
 from vecmosaic.session import written
 
 MAGIC = b"VMTOKS01"
@@ -47,7 +49,7 @@ MAGIC = b"VMTOKS01"
 class TokenStoreOptions:
     tokenizer: str
     end_id: int = 2
-    level: int = 3
+    level: int = 1
     dictionary_bytes: int = 65_536
     sample_docs: int = 1_000
     sample_chars: int = 20_000
@@ -57,11 +59,9 @@ class TokenStoreOptions:
 
 #: Signs at the end of a piece that are neither letters, numbers, marks nor blanks.
 _SIGNS = "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"
-#: White space other than the blank and the line feed; a text that has any is encoded whole.
-_OTHER_SPACE = [c for c in map(chr, range(0x110000)) if c.isspace() and c not in " \n"]
 
 
-class PieceEncoder:
+class PieceEncoder(PieceCoder):
     """Texts to id bytes; ids of pieces between single blanks or line feeds are kept.
 
     New pieces go to the library many at a time, joined by line feeds: a line feed between
@@ -72,22 +72,18 @@ class PieceEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__(cached)
         self.tok = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        special = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
+        self.apart_unless = "|".join([r"\A[ \n]| \z|  | \n|\n |\n\n", OTHER_SPACE, *special])
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
         self.feed = self._plain(["\n"])[0]
-        self.cached, self.cache, self.old, self.signs = cached, {"\n": self.feed}, {}, {}
+        self.head, self.skip, self.signs = "\n", len(self.feed), {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _splits(self, text: str) -> bool:
-        """Whether every blank and line feed of the text has a non-blank character on both sides."""
-        if not text or text[0] in " \n" or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
-            return False
-        return not (any(c in text for c in _OTHER_SPACE) or any(s in text for s in self.special))
-
     def _ids(self, bare: list[str]) -> list[bytes]:
         """Ids of pieces without blanks at their ends or line feeds, many in one text."""
         out: list[bytes] = []
@@ -102,10 +98,10 @@ class PieceEncoder:
                 out += self._plain(part)
         return out
 
-    def _learn(self, pieces: list[str]) -> None:
+    def learn(self, pieces: list[str]) -> None:
         """Letters and the signs after them are split by every such vocabulary, so their ids add up."""
         cache, old, feed = self.cache, self.old.get, self.feed
-        signed, whole = [], [p for p in pieces if p[-1].isalpha()]
+        signed, whole = [], [p for p in pieces if p[-1].isalpha() or p == "\n"]
         if len(whole) < len(pieces):
             for p in pieces:
                 stem = p.rstrip(_SIGNS)
@@ -115,7 +111,7 @@ class PieceEncoder:
                     signed.append((p, stem, p[len(stem) :]))
                 else:
                     whole.append(p)
-            whole += [p for p in pieces if not p[-1].isalpha() and p[-1] not in _SIGNS]
+            whole += [p for p in pieces if not p[-1].isalpha() and p[-1] not in _SIGNS and p != "\n"]
             for x in {x for _, x, _ in signed}:
                 if x not in cache:
                     if (v := old(x)) is None:
@@ -123,7 +119,8 @@ class PieceEncoder:
                     else:
                         cache[x] = v
         whole = list(dict.fromkeys(whole))
-        spaced, heads = [p for p in whole if p[0] != "\n"], [p for p in whole if p[0] == "\n"]
+        spaced, heads = [p for p in whole if p[0] != "\n"], [p for p in whole if p[0] == "\n" and p != "\n"]
+        cache["\n"] = feed
         cache.update(zip(spaced, self._ids([" " + p for p in spaced]), strict=True))
         cache.update(zip(heads, [feed + v for v in self._ids([p[1:] for p in heads])], strict=True))
         signs = list({x for _, _, x in signed} - self.signs.keys())
@@ -131,46 +128,8 @@ class PieceEncoder:
         after = self.signs
         cache.update([(p, cache[stem] + after[sign]) for p, stem, sign in signed])
 
-    def __call__(self, texts: pa.Array, end: bytes = b"") -> list[bytes]:
-        """The id bytes of each text, each followed by ``end``."""
-        if len(self.cache) > self.cached:  # what is asked for again comes back from the older half
-            self.cache, self.old, self.signs = {"\n": self.feed}, self.cache, {}
-        texts = texts.fill_null("")
-        plain = texts.to_pylist()
-        apart = [self._splits(t) for t in plain]
-        out = [b""] * len(plain)
-        rest = [k for k, ok in enumerate(apart) if not ok and plain[k]]
-        for k, ids in zip(rest, self._plain([plain[k] for k in rest]), strict=True):
-            out[k] = ids
-        some = [k for k, ok in enumerate(apart) if ok]
-        if some:
-            split = texts if len(some) == len(plain) else texts.take(pa.array(some))
-            # the first piece and each after a line feed begin with the line feed
-            split = pc.split_pattern(pc.binary_join_element_wise("\n", pc.replace_substring(split, "\n", " \n"), ""), " ")
-            coded = split.flatten().dictionary_encode()
-            names = coded.dictionary.to_pylist()
-            values = list(map(self.cache.get, names))
-            gaps = [i for i, v in enumerate(values) if v is None]
-            if gaps:
-                asked = [names[i] for i in gaps]
-                before = list(map(self.old.get, asked))
-                self.cache.update([(p, v) for p, v in zip(asked, before, strict=True) if v is not None])
-                self._learn([p for p, v in zip(asked, before, strict=True) if v is None])
-                for i, v in zip(gaps, map(self.cache.__getitem__, asked), strict=True):
-                    values[i] = v
-            sizes = (np.fromiter(map(len, values), np.int32, len(values)) // self.width).astype(np.int32)
-            firsts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int32)
-            ids = np.frombuffer(b"".join(values), dtype="<u2" if self.width == 2 else "<u4")
-            index = coded.indices.to_numpy()
-            n = sizes[index]
-            to = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-            spots = np.repeat(firsts[index] - to[:-1], n)
-            spots += np.arange(to[-1], dtype=np.int32)
-            flat = ids[spots].tobytes()
-            at = (to[split.offsets.to_numpy() - split.offsets[0].as_py()] * self.width).tolist()
-            for k, i, j in zip(some, at, at[1:], strict=False):
-                out[k] = flat[i + len(self.feed) : j]
-        return [x + end for x in out] if end else out
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return self._plain(texts)
 
 
 @functools.lru_cache(maxsize=1)
@@ -179,18 +138,6 @@ def shared_encoder(path: str, cached: int) -> PieceEncoder:
     return PieceEncoder(path, cached)
 
 
-def _chunks(sizes: list[int], total: int = 8 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about ``total`` together."""
-    a = n = 0
-    for i, size in enumerate(sizes):
-        n += size
-        if n >= total:
-            yield a, i + 1
-            a, n = i + 1, 0
-    if a < len(sizes):
-        yield a, len(sizes)
-
-
 def _dictionary(docs: DataFrame, one: PieceEncoder, options: TokenStoreOptions) -> bytes:
     """Trained on a bounded number of rows of bounded length; empty where these are too few."""
     import zstandard
@@ -312,7 +259,7 @@ def write_tokens(docs: DataFrame, options: TokenStoreOptions, folder: str | None
         one, pack = shared_encoder(options.tokenizer, options.cached_pieces), _compressor(dictionary, options.level)
         end = array(one.code, [options.end_id]).tobytes()
         for batch in batches:
-            for a, b in _chunks(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()):
+            for a, b in chunks(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()):
                 ids = one(batch.column("text").slice(a, b - a), end)
                 key = batch.column("doc_id").slice(a, b - a)
                 at = np.searchsorted(bounds, key.fill_null(-(1 << 63)).to_numpy(), side="right")
