@@ -54,7 +54,7 @@ def chi_square(p: Column, q: Column) -> Column:
 
 def intersection(p: Column, q: Column) -> Column:
     """A similarity; ranked ascending like the distances."""
-    return fold(p, q, F.least)
+    return fold(p, q, lambda a, b: F.least(a, b))
 
 
 def _bin_ratio(p: Column, q: Column, weight: Callable[[Column, Column], Column], power: int) -> Column:
