@@ -9,6 +9,7 @@ from vecmosaic.llm.ann_tree import nearest_neighbours
 from vecmosaic.llm.language_id import language_id
 from vecmosaic.llm.license_scan import license_scan
 from vecmosaic.llm.near_dup import near_duplicates
+from vecmosaic.llm.oracles import ORACLES  # noqa: F401
 from vecmosaic.llm.packing import pack
 from vecmosaic.llm.piece_fst import PieceOptions, piece_digests
 from vecmosaic.llm.quality_rules import quality_verdicts
@@ -82,4 +83,3 @@ QUERIES = {
     "op9_token_store": op9_token_store,
     "op10_secret_scan": op10_secret_scan,
 }
-ORACLES: dict[str, str] = {}
