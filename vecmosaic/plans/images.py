@@ -50,10 +50,11 @@ def spatial(spark, sf):
 
 @query("FX10_equalized", f"""WITH {PIX}, st AS (SELECT image_id, min(p) AS lo, max(p) AS hi FROM px GROUP BY image_id), b AS (SELECT px.*, lo, hi, least(255, floor((p - lo) / (hi - lo) * 256)) AS bin FROM px JOIN st USING (image_id)),
 g AS (SELECT st.image_id, k.range AS bin, lo + k.range * (hi - lo) / 256 AS edge, (SELECT count(*) FROM b WHERE b.image_id = st.image_id AND b.bin <= k.range) * 255.0::DOUBLE / {SIDE * SIDE} AS cdf FROM st, range(256) k)
-SELECT b.image_id, b.r, b.c, round(CASE WHEN b.p >= z.edge THEN z.cdf ELSE x.cdf + (y.cdf - x.cdf) * (b.p - x.edge) / (y.edge - x.edge) END, 2) + 0.0 AS v
+SELECT b.image_id, b.r, b.c, round((CASE WHEN b.p >= z.edge THEN z.cdf ELSE x.cdf + (y.cdf - x.cdf) * (b.p - x.edge) / (y.edge - x.edge) END) * {SIDE * SIDE} / 255, 3) + 0.0 AS v
 FROM b JOIN g x ON x.image_id = b.image_id AND x.bin = least(254, floor((b.p - lo) / ((hi - lo) / 256))) JOIN g y ON y.image_id = b.image_id AND y.bin = x.bin + 1 JOIN g z ON z.image_id = b.image_id AND z.bin = 255""")
 def equalize(spark, sf):
-    return long(I.per_image(images(spark), I.equalized()), 2)
+    """In counts of pixels, which are whole numbers at the bins' edges."""
+    return long(I.per_image(images(spark), lambda x: I.equalized()(x) * SIDE * SIDE / 255), 3)
 
 
 query("FX11_illumination_normalized")(lambda spark, sf: long(I.per_image(images(spark), I.illumination_normalized())))
