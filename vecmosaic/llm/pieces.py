@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 OTHER_SPACE = r"[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
-def chunks(sizes: list[int], total: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def chunks(sizes: list[int], total: int = 12 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``total`` together."""
     a = n = 0
     for i, size in enumerate(sizes):
@@ -87,11 +87,13 @@ class PieceCoder:
             ids = np.frombuffer(b"".join(values), dtype="<u2" if self.width == 2 else "<u4")
             index = coded.indices.to_numpy()
             n = sizes[index]
-            to = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
-            spots = np.repeat((firsts[index] - to[:-1]).astype(np.int64), n)
-            spots += np.arange(to[-1])
+            # an Arrow array of strings holds less than 2**31 bytes, and so fewer ids
+            to = np.zeros(len(n) + 1, dtype=np.int32)
+            np.cumsum(n, out=to[1:])
+            spots = np.repeat(firsts[index] - to[:-1], n)
+            spots += np.arange(to[-1], dtype=np.int32)
             flat = ids[spots].tobytes()
-            at = (to[split.offsets.to_numpy() - split.offsets[0].as_py()] * self.width).tolist()
+            at = (to[split.offsets.to_numpy() - split.offsets[0].as_py()].astype(np.int64) * self.width).tolist()
             for k, i, j in zip(some, at, at[1:], strict=False):
                 out[k] = flat[i + self.skip : j]
         return [x + end for x in out] if end else out

@@ -51,7 +51,7 @@ class TokenStoreOptions:
     end_id: int = 2
     level: int = 1
     dictionary_bytes: int = 65_536
-    sample_docs: int = 1_000
+    sample_docs: int = 500
     sample_chars: int = 20_000
     cached_pieces: int = 600_000
     read_bytes: int = 8 << 20
