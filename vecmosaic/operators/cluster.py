@@ -62,20 +62,29 @@ def louvain_kernel(ids: np.ndarray, src: np.ndarray, dst: np.ndarray, w: np.ndar
     return ids[label]
 
 
-def louvain(edges: DataFrame) -> DataFrame:
-    """(vertex, cluster) for every vertex with an edge."""
+def louvain(edges: DataFrame, one_group_edges: int = 2_000_000) -> DataFrame:
+    """(vertex, cluster) for every vertex with an edge.
+
+    A graph of at most ``one_group_edges`` edges is one group, whose sweeps stop together; a larger
+    one goes by connected component.
+    """
     spark = edges.sparkSession
-    total = edges.agg(F.sum("w")).first()[0]
+    edges = checkpointed(edges.select("src", "dst", "w"))
+    size = edges.agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n")).first()
+    total = size["w"]
     if not total:
         return spark.createDataFrame([], "vertex long, cluster long")
-    where = connected_components(edges).withColumnRenamed("vertex", "src")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["src", "dst"], kind="stable")
         ids = np.unique(rows["src"].to_numpy())
         return pd.DataFrame({"vertex": ids, "cluster": louvain_kernel(ids, rows["src"].to_numpy(), rows["dst"].to_numpy(), rows["w"].to_numpy(), total)})
 
-    return edges.join(where, "src").select("component", "src", "dst", "w").groupBy("component").applyInPandas(run, "vertex long, cluster long")
+    if size["n"] <= one_group_edges:
+        named = edges.withColumn("component", F.lit(0))
+    else:
+        named = edges.join(connected_components(edges).withColumnRenamed("vertex", "src"), "src")
+    return named.select("component", "src", "dst", "w").groupBy("component").applyInPandas(run, "vertex long, cluster long")
 
 
 def split_large(edges: DataFrame, partition: DataFrame, split_limit: int, per_vertex: float, depth: int = 11) -> DataFrame:

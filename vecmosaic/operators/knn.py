@@ -167,3 +167,53 @@ def knn_join(queries: DataFrame, targets: DataFrame | None = None, options: KnnO
         n = max(1, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         return _block(queries.repartition(n, "feature_id") if size["n"] > 512 else queries, targets, o)
     return _grid(queries, targets, size["n"] if own else queries.count(), size["n"], o)
+
+
+def _within(q: np.ndarray, t: np.ndarray, radius: float) -> np.ndarray:
+    """How many rows of t lie within the radius of each row of q; rounding is settled exactly."""
+    out, t2 = np.zeros(len(q), dtype=np.int64), (t * t).sum(axis=1)
+    for a in range(0, len(q), 256):
+        part = q[a : a + 256]
+        q2 = (part * part).sum(axis=1)
+        d2 = q2[:, None] + t2[None, :] - 2 * part @ t.T
+        slack = 1e-9 * (1 + q2[:, None] + t2.max(initial=0))
+        sure, border = d2 <= radius * radius - slack, np.abs(d2 - radius * radius) < slack
+        n = sure.sum(axis=1)
+        for i, j in zip(*np.nonzero(border), strict=True):
+            n[i] += np.sqrt(((part[i] - t[j]) ** 2).sum()) <= radius
+        out[a : a + 256] = n
+    return out
+
+
+def radius_counts(features: DataFrame, radius: float, options: KnnOptions = KnnOptions()) -> DataFrame:
+    """(feature_id, group_size): features within the radius of each, itself included.
+
+    The same two strategies as the neighbour join: targets in every worker while their measured
+    size allows it, else blocks that meet in pairs and whose counts are added.
+    """
+    f = _narrow(features)
+    size = f.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("descriptor")).alias("cells")).first()
+    counted = lambda i, n: pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(n, pa.int64())], names=["feature_id", "n"])
+    if 8 * (size["cells"] or 0) <= options.broadcast_bytes:
+        held = f.sparkSession.sparkContext.broadcast(_arrays(f.toArrow()))
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    i, _, q = _arrays(batch)
+                    yield counted(i, _within(q, held.value[2], radius))
+
+        n = max(1, int(f.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        return f.repartition(n, "feature_id").mapInArrow(near, "feature_id long, n long").withColumnRenamed("n", "group_size")
+    blocks = max(1, -(-size["n"] // options.block))
+    mine, other = F.pmod(F.xxhash64("feature_id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = f.select("*", mine.alias("a")).select("*", other.alias("b")).withColumn("side", F.lit(0))
+    right = f.select("*", mine.alias("b")).select("*", other.alias("a")).withColumn("side", F.lit(1))
+
+    def run(group: pa.Table) -> pa.Table:
+        side = group.column("side").to_numpy()
+        q, t = (group.filter(pa.array(side == k)) for k in (0, 1))
+        (i, _, x), (_, _, y) = _arrays(q), _arrays(t)
+        return pa.Table.from_batches([counted(i, _within(x, y, radius)) if len(i) and t.num_rows else counted([], [])])
+
+    return left.unionByName(right).groupBy("a", "b").applyInArrow(run, "feature_id long, n long").groupBy("feature_id").agg(F.sum("n").alias("group_size"))

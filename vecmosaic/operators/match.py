@@ -11,7 +11,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecmosaic.operators.knn import KnnOptions, knn_join
+from vecmosaic.operators.knn import KnnOptions, knn_join, radius_counts
 
 SCOPES = ("query", "target", "all")
 #: proposed and baseline scope -> (neighbour join, ranks proposed, baseline join, its rank)
@@ -110,27 +110,6 @@ def angle_match(queries: DataFrame, targets: DataFrame, ratio: float = 0.6, knn:
     return per.where(F.col("a1") < ratio * F.col("a2")).select(F.col("q").alias("i"), "j", F.col("a1").alias("score"))
 
 
-def cells(points: DataFrame, size: float, x: str = "x", y: str = "y") -> DataFrame:
-    return points.withColumn("cx", F.floor(F.col(x) / size)).withColumn("cy", F.floor(F.col(y) / size))
-
-
-def radius_groups(features: DataFrame, radius: float, dims: int = 2) -> DataFrame:
-    """(feature_id, group_size): features within ``radius`` by descriptor, itself included.
-
-    The first components are a lower bound of the distance, so features meet only in neighbouring
-    cells of a grid over them instead of in all pairs.
-    """
-    from vecmosaic.functions.vectors import euclidean
-
-    keys = [F.floor(F.element_at("descriptor", k + 1) / radius).alias(f"c{k}") for k in range(dims)]
-    here = features.select(F.col("feature_id").alias("a"), F.col("descriptor").alias("va"), *keys)
-    there = features.select(F.col("feature_id").alias("b"), F.col("descriptor").alias("vb"), *keys)
-    for k in range(dims):
-        there = there.withColumn(f"c{k}", F.explode(F.array(*[F.col(f"c{k}") + s for s in (-1, 0, 1)])))
-    near = here.join(there, [f"c{k}" for k in range(dims)]).where(euclidean(F.col("va"), F.col("vb")) <= radius)
-    return near.groupBy(F.col("a").alias("feature_id")).agg(F.count(F.lit(1)).alias("group_size"))
-
-
 @dataclass(frozen=True)
 class RadiusOptions:
     radius: float = 300.0
@@ -144,7 +123,7 @@ def radius_match(features: DataFrame, threshold: float, options: RadiusOptions =
     per = near.groupBy("q", "qi").agg(
         F.min_by("t", "r").alias("j"), F.min_by("ti", "r").alias("tj"), F.max(F.when(F.col("r") == 1, F.col("d"))).alias("d1"), F.max(F.when(F.col("r") == 2, F.col("d"))).alias("d2")
     )
-    crowd = radius_groups(features, options.radius).withColumnRenamed("feature_id", "q")
+    crowd = radius_counts(features, options.radius, knn).withColumnRenamed("feature_id", "q")
     ratio = F.try_divide("d1", "d2") * F.when(F.col("group_size") >= options.group_limit, F.lit(options.ratio_boost)).otherwise(F.lit(1.0))
     return below(per.where("qi < tj").join(crowd, "q").select(F.col("q").alias("i"), "j", F.col("d1").alias("score"), ratio.alias("ratio")), threshold)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +25,25 @@ def affinities(matches: DataFrame, sigma: float = 50.0) -> DataFrame:
     return pairs.where("w <> 0").union(matches.select("id", "id", (4.5 * (1 - F.col("score") / most)).alias("w")))
 
 
-def principal_vector(w: DataFrame, rounds: int = 20) -> DataFrame:
-    """(id, x): a fixed number of power iterations from the all-ones vector, scaled to length one."""
+def principal_vector(w: DataFrame, rounds: int = 20, dense_entries: int = 4_000_000) -> DataFrame:
+    """(id, x): a fixed number of power iterations from the all-ones vector, scaled to length one.
+
+    A matrix of at most ``dense_entries`` entries is one kernel; a larger one iterates over tables.
+    """
+    w = checkpointed(w)
+    if w.count() <= dense_entries:
+
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values(["a", "b"], kind="stable")
+            ids, a = np.unique(rows["a"].to_numpy(), return_inverse=True)
+            b = np.searchsorted(ids, rows["b"].to_numpy())
+            x = np.ones(len(ids))
+            for _ in range(rounds):
+                x = np.bincount(a, weights=rows["w"].to_numpy() * x[b], minlength=len(ids))
+                x = x / (np.sqrt((x * x).sum()) or 1.0)
+            return pd.DataFrame({"id": ids, "x": x})
+
+        return w.groupBy(F.lit(0).alias("one")).applyInPandas(run, "id long, x double")
     x = checkpointed(w.select(F.col("a").alias("id")).distinct().withColumn("x", F.lit(1.0)))
     for _ in range(rounds):
         y = w.join(x.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.sum(F.col("w") * F.col("x")).alias("y"))
@@ -44,5 +63,4 @@ def top_share(x: DataFrame, keep: float) -> DataFrame:
 
 def spectral_match(matches: DataFrame, sigma: float = 50.0, keep: float = 0.5, rounds: int = 20) -> DataFrame:
     """The matches that agree best with each other."""
-    w = checkpointed(affinities(matches, sigma))
-    return matches.join(top_share(principal_vector(w, rounds), keep), "id")
+    return matches.join(top_share(principal_vector(affinities(matches, sigma), rounds), keep), "id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vecmosaic.functions import vectors as V
 from vecmosaic.operators import match as M
-from vecmosaic.operators.knn import KnnOptions, knn_join
+from vecmosaic.operators.knn import KnnOptions, knn_join, radius_counts
 from vecmosaic.plans.catalog import query
 from vecmosaic.sources.tables import features
 
@@ -144,7 +144,7 @@ def similarity(spark, sf):
 
 @query("JN11_radius_groups", f"WITH {FEATURES} SELECT a.id AS feature_id, count(*) AS group_size FROM f a JOIN f b ON list_distance(a.v, b.v) <= 1.2 GROUP BY a.id")
 def radius_groups(spark, sf):
-    return M.radius_groups(features(spark, sf), 1.2)
+    return radius_counts(features(spark, sf), 1.2)
 
 
 @query("JN12_radius_match", f"""WITH {PAIRS}, {ranked_sql('k', 'all')}, g AS (SELECT a.id, count(*) AS n FROM f a JOIN f b ON list_distance(a.v, b.v) <= 1.2 GROUP BY a.id)

@@ -56,7 +56,7 @@ def read_keypoints(spark: SparkSession, path: str, width: int = 128) -> DataFram
     The header names the number and the width; another width is an error.  Descriptors are scaled
     to length one.
     """
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.split(F.trim("value"), r"\s+").alias("t"))
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.split(F.btrim("value", F.lit(" \n\r\t")), r"\s+").alias("t"))
     n, d = F.element_at("t", 1).cast("int"), F.element_at("t", 2).cast("int")
     text = text.withColumn("n", F.when(d == width, n).otherwise(F.raise_error(F.concat(F.lit("descriptor width "), F.element_at("t", 2)))))
     one = text.where("n > 0").select("path", "t", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
@@ -70,7 +70,7 @@ def read_keypoints(spark: SparkSession, path: str, width: int = 128) -> DataFram
 def read_homographies(spark: SparkSession, path: str) -> DataFrame:
     """(path, h): nine numbers of 3 x 3 text matrices."""
     text = spark.read.text(path, wholetext=True)
-    return text.select(F.input_file_name().alias("path"), F.split(F.trim("value"), r"\s+").cast("array<double>").alias("h")).where(F.size("h") == 9)
+    return text.select(F.input_file_name().alias("path"), F.split(F.btrim("value", F.lit(" \n\r\t")), r"\s+").cast("array<double>").alias("h")).where(F.size("h") == 9)
 
 
 def write_homographies(rows: DataFrame, path: str) -> None:
