@@ -191,3 +191,17 @@ def homographies(matches: DataFrame, by: Sequence[str] = ("im_i", "im_j"), least
 
     some = matches.select(*by, "x1", "y1", "x2", "y2")
     return some.groupBy(*by).applyInPandas(fit, f"{kinds}, h array<double>, n_inliers long").where(F.col("h").isNotNull() & (F.col("n_inliers") >= least))
+
+
+def fundamentals(points: DataFrame, by: Sequence[str], scale: float = 1.0, rounds: int = 300, limit: float = 1.0) -> DataFrame:
+    """One fundamental matrix per group from pooled corners (x1, y1, x2, y2), coordinates over the scale."""
+    import pandas as pd
+
+    kinds = ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in by)
+
+    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["x1", "y1", "x2", "y2"], kind="stable")
+        f = fit_fundamental(rows[["x1", "y1"]].to_numpy() / scale, rows[["x2", "y2"]].to_numpy() / scale, rounds, limit)
+        return pd.DataFrame([[*key, None if f is None else f.ravel().tolist()]], columns=[*by, "f"])
+
+    return points.select(*by, "x1", "y1", "x2", "y2").groupBy(*by).applyInPandas(fit, f"{kinds}, f array<double>").where(F.col("f").isNotNull())

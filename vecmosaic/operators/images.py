@@ -274,3 +274,16 @@ def warp(base: np.ndarray, other: np.ndarray, h: np.ndarray, clamp: int = 2000)
     out = np.where(ok, (1 - tv) * ((1 - tu) * other[v0, u0] + tu * other[v0, u1]) + tv * ((1 - tu) * other[v1, u0] + tu * other[v1, u1]), 0.0)
     out[-lo[1] : -lo[1] + base.shape[0], -lo[0] : -lo[0] + base.shape[1]] = base
     return out
+
+
+def resized_centre(share: float, height: int, width: int) -> Callable[[np.ndarray], np.ndarray]:
+    """An image brought to a share of its size by area means, then its centre."""
+    def kernel(x: np.ndarray) -> np.ndarray:
+        h, w = max(1, round(x.shape[0] * share)), max(1, round(x.shape[1] * share))
+        cut = lambda n, m: np.linspace(0, n, m + 1).round().astype(int)
+        ys, xs = cut(x.shape[0], h), cut(x.shape[1], w)
+        small = np.array([[x[a : max(b, a + 1), c : max(d, c + 1)].mean() for c, d in zip(xs, xs[1:], strict=False)] for a, b in zip(ys, ys[1:], strict=False)])
+        top, left = max(0, (h - height) // 2), max(0, (w - width) // 2)
+        return small[top : top + height, left : left + width]
+
+    return kernel

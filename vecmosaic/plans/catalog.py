@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-MODULES = ("matching", "geometry", "graphs", "scoring", "clusters", "images", "faces", "drivers")
+MODULES = ("matching", "geometry", "graphs", "scoring", "clusters", "images", "faces", "drivers", "layouts")
 
 
 def _load() -> None:

@@ -112,6 +112,48 @@ def relative_homography(first: Column, other: Column) -> Column:
     return F.array(*[p / prod[8] for p in prod])
 
 
+def _png(grey: np.ndarray) -> bytes:
+    """A grey image as PNG bytes."""
+    import struct
+    import zlib
+
+    h, w = grey.shape
+    raw = b"".join(b"\0" + row.tobytes() for row in np.clip(np.rint(grey), 0, 255).astype(np.uint8))
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def write_images(images: DataFrame, folder: str) -> DataFrame:
+    """Write each image as <image_id>.png below a folder that all executors reach; (image_id, path).
+
+    A task that runs again writes the same bytes to the same names.
+    """
+    from pyarrow import fs
+
+    from vecmosaic.session import checkpointed
+
+    at = folder if ":/" in folder else f"file://{folder}"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = fs.FileSystem.from_uri(at)
+        system.create_dir(base, recursive=True)
+        for frame in frames:
+            for i, h, w, p in zip(frame["image_id"], frame["height"], frame["width"], frame["pixels"], strict=True):
+                with system.open_output_stream(f"{base}/{i}.png", compression=None) as out:
+                    out.write(_png(np.asarray(p, dtype=float).reshape(int(h), int(w))))
+            yield pd.DataFrame({"image_id": frame["image_id"], "path": [f"{at}/{i}.png" for i in frame["image_id"]]})
+
+    return checkpointed(images.select("image_id", "height", "width", "pixels").mapInPandas(run, "image_id long, path string"))
+
+
+def write_keypoints(features: DataFrame, path: str) -> None:
+    """(name, feature_id, row, col, scale, orientation, descriptor array<int>) as one keypoint text file per name."""
+    line = F.concat_ws(" ", "row", "col", "scale", "orientation", F.array_join(F.col("descriptor").cast("array<string>"), " "))
+    one = features.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.first(F.size("descriptor")).alias("d"), F.array_sort(F.collect_list(F.struct("feature_id", line.alias("line")))).alias("rows"))
+    text = F.concat_ws("\n", F.concat_ws(" ", "n", "d"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n"))
+    one.select("name", text.alias("value")).write.partitionBy("name").mode("overwrite").text(path)
+
+
 def write_model(model, spark: SparkSession, path: str) -> None:
     """A subspace as a table of numbers."""
     rows = [(k, list(b), float(v)) for k, (b, v) in enumerate(zip(model.basis, model.values, strict=True))] + [(-1, list(model.mean), 0.0)]
