@@ -5,9 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = Path(__file__).resolve().parent.parent
+_shipped: set[str] = set()
+
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution on; the cluster's own settings win where present."""
@@ -55,3 +60,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of a narrow frame; Spark's cleaner may remove it once unreferenced."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application.
+
+    Nothing is sent where the workers find it anyway: by PYTHONPATH, or by the working folder of a
+    local session.
+    """
+    sc = spark.sparkContext
+    known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if sc.master.startswith("local[") or sc.master == "local":
+        known.append(os.getcwd())
+    if str(ROOT) in known or sc.applicationId in _shipped:
+        return
+    at = os.path.join(tempfile.mkdtemp(prefix="vecmosaic-"), "vecmosaic.zip")
+    with zipfile.ZipFile(at, "w") as z:
+        for f in sorted([*ROOT.glob("vecmosaic/**/*.py"), *ROOT.glob("corpus_pipeline.py")]):
+            z.write(f, f.relative_to(ROOT))
+    sc.addPyFile(at)
+    _shipped.add(sc.applicationId)
