@@ -38,7 +38,7 @@ _SIGNS = ".,;:!?#$%&*|<>()[]'\"-"
 @dataclass(frozen=True)
 class PieceOptions:
     model: str
-    cached_segments: int = 250_000
+    cached_segments: int = 600_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -161,7 +161,7 @@ class PieceModel:
 class PieceEncoder(PieceCoder):
     """Encodes segments by the shortest path and keeps their ids."""
 
-    def __init__(self, model: PieceModel, cached: int = 250_000):
+    def __init__(self, model: PieceModel, cached: int = 600_000):
         super().__init__(cached)
         self.model = model
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -226,7 +226,7 @@ class PieceEncoder(PieceCoder):
         neighbours, their two paths together are the path of both."""
         if len(self.pairs) > 1_000_000:
             self.pairs.clear()
-        if len(self.paths) > self.cached:
+        if len(self.paths) > 200_000:
             self.paths.clear()
         cache, id_of, known = self.cache, self.model.id, self.model.known
         for name in names:
