@@ -39,7 +39,7 @@ class LanguageOptions:
     l2: float = 0.02
     folds: int = 5
     calibration_share: float = 0.2
-    min_score: float = 0.35  # for the filter
+    min_score: float = 0.3  # for the filter
 
 
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], dtype=np.uint32)
