@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 import corpus_pipeline
 from vecmosaic.llm.secret_scan import secret_spans
 
@@ -27,3 +29,19 @@ def test_stages_decide_and_keep_columns(spark, tmp_path):
     assert seen[2] == seen[3] == seen[4] == ids - {200, 201, 202, 204}
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in got.collect()} == seen[4]
+
+
+@pytest.mark.parametrize("stage", corpus_pipeline.STAGES, ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stage_on_odd_and_empty_tables(spark, docs_of, odd, stage):
+    docs = docs_of(odd)
+    name, f = stage
+    out = f(spark, docs, "")
+    got = out.collect()
+    assert f(spark, docs.limit(0), "").count() == 0
+    if name == "best-fit packing":
+        assert sum(r.n_tokens for r in got) == sum(len((t or "").split()) + 1 for _, t in odd)
+        return
+    assert out.columns == docs.columns
+    ids = [r.doc_id for r in got]
+    want = {"quality rules": [], "language ID": [3, 4, 5, 5, 6, None], "MinHash near-dedup": [0, 1, 2, 3, 5, 6, None], "secret scans": [i for i, _ in odd]}[name]
+    assert sorted(map(str, ids)) == sorted(map(str, want))
