@@ -16,28 +16,56 @@ from vecmosaic.llm.secret_scan import redacted
 from vecmosaic.session import written
 
 
+def _short_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Fewer rows in an Arrow batch than Spark's default, as texts can be long; another setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and whose host isn't rejected."""
+    """Documents that pass the base rules and whose host isn't rejected.
+
+    A null, empty or short text goes; a null source is a host of its own; repeated rows are judged
+    one by one; an empty table stays empty.
+    """
     return quality_filter(docs)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language, predicted with a fair score."""
+    """Documents in a learned language, predicted with a fair score.
+
+    A text that is null or has no letter goes, unless nothing can be learned (no labelled row), in
+    which case every row stays; repeated rows are judged one by one; an empty table stays empty.
+    """
+    _short_batches(spark)
     return language_filter(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
+    """One document of each near-duplicate group.
+
+    The one with the smallest doc_id stays, once if its row repeats; rows without a doc_id stay, and
+    so does each text without words; an empty table stays empty.
+    """
+    _short_batches(spark)
     return without_near_duplicates(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced."""
+    """All documents, with secrets replaced and n_chars brought up to date.
+
+    A null text stays null; an empty table stays empty.
+    """
     return redacted(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bins of documents."""
+    """Bins of documents.
+
+    A null or empty text costs its end token; rows that repeat go to different bins; an empty table
+    gives an empty result.
+    """
     return pack(docs)
 
 
