@@ -45,6 +45,10 @@ class PieceCoder:
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def prepared(self, texts: pa.Array) -> pa.Array:
+        """Texts with further blanks where pieces can be cut."""
+        return texts
+
     def learn(self, names: list[str]) -> None:
         """Put new pieces into the cache; one that doesn't begin with a line feed follows a blank."""
         raise NotImplementedError
@@ -91,7 +95,7 @@ class PieceCoder:
                 out[k] = ids
         some = np.flatnonzero(apart).tolist()
         if some:
-            split = texts if len(some) == len(texts) else texts.take(pa.array(some))
+            split = self.prepared(texts if len(some) == len(texts) else texts.take(pa.array(some)))
             split = pc.split_pattern(pc.binary_join_element_wise(self.head, pc.replace_substring(split, "\n", " \n"), ""), " ")
             coded = split.flatten().dictionary_encode()
             values = self._values(coded.dictionary.to_pylist())

@@ -57,8 +57,10 @@ class TokenStoreOptions:
     read_bytes: int = 8 << 20
 
 
-#: Signs at the end of a piece that are neither letters, numbers, marks nor blanks.
-_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"
+#: Marks a piece of signs that follow a letter.
+_MARK = "\x01"
+#: A letter and the signs after it up to a blank, a line feed or the end: no split pattern joins the two.
+_SIGNS = r"(\pL)([!-/:-@\[-`{-~]+)([ \n]|\z)"
 
 
 class PieceEncoder(PieceCoder):
@@ -75,11 +77,11 @@ class PieceEncoder(PieceCoder):
         super().__init__(cached)
         self.tok = Tokenizer.from_file(path)
         special = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
-        self.apart_unless = "|".join([r"\A[ \n]| \z|  | \n|\n |\n\n", OTHER_SPACE, *special])
+        self.apart_unless = "|".join([r"\A[ \n]| \z|  | \n|\n |\n\n", _MARK, OTHER_SPACE, *special])
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
         self.feed = self._plain(["\n"])[0]
-        self.head, self.skip, self.signs = "\n", len(self.feed), {}
+        self.head, self.skip = "\n", len(self.feed)
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -98,35 +100,19 @@ class PieceEncoder(PieceCoder):
                 out += self._plain(part)
         return out
 
-    def learn(self, pieces: list[str]) -> None:
-        """Letters and the signs after them are split by every such vocabulary, so their ids add up."""
-        cache, old, feed = self.cache, self.old.get, self.feed
-        signed, whole = [], [p for p in pieces if p[-1].isalpha() or p == "\n"]
-        if len(whole) < len(pieces):
-            for p in pieces:
-                stem = p.rstrip(_SIGNS)
-                if len(stem) == len(p):
-                    continue
-                if stem.isalpha() or (stem[:1] == "\n" and stem[1:].isalpha()):
-                    signed.append((p, stem, p[len(stem) :]))
-                else:
-                    whole.append(p)
-            whole += [p for p in pieces if not p[-1].isalpha() and p[-1] not in _SIGNS and p != "\n"]
-            for x in {x for _, x, _ in signed}:
-                if x not in cache:
-                    if (v := old(x)) is None:
-                        whole.append(x)
-                    else:
-                        cache[x] = v
-        whole = list(dict.fromkeys(whole))
-        spaced, heads = [p for p in whole if p[0] != "\n"], [p for p in whole if p[0] == "\n" and p != "\n"]
+    def prepared(self, texts: pa.Array) -> pa.Array:
+        return pc.replace_substring_regex(texts, _SIGNS, rf"\1 {_MARK}\2\3")
+
+    def learn(self, names: list[str]) -> None:
+        cache, feed = self.cache, self.feed
         cache["\n"] = feed
+        spaced = [p for p in names if p[0] not in "\n\x01"]
         cache.update(zip(spaced, self._ids([" " + p for p in spaced]), strict=True))
-        cache.update(zip(heads, [feed + v for v in self._ids([p[1:] for p in heads])], strict=True))
-        signs = list({x for _, _, x in signed} - self.signs.keys())
-        self.signs.update(zip(signs, self._plain(signs), strict=True))
-        after = self.signs
-        cache.update([(p, cache[stem] + after[sign]) for p, stem, sign in signed])
+        if len(spaced) < len(names):
+            heads = [p for p in names if p[0] == "\n" and p != "\n"]
+            cache.update(zip(heads, [feed + v for v in self._ids([p[1:] for p in heads])], strict=True))
+            signs = [p for p in names if p[0] == _MARK]
+            cache.update(zip(signs, self._plain([p[1:] for p in signs]), strict=True))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return self._plain(texts)
