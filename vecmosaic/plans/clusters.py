@@ -13,9 +13,9 @@ from vecmosaic.operators import spectral as S
 from vecmosaic.operators.components import connected_components
 from vecmosaic.plans.catalog import query
 from vecmosaic.plans.geometry import H, matches
-from vecmosaic.plans.graphs import communities, edges, group, images, pruned
+from vecmosaic.plans.graphs import communities, edges, images, pruned
 from vecmosaic.plans.matching import ORIENTED_SQL, rounded
-from vecmosaic.session import checkpointed
+from vecmosaic.session import checkpointed, written
 from vecmosaic.sources.tables import features
 
 
@@ -23,21 +23,40 @@ def points(spark, sf):
     return spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").cast("long").alias("id"), F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") / 40).alias("y"))
 
 
-query("GM9_louvain")(lambda spark, sf: K.louvain(pruned(spark, sf)))
-query("GM9_louvain_modularity")(lambda spark, sf: G.modularity(pruned(spark, sf), K.louvain(pruned(spark, sf))))
-query("GM12_split_large_clusters")(lambda spark, sf: K.split_large(edges(spark, sf), K.louvain(pruned(spark, sf)), 40, 1.5))
+def whole_graph(spark, sf):
+    """The edges of all features and those left by pruning, written once as they are read many times."""
+    e = written(edges(spark, sf, features), "edges")
+    return e, written(G.prune_threshold(e, features(spark, sf).count(), 2.5), "pruned")
+
+
+@query("GM9_louvain")
+def louvain(spark, sf):
+    return K.louvain(pruned(spark, sf, features))
+
+
+@query("GM9_louvain_modularity")
+def louvain_modularity(spark, sf):
+    near = written(pruned(spark, sf, features), "pruned")
+    return G.modularity(near, K.louvain(near))
+
+
+@query("GM12_split_large_clusters")
+def split_large_clusters(spark, sf):
+    e, near = whole_graph(spark, sf)
+    return K.split_large(e, K.louvain(near), 40, 1.5)
 
 
 @query("GM16_cluster_match")
 def cluster_match(spark, sf):
-    part = K.split_large(edges(spark, sf), K.louvain(pruned(spark, sf)), 50, 1.5)
-    return G.community_matches(pruned(spark, sf), edges(spark, sf), part, images(spark, sf), 0.99)
+    e, near = whole_graph(spark, sf)
+    return G.community_matches(near, e, K.split_large(e, K.louvain(near), 50, 1.5), images(spark, sf, features), 0.99)
 
 
 @query("BD2_cluster_benchmark")
 def cluster_benchmark(spark, sf):
-    f = group(spark, sf)
-    found = G.community_matches(pruned(spark, sf), edges(spark, sf), K.louvain(pruned(spark, sf)), images(spark, sf), 0.999)
+    f = features(spark, sf)
+    e, near = whole_graph(spark, sf)
+    found = G.community_matches(near, e, K.louvain(near), images(spark, sf, features), 0.999)
     return Geo.evaluate(M.with_positions(found, f), H, [0.95, 0.99, 0.999]).groupBy("threshold").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("error"), 6).alias("mean_error"))
 
 
@@ -94,9 +113,9 @@ def iso_match(spark, sf):
     return linked.join(good, ["p1", "p2"], "left_semi").select("i", "j", "p1", "p2")
 
 
-query("GM29_spin_glass")(lambda spark, sf: K.spin_glass(G.prune_highest(checkpointed(pruned(spark, sf)), 2), k=6, sweeps=30))
-query("AG33_mutual_information")(lambda spark, sf: K.adjusted_mutual_information(K.louvain(pruned(spark, sf)), images(spark, sf).withColumnRenamed("image", "cluster")))
-query("AG33_self_information")(lambda spark, sf: K.adjusted_mutual_information(communities(spark, sf), communities(spark, sf)).select(F.round("ami", 6).alias("ami")))
+query("GM29_spin_glass")(lambda spark, sf: K.spin_glass(G.prune_highest(checkpointed(pruned(spark, sf, features)), 2), k=6, sweeps=30))
+query("AG33_mutual_information")(lambda spark, sf: K.adjusted_mutual_information(K.louvain(pruned(spark, sf, features)), images(spark, sf, features).withColumnRenamed("image", "cluster")))
+query("AG33_self_information")(lambda spark, sf: K.adjusted_mutual_information(communities(spark, sf, features), communities(spark, sf, features)).select(F.round("ami", 6).alias("ami")))
 
 MATCHES = f"""{ORIENTED_SQL}, mm AS (SELECT m.i * 100000 + m.j AS id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, m.score FROM m JOIN f a ON m.i = a.id JOIN f b ON m.j = b.id WHERE im_i = 0),
 af AS (SELECT a.id AS a, b.id AS b, CASE WHEN abs(d0 - d1) < 150 THEN 4.5 - (d0 - d1) ** 2 / 5000 ELSE 0 END AS w FROM (SELECT a.id AS ai, b.id AS bi, sqrt((a.x1 - b.x1) ** 2 + (a.y1 - b.y1) ** 2) AS d0, sqrt((a.x2 - b.x2) ** 2 + (a.y2 - b.y2) ** 2) AS d1 FROM mm a JOIN mm b ON a.id <> b.id) q JOIN mm a ON a.id = q.ai JOIN mm b ON b.id = q.bi),

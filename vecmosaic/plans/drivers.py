@@ -11,11 +11,10 @@ from vecmosaic.operators import match as M
 from vecmosaic.operators import spectral as S
 from vecmosaic.operators import stitch as T
 from vecmosaic.plans.catalog import query
-from vecmosaic.plans.clusters import iso_match
+from vecmosaic.plans.clusters import iso_match, whole_graph
 from vecmosaic.plans.geometry import ERRORS, F_AB, F_AC, F_BC, H, T_SQL, THRESHOLDS, VIEWS, error_sql, matches, points
 from vecmosaic.plans.graphs import ANGLE, IMAGES, PART, PRUNED, SCORED, communities, edges, group, images, pruned, threshold_sql, N_V
 from vecmosaic.plans.matching import FEATURES, PAIRS, ranked_sql, rounded
-from vecmosaic.session import checkpointed
 from vecmosaic.sources.tables import features
 
 SUMMARY = "count(*) AS n, round(avg(error), 6) AS mean_error"
@@ -43,9 +42,9 @@ def ball_match(spark, sf):
 @query("BD4_spectral_over_clusters")
 def spectral_over_clusters(spark, sf):
     """Spectral selection over community matches."""
-    f = group(spark, sf)
-    near = checkpointed(pruned(spark, sf))
-    m = G.community_matches(near, checkpointed(edges(spark, sf)), K.louvain(near), images(spark, sf), 0.999)
+    f = features(spark, sf)
+    e, near = whole_graph(spark, sf)
+    m = G.community_matches(near, e, K.louvain(near), images(spark, sf, features), 0.999)
     rows = M.with_positions(m, f).select((F.col("i") * 100000 + F.col("j")).alias("id"), "i", "j", "x1", "y1", "x2", "y2", F.col("ratio").alias("score"), "ratio")
     return S.spectral_match(rows, keep=0.5).select("i", "j", F.round("ratio", 6).alias("ratio"))
 

@@ -13,7 +13,7 @@ from vecmosaic.plans.catalog import query
 from vecmosaic.plans.matching import FEATURES, rounded
 from vecmosaic.sources.tables import features
 
-N_V = 200  # the group of features whose dense graph the queries use
+N_V = 200  # the group of features whose dense graph the queries with a SQL twin use; the others read all features
 GROUP = f"g AS (SELECT * FROM f WHERE id < {N_V})"
 ANGLE = f"""{FEATURES}, {GROUP}, dt AS (SELECT a.id AS src, b.id AS dst, list_cosine_similarity(a.v, b.v) AS c FROM g a JOIN g b ON TRUE),
 ad AS (SELECT src, dst, acos(least(1.0, greatest(-1.0, c / (SELECT max(c) FROM dt)))) AS value FROM dt WHERE src <> dst),
@@ -25,18 +25,18 @@ def group(spark, sf):
     return features(spark, sf).where(F.col("feature_id") < N_V)
 
 
-def edges(spark, sf):
-    return G.weights(G.angle_distances(group(spark, sf)))
+def edges(spark, sf, rows=group):
+    return G.weights(G.angle_distances(rows(spark, sf)))
 
 
-def images(spark, sf):
-    return group(spark, sf).select(F.col("feature_id").alias("vertex"), F.col("image_id").alias("image"))
+def images(spark, sf, rows=group):
+    return rows(spark, sf).select(F.col("feature_id").alias("vertex"), F.col("image_id").alias("image"))
 
 
-def communities(spark, sf):
+def communities(spark, sf, rows=group):
     """A fixed partition that mixes images: the sign of two components and the label's parity."""
     d = lambda k: (F.element_at("descriptor", k) > 0).cast("long")
-    return group(spark, sf).select(F.col("feature_id").alias("vertex"), (d(1) + 2 * d(2) + 4 * d(3) + 8 * d(4)).alias("cluster"))
+    return rows(spark, sf).select(F.col("feature_id").alias("vertex"), (d(1) + 2 * d(2) + 4 * d(3) + 8 * d(4)).alias("cluster"))
 
 
 PART = f"pt AS (SELECT id AS vertex, {' + '.join(f'{1 << k} * (CASE WHEN v[{k + 1}] > 0 THEN 1 ELSE 0 END)' for k in range(4))} AS cluster FROM f WHERE id < {N_V})".replace("AS cluster", "AS cluster")
@@ -74,8 +74,9 @@ def edge_threshold(spark, sf):
 PRUNED = f"{ANGLE}, {threshold_sql(str(2.5 * 2 * N_V), 600)}, pr AS (SELECT src, dst, w FROM ew, th WHERE w > t AND w <> 1)"
 
 
-def pruned(spark, sf):
-    return G.prune_threshold(edges(spark, sf), N_V, 2.5)
+def pruned(spark, sf, rows=group):
+    n = N_V if rows is group else rows(spark, sf).count()
+    return G.prune_threshold(edges(spark, sf, rows), n, 2.5)
 
 
 @query("GM5_prune_threshold", f"WITH {PRUNED} SELECT src, dst, round(w, 6) AS w FROM pr")
