@@ -117,3 +117,16 @@ def test_filter_keeps_one_of_each_class(docs_of, odd):
     ids = sorted(r.doc_id if r.doc_id is not None else -1 for r in out.collect())
     assert ids == [-1, 0, 1, 2, 3, 5, 6, 500]
     assert near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_pairs_of_very_large_bands_meet(docs_of):
+    """Two short texts and many long ones share a passage, so the bands the two share are all over the block size."""
+    rng = random.Random(12)
+    own = lambda n: " ".join(f"o{rng.randrange(10**9)}" for _ in range(n))
+    rows = []
+    for k in range(6):
+        passage = " ".join(f"p{k}x{i}" for i in range(104))
+        rows += [(1000 * k + i, f"{passage} {own(60)}") for i in range(2, 250)] + [(1000 * k + i, f"{passage} {own(8)}") for i in range(2)]
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs_of(rows), NearDupOptions(block=2)).collect()}
+    assert got == expected(rows)
+    assert all(got[1000 * k + 1] == 1000 * k for k in range(6))

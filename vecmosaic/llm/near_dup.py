@@ -7,8 +7,9 @@ collisions and with a margin of six standard errors, and only a spanning forest
 pairs is written.  The components of these forests are coarse classes; in each, the full shingle
 sets are brought together once and every link that could join two parts is confirmed exactly.
 
-Copies with equal sets are one entry up to the last join.  Very large bands are split at random,
-differently in every band.  Very large coarse classes are verified in blocks that share a pivot;
+Copies with equal sets are one entry up to the last join.  Very large bands are split by set size
+and at random; members outside a band's main class then meet every block of a size near theirs, so
+each similar pair of a band is compared or already in one class.  Very large coarse classes are verified in blocks that share a pivot;
 parts that don't hang together with the pivot then meet every block.
 
 Defined results: a text without words (null, empty, blank) has no shingles and is its own
@@ -20,6 +21,7 @@ left alone.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -130,6 +132,24 @@ def forest(regs: np.ndarray, n: np.ndarray, options: NearDupOptions) -> list[tup
     return edges
 
 
+def cross_links(component: np.ndarray, guest: np.ndarray, regs: np.ndarray, n: np.ndarray, options: NearDupOptions) -> list[tuple[int, int]]:
+    """Edges between the classes of guests and of the members they are similar to, as far as these aren't linked yet."""
+    _, label = np.unique(component, return_inverse=True)
+    edges: list[tuple[int, int]] = []
+    host = np.flatnonzero(~guest)
+    for u in np.flatnonzero(guest).tolist():
+        other = host[label[host] != label[u]]
+        if not len(other):
+            continue
+        near = other[similar(regs[u], n[u], regs[other], n[other], options)]
+        for c in np.unique(component[near]).tolist():
+            edges.append((int(component[u]), c))
+        joined = np.unique(np.append(label[near], label[u]))
+        if len(joined) > 1:
+            label[np.isin(label, joined)] = joined[0]
+    return edges
+
+
 class SetGroup:
     """Shingle sets brought together: exact links of one member to all others at once."""
 
@@ -205,13 +225,59 @@ def _coarse(reps: DataFrame, options: NearDupOptions) -> DataFrame:
 
     parallel = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bands = reps.select("rep", "regs").mapInArrow(band, "key long, rep long")
-    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    blocks = F.ceil(F.col("size") / options.block)
-    gid = F.when(blocks == 1, F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("rep", "key"), blocks)))
-    members = bands.join(shared, "key").select(gid.alias("gid"), "rep")
+    shared = written(bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared-bands")
+    large = shared.where(F.col("size") > options.block).select("key")
+    some = large.limit(1).count() > 0
+    members = bands.join(shared.where(F.col("size") <= options.block), "key").select(F.col("key").alias("gid"), "rep")
+    if some:
+        # sizes of a similar pair are in one cell or in two that touch
+        cell = F.floor(F.log(F.col("n").cast("double")) / (1.000001 * math.log(100 / options.percent))).cast("int")
+        inside = written(bands.join(large, "key").join(reps.select("rep", "n"), "rep").select("key", cell.alias("cell"), "rep"), "large-bands")
+        cells = inside.groupBy("key", "cell").agg(F.ceil(F.count(F.lit(1)) / options.block).cast("int").alias("blocks"))
+        placed = inside.join(cells, ["key", "cell"]).select("key", "cell", "rep", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int").alias("block"))
+        members = members.union(placed.select(F.xxhash64("key", "cell", "block").alias("gid"), "rep"))
     full = members.join(reps.select("rep", "n", "regs"), "rep").select("gid", "rep", "n", "regs")
-    edges = full.repartition(parallel, "gid").sortWithinPartitions("gid").mapInArrow(join, "src long, dst long")
-    return connected_components(edges.distinct())
+    edges = full.repartition(parallel, "gid").sortWithinPartitions("gid").mapInArrow(join, "src long, dst long").distinct()
+    if not some:
+        return connected_components(edges)
+    edges = written(edges, "band-edges")
+    found = connected_components(edges)
+    return connected_components(edges.union(_across_blocks(placed, cells, found, reps, options, parallel)))
+
+
+def _across_blocks(placed: DataFrame, cells: DataFrame, found: DataFrame, reps: DataFrame, options: NearDupOptions, parallel: int) -> DataFrame:
+    """(src, dst): links between classes that the blocks of very large bands left apart.
+
+    Of two members in different classes, one at least is outside the band's main class.  It is sent
+    to every block of its own and the neighbouring cells; such guests come in groups of about a
+    block, each of which meets the hosts anew.
+    """
+    m = 1 << options.bucket_bits
+    own = placed.join(found.withColumnRenamed("vertex", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    own = written(own.select("key", "cell", "block", "rep", "component"), "large-members")
+    often = own.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = often.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m")).select("key", F.col("m.component").alias("main"))
+    stray = own.join(main, "key").where("component <> main")
+    pieces = stray.groupBy("key", F.col("cell").alias("from")).agg(F.ceil(F.count(F.lit(1)) / options.block).cast("int").alias("pieces"))
+    near = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    at = F.xxhash64("key", "cell", "block", "from", "piece").alias("gid")
+    guests = stray.withColumnRenamed("cell", "from").join(pieces, ["key", "from"])
+    guests = guests.select("key", "from", "rep", "component", F.pmod(F.xxhash64("rep", "key", F.lit(1)), F.col("pieces")).cast("int").alias("piece"), near("from").alias("cell"))
+    guests = guests.join(cells, ["key", "cell"]).withColumn("block", upto("blocks")).select(at, "rep", "component", F.lit(True).alias("guest"))
+    hosts = own.withColumn("from", near("cell")).join(pieces, ["key", "from"]).withColumn("piece", upto("pieces")).select(at, "rep", "component", F.lit(False).alias("guest"))
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, "gid"):
+            regs, n = _fixed(table.column("regs"), np.uint16, m), table.column("n").to_numpy()
+            component, guest = table.column("component").to_numpy(), table.column("guest").to_numpy()
+            links = [x for a, b in groups(table, "gid") for x in cross_links(component[a:b], guest[a:b], regs[a:b], n[a:b], options)]
+            if links:
+                s, d = np.array(links).T
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(d)], names=["src", "dst"])
+
+    full = guests.union(hosts).join(reps.select("rep", "n", "regs"), "rep").select("gid", "component", "guest", "n", "regs")
+    return full.repartition(parallel, "gid").sortWithinPartitions("gid").mapInArrow(across, "src long, dst long").distinct()
 
 
 def _verified(docs: DataFrame, coarse: DataFrame, options: NearDupOptions) -> DataFrame:
