@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vecmosaic.llm.language_id import language_filter
-from vecmosaic.llm.near_dup import without_near_duplicates
+from vecmosaic.llm.near_dup import NearDupOptions, without_near_duplicates
 from vecmosaic.llm.packing import pack
 from vecmosaic.llm.quality_rules import quality_filter
 from vecmosaic.llm.secret_scan import redacted
@@ -43,13 +43,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group.
+    """One document of each group of near duplicates, linked from 80 % of their word shingles on.
 
     The one with the smallest doc_id stays, once if its row repeats; rows without a doc_id stay, and
     so does each text without words; an empty table stays empty.
     """
     _short_batches(spark)
-    return without_near_duplicates(docs)
+    return without_near_duplicates(docs, NearDupOptions(percent=80))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,3 +45,9 @@ def test_stage_on_odd_and_empty_tables(spark, docs_of, odd, stage):
     ids = [r.doc_id for r in got]
     want = {"quality rules": [], "language ID": [3, 4, 5, 5, 6, None], "MinHash near-dedup": [0, 1, 2, 3, 5, 6, None], "secret scans": [i for i, _ in odd]}[name]
     assert sorted(map(str, ids)) == sorted(map(str, want))
+
+
+def test_near_dedup_links_from_four_fifths_on(spark, docs_of):
+    words = [f"w{i}" for i in range(104)]  # 100 shingles, of which the others share 82 of 100 and 78 of 100
+    docs = docs_of([(1, " ".join(words)), (2, " ".join(words[:86])), (3, " ".join(f"v{i}" for i in range(104))), (4, " ".join(f"v{i}" for i in range(82)))])
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 3, 4]
