@@ -42,3 +42,10 @@ def test_redaction_keeps_columns_and_the_rest_of_the_text(docs_of, odd):
     assert r.text == "é a [REDACTED] z [REDACTED] end" and r.n_chars == len(r.text)
     assert out.where("doc_id = 0").first().text is None
     assert secret_spans(docs.limit(0)).count() == 0
+
+
+def test_allowed_parts_do_not_hide_the_rest(docs_of):
+    key = "Zx9Qw2Er5Ty8Ui1Op4As7Df0Gh3Jk6Lz"
+    texts = [f"/a/b/key={key}", f"{key[:20]}/abc/def/{key[20:]}", f"example{key}", f"{key}abcdefghij", "/usr/lib/python3/dist-packages/site", f"{key[:12]}EXAMPLE{key[12:24]}"]
+    got = {r.doc_id: r.spans for r in secret_spans(docs_of(list(enumerate(texts)))).collect()}
+    assert got == {i: f"entropy:0:{len(t)}" if i < 4 else "" for i, t in enumerate(texts)}

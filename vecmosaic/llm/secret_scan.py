@@ -3,7 +3,8 @@
 Three fixed patterns find assigned credentials, access keys and hexadecimal keys.  Beside them,
 candidate strings get the Shannon entropy of a sliding window, computed from symbol counts that
 change by one entering and one leaving character; thresholds go by character class, and an allow
-list suppresses identifiers, placeholders and strings the patterns already report.
+list suppresses identifiers, paths and strings the patterns already report.  Placeholders only
+suppress themselves: what is left on either side of one is judged by itself.
 
 Offsets are code points, ends exclusive.  A match's offset comes from the lengths of the pieces
 that splitting by the same pattern leaves, so no function has to run outside the JVM.
@@ -37,10 +38,10 @@ class SecretOptions:
         r"^[A-Za-z+/_=-]+$",  # no digit: words that run together
         r"^[0-9+/_=-]+$",  # no letter: numbers, dates, rules
         r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",  # UUID
-        r"(?i)example|sample|dummy|changeme|placeholder|redacted|xxxxx",
-        r"(/[A-Za-z_-]+){2,}",  # paths
-        r"0123456789|abcdefghij|ABCDEFGHIJ",
+        r"^/?[A-Za-z_-]+[0-9]{0,3}(/[A-Za-z_-]+[0-9]{0,3})+/?$",  # paths
     )
+    #: Parts that aren't secret; what lies between them is judged by itself if it fills a window.
+    parts: str = r"(?i:example|sample|dummy|changeme|placeholder|redacted|xxxxx)|0123456789|abcdefghij|ABCDEFGHIJ"
     replacement: str = "[REDACTED]"
 
 
@@ -99,12 +100,23 @@ def with_spans(df: DataFrame, text: str = "text", options: SecretOptions = Secre
         ),
     ).withColumn("__cand", _found(body, CANDIDATE, 3))
 
+    def random(y: Column, part: bool) -> Column:
+        limit = F.when(y.rlike("^[0-9a-fA-F]+$"), F.lit(options.hex_bits)).otherwise(F.lit(options.mixed_bits))
+        high = window_entropy(y, options.window) >= limit
+        if not part:
+            return high
+        ok = F.length(y) >= options.window
+        for p in options.allowed:
+            ok = ok & ~y.rlike(p)
+        return F.when(ok, high).otherwise(F.lit(False))
+
     def secret(x: Column) -> Column:
         ok = ~F.exists("__base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
         for p in options.allowed:
             ok = ok & ~x["m"].rlike(p)
-        limit = F.when(x["m"].rlike("^[0-9a-fA-F]+$"), F.lit(options.hex_bits)).otherwise(F.lit(options.mixed_bits))
-        return F.when(ok, window_entropy(x["m"], options.window) >= limit).otherwise(F.lit(False))
+        whole = ~x["m"].rlike(options.parts)
+        between = F.exists(F.split(x["m"], options.parts, -1), lambda y: random(y, True))
+        return F.when(ok & whole, random(x["m"], False)).when(ok, between).otherwise(F.lit(False))
 
     # both arrays are read more than once above, so each stays a column of its own
     return out.withColumn(
