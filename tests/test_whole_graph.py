@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from vecmosaic.operators import cluster as K
+from vecmosaic.operators import faces as X
 from vecmosaic.plans import catalog
 from vecmosaic.plans.graphs import pruned
 from vecmosaic.sources.tables import features
@@ -56,3 +57,23 @@ def test_queries_reach_features_beyond_the_twins_group(spark, small):
         assert max(max(r.i, r.j) for r in q[name](spark, at).collect()) >= 200, name
     for name in ("BD2_cluster_benchmark", "AG33_mutual_information"):
         assert q[name](spark, at).count() > 0, name
+
+
+def test_svm_counts_every_row_of_every_label(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, i % 4, 0, (rng.normal(size=6) + 5 * np.eye(6)[i % 4]).tolist()) for i in range(130)]
+    df = spark.createDataFrame(rows, "id long, label int, grp int, vec array<double>")
+    got = X.svm_grid(df, [1.0], [None, 0.5], 3, max_rows=40).collect()
+    assert len(got) == 2 and all(r.tp + r.fp == 130 and r.tp > 100 for r in got)
+
+
+def test_svm_queries_count_the_whole_table(spark, small):
+    r = catalog.queries()["CL2_svm_linear"](spark, small[0]).first()
+    assert r.tp + r.fp == N
+
+
+def test_spin_glass_anneals_large_components(spark):
+    n = 4200
+    edges = spark.createDataFrame([(i, (i + s) % n, 1.0) for i in range(n) for s in (1, n - 1)], "src long, dst long, w double")
+    got = K.spin_glass(edges, k=6, sweeps=2).collect()
+    assert len(got) == n and len({r.cluster for r in got}) <= 6

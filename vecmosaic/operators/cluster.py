@@ -187,7 +187,10 @@ def isodata(points: DataFrame, options: IsodataOptions = IsodataOptions()) -> Da
 
 
 def spin_glass(edges: DataFrame, k: int = 8, sweeps: int = 200, gamma: float = 1.0, seed: int = 7) -> DataFrame:
-    """(vertex, cluster): communities of least Potts energy by simulated annealing, by component."""
+    """(vertex, cluster): communities of least Potts energy by simulated annealing, by component.
+
+    A step looks at the edges of one vertex only, so memory goes with the edges of a component.
+    """
     total = edges.agg(F.sum("w")).first()[0] or 1.0
     where = connected_components(edges).withColumnRenamed("vertex", "src")
 
@@ -195,18 +198,20 @@ def spin_glass(edges: DataFrame, k: int = 8, sweeps: int = 200, gamma: float = 1
         rows = rows.sort_values(["src", "dst"], kind="stable")
         ids, s = np.unique(rows["src"].to_numpy(), return_inverse=True)
         d = np.searchsorted(ids, rows["dst"].to_numpy())
-        w = np.zeros((len(ids), len(ids))) if len(ids) <= 4000 else None
+        w = rows["w"].to_numpy()
         rng = np.random.default_rng(seed)
-        if w is None:  # too large to hold densely: single-level communities instead
-            return pd.DataFrame({"vertex": ids, "cluster": louvain_kernel(ids, rows["src"].to_numpy(), rows["dst"].to_numpy(), rows["w"].to_numpy(), total)})
-        w[s, d] = rows["w"].to_numpy()
-        degree = w.sum(axis=1)
+        first = np.searchsorted(s, np.arange(len(ids) + 1))
+        degree = np.bincount(s, weights=w, minlength=len(ids))
         label = rng.integers(0, k, len(ids))
+        mass = np.bincount(label, weights=degree, minlength=k)
         for t in np.geomspace(1.0, 0.01, sweeps):
             for v in range(len(ids)):
-                field = np.bincount(label, weights=w[v], minlength=k) - gamma * degree[v] * (np.bincount(label, weights=degree, minlength=k) - (np.arange(k) == label[v]) * degree[v]) / total
+                a, b = first[v], first[v + 1]
+                mass[label[v]] -= degree[v]
+                field = np.bincount(label[d[a:b]], weights=w[a:b], minlength=k) - gamma * degree[v] * mass / total
                 p = np.exp((field - field.max()) / (t * max(degree[v], 1e-12)))
                 label[v] = rng.choice(k, p=p / p.sum())
+                mass[label[v]] += degree[v]
         return pd.DataFrame({"vertex": ids, "cluster": (ids[0] * k + label).astype(np.int64)})
 
     return edges.join(where, "src").select("component", "src", "dst", "w").groupBy("component").applyInPandas(run, "vertex long, cluster long")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecmosaic.functions import vectors as V
+from vecmosaic.session import written
 
 
 @dataclass(frozen=True)
@@ -204,34 +206,56 @@ def _svm(x: np.ndarray, y: np.ndarray, c: float, gamma: float | None, rounds: in
     return lambda z: (a * y) @ kernel(x, z) + b
 
 
-def _one_against_rest(x: np.ndarray, y: np.ndarray, z: np.ndarray, c: float, gamma: float | None) -> np.ndarray:
+def _one_against_rest(x: np.ndarray, y: np.ndarray, c: float, gamma: float | None) -> Callable[[np.ndarray], np.ndarray]:
     labels = np.unique(y)
     if len(labels) == 1:
-        return np.full(len(z), labels[0])
-    return labels[np.stack([_svm(x, np.where(y == k, 1.0, -1.0), c, gamma)(z) for k in labels]).argmax(axis=0)]
+        return lambda z: np.full(len(z), labels[0])
+    each = [_svm(x, np.where(y == k, 1.0, -1.0), c, gamma) for k in labels]
+    return lambda z: labels[np.stack([f(z) for f in each]).argmax(axis=0)]
 
 
 def svm_grid(df: DataFrame, cs: list[float], gammas: list[float | None], k: int = 5, max_rows: int = 2_000) -> DataFrame:
     """(c, gamma, tp, fp) for each setting: settings and folds are tasks of their own.
 
-    Every task trains on the folds' rows, of which at most ``max_rows`` (by hash) are used.
+    Every task fits to at most ``max_rows`` (by hash) of the rows outside its fold and predicts all
+    rows of the fold, a batch at a time.  Every row is in a fold.
     """
-    f = folds(df.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(max_rows), k)
-    grid = df.sparkSession.createDataFrame([(float(c), None if g is None else float(g)) for c in cs for g in gammas], "c double, gamma double")
-    rows = f.join(F.broadcast(grid)).join(F.broadcast(df.sparkSession.range(k).select(F.col("id").cast("int").alias("run"))))  # len(cs) * len(gammas) * k copies of a bounded table
-
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        c, gamma, held = key
-        part = part.sort_values("id")
-        test, train = part[part["fold"] == held], part[part["fold"] != held]
-        if not len(test) or not len(train):
-            return pd.DataFrame({"c": [c], "gamma": [gamma], "tp": [0], "fp": [0]})
-        g = None if gamma is None or np.isnan(gamma) else gamma
-        got = _one_against_rest(np.stack(train["vec"]), train["label"].to_numpy(), np.stack(test["vec"]), c, g)
-        tp = int((got == test["label"].to_numpy()).sum())
-        return pd.DataFrame({"c": [c], "gamma": [gamma], "tp": [tp], "fp": [len(test) - tp]})
-
-    out = rows.select("c", "gamma", "run", "id", "label", "fold", "vec").groupBy("c", "gamma", "run").applyInPandas(run, "c double, gamma double, tp long, fp long")
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id", F.lit(7)), "id")) - 1
+    f = written(df.select("id", "label", "vec", F.pmod(place, F.lit(k)).cast("int").alias("fold")), "folds")
+    settings = [(float(c), None if g is None else float(g)) for c in cs for g in gammas]
+    train: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for held in range(k):
+        rows = f.where(F.col("fold") != held).orderBy(F.xxhash64("id", F.lit(3)), "id").limit(max_rows).toPandas()
+        if len(rows):
+            rows = rows.sort_values("id")
+            train[held] = np.stack(rows["vec"]), rows["label"].to_numpy()
+    samples = df.sparkSession.sparkContext.broadcast(train)  # k bounded samples
+    grid = df.sparkSession.createDataFrame([(c, g, r) for c, g in settings for r in range(k)], "c double, gamma double, run int")
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        c, gamma, held = rows.iloc[0][["c", "gamma", "run"]]
+        if int(held) not in samples.value:
+            return pd.DataFrame({"c": [], "gamma": [], "run": [], "model": []})
+        x, y = samples.value[int(held)]
+        model = _one_against_rest(x, y, float(c), None if pd.isna(gamma) else float(gamma))
+        return pd.DataFrame({"c": [c], "gamma": [gamma], "run": [int(held)], "model": [cloudpickle.dumps(model)]})
+
+    fitted = grid.groupBy("c", "gamma", "run").applyInPandas(fit, "c double, gamma double, run int, model binary")
+    models = written(fitted, "models")
+
+    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ready = [(c, gamma, held, cloudpickle.loads(raw)) for c, gamma, held, raw in known.value]
+        for batch in batches:
+            y, fold = batch["label"].to_numpy(), batch["fold"].to_numpy()
+            for c, gamma, held, model in ready:
+                at = fold == held
+                if at.any():
+                    x = np.stack(batch["vec"][at])
+                    tp = int((model(x) == y[at]).sum())
+                    yield pd.DataFrame({"c": [c], "gamma": [gamma], "tp": [tp], "fp": [int(at.sum()) - tp]})
+
+    known = df.sparkSession.sparkContext.broadcast([tuple(r) for r in models.collect()])  # bounded by the samples
+    out = f.select("label", "vec", "fold").mapInPandas(predict, "c double, gamma double, tp long, fp long")
     return out.groupBy("c", "gamma").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
 
 

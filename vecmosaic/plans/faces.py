@@ -106,8 +106,8 @@ def validation_counts(spark, sf):
     return rounded(X.accuracy(runs), "accuracy", "sd")
 
 
-query("CL2_svm_linear")(lambda spark, sf: X.svm_grid(people(spark, sf).where("label < 3"), [1.0], [None], 3))
-query("CL3_svm_grid")(lambda spark, sf: X.best_setting(X.svm_grid(people(spark, sf).where("label < 3"), V.powers_of_two(-1, 3, 2), V.powers_of_two(-3, 1, 2), 3)))
+query("CL2_svm_linear")(lambda spark, sf: X.svm_grid(faces(spark, sf), [1.0], [None], 3))
+query("CL3_svm_grid")(lambda spark, sf: X.best_setting(X.svm_grid(faces(spark, sf), V.powers_of_two(-1, 3, 2), V.powers_of_two(-3, 1, 2), 3)))
 
 
 @query("SF17_parameter_grid", "SELECT pow(2.0, c)::DOUBLE AS c, pow(2.0, g)::DOUBLE AS gamma FROM (SELECT unnest(range(-5, 16, 2)) AS c), (SELECT unnest(range(-15, 4, 2)) AS g)")
