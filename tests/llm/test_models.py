@@ -176,3 +176,8 @@ def test_transducer_matches_the_library(spark, docs_of, odd):
     encoded = encode_pieces(docs, PieceOptions(path))
     back = decode_pieces(encoded, PieceOptions(path)).collect()
     assert Counter((r.doc_id, r.text) for r in back) == Counter((i, t or "") for i, t in odd)
+
+
+def test_license_places_before_the_best_one_are_kept():
+    text = "released under the mit licence released under the mit license"
+    assert Scanner(LicenseOptions())(text.encode())["spans"] == "mit:0:30:1,mit:31:61:0"

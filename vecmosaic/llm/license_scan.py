@@ -102,8 +102,14 @@ class Scanner:
         found = []
         for n, spans in windows.items():
             for a, b in spans:
-                for m in self.notices[n][3].finditer(norm, a, b):
-                    found.append((n, m.start(), m.end(), sum(m.fuzzy_counts)))
+                _, wording, k, pattern = self.notices[n]
+                open_ = [(a, b)]
+                while open_:  # the best place of a stretch, then what lies before and after it
+                    a, b = open_.pop()
+                    m = pattern.search(norm, a, b) if b - a >= len(wording) - k else None
+                    if m:
+                        found.append((n, m.start(), m.end(), sum(m.fuzzy_counts)))
+                        open_ += [(m.end(), b), (a, m.start())]
         return sorted(found, key=lambda x: (x[1], x[2], x[0]))
 
     def __call__(self, text: bytes) -> dict:
