@@ -125,10 +125,15 @@ def shared_encoder(path: str, cached: int) -> PieceEncoder:
 
 
 def _dictionary(docs: DataFrame, one: PieceEncoder, options: TokenStoreOptions) -> bytes:
-    """Trained on a bounded number of rows of bounded length; empty where these are too few."""
+    """Trained on a bounded number of rows of bounded length, drawn by hash from all; empty where these are too few."""
     import zstandard
 
-    rows = docs.select(F.substring(F.coalesce("text", F.lit("")), 1, options.sample_chars).alias("t")).limit(options.sample_docs).collect()
+    order = docs.select(F.xxhash64("doc_id", F.lit(29)).alias("order")).orderBy("order").limit(options.sample_docs)
+    last = order.agg(F.max("order")).first()[0]  # the ids alone are read for it
+    if last is None:
+        return b""
+    near = docs.where(F.xxhash64("doc_id", F.lit(29)) <= last)
+    rows = near.select(F.substring(F.coalesce("text", F.lit("")), 1, options.sample_chars).alias("t")).limit(options.sample_docs).collect()
     samples = [x for x in one(pa.array([r.t for r in rows], pa.string())) if x]
     try:
         return zstandard.train_dictionary(options.dictionary_bytes, samples).as_bytes() if len(samples) >= 16 else b""
