@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -181,3 +182,49 @@ def test_transducer_matches_the_library(spark, docs_of, odd):
 def test_license_places_before_the_best_one_are_kept():
     text = "released under the mit licence released under the mit license"
     assert Scanner(LicenseOptions())(text.encode())["spans"] == "mit:0:30:1,mit:31:61:0"
+
+
+def edit_ends(wording, text):
+    """For each end in the text, the fewest edits between the wording and any stretch that ends there, and its latest start."""
+    row = [(0, i) for i in range(len(text) + 1)]
+    for c in wording:
+        new = [(row[0][0] + 1, 0)]
+        for j in range(1, len(text) + 1):
+            new.append(min((row[j][0] + 1, row[j][1]), (new[j - 1][0] + 1, new[j - 1][1]), (row[j - 1][0] + (text[j - 1] != c), row[j - 1][1])))
+        row = new
+    return row
+
+
+def test_fuzzy_places_match_brute_force():
+    """Every place within the edits overlaps a reported one of its notice, and every reported one is within them."""
+    o = LicenseOptions()
+    one, rng = Scanner(o), random.Random(21)
+    for _ in range(60):
+        words = []
+        for _ in range(rng.randint(1, 6)):
+            wording, k = rng.choice(o.notices)[1:]
+            text = list(wording)
+            for _ in range(rng.randint(0, k + 1)):
+                at, kind = rng.randrange(len(text)), rng.choice("sid")
+                text[at : at + (kind != "i")] = [] if kind == "d" else [rng.choice("qzx ")]
+            words += ["".join(text), *(rng.choice(["", "all", "license", "x y", "rights"]) for _ in range(rng.randint(0, 2)))]
+        norm = one.normal(" ".join(words).encode()).decode()
+        found = one.fuzzy(norm)
+        for n, (_, wording, k) in enumerate(o.notices):
+            mine = [(a, b) for m, a, b, _ in found if m == n]
+            assert all(b <= c for (_, b), (c, _) in zip(mine, mine[1:], strict=False))
+            for end, (edits, start) in enumerate(edit_ends(wording, norm)):
+                if edits <= k:
+                    assert any(a < end and start < b for a, b in mine), (wording, norm)
+        for n, a, b, edits in found:
+            assert edit_ends(o.notices[n][1], norm[a:b])[-1][0] <= edits <= o.notices[n][2]
+
+
+def test_adjacent_notices_and_very_long_texts():
+    one = Scanner(LicenseOptions())
+    assert one(b"all rihgts reserved all rights reserved")["spans"] == "reserved:0:19:2,reserved:20:39:0"
+    assert one(b"relased under the mit license x y released under the mit license")["spans"] == "mit:0:29:1,mit:34:64:0"
+    t = time.perf_counter()
+    got = one(("é All rights reserved, cc by " * 40_000).encode())
+    assert time.perf_counter() - t < 20 and got["n_base"] == 80_000 and got["spans"].count("reserved:") == 40_000
+    assert got["spans"].split(",")[39_999] == f"reserved:{39_999 * 29 + 2}:{39_999 * 29 + 21}:0"

@@ -15,7 +15,6 @@ one; an empty table gives an empty result; a very long text is scanned whole.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,12 +30,28 @@ PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights r
 NOTICES = (
     ("mit", "released under the mit license", 3),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy", 7),
+    ("mit", "spdx license identifier mit", 1),
     ("apache-2.0", "licensed under the apache license version 2 0", 4),
+    ("apache-2.0", "spdx license identifier apache 2 0", 2),
     ("bsd", "redistribution and use in source and binary forms", 5),
+    ("bsd", "spdx license identifier bsd", 1),
+    ("isc", "permission to use copy modify and or distribute this software", 6),
+    ("isc", "spdx license identifier isc", 1),
     ("mpl-2.0", "mozilla public license version 2 0", 3),
+    ("mpl-2.0", "spdx license identifier mpl 2 0", 1),
+    ("epl-2.0", "eclipse public license", 2),
     ("lgpl", "gnu lesser general public license", 3),
+    ("lgpl", "spdx license identifier lgpl", 1),
+    ("agpl", "gnu affero general public license", 3),
+    ("agpl", "spdx license identifier agpl", 1),
     ("gpl", "gnu general public license", 3),
+    ("gpl", "spdx license identifier gpl", 0),
+    ("unlicense", "this is free and unencumbered software released into the public domain", 7),
+    ("unlicense", "spdx license identifier unlicense", 2),
+    ("cc0-1.0", "cc0 1 0 universal", 1),
+    ("cc0-1.0", "spdx license identifier cc0", 1),
     ("cc-by", "creative commons attribution", 3),
+    ("cc-by-sa", "creative commons attribution sharealike", 4),
     ("cc-by-nc", "licensed under cc by nc", 2),
     ("reserved", "all rights reserved", 2),
 )
@@ -66,7 +81,8 @@ class Scanner:
             table[a:b] = True
         self.table = table
         self.phrases = [(f" {p} ".encode("latin-1"), p.count(" ") + 1, label) for p, label in options.phrases]
-        self.notices = [(label, wording, k, regex.compile(f"(?b)(?:{regex.escape(wording)}){{e<={k}}}")) for label, wording, k in options.notices]
+        # the first place that fits is made as good as it gets, and the search goes on behind it
+        self.notices = [(label, wording, k, regex.compile(f"(?e)(?:{regex.escape(wording)}){{e<={k}}}")) for label, wording, k in options.notices]
         seeds: dict[str, list[tuple[int, int]]] = {}
         for n, (_, wording, k) in enumerate(options.notices):
             for at, piece in pieces(wording, k):
@@ -86,60 +102,54 @@ class Scanner:
         return np.where(word, arr, 32)[keep].astype(np.uint8).tobytes()
 
     def fuzzy(self, norm: str) -> list[tuple[int, int, int, int]]:
-        """(notice, start, end, edits) of verified places, at most one for places that overlap."""
-        windows: dict[int, list[list[int]]] = {}
+        """(notice, start, end, edits) of verified places from left to right; those of one notice don't overlap."""
+        windows: dict[int, list[tuple[int, int]]] = {}
         for end, (size, uses) in self.seeds.iter(norm):
             for n, at in uses:
                 k, length = self.notices[n][2], len(self.notices[n][1])
-                a = max(0, end + 1 - size - at - k)
-                b = min(len(norm), end + 1 - size - at + length + k)
-                spans = windows.setdefault(n, [])
-                if spans and a <= spans[-1][1]:
-                    spans[-1][1] = max(b, spans[-1][1])
-                    spans[-1][0] = min(a, spans[-1][0])
-                else:
-                    spans.append([a, b])
+                a = end + 1 - size - at
+                windows.setdefault(n, []).append((max(0, a - k), min(len(norm), a + length + k)))
         found = []
         for n, spans in windows.items():
-            for a, b in spans:
-                _, wording, k, pattern = self.notices[n]
-                open_ = [(a, b)]
-                while open_:  # the best place of a stretch, then what lies before and after it
-                    a, b = open_.pop()
-                    m = pattern.search(norm, a, b) if b - a >= len(wording) - k else None
-                    if m:
-                        found.append((n, m.start(), m.end(), sum(m.fuzzy_counts)))
-                        open_ += [(m.end(), b), (a, m.start())]
+            pattern, a, b = self.notices[n][3], -1, -1
+            for x, y in [*sorted(spans), (len(norm) + 1, 0)]:
+                if x <= b:
+                    b = max(b, y)
+                    continue
+                if b >= 0:
+                    found += [(n, m.start(), m.end(), sum(m.fuzzy_counts)) for m in pattern.finditer(norm, a, b)]
+                a, b = x, y
         return sorted(found, key=lambda x: (x[1], x[2], x[0]))
 
     def __call__(self, text: bytes) -> dict:
         norm = self.normal(text)
-        n_words = norm.count(b" ") - 1
-        starts: list[int] = []
-        base: set[str] = set()
+        blanks = np.flatnonzero(np.frombuffer(norm, dtype=np.uint8) == 32)
+        places, base = [], set()
         for phrase, _, label in self.phrases:
             at = norm.find(phrase)
-            while at >= 0:
-                starts.append(norm.count(b" ", 0, at))
+            if at >= 0:
                 base.add(label)
+            while at >= 0:
+                places.append(at)
                 at = norm.find(phrase, at + 1)
+        starts = np.searchsorted(blanks, places)
         labels, score, spans = set(base), 1.0 if base else 0.0, []
         hits = self.fuzzy(norm.decode("latin-1"))
         if hits:
-            whole = text.lower()
-            bounds = [m.span() for m in re.finditer(rb"[0-9a-z\x80-\xff]+", whole)]
-            for n, a, b, edits in hits:
-                label, wording, _, _ = self.notices[n]
+            arr = np.frombuffer(text.lower(), dtype=np.uint8)
+            edge = np.flatnonzero(np.diff(self.table[arr], prepend=False, append=False))
+            # code points before each byte
+            points = np.concatenate([[0], np.cumsum((arr & 0xC0) != 0x80)])
+            n, a, b, _ = np.array(hits).T
+            first = np.clip(np.searchsorted(blanks, np.maximum(a, 1)) - 1, 0, len(edge) // 2 - 1)
+            last = np.clip(np.searchsorted(blanks, np.maximum(b - 1, 1)) - 1, 0, len(edge) // 2 - 1)
+            for (k, _, _, edits), i, j in zip(hits, points[edge[2 * first]].tolist(), points[edge[2 * last + 1]].tolist(), strict=True):
+                label, wording, _, _ = self.notices[k]
                 labels.add(label)
                 score = max(score, 1 - edits / len(wording))
-                first = norm.count(b" ", 0, max(a, 1)) - 1
-                last = norm.count(b" ", 0, max(b - 1, 1)) - 1
-                first, last = max(0, min(first, len(bounds) - 1)), max(0, min(last, len(bounds) - 1))
-                start = len(whole[: bounds[first][0]].decode("utf-8", "ignore"))
-                size = len(whole[bounds[first][0] : bounds[last][1]].decode("utf-8", "ignore"))
-                spans.append(f"{label}:{start}:{start + size}:{edits}")
+                spans.append(f"{label}:{i}:{j}:{edits}")
         return {
-            "n_words": n_words, "n_base": len(starts), "first_word": min(starts, default=None), "last_word": max(starts, default=None),
+            "n_words": max(len(blanks) - 1, 0), "n_base": len(places), "first_word": int(starts.min()) if places else None, "last_word": int(starts.max()) if places else None,
             "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(labels)), "score": score, "spans": ",".join(spans),
         }
 
