@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecmosaic.session import checkpointed
+from vecmosaic.session import checkpointed, written
 
+_HUBS = 4  # of a partition
 
-def _with_least(pairs: DataFrame) -> DataFrame:
+
+def _with_least(pairs: DataFrame, parallel: int) -> DataFrame:
     """(u, v, m): each directed pair with the least id among u and all of u's neighbours.
 
-    The minimum is combined before its shuffle; the join back is one that adaptive execution
-    splits where a vertex has very many neighbours.
+    The minimum is combined before its shuffle.  The vertices with the most neighbours, a few per
+    partition and so bounded whatever the table, are joined by broadcast, where nothing is dealt by
+    vertex; each of the others has at most ``1 / (_HUBS * parallel)`` of the pairs.
     """
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return pairs.join(least, "u")
+    least = written(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m")), "least")
+    hubs = F.broadcast(least.orderBy(F.desc("n"), "u").limit(_HUBS * parallel).select("u", "m"))
+    rest = pairs.join(hubs.select("u"), "u", "left_anti").join(least.select("u", "m"), "u")
+    return pairs.join(hubs, "u").unionByName(rest)
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 50) -> DataFrame:
@@ -24,13 +29,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Null ends and loops are dropped.  Lineage is cut each round in the shared folder; only the
     number of edges and a sum of their hashes reach the driver.
     """
+    parallel = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     e = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).where("a <> b")
     e = checkpointed(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = _with_least(large)
+        large = _with_least(both, parallel).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = _with_least(large, parallel)
         e = checkpointed(small.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
