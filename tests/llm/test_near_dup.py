@@ -5,8 +5,8 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from vecmosaic.llm.near_dup import NearDupOptions, SetGroup, band_keys, near_duplicates, registers, without_near_duplicates
-from vecmosaic.llm.shingles import SEGMENT, shingle_sets
+from vecmosaic.llm.near_dup import NearDupOptions, SetGroup, band_keys, meetings, near_duplicates, registers, without_near_duplicates
+from vecmosaic.llm.shingles import SEGMENT, shingle_sets, word_hashes
 
 
 def shingles(x):
@@ -130,3 +130,58 @@ def test_pairs_of_very_large_bands_meet(docs_of):
     got = {r.doc_id: r.component_id for r in near_duplicates(docs_of(rows), NearDupOptions(block=2)).collect()}
     assert got == expected(rows)
     assert all(got[1000 * k + 1] == 1000 * k for k in range(6))
+
+
+def test_words_of_a_polynomial_hash_s_blind_spot_differ():
+    word = "a"
+    while len(word) < 4096:  # the Thue-Morse word and its complement agree under any polynomial modulo a power of two
+        word += word.translate(str.maketrans("ab", "ba"))
+    for n in (8, 16, 64, 128, 255, 256, 1024, 4096):
+        a, b = word[:n], word[:n].translate(str.maketrans("ab", "ba"))
+        one, two = shingle_sets([f"{a} x y z w".encode(), f"{b} x y z w".encode()])
+        assert len(one) == len(two) == 1 and one[0] != two[0]
+    many = [("".join(random.Random(i).choices("ab\0", k=i % 40))).encode() + b"." for i in range(4000)]
+    assert len(set(word_hashes(b" ".join(many))[0].tolist())) == len(set(many))
+
+
+def template_pages(rng, n, own):
+    template = [f"t{i}" for i in range(100)]
+    return [(i, " ".join(template[:50] + [f"o{rng.randrange(10**9)}" for _ in range(own)] + template[50:])) for i in range(n)]
+
+
+def test_pages_on_a_template_match_brute_force(docs_of):
+    """Pages that share most of their text but no link, with pairs and a chain among them."""
+    rng = random.Random(31)
+    rows = template_pages(rng, 150, 26)
+    for k in range(12):
+        rows.append((500 + k, rows[7 * k][1] + f" tail{k}"))
+    rows += [(600 + i, t) for i, (_, t) in enumerate(family(rng, 0, 40, 120, 4))]
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs_of(rows), NearDupOptions(block=16, pivots=3)).collect()}
+    assert got == expected(rows)
+
+
+def test_groups_of_very_large_classes_stay_within_two_blocks(spark):
+    """Of 4,000 members no two are linked, and all that are not in the main part meet all."""
+    o = NearDupOptions(block=64)
+    own = spark.range(4000).selectExpr("1L as coarse", "63 as blocks", "cast(pmod(xxhash64(id), 63) as int) as block", "id as rep", "100L as n", "id as part")
+    met = meetings(own, o)
+    assert met.groupBy("gid").count().agg({"count": "max"}).first()[0] <= 3 * o.block
+    # each pair of a guest and a member is together in exactly one group
+    a, b = met.where("guest and rep in (5, 77)").select("gid", "rep"), met.where("not guest").select("gid", "rep").withColumnRenamed("rep", "host")
+    pairs = a.join(b, "gid").groupBy("rep").agg({"host": "count"}).collect()
+    assert [r[1] for r in pairs] == [4000, 4000]
+
+
+def test_texts_of_one_id_are_judged_by_themselves(docs_of):
+    words = lambda k, n=40: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(3, words("b")), (5, words("a")), (5, words("b") + " more"), (5, words("a")), (7, words("c")), (7, words("c") + " x"), (7, "")]
+    out = without_near_duplicates(docs_of(rows))
+    got = sorted((r.doc_id, r.text[:2]) for r in out.collect())
+    assert got == [(3, "b0"), (5, "a0"), (7, ""), (7, "c0")]
+
+
+def test_group_bounded_by_shingles(docs_of):
+    rng = random.Random(5)
+    rows = family(rng, 1000, 30, 300, 5) + family(rng, 2000, 3, 40, 1)
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs_of(rows), NearDupOptions(group_shingles=1500)).collect()}
+    assert got == expected(rows)

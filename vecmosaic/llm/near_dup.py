@@ -9,13 +9,15 @@ sets are brought together once and every link that could join two parts is confi
 
 Copies with equal sets are one entry up to the last join.  Very large bands are split by set size
 and at random; members outside a band's main class then meet every block of a size near theirs, so
-each similar pair of a band is compared or already in one class.  Very large coarse classes are verified in blocks that share a pivot;
-parts that don't hang together with the pivot then meet every block.
+each similar pair of a band is compared or already in one class.  Coarse classes with very many
+members or shingles are verified in blocks that share a few pivots, so that most members of a block
+are linked at once; members outside the class's main part then meet every block, a piece of them
+and a block at a time, so no group outgrows two blocks.
 
 Defined results: a text without words (null, empty, blank) has no shingles and is its own
 component; a null doc_id takes no part and has no component; rows that repeat a doc_id belong to
-that id; an empty table gives an empty result; very long texts are used whole; other columns are
-left alone.
+that id, each by its own text; an empty table gives an empty result; very long texts are used whole;
+other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,10 +29,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecmosaic.llm.grouped import groups, runs
+from vecmosaic.llm.names import unused
 from vecmosaic.llm.shingles import U, mix, shingle_sets
 from vecmosaic.operators.components import connected_components
 from vecmosaic.session import written
@@ -46,6 +49,8 @@ class NearDupOptions:
     rows: int = 5
     margin: float = 6.0  # standard errors below the threshold that still get verified
     block: int = 4096  # members of a band or a coarse class handled together
+    group_shingles: int = 2_000_000  # shingles of a coarse class handled together, beyond one text
+    pivots: int = 16  # members of a very large class that every block of it holds
 
 
 def registers(sets: list[np.ndarray], options: NearDupOptions) -> np.ndarray:
@@ -186,8 +191,8 @@ def _fixed(column: pa.ChunkedArray, dtype: type, width: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, options: NearDupOptions = NearDupOptions(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n, set_key, regs) for every row; set_key is null where there are no shingles."""
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("body"))
+    """(doc_id, version, n, set_key, regs) for every row; set_key is null where there are no shingles."""
+    narrow = _narrow(docs, doc_id, text).select("doc_id", "version", F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8").alias("body"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,11 +202,11 @@ def signatures(docs: DataFrame, options: NearDupOptions = NearDupOptions(), doc_
                 regs = registers(sets, options)
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary())],
-                    names=["doc_id", "n", "set_key", "regs"],
+                    [part.column("doc_id"), part.column("version"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary())],
+                    names=["doc_id", "version", "n", "set_key", "regs"],
                 )
 
-    return narrow.mapInArrow(sign, "doc_id long, n long, set_key binary, regs binary")
+    return narrow.mapInArrow(sign, "doc_id long, version long, n long, set_key binary, regs binary")
 
 
 def _coarse(reps: DataFrame, options: NearDupOptions) -> DataFrame:
@@ -281,11 +286,10 @@ def _across_blocks(placed: DataFrame, cells: DataFrame, found: DataFrame, reps:
 
 
 def _verified(docs: DataFrame, coarse: DataFrame, options: NearDupOptions) -> DataFrame:
-    """(rep, component): exact components of the coarse classes."""
+    """(rep, component): exact components of the coarse classes (rep, component, doc_id, version, n)."""
     spark = docs.sparkSession
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.join(coarse.withColumnRenamed("vertex", "doc_id"), "doc_id")
-    texts = texts.select("doc_id", "component", F.encode("text", "UTF-8").alias("body"))
+    texts = docs.join(coarse, ["doc_id", "version"]).select("rep", "component", F.encode("text", "UTF-8").alias("body"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,10 +298,10 @@ def _verified(docs: DataFrame, coarse: DataFrame, options: NearDupOptions) -> Da
                 sets = list(shingle_sets([x or b"" for x in part.column("body").to_pylist()], options.width))
                 keep = [i for i, s in enumerate(sets) if len(s)]
                 part = part.take(pa.array(keep, pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("component"), part.column("doc_id"), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["coarse", "rep", "set"])
+                yield pa.RecordBatch.from_arrays([part.column("component"), part.column("rep"), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["coarse", "rep", "set"])
 
-    sizes = coarse.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.min("vertex").alias("pivot"))
-    large = written(sizes.where(F.col("size") > options.block).select("component", "pivot", F.ceil(F.col("size") / options.block).cast("int").alias("blocks")), "large-classes")
+    sizes = coarse.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
+    large = written(sizes.select(F.col("component").alias("coarse"), _blocks("size", "shingles", options).alias("blocks")).where("blocks > 1"), "large-classes")
     sets = texts.mapInArrow(build, "coarse long, rep long, set binary")
     some = large.limit(1).count() > 0
     if some:
@@ -319,71 +323,130 @@ def _verified(docs: DataFrame, coarse: DataFrame, options: NearDupOptions) -> Da
 
     if not some:
         return grouped(sets.select(F.col("coarse").alias("gid"), "rep", "set")).select("rep", "component")
-    small = sets.join(large.select(F.col("component").alias("coarse")), "coarse", "left_anti")
+    small = sets.join(large, "coarse", "left_anti")
     done = grouped(small.select(F.col("coarse").alias("gid"), "rep", "set")).select("rep", "component")
-    return done.union(_in_blocks(sets, large, grouped, options, parallel))
+    return done.union(_in_blocks(sets.join(large, "coarse"), grouped, options, parallel))
 
 
-def _in_blocks(sets: DataFrame, large: DataFrame, grouped: Callable[[DataFrame], DataFrame], options: NearDupOptions, parallel: int) -> DataFrame:
-    """Components of very large classes, a block at a time.
+def _blocks(size: str, shingles: str, options: NearDupOptions) -> Column:
+    return F.ceil(F.greatest(F.col(size) / options.block, F.col(shingles) / options.group_shingles)).cast("int")
 
-    Every block holds the class's pivot, so blocks hang together by it.  A part without the pivot
-    is sent to all blocks of its class; the links found there are between whole parts.
+
+def meetings(own: DataFrame, options: NearDupOptions) -> DataFrame:
+    """(gid, rep, part, guest): where the members of very large classes meet that don't belong to the main part.
+
+    ``own`` holds (coarse, blocks, block, rep, n, part) of every member.  Guests are dealt into
+    pieces; each pair of a piece and a block is one group.
+    """
+    often = own.groupBy("coarse", "part").agg(F.count(F.lit(1)).alias("c")).groupBy("coarse").agg(F.max(F.struct("c", "part")).alias("m"))
+    stray = own.join(often.select("coarse", F.col("m.part").alias("main")), "coarse").where("part <> main")
+    pieces = stray.groupBy("coarse").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).select("coarse", _blocks("c", "s", options).alias("pieces"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    gid = F.xxhash64("coarse", "block", "piece").alias("gid")
+    guests = stray.drop("block").join(pieces, "coarse").withColumn("piece", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("pieces")).cast("int")).withColumn("block", upto("blocks"))
+    hosts = own.join(pieces, "coarse").withColumn("piece", upto("pieces"))
+    return hosts.select(gid, "rep", "part", F.lit(False).alias("guest")).union(guests.select(gid, "rep", "part", F.lit(True).alias("guest")))
+
+
+def _in_blocks(big: DataFrame, grouped: Callable[[DataFrame], DataFrame], options: NearDupOptions, parallel: int) -> DataFrame:
+    """Components of very large classes (coarse, rep, set, blocks), a block at a time.
+
+    Every block holds the class's pivots, so its parts hang together with those of other blocks.
+    What is left beside the largest part is sent to all blocks of its class; the links found there
+    are between whole parts.
     """
-    big = sets.join(large.withColumnRenamed("component", "coarse"), "coarse")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    all_blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    is_pivot = F.col("rep") == F.col("pivot")
-    placed = big.where(~is_pivot).withColumn("block", block).unionByName(big.where(is_pivot).withColumn("block", all_blocks))
-    placed = placed.withColumn("gid", F.xxhash64("coarse", "block"))
-    found = written(grouped(placed.select("gid", "rep", "set")), "blocks")
-    pivots = found.join(large.select(F.col("pivot").alias("rep")), "rep").select("gid", F.col("component").alias("main")).distinct()
-    stray = found.join(pivots, "gid").where("component <> main").select("rep", F.col("component").alias("part"))
+    order = Window.partitionBy("coarse").orderBy(F.xxhash64("rep", F.lit(5)), "rep")
+    pivots = written(big.select("coarse", "rep", F.row_number().over(order).alias("r")).where(F.col("r") <= options.pivots).select("rep"), "pivots")
+    everywhere = big.join(pivots, "rep", "left_semi").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = big.join(pivots, "rep", "left_anti").withColumn("block", block).unionByName(everywhere)
+    found = written(grouped(placed.select(F.xxhash64("coarse", "block").alias("gid"), "rep", "set")).select("rep", "component"), "blocks")
+    parts = connected_components(found.select(F.col("rep").alias("src"), F.col("component").alias("dst")))
+    members = big.select("coarse", "blocks", block.alias("block"), "rep", (F.length("set") / 8).cast("long").alias("n"))
+    own = members.join(parts.select(F.col("vertex").alias("rep"), F.col("component").alias("part")), "rep", "left").withColumn("part", F.coalesce("part", "rep"))
+    own = written(own, "parts")
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, "gid"):
-            raw, part, rep, guest = table.column("set"), table.column("part").to_numpy(), table.column("rep").to_numpy(), table.column("guest").to_numpy()
+            raw, part, guest = table.column("set"), table.column("part").to_numpy(), table.column("guest").to_numpy()
             links = set()
             for a, b in groups(table, "gid"):
-                if not guest[a:b].any():
+                if not guest[a:b].any() or guest[a:b].all():
                     continue
                 group = SetGroup([np.frombuffer(raw[i].as_py(), dtype=U) for i in range(a, b)], options.percent)
                 for u in np.flatnonzero(guest[a:b]).tolist():
-                    links |= {(int(part[a + u]), int(x)) for x in part[a:b][group.linked(u)]}
+                    links |= {(int(part[a + u]), int(x)) for x in np.unique(part[a:b][group.linked(u)])}
             links = [x for x in links if x[0] != x[1]]
             if links:
                 s, d = np.array(links).T
                 yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(d)], names=["src", "dst"])
 
-    own = found.groupBy("rep").agg(F.min("component").alias("part"))
-    hosts = placed.join(own, "rep").select("gid", "rep", "part", "set", F.lit(False).alias("guest"))
-    guests = big.join(stray, "rep").withColumn("block", all_blocks).select(F.xxhash64("coarse", "block").alias("gid"), "rep", "part", "set", F.lit(True).alias("guest"))
-    links = hosts.unionByName(guests).repartition(parallel, "gid").sortWithinPartitions("gid").mapInArrow(across, "src long, dst long")
-    edges = found.select(F.col("rep").alias("src"), F.col("component").alias("dst")).union(links)
-    whole = connected_components(edges)
-    return own.select("rep").join(whole, F.col("rep") == F.col("vertex"), "left").select("rep", F.coalesce("component", "rep").alias("component"))
+    met = meetings(own, options).join(big.select("rep", "set"), "rep")
+    links = met.repartition(parallel, "gid").sortWithinPartitions("gid").mapInArrow(across, "src long, dst long")
+    whole = connected_components(links.distinct())
+    return own.join(whole, F.col("part") == F.col("vertex"), "left").select("rep", F.coalesce("component", "part").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, options: NearDupOptions = NearDupOptions(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per input row."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+def _classes(docs: DataFrame, options: NearDupOptions) -> DataFrame:
+    """(doc_id, version, vertex, n_shingles, component_id, kept), one row per row of (doc_id, text).
+
+    A version stands for a text and a vertex for a group of texts.  Ids are vertices; where texts
+    of one id differ, those after the first are vertices of their own.
+    """
     signed = written(signatures(docs, options), "signatures")
     sized = signed.where("set_key is not null and doc_id is not null")
-    reps = sized.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"))
+    named = sized.groupBy("set_key").agg(F.min(F.struct("doc_id", "version")).alias("at"), F.first("n").alias("n"), F.first("regs").alias("regs"))
+    named = named.select("set_key", "at.doc_id", "at.version", "n", "regs")
     # below this size a set of another content is never within the threshold
     least = next(n for n in range(1, 1000) if 100 * n >= options.percent * (n + 1))
-    reps = written(reps.where(F.col("n") >= least), "representatives")
-    coarse = written(_coarse(reps, options), "coarse")
+    ids = sized.groupBy("set_key").agg(F.min(F.struct("doc_id", "version")).alias("at")).groupBy("at.doc_id").agg(F.count(F.lit(1)).alias("texts"), F.min("at.version").alias("first"))
+    several = written(ids.where("texts > 1").select("doc_id", "first"), "ids-of-several-texts")
+    some = several.limit(1).count() > 0
+
+    def with_vertex(df: DataFrame) -> DataFrame:
+        if not some:
+            return df.withColumn("rep", F.col("doc_id"))
+        own = -1 - F.shiftrightunsigned(F.xxhash64("doc_id", "version"), 1)
+        return df.join(several, "doc_id", "left").withColumn("rep", F.when(F.col("version") != F.col("first"), own).otherwise(F.col("doc_id"))).drop("first")
+
+    reps = written(with_vertex(named.where(F.col("n") >= least)).select("rep", "doc_id", "version", "n", "regs"), "representatives")
+    coarse = written(_coarse(reps.select("rep", "n", "regs"), options).select(F.col("vertex").alias("rep"), "component").join(reps.drop("regs"), "rep"), "coarse")
     exact = written(_verified(docs.where("doc_id is not null"), coarse, options), "classes").groupBy("rep").agg(F.min("component").alias("component"))
-    classes = sized.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    classes = classes.join(exact, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n", "set_key").join(classes, "set_key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    classes = with_vertex(named.select("set_key", "doc_id", "version")).join(exact, "rep", "left")
+    classes = classes.select("set_key", F.col("doc_id").alias("least"), F.coalesce("component", "rep").alias("vertex"))
+    if some:
+        roots = classes.groupBy("vertex").agg(F.min("least").alias("root"))
+        classes = classes.join(roots, "vertex")
+    else:
+        classes = classes.withColumn("root", F.col("vertex"))
+    out = signed.select("doc_id", "version", "n", "set_key").join(classes.select("set_key", "vertex", "root"), "set_key", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
+    return out.select(
+        "doc_id", "version", "vertex", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")
+    )
+
+
+def _narrow(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), F.col(text).alias("text"))
+
+
+def near_duplicates(docs: DataFrame, options: NearDupOptions = NearDupOptions(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row per input row."""
+    return _classes(_narrow(docs, doc_id, text), options).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def without_near_duplicates(docs: DataFrame, options: NearDupOptions = NearDupOptions(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The input's rows without all but one of each near-duplicate class."""
-    kept = near_duplicates(docs, options, doc_id, text).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.where(F.col(doc_id).isNotNull()).join(kept, F.col(doc_id) == F.col("__kept"), "left_semi").dropDuplicates([doc_id])
-    return named.unionByName(docs.where(F.col(doc_id).isNull()))
+    """The input's rows without all but one of each near-duplicate class.
+
+    Of a class one text of the smallest id stays; a row that repeats both id and text stays once;
+    rows without an id all stay, and so does each text without words.
+    """
+    named, version, key = unused(docs, "id", "version", "key")
+    classes = _classes(_narrow(docs, doc_id, text), options).where("kept and doc_id is not null")
+    one = classes.groupBy("doc_id", "vertex", F.when(F.col("vertex").isNull(), F.col("version")).alias("blank")).agg(F.min("version").alias("version"))
+    kept = one.select(F.col("doc_id").alias(key), F.col("version").alias(version))
+    cols = docs.columns
+    rows = docs.withColumn(named, F.col(doc_id).cast("long"))
+    here = rows.where(F.col(named).isNotNull()).withColumn(version + "_", F.xxhash64(text))
+    here = here.join(kept, (F.col(named) == F.col(key)) & (F.col(version + "_") == F.col(version)), "left_semi")
+    return here.dropDuplicates([named, version + "_"]).select(*cols).unionByName(docs.where(F.col(doc_id).isNull()))
