@@ -5,22 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecmosaic.session import checkpointed, written
+from vecmosaic.session import checkpointed
 
-_HUBS = 4  # of a partition
+_HUBS = 4  # of a partition; their number doesn't depend on the table
+_ONE_TASK = 20_000  # pairs that one task may well hold, so that hubs needn't be looked for
 
 
-def _with_least(pairs: DataFrame, parallel: int) -> DataFrame:
+def _with_least(pairs: DataFrame, hubs: int) -> DataFrame:
     """(u, v, m): each directed pair with the least id among u and all of u's neighbours.
 
-    The minimum is combined before its shuffle.  The vertices with the most neighbours, a few per
-    partition and so bounded whatever the table, are joined by broadcast, where nothing is dealt by
-    vertex; each of the others has at most ``1 / (_HUBS * parallel)`` of the pairs.
+    The minimum is combined before its shuffle.  The ``hubs`` vertices with the most neighbours are
+    joined by broadcast, where nothing is dealt by vertex; each of the others has at most
+    ``1 / hubs`` of the pairs.
     """
-    least = written(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m")), "least")
-    hubs = F.broadcast(least.orderBy(F.desc("n"), "u").limit(_HUBS * parallel).select("u", "m"))
-    rest = pairs.join(hubs.select("u"), "u", "left_anti").join(least.select("u", "m"), "u")
-    return pairs.join(hubs, "u").unionByName(rest)
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))  # one exchange for both uses
+    if not hubs:
+        return pairs.join(least.select("u", "m"), "u")
+    top = F.broadcast(least.orderBy(F.desc("n"), "u").limit(hubs).select("u", "m"))
+    rest = pairs.join(top.select("u"), "u", "left_anti").join(least.select("u", "m"), "u")
+    return pairs.join(top, "u").unionByName(rest)
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 50) -> DataFrame:
@@ -32,11 +35,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     parallel = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     e = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).where("a <> b")
     e = checkpointed(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
+    seen, hubs = None, _HUBS * parallel if e.count() > _ONE_TASK else 0
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both, parallel).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = _with_least(large, parallel)
+        large = _with_least(both, hubs).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = _with_least(large, hubs)
         e = checkpointed(small.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
