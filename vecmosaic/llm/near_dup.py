@@ -399,8 +399,8 @@ def _classes(docs: DataFrame, options: NearDupOptions) -> DataFrame:
     named = named.select("set_key", "at.doc_id", "at.version", "n", "regs")
     # below this size a set of another content is never within the threshold
     least = next(n for n in range(1, 1000) if 100 * n >= options.percent * (n + 1))
-    ids = sized.groupBy("set_key").agg(F.min(F.struct("doc_id", "version")).alias("at")).groupBy("at.doc_id").agg(F.count(F.lit(1)).alias("texts"), F.min("at.version").alias("first"))
-    several = written(ids.where("texts > 1").select("doc_id", "first"), "ids-of-several-texts")
+    several = sized.groupBy("doc_id").agg(F.min("version").alias("first"), F.max("version").alias("last"))
+    several = written(several.where("first <> last").select("doc_id", "first"), "ids-of-several-texts")
     some = several.limit(1).count() > 0
 
     def with_vertex(df: DataFrame) -> DataFrame:
