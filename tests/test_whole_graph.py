@@ -1,4 +1,4 @@
-"""Graph queries without a SQL twin read every feature: against brute force on a table beyond the twins' 200 ids."""
+"""Graph queries read every feature of every image set: against brute force on a table of two sets."""
 
 import numpy as np
 import pytest
@@ -6,8 +6,7 @@ import pytest
 from vecmosaic.operators import cluster as K
 from vecmosaic.operators import faces as X
 from vecmosaic.plans import catalog
-from vecmosaic.plans.graphs import pruned
-from vecmosaic.sources.tables import features
+from vecmosaic.plans.graphs import SET, pruned
 
 N = 260
 
@@ -27,8 +26,11 @@ def pruned_by_hand(vec):
     unit = vec / np.linalg.norm(vec, axis=1, keepdims=True)
     dots = unit @ unit.T
     w = 1 - np.arccos(np.clip(dots / dots.max(), -1, 1)) / np.pi
-    np.fill_diagonal(w, 0)
-    off = w[~np.eye(len(w), dtype=bool)]
+    sets = np.arange(len(w)) // SET
+    together = (sets[:, None] == sets[None, :]) & ~np.eye(len(w), dtype=bool)
+    dots = np.where(sets[:, None] == sets[None, :], dots, -1)
+    w = np.where(together, 1 - np.arccos(np.clip(dots / dots.max(), -1, 1)) / np.pi, 0)
+    off = w[together]
     t = next(t for t in (1 + k * -1.0 / 599 for k in range(600)) if (off > t).sum() >= 2.5 * 2 * len(w))
     return {(i, j): w[i, j] for i, j in zip(*np.nonzero((w > t) & (w != 1)), strict=True)}
 
@@ -36,7 +38,7 @@ def pruned_by_hand(vec):
 def test_pruned_graph_of_all_features(spark, small):
     at, vec = small
     want = pruned_by_hand(vec)
-    got = {(r.src, r.dst): r.w for r in pruned(spark, at, features).collect()}
+    got = {(r.src, r.dst): r.w for r in pruned(spark, at).collect()}
     assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-9
 
 
@@ -45,9 +47,16 @@ def test_queries_reach_features_beyond_the_twins_group(spark, small):
     near = pruned_by_hand(vec)
     src, dst = np.array(sorted(near)).T
     w = np.array([near[k] for k in sorted(near)])
-    ids = np.unique(src)
-    want = dict(zip(ids.tolist(), K.louvain_kernel(ids, src, dst, w, w.sum()).tolist(), strict=True))
-    assert max(want) >= 200
+    component = {v: v for v in np.unique(src).tolist()}
+    while any(component[a] != component[b] for a, b in near):
+        for a, b in near:
+            component[a] = min(component[a], component[b])
+    want = {}
+    for c in set(component.values()):
+        own = np.array([component[v] == c for v in src.tolist()])
+        ids = np.unique(src[own])
+        want |= dict(zip(ids.tolist(), K.louvain_kernel(ids, src[own], dst[own], w[own], w.sum()).tolist(), strict=True))
+    assert max(want) >= SET
     q = catalog.queries()
     assert {r.vertex: r.cluster for r in q["GM9_louvain"](spark, at).collect()} == want
     for name in ("GM12_split_large_clusters", "GM29_spin_glass"):

@@ -7,6 +7,7 @@ tables of centres: points are assigned in the JVM with the centres as literals.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -62,52 +63,69 @@ def louvain_kernel(ids: np.ndarray, src: np.ndarray, dst: np.ndarray, w: np.ndar
     return ids[label]
 
 
-def louvain(edges: DataFrame, one_group_edges: int = 2_000_000) -> DataFrame:
-    """(vertex, cluster) for every vertex with an edge.
+def louvain(edges: DataFrame) -> DataFrame:
+    """(vertex, cluster) for every vertex with an edge, by connected component at every size.
 
-    A graph of at most ``one_group_edges`` edges is one group, whose sweeps stop together; a larger
-    one goes by connected component.
+    Gains use the weight of the whole graph; a component's sweeps stop by themselves.  A component
+    is one task, whose memory goes with its edges.
     """
     spark = edges.sparkSession
     edges = checkpointed(edges.select("src", "dst", "w"))
-    size = edges.agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n")).first()
-    total = size["w"]
+    total = edges.agg(F.sum("w")).first()[0]
     if not total:
         return spark.createDataFrame([], "vertex long, cluster long")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["src", "dst"], kind="stable")
-        ids = np.unique(rows["src"].to_numpy())
-        return pd.DataFrame({"vertex": ids, "cluster": louvain_kernel(ids, rows["src"].to_numpy(), rows["dst"].to_numpy(), rows["w"].to_numpy(), total)})
+        return _moved(rows, total)
 
-    if size["n"] <= one_group_edges:
-        named = edges.withColumn("component", F.lit(0))
-    else:
-        named = edges.join(connected_components(edges).withColumnRenamed("vertex", "src"), "src")
+    named = edges.join(connected_components(edges).withColumnRenamed("vertex", "src"), "src")
     return named.select("component", "src", "dst", "w").groupBy("component").applyInPandas(run, "vertex long, cluster long")
 
 
-def split_large(edges: DataFrame, partition: DataFrame, split_limit: int, per_vertex: float, depth: int = 11) -> DataFrame:
-    """(vertex, cluster): clusters over the limit are pruned, rescaled and clustered again, to a depth."""
-    from vecmosaic.operators import graph as G
+def _moved(rows: pd.DataFrame, total: float) -> pd.DataFrame:
+    rows = rows.sort_values(["src", "dst"], kind="stable")
+    ids = np.unique(rows["src"].to_numpy())
+    return pd.DataFrame({"vertex": ids, "cluster": louvain_kernel(ids, rows["src"].to_numpy(), rows["dst"].to_numpy(), rows["w"].to_numpy(), total)})
+
+
+def _grid_threshold(w: np.ndarray, need: float, n: int = 600) -> float:
+    """The first of n even thresholds from 1 to 0 that ``need`` weights exceed."""
+    for k in range(n):
+        t = 1.0 - k / (n - 1)
+        if (w > t).sum() >= need:
+            return t
+    return 0.0
+
+
+def split_large(edges: DataFrame, partition: DataFrame, split_limit: int, per_vertex: float, depth: int = 11, prune_fun: Callable[[np.ndarray, int], np.ndarray] | None = None) -> DataFrame:
+    """(vertex, cluster): clusters over the limit are pruned, rescaled and clustered again, to a depth.
+
+    All clusters over the limit are split in one job per depth.  ``prune_fun`` says which of a
+    cluster's rescaled weights stay, given its number of vertices; by default those above the
+    threshold of ``per_vertex`` edges a vertex.
+    """
+    keep = prune_fun or (lambda w, n: (w > _grid_threshold(w, per_vertex * 2.0 * n)) & (w != 1))
+    edges, part = checkpointed(edges.select("src", "dst", "w")), checkpointed(partition.select("vertex", "cluster"))
+
+    def again(rows: pd.DataFrame) -> pd.DataFrame:
+        own, n, w = int(rows["cluster"].iloc[0]), int(rows["n"].iloc[0]), rows["w"].to_numpy()
+        none = pd.DataFrame({"vertex": np.array([], dtype=np.int64), "new": np.array([], dtype=np.int64)})
+        if w.min() == w.max():
+            return none
+        scaled = rows.assign(w=(w - w.min()) / (w.max() - w.min()))
+        scaled = scaled[keep(scaled["w"].to_numpy(), n)]
+        total = scaled["w"].sum()
+        return _moved(scaled, total).rename(columns={"cluster": "new"}) if len(scaled) and total else none
 
-    part = checkpointed(partition)
     for _ in range(depth):
-        sizes = part.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > split_limit)
-        todo = [(r["cluster"], r["n"]) for r in sizes.collect()]  # clusters over the limit only
-        changed = False
-        for cluster, n in todo:
-            own = part.where(F.col("cluster") == cluster).select("vertex")
-            inside = edges.join(own.withColumnRenamed("vertex", "src"), "src").join(own.withColumnRenamed("vertex", "dst"), "dst").select("src", "dst", "w")
-            s = inside.agg(F.min("w").alias("lo"), F.max("w").alias("hi")).first()
-            if s["lo"] is None or s["lo"] == s["hi"]:
-                continue
-            scaled = inside.select("src", "dst", ((F.col("w") - s["lo"]) / (s["hi"] - s["lo"])).alias("w"))
-            again = louvain(G.prune_threshold(scaled, n, per_vertex)).withColumnRenamed("cluster", "new")
-            after = checkpointed(part.join(again, "vertex", "left").select("vertex", F.coalesce("new", "cluster").alias("cluster")))
-            changed = changed or after.where(F.col("cluster") == cluster).count() < n
-            part = after
-        if not todo or not changed:
+        large = part.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > split_limit)
+        todo = part.join(large, "cluster")
+        ends = lambda k, c: todo.select(F.col("vertex").alias(k), F.col("cluster").alias(c), "n")
+        inside = edges.join(ends("src", "cluster"), "src").join(ends("dst", "other").drop("n"), "dst").where("cluster = other")
+        split = inside.select("cluster", "n", "src", "dst", "w").groupBy("cluster").applyInPandas(again, "vertex long, new long")
+        after = checkpointed(part.join(split, "vertex", "left").select("vertex", F.coalesce("new", "cluster").alias("cluster"), (F.coalesce("new", "cluster") != F.col("cluster")).alias("moved")))
+        part = after.select("vertex", "cluster")
+        if not after.where("moved").limit(1).count():
             break
     return part
 

@@ -49,11 +49,17 @@ def _moments(df: DataFrame, by: list[str] | None = None) -> pd.DataFrame:
                     a[0], a[1], a[2] = a[0] + len(x), a[1] + x.sum(axis=0), a[2] + x.T @ x
         yield pd.DataFrame([(*k, n, s.tolist(), p.ravel().tolist()) for k, (n, s, p) in acc.items()], columns=[*by, "n", "s", "p"])
 
-    parts = df.select(*by, "vec").mapInPandas(part, f"{kinds}n long, s array<double>, p array<double>").toPandas()
-    rows = []
-    for key, g in parts.groupby(by) if by else [((), parts)]:
-        rows.append((*(key if isinstance(key, tuple) else (key,)), int(g["n"].sum()), np.sum(np.stack(g["s"]), axis=0), np.sum(np.stack(g["p"]), axis=0)))
-    return pd.DataFrame(rows, columns=[*by, "n", "s", "p"])
+    shape = f"{kinds}n long, s array<double>, p array<double>"
+    parts = df.select(*by, "vec").mapInPandas(part, shape)
+
+    def together(rows: pd.DataFrame) -> pd.DataFrame:
+        total = [(*rows.iloc[0][by], int(rows["n"].sum()), np.sum(np.stack(rows["s"]), axis=0).tolist(), np.sum(np.stack(rows["p"]), axis=0).tolist())]
+        return pd.DataFrame(total, columns=[*by, "n", "s", "p"])
+
+    # a task's sums are dealt over a few groups before those of a class meet, so no task gets all of them
+    dealt = parts.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(32)))
+    met = dealt.groupBy(*by, "part").applyInPandas(lambda rows: together(rows), shape).groupBy(*(by or [F.lit(0).alias("all")])).applyInPandas(together, shape).toPandas()
+    return met.assign(s=met["s"].map(np.asarray), p=met["p"].map(np.asarray)).sort_values(by or "n", ignore_index=True)
 
 
 def _basis(matrix: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,15 +110,83 @@ def fisherfaces(df: DataFrame, components: int | None = None) -> Subspace:
     return Subspace((0.0,) * len(mean), tuple(map(tuple, (p @ v).T.tolist())), tuple(w.tolist()))
 
 
-def neighbours(test: DataFrame, train: DataFrame, k: int, metric: str | Callable[[Column, Column], Column] = "euclidean", on: Column | None = None) -> DataFrame:
-    """(id, actual, label, d, r): the k nearest training rows of each test row; ties to the smaller id."""
-    f = V.DISTANCES[metric] if isinstance(metric, str) else metric
-    a = test.select("id", F.col("label").alias("actual"), F.col("grp").alias("agrp"), F.col("vec").alias("va"))
-    b = train.select(F.col("id").alias("tid"), "label", "grp", F.col("vec").alias("vb"))
-    cond = (F.col("id") != F.col("tid")) if on is None else on
-    rows = a.join(b, cond).select("id", "actual", "agrp", "tid", "label", "grp", f(F.col("va"), F.col("vb")).alias("d"))
+_EPS = np.finfo(float).eps
+
+
+def _ratio_terms(p: np.ndarray, q: np.ndarray, power: int) -> np.ndarray:
+    a = np.abs(1 - (p * q).sum(axis=-1, keepdims=True))
+    return ((p - q) ** 2 + 2 * a * p * q) / ((p + q) ** power + _EPS)
+
+
+def _centred(x: np.ndarray) -> np.ndarray:
+    return x - x.mean(axis=-1, keepdims=True)
+
+
+def _cosine(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return (p * q).sum(axis=-1) / (np.sqrt((p * p).sum(axis=-1)) * np.sqrt((q * q).sum(axis=-1)))
+
+
+#: The distances of ``vectors.DISTANCES`` over the last axis of arrays.
+KERNELS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
+    "euclidean": lambda p, q: np.sqrt(((p - q) ** 2).sum(axis=-1)),
+    "cosine": lambda p, q: -_cosine(p, q),
+    "correlation": lambda p, q: 1 - _cosine(_centred(p), _centred(q)),
+    "chi_square": lambda p, q: ((p - q) ** 2 / (p + q + _EPS)).sum(axis=-1),
+    "intersection": lambda p, q: np.minimum(p, q).sum(axis=-1),
+    "bin_ratio": lambda p, q: np.abs(_ratio_terms(p, q, 2).sum(axis=-1)),
+    "l1_bin_ratio": lambda p, q: np.abs((np.abs(p - q) * _ratio_terms(p, q, 2)).sum(axis=-1)),
+    "chi_square_bin_ratio": lambda p, q: np.abs(((p - q) ** 2 * _ratio_terms(p, q, 3)).sum(axis=-1)),
+}
+
+
+def nearest_in_blocks(test: DataFrame, train: DataFrame, k: int, metric: str = "euclidean", block: int = 2048) -> DataFrame:
+    """(id, tid, d): candidates that hold the k nearest rows of another mark for each test row.
+
+    Both sides have (id, mark, vec).  They are dealt into blocks that meet pairwise; a pair of
+    blocks hands on at most k rows for each of its test rows.
+    """
+    kernel = KERNELS[metric]
+
+    def dealt(df: DataFrame, own: str, other: str, mine: int, theirs: int, side: int) -> DataFrame:
+        at = F.pmod(F.xxhash64("id"), F.lit(mine)).cast("int").alias(own)
+        return df.select("id", F.col("mark").cast("long").alias("mark"), "vec", at, F.explode(F.sequence(F.lit(0), F.lit(theirs - 1))).alias(other), F.lit(side).alias("side"))
+
+    na, nb = (max(1, -(-df.count() // block)) for df in (test, train))
+    both = dealt(test, "a", "b", na, nb, 0).unionByName(dealt(train, "b", "a", nb, na, 1))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        asked, known = (group[group["side"] == s].sort_values("id", kind="stable") for s in (0, 1))
+        out: tuple[list, list, list] = ([], [], [])
+        if len(asked) and len(known):
+            q, x, ids, marks = np.stack(asked["vec"]), np.stack(known["vec"]), known["id"].to_numpy(), known["mark"].to_numpy()
+            for i, mark, one in zip(asked["id"].tolist(), asked["mark"].tolist(), q, strict=True):
+                other = np.flatnonzero(marks != mark)
+                d = kernel(one[None, :], x[other])
+                first = np.lexsort((ids[other], d))[:k] if len(d) <= 4 * k else _least(d, ids[other], k)
+                out[0].extend([i] * len(first))
+                out[1].extend(ids[other][first].tolist())
+                out[2].extend(d[first].tolist())
+        return pd.DataFrame({"id": np.array(out[0], dtype=np.int64), "tid": np.array(out[1], dtype=np.int64), "d": np.array(out[2], dtype=float)})
+
+    return both.groupBy("a", "b").applyInPandas(run, "id long, tid long, d double")
+
+
+def _least(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k smallest, ties to the smaller id."""
+    near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
+    return near[np.lexsort((ids[near], d[near]))[:k]]
+
+
+def neighbours(test: DataFrame, train: DataFrame, k: int, metric: str = "euclidean", mark: str = "id") -> DataFrame:
+    """(id, actual, agrp, tid, label, grp, d, r): the k nearest training rows of each test row; ties to the smaller id.
+
+    A test row never meets training rows whose ``mark`` column equals its own.
+    """
+    a, b = (df.select("id", F.col(mark).alias("mark"), "vec") for df in (test, train))
     r = F.row_number().over(Window.partitionBy("id").orderBy("d", "tid"))
-    return rows.withColumn("r", r).where(F.col("r") <= k)
+    near = nearest_in_blocks(a, b, k, metric).withColumn("r", r).where(F.col("r") <= k)
+    own = test.select("id", F.col("label").alias("actual"), F.col("grp").alias("agrp"))
+    return near.join(own, "id").join(train.select(F.col("id").alias("tid"), "label", "grp"), "tid").select("id", "actual", "agrp", "tid", "label", "grp", "d", "r")
 
 
 def vote(near: DataFrame, label: str = "label") -> DataFrame:
@@ -132,7 +206,7 @@ def folds(df: DataFrame, k: int = 10, seed: int = 7) -> DataFrame:
     Rows past the last full fold always train (fold -1); rows beyond the smallest class's size are out.
     """
     n = df.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).scalar()
-    place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id", F.lit(seed)), "id")) - 1
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.md5(F.concat(F.col("id").cast("string"), F.lit(f"-{seed}"))), "id")) - 1
     kk = F.least(F.lit(k).cast("long"), n)
     rows = df.select("*", place.alias("place"), n.alias("least"), kk.alias("kk")).where("place < least")
     size = F.floor(F.col("least") / F.col("kk"))
@@ -146,14 +220,10 @@ def counts(predictions: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def k_fold(df: DataFrame, k: int = 10, neighbours_: int = 1, metric: str = "euclidean", seed: int = 7) -> DataFrame:
     """(fold, tp, fp): all folds in one plan, a row trains for every fold but its own."""
-    f = folds(df, k, seed)
-    d = V.DISTANCES[metric]
-    a = f.where("fold >= 0").select("id", F.col("label").alias("actual"), "fold", F.col("vec").alias("va"))
-    b = f.select(F.col("id").alias("tid"), "label", F.col("fold").alias("tfold"), F.col("vec").alias("vb"))
-    rows = a.join(b, F.col("fold") != F.col("tfold")).select("id", "actual", "fold", "tid", "label", d(F.col("va"), F.col("vb")).alias("d"))
-    r = F.row_number().over(Window.partitionBy("id").orderBy("d", "tid"))
-    best = vote(rows.withColumn("r", r).where(F.col("r") <= neighbours_))
-    return counts(best.join(a.select("id", "fold"), "id"), ["fold"])
+    f = written(folds(df, k, seed), "folds")
+    held = f.where("fold >= 0")
+    best = vote(neighbours(held, f, neighbours_, metric, "fold"))
+    return counts(best.join(held.select("id", "fold"), "id"), ["fold"])
 
 
 def leave_one_out(df: DataFrame, k: int = 1, metric: str = "euclidean") -> DataFrame:
@@ -162,7 +232,7 @@ def leave_one_out(df: DataFrame, k: int = 1, metric: str = "euclidean") -> DataF
 
 def leave_one_class_out(df: DataFrame, k: int = 1, metric: str = "euclidean") -> DataFrame:
     """Group predictions with the row's own class left out of training."""
-    near = neighbours(df, df.withColumnRenamed("label", "cls").withColumn("label", F.col("cls")), k, metric, F.col("actual") != F.col("label"))
+    near = neighbours(df, df, k, metric, "label")
     best = vote(near.withColumn("actual", F.col("agrp")), "grp")
     return counts(best)
 

@@ -19,16 +19,18 @@ from vecmosaic.functions import vectors as V
 PAIR = "src long, dst long, value double"
 
 
-def all_pairs(features: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], block: int = 1024) -> DataFrame:
-    """(src, dst, value) of every ordered pair of different features, in blocks that meet pairwise.
+def all_pairs(features: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], block: int = 1024, by: str | None = None) -> DataFrame:
+    """(src, dst, value) of every ordered pair of different features of one set, in blocks that meet pairwise.
 
-    The result is quadratic in the features of one image group, as the operator asks.
+    ``by`` names the column that tells the sets apart; without it all features are one set.  The
+    result is quadratic in the features of a set, as the operator asks, and linear in the sets.
     """
-    f = features.select(F.col("feature_id").cast("long").alias("id"), F.col("descriptor").alias("v"))
-    n = max(1, -(-f.count() // block))
-    mine, other = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = f.select("*", mine.alias("a")).select("*", other.alias("b")).withColumn("side", F.lit(0))
-    right = f.select("*", mine.alias("b")).select("*", other.alias("a")).withColumn("side", F.lit(1))
+    f = features.select(F.col("feature_id").cast("long").alias("id"), F.col("descriptor").alias("v"), (F.col(by) if by else F.lit(0)).alias("g"))
+    sizes = f.groupBy(F.col("g").alias("of")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"))
+    mine, other = F.pmod(F.xxhash64("id"), F.col("n")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    f = f.join(sizes, F.col("g").eqNullSafe(F.col("of"))).drop("of")
+    left = f.select("id", "v", "g", mine.alias("a"), other.alias("b"), F.lit(0).alias("side"))
+    right = f.select("id", "v", "g", mine.alias("b"), other.alias("a"), F.lit(1).alias("side"))
 
     def run(group: pa.Table) -> pa.Table:
         side = group.column("side").to_numpy()
@@ -41,24 +43,32 @@ def all_pairs(features: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], np
         src, dst = np.broadcast_to(i[:, None], keep.shape)[keep], np.broadcast_to(j[None, :], keep.shape)[keep]
         return pa.table({"src": src, "dst": dst, "value": value[keep].astype(np.float64)})
 
-    return left.unionByName(right).groupBy("a", "b").applyInArrow(run, PAIR)
+    return left.unionByName(right).groupBy("g", "a", "b").applyInArrow(run, PAIR)
 
 
-def angle_distances(features: DataFrame) -> DataFrame:
+def angle_distances(features: DataFrame, by: str | None = None) -> DataFrame:
     """(src, dst, value): arc cosine of the cosines over their largest, the features' own included."""
     unit = lambda x: x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
-    dots = all_pairs(features, lambda x, y: unit(x) @ unit(y).T)
+    dots = all_pairs(features, lambda x, y: unit(x) @ unit(y).T, by=by)
     own = features.select(F.try_divide(V.dot(F.col("descriptor"), F.col("descriptor")), V.norm(F.col("descriptor")) * V.norm(F.col("descriptor"))).alias("value"))
     most = dots.select("value").union(own).agg(F.max("value")).scalar()
     return dots.select("src", "dst", F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("value") / most))).alias("value"))
 
 
-def hamming_distances(words: DataFrame, compat: bool = False) -> DataFrame:
+def hamming_distances(words: DataFrame, compat: bool = False, by: str | None = None) -> DataFrame:
     """(src, dst, value): unequal bits of binary descriptors; ``compat`` wraps at 256 like unsigned bytes."""
-    a = words.select(F.col("feature_id").alias("src"), F.col("words").alias("wa"))
-    b = words.select(F.col("feature_id").alias("dst"), F.col("words").alias("wb"))
-    d = V.bit_hamming(F.col("wa"), F.col("wb")).cast("long")
-    return a.join(b, F.col("src") != F.col("dst")).select("src", "dst", (d % 256 if compat else d).alias("value"))
+
+    def bits(x: np.ndarray) -> np.ndarray:
+        return np.unpackbits(np.ascontiguousarray(x.astype(np.int64)).view(np.uint8), axis=1).astype(np.float32)
+
+    def unequal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        p, q = bits(x), bits(y)
+        return p.sum(axis=1)[:, None] + q.sum(axis=1)[None, :] - 2 * p @ q.T
+
+    # words go as 32 bits each, which doubles hold exactly
+    halves = F.flatten(F.transform("words", lambda w: F.array(F.shiftrightunsigned(w, 32).cast("double"), w.bitwiseAND(F.lit((1 << 32) - 1)).cast("double"))))
+    d = F.col("value").cast("long")
+    return all_pairs(words.withColumn("descriptor", halves), unequal, by=by).select("src", "dst", (d % 256 if compat else d).alias("value"))
 
 
 def weights(distances: DataFrame, kind: str = "angle") -> DataFrame:
@@ -87,9 +97,9 @@ def edge_threshold(edges: DataFrame, vertices: int, per_vertex: float, n: int =
     return _grid_threshold(edges, "w", per_vertex * 2.0 * vertices, n, start)
 
 
-def fraction_threshold(edges: DataFrame, vertices: int, fraction: float, n: int = 600, start: float = 0.0) -> Column:
+def fraction_threshold(edges: DataFrame, cells: float, fraction: float, n: int = 600, start: float = 0.0) -> Column:
     """The threshold that about ``fraction`` of all cells of the weight matrix exceed."""
-    return _grid_threshold(edges, "w", fraction * vertices * vertices, n, start)
+    return _grid_threshold(edges, "w", fraction * cells, n, start)
 
 
 def above(edges: DataFrame, threshold: Column) -> DataFrame:
@@ -100,8 +110,8 @@ def prune_threshold(edges: DataFrame, vertices: int, per_vertex: float, n: int =
     return above(edges, edge_threshold(edges, vertices, per_vertex, n, start))
 
 
-def prune_fraction(edges: DataFrame, vertices: int, fraction: float, n: int = 500, start: float = 0.0) -> DataFrame:
-    return above(edges, fraction_threshold(edges, vertices, fraction, n, start))
+def prune_fraction(edges: DataFrame, cells: float, fraction: float, n: int = 500, start: float = 0.0) -> DataFrame:
+    return above(edges, fraction_threshold(edges, cells, fraction, n, start))
 
 
 def prune_rows(edges: DataFrame, fraction: float, n: int = 1000) -> DataFrame:
@@ -234,12 +244,10 @@ def heaviest_cross_edges(edges: DataFrame, partition: DataFrame, images: DataFra
     return best.where(F.col("n") >= min_edges).join(ok, "cluster").select("cluster", (-F.col("top.a")).alias("i"), (-F.col("top.b")).alias("j"), F.col("top.w").alias("w"), "n")
 
 
-def position_distances(features: DataFrame) -> DataFrame:
-    """(src, dst, value): squared distances between the keypoints of one image group."""
-    a = features.select(F.col("feature_id").alias("src"), F.col("x").alias("x1"), F.col("y").alias("y1"))
-    b = features.select(F.col("feature_id").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    d = (F.col("x1") - F.col("x2")) ** 2 + (F.col("y1") - F.col("y2")) ** 2
-    return a.join(b, F.col("src") != F.col("dst")).select("src", "dst", d.alias("value"))
+def position_distances(features: DataFrame, by: str | None = None) -> DataFrame:
+    """(src, dst, value): squared distances between the keypoints of one set."""
+    at = features.withColumn("descriptor", F.array("x", "y"))
+    return all_pairs(at, lambda p, q: ((p[:, None, :] - q[None, :, :]) ** 2).sum(axis=2), by=by)
 
 
 def geometric_weights(edges: DataFrame, positions: DataFrame, images: DataFrame) -> DataFrame:

@@ -119,10 +119,16 @@ def _grid(queries: DataFrame, targets: DataFrame, nq: int, nt: int, o: KnnOption
     return _ranked(left.unionByName(right).groupBy("a", "b").applyInArrow(run, KNN), o.k)
 
 
-def _sql(queries: DataFrame, targets: DataFrame, o: KnnOptions) -> DataFrame:
-    q = queries.select(F.col("feature_id").alias("q"), F.col("image_id").alias("qi"), F.col("descriptor").alias("qv"))
-    t = targets.select(F.col("feature_id").alias("t"), F.col("image_id").alias("ti"), F.col("descriptor").alias("tv"))
-    on = F.col("q") != F.col("t")
+def _sql(queries: DataFrame, targets: DataFrame, nq: int, nt: int, o: KnnOptions) -> DataFrame:
+    """Distances as expressions; both sides are dealt into blocks that meet by an equi-join."""
+    qb, tb = max(1, -(-nq // o.block)), max(1, -(-nt // o.block))
+    mine = lambda n: F.pmod(F.xxhash64("feature_id"), F.lit(n)).cast("int")
+    other = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    queries = queries.select("*", mine(qb).alias("a")).select("*", other(tb).alias("b"))
+    targets = targets.select("*", mine(tb).alias("b")).select("*", other(qb).alias("a"))
+    q = queries.select("a", "b", F.col("feature_id").alias("q"), F.col("image_id").alias("qi"), F.col("descriptor").alias("qv"))
+    t = targets.select(F.col("a").alias("ta"), F.col("b").alias("tb"), F.col("feature_id").alias("t"), F.col("image_id").alias("ti"), F.col("descriptor").alias("tv"))
+    on = (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")) & (F.col("q") != F.col("t"))
     if o.scope != "all":
         on = on & ((F.col("qi") == F.col("ti")) if o.scope == "same" else (F.col("qi") != F.col("ti")))
     d = V.euclidean(F.col("qv"), F.col("tv")) if o.metric == "l2" else F.acos(F.greatest(F.least(o.dot_scale * V.dot(F.col("qv"), F.col("tv")), F.lit(1.0)), F.lit(-1.0)))
@@ -156,7 +162,7 @@ def knn_join(queries: DataFrame, targets: DataFrame | None = None, options: KnnO
     queries = _narrow(queries)
     targets = queries if own else _narrow(targets)
     if o.strategy == "sql":
-        return _sql(queries, targets, o)
+        return _sql(queries, targets, queries.count(), targets.count(), o)
     if o.strategy == "lsh":
         return _lsh(queries, targets, o)
     size = targets.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("descriptor")).alias("cells")).first()

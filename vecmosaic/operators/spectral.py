@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,51 +18,59 @@ def affinity_simple(d0: Column, d1: Column, sigma: float = 50.0) -> Column:
     return F.when(F.abs(diff) < 3 * sigma, 4.5 - diff * diff / (2 * sigma * sigma)).otherwise(F.lit(0.0))
 
 
-def affinities(matches: DataFrame, sigma: float = 50.0) -> DataFrame:
-    """(a, b, w) of matches (id, x1, y1, x2, y2, score): all pairs of one group, and the scores on the diagonal."""
+def affinities(matches: DataFrame, sigma: float = 50.0, affinity_fun: Callable[[Column, Column, float], Column] = affinity_simple) -> DataFrame:
+    """(pair, a, b, w) of matches (pair, id, x1, y1, x2, y2, score): all pairs of matches of one image pair, and
+    the scores on the diagonal; quadratic in the matches of an image pair, as the operator asks."""
     a, b = matches.alias("a"), matches.alias("b")
     dist = lambda n: F.hypot(F.col(f"a.x{n}") - F.col(f"b.x{n}"), F.col(f"a.y{n}") - F.col(f"b.y{n}"))
-    pairs = a.join(b, F.col("a.id") != F.col("b.id")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), affinity_simple(dist(1), dist(2), sigma).alias("w"))
-    most = matches.agg(F.max("score")).scalar()
-    return pairs.where("w <> 0").union(matches.select("id", "id", (4.5 * (1 - F.col("score") / most)).alias("w")))
+    pairs = a.join(b, (F.col("a.pair") == F.col("b.pair")) & (F.col("a.id") != F.col("b.id")))
+    pairs = pairs.select("a.pair", F.col("a.id").alias("a"), F.col("b.id").alias("b"), affinity_fun(dist(1), dist(2), sigma).alias("w"))
+    most = matches.groupBy("pair").agg(F.max("score").alias("most"))
+    own = matches.join(most, "pair").select("pair", F.col("id").alias("a"), F.col("id").alias("b"), (4.5 * (1 - F.try_divide("score", "most"))).alias("w"))
+    return pairs.where("w <> 0").union(own)
 
 
 def principal_vector(w: DataFrame, rounds: int = 20, dense_entries: int = 4_000_000) -> DataFrame:
-    """(id, x): a fixed number of power iterations from the all-ones vector, scaled to length one.
+    """(pair, id, x): a fixed number of power iterations from the all-ones vector, scaled to length one.
 
-    A matrix of at most ``dense_entries`` entries is one kernel; a larger one iterates over tables.
+    The matrix of an image pair is one kernel up to ``dense_entries`` entries; larger ones iterate
+    over tables, all together.
     """
     w = checkpointed(w)
-    if w.count() <= dense_entries:
-
-        def run(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values(["a", "b"], kind="stable")
-            ids, a = np.unique(rows["a"].to_numpy(), return_inverse=True)
-            b = np.searchsorted(ids, rows["b"].to_numpy())
-            x = np.ones(len(ids))
-            for _ in range(rounds):
-                x = np.bincount(a, weights=rows["w"].to_numpy() * x[b], minlength=len(ids))
-                x = x / (np.sqrt((x * x).sum()) or 1.0)
-            return pd.DataFrame({"id": ids, "x": x})
-
-        return w.groupBy(F.lit(0).alias("one")).applyInPandas(run, "id long, x double")
-    x = checkpointed(w.select(F.col("a").alias("id")).distinct().withColumn("x", F.lit(1.0)))
+    sizes = w.groupBy("pair").agg(F.count(F.lit(1)).alias("entries"))
+    large = checkpointed(sizes.where(F.col("entries") > dense_entries).select("pair"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["a", "b"], kind="stable")
+        ids, a = np.unique(rows["a"].to_numpy(), return_inverse=True)
+        b = np.searchsorted(ids, rows["b"].to_numpy())
+        x = np.ones(len(ids))
+        for _ in range(rounds):
+            x = np.bincount(a, weights=rows["w"].to_numpy() * x[b], minlength=len(ids))
+            x = x / (np.sqrt((x * x).sum()) or 1.0)
+        return pd.DataFrame({"pair": rows["pair"].iloc[0], "id": ids, "x": x})
+
+    if not large.limit(1).count():
+        return w.groupBy("pair").applyInPandas(run, "pair long, id long, x double")
+    small = w.join(large, "pair", "left_anti").groupBy("pair").applyInPandas(run, "pair long, id long, x double")
+    w = checkpointed(w.join(large, "pair"))
+    x = checkpointed(w.select("pair", F.col("a").alias("id")).distinct().withColumn("x", F.lit(1.0)))
     for _ in range(rounds):
-        y = w.join(x.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.sum(F.col("w") * F.col("x")).alias("y"))
+        y = w.join(x.withColumnRenamed("id", "b"), ["pair", "b"]).groupBy("pair", F.col("a").alias("id")).agg(F.sum(F.col("w") * F.col("x")).alias("y"))
         y = checkpointed(y)
-        norm = y.agg(F.sqrt(F.sum(F.col("y") * F.col("y")))).first()[0] or 1.0
-        x = y.select("id", (F.col("y") / norm).alias("x"))
-    return x
+        norm = y.groupBy("pair").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("norm"))
+        x = y.join(norm, "pair").select("pair", "id", F.when(F.col("norm") > 0, F.col("y") / F.col("norm")).otherwise(F.col("y")).alias("x"))
+    return small.union(x)
 
 
 def top_share(x: DataFrame, keep: float) -> DataFrame:
-    """The share of entries of largest magnitude; a share under one entry keeps all."""
-    n = x.count()
-    k = int(n * keep)
-    r = F.row_number().over(Window.orderBy(F.desc(F.abs("x")), "id"))  # a row per match of one image pair
-    return x.withColumn("r", r).where(F.col("r") <= (k if k >= 1 else n)).select("id", "x")
+    """Each pair's share of entries of largest magnitude; a share under one entry keeps all."""
+    w = Window.partitionBy("pair")
+    ranked = x.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc(F.abs("x")), "id")))
+    k = F.floor(F.col("n") * keep)
+    return ranked.where((k < 1) | (F.col("r") <= k)).select("pair", "id", "x")
 
 
-def spectral_match(matches: DataFrame, sigma: float = 50.0, keep: float = 0.5, rounds: int = 20) -> DataFrame:
-    """The matches that agree best with each other."""
-    return matches.join(top_share(principal_vector(affinities(matches, sigma), rounds), keep), "id")
+def spectral_match(matches: DataFrame, sigma: float = 50.0, keep: float = 0.5, rounds: int = 20, affinity_fun: Callable[[Column, Column, float], Column] = affinity_simple) -> DataFrame:
+    """The matches of each image pair that agree best with each other."""
+    return matches.join(top_share(principal_vector(affinities(matches, sigma, affinity_fun), rounds), keep), ["pair", "id"])

@@ -13,7 +13,7 @@ from vecmosaic.operators import spectral as S
 from vecmosaic.operators.components import connected_components
 from vecmosaic.plans.catalog import query
 from vecmosaic.plans.geometry import H, matches
-from vecmosaic.plans.graphs import communities, edges, images, pruned
+from vecmosaic.plans.graphs import communities, edges, images, next_ones, pruned
 from vecmosaic.plans.matching import ORIENTED_SQL, rounded
 from vecmosaic.session import checkpointed, written
 from vecmosaic.sources.tables import features
@@ -24,19 +24,19 @@ def points(spark, sf):
 
 
 def whole_graph(spark, sf):
-    """The edges of all features and those left by pruning, written once as they are read many times."""
-    e = written(edges(spark, sf, features), "edges")
-    return e, written(G.prune_threshold(e, features(spark, sf).count(), 2.5), "pruned")
+    """The edges inside the sets of all features and those left by pruning, written once as they are read many times."""
+    e = edges(spark, sf)
+    return e, written(pruned(spark, sf, e), "pruned")
 
 
 @query("GM9_louvain")
 def louvain(spark, sf):
-    return K.louvain(pruned(spark, sf, features))
+    return K.louvain(pruned(spark, sf))
 
 
 @query("GM9_louvain_modularity")
 def louvain_modularity(spark, sf):
-    near = written(pruned(spark, sf, features), "pruned")
+    near = written(pruned(spark, sf), "pruned")
     return G.modularity(near, K.louvain(near))
 
 
@@ -49,24 +49,25 @@ def split_large_clusters(spark, sf):
 @query("GM16_cluster_match")
 def cluster_match(spark, sf):
     e, near = whole_graph(spark, sf)
-    return G.community_matches(near, e, K.split_large(e, K.louvain(near), 50, 1.5), images(spark, sf, features), 0.99)
+    return G.community_matches(near, e, K.split_large(e, K.louvain(near), 50, 1.5), images(spark, sf), 0.99)
 
 
 @query("BD2_cluster_benchmark")
 def cluster_benchmark(spark, sf):
     f = features(spark, sf)
     e, near = whole_graph(spark, sf)
-    found = G.community_matches(near, e, K.louvain(near), images(spark, sf, features), 0.999)
+    found = G.community_matches(near, e, K.louvain(near), images(spark, sf), 0.999)
     return Geo.evaluate(M.with_positions(found, f), H, [0.95, 0.99, 0.999]).groupBy("threshold").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("error"), 6).alias("mean_error"))
 
 
-CC = "e AS (SELECT l_suppkey AS a, l_partkey + 100000 AS b FROM lineitem WHERE l_orderkey % 50 = 0), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e)"
+CC = "e AS (SELECT l_suppkey AS a, l_partkey + 100000 AS b FROM lineitem), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e)"
 
 
-@query("components", f"""WITH RECURSIVE {CC}, r(v, root) AS (SELECT a, a FROM s UNION SELECT s.b, r.root FROM r JOIN s ON s.a = r.v AND r.root < s.b)
-SELECT v::BIGINT AS vertex, min(root)::BIGINT AS component FROM r GROUP BY v""")
+@query("components", f"""WITH RECURSIVE {CC}, r(v, root) USING KEY (v) AS (SELECT a, min(a) FROM s GROUP BY a UNION
+  SELECT s.b, min(r.root) FROM r JOIN s ON s.a = r.v JOIN recurring.r AS old ON old.v = s.b WHERE r.root < old.root GROUP BY s.b)
+SELECT v::BIGINT AS vertex, root::BIGINT AS component FROM r""")
 def components(spark, sf):
-    li = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_orderkey % 50 = 0")
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
     return connected_components(li.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 100000).alias("dst")))
 
 
@@ -113,23 +114,24 @@ def iso_match(spark, sf):
     return linked.join(good, ["p1", "p2"], "left_semi").select("i", "j", "p1", "p2")
 
 
-query("GM29_spin_glass")(lambda spark, sf: K.spin_glass(G.prune_highest(checkpointed(pruned(spark, sf, features)), 2), k=6, sweeps=30))
-query("AG33_mutual_information")(lambda spark, sf: K.adjusted_mutual_information(K.louvain(pruned(spark, sf, features)), images(spark, sf, features).withColumnRenamed("image", "cluster")))
-query("AG33_self_information")(lambda spark, sf: K.adjusted_mutual_information(communities(spark, sf, features), communities(spark, sf, features)).select(F.round("ami", 6).alias("ami")))
+query("GM29_spin_glass")(lambda spark, sf: K.spin_glass(G.prune_highest(checkpointed(pruned(spark, sf)), 2), k=6, sweeps=30))
+query("AG33_mutual_information")(lambda spark, sf: K.adjusted_mutual_information(K.louvain(pruned(spark, sf)), images(spark, sf).withColumnRenamed("image", "cluster")))
+query("AG33_self_information")(lambda spark, sf: K.adjusted_mutual_information(communities(spark, sf), communities(spark, sf)).select(F.round("ami", 6).alias("ami")))
 
-MATCHES = f"""{ORIENTED_SQL}, mm AS (SELECT m.i * 100000 + m.j AS id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, m.score FROM m JOIN f a ON m.i = a.id JOIN f b ON m.j = b.id WHERE im_i = 0),
-af AS (SELECT a.id AS a, b.id AS b, CASE WHEN abs(d0 - d1) < 150 THEN 4.5 - (d0 - d1) ** 2 / 5000 ELSE 0 END AS w FROM (SELECT a.id AS ai, b.id AS bi, sqrt((a.x1 - b.x1) ** 2 + (a.y1 - b.y1) ** 2) AS d0, sqrt((a.x2 - b.x2) ** 2 + (a.y2 - b.y2) ** 2) AS d1 FROM mm a JOIN mm b ON a.id <> b.id) q JOIN mm a ON a.id = q.ai JOIN mm b ON b.id = q.bi),
-aw AS (SELECT * FROM af WHERE w <> 0 UNION ALL SELECT id, id, 4.5 * (1 - score / (SELECT max(score) FROM mm)) FROM mm)"""
+MATCHES = f"""{ORIENTED_SQL}, mm AS (SELECT im_i * 1000 + im_j AS pair, m.i * 1000000 + m.j AS id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, m.score FROM m JOIN f a ON m.i = a.id JOIN f b ON m.j = b.id),
+af AS (SELECT q.pair, a.id AS a, b.id AS b, CASE WHEN abs(d0 - d1) < 150 THEN 4.5 - (d0 - d1) ** 2 / 5000 ELSE 0 END AS w FROM (SELECT a.pair, a.id AS ai, b.id AS bi, sqrt((a.x1 - b.x1) ** 2 + (a.y1 - b.y1) ** 2) AS d0, sqrt((a.x2 - b.x2) ** 2 + (a.y2 - b.y2) ** 2) AS d1 FROM mm a JOIN mm b ON a.pair = b.pair AND a.id <> b.id) q JOIN mm a ON a.id = q.ai JOIN mm b ON b.id = q.bi),
+aw AS (SELECT * FROM af WHERE w <> 0 UNION ALL SELECT pair, id, id, 4.5 * (1 - score / max(score) OVER (PARTITION BY pair)) FROM mm)"""
 
 
 def some_matches(spark, sf):
-    m = matches(spark, sf).where("im_i = 0")
-    return m.select((F.col("i") * 100000 + F.col("j")).alias("id"), "i", "j", "x1", "y1", "x2", "y2", "score", "ratio")
+    """The matches of every image pair; ids and pairs are numbers made of both ends."""
+    m = matches(spark, sf)
+    return m.select((F.col("im_i") * 1000 + F.col("im_j")).cast("long").alias("pair"), (F.col("i") * 1000000 + F.col("j")).alias("id"), "i", "j", "x1", "y1", "x2", "y2", "score", "ratio")
 
 
-@query("GM24_affinity_matrix", f"WITH {MATCHES} SELECT a, b, round(w, 5) + 0.0 AS w FROM aw")
+@query("GM24_affinity_matrix", f"WITH {MATCHES} SELECT pair::BIGINT AS pair, a, b, round(w, 5) + 0.0 AS w FROM aw")
 def affinity_matrix(spark, sf):
-    return S.affinities(some_matches(spark, sf)).select("a", "b", (F.round("w", 5) + 0.0).alias("w"))
+    return S.affinities(some_matches(spark, sf)).select("pair", "a", "b", (F.round("w", 5) + 0.0).alias("w"))
 
 
 @query("GM23_affinity", "SELECT o_orderkey, round(CASE WHEN abs(d) < 150 THEN 4.5 - d * d / 5000 ELSE 0 END, 6)::DOUBLE AS affinity FROM (SELECT o_orderkey, o_totalprice / 1000 - 100 AS d FROM orders)")
@@ -139,7 +141,7 @@ def affinity(spark, sf):
 
 
 query("GM25_spectral_match")(lambda spark, sf: rounded(S.spectral_match(some_matches(spark, sf)).select("i", "j", "x"), "x"))
-query("TK2_top_half")(lambda spark, sf: S.top_share(S.principal_vector(S.affinities(some_matches(spark, sf)), 8), 0.5).select("id"))
+query("TK2_top_half")(lambda spark, sf: S.top_share(S.principal_vector(S.affinities(some_matches(spark, sf)), 8), 0.5).select("pair", "id"))
 
 
 @query("BD3_spectral_benchmark")
@@ -166,8 +168,7 @@ def near_duplicates(spark, sf):
     return rounded(M.mirror_match(features(spark, sf)).groupBy("im_i", "im_j").agg(F.count(F.lit(1)).alias("n"), F.min("ratio").alias("best")), "best")
 
 
-@query("SF2_euclidean_table", "SELECT a.vec_id AS i, b.vec_id AS j, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS d FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND b.vec_id < 50")
+@query("SF2_euclidean_table", "SELECT a.vec_id AS i, b.vec_id AS j, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS d FROM embeddings a JOIN embeddings b ON b.vec_id BETWEEN a.vec_id + 1 AND a.vec_id + 8")
 def euclidean_table(spark, sf):
-    f = features(spark, sf).where("feature_id < 50")
-    a, b = f.alias("a"), f.alias("b")
-    return a.join(b, F.col("a.feature_id") < F.col("b.feature_id")).select(F.col("a.feature_id").alias("i"), F.col("b.feature_id").alias("j"), F.round(V.euclidean(F.col("a.descriptor"), F.col("b.descriptor")), 6).alias("d"))
+    a, b = next_ones(features(spark, sf), 8).alias("a"), features(spark, sf).alias("b")
+    return a.join(b, F.col("a.next_id") == F.col("b.feature_id")).select(F.col("a.feature_id").alias("i"), F.col("b.feature_id").alias("j"), F.round(V.euclidean(F.col("a.descriptor"), F.col("b.descriptor")), 6).alias("d"))

@@ -12,8 +12,8 @@ from vecmosaic.operators import spectral as S
 from vecmosaic.operators import stitch as T
 from vecmosaic.plans.catalog import query
 from vecmosaic.plans.clusters import iso_match, whole_graph
-from vecmosaic.plans.geometry import ERRORS, F_AB, F_AC, F_BC, H, T_SQL, THRESHOLDS, VIEWS, error_sql, matches, points
-from vecmosaic.plans.graphs import ANGLE, IMAGES, PART, PRUNED, SCORED, communities, edges, group, images, pruned, threshold_sql, N_V
+from vecmosaic.plans.geometry import ERRORS, F_AB, F_AC, F_BC, H, T_SQL, THRESHOLDS, VIEWS, error_sql, matches, near_pairs, points
+from vecmosaic.plans.graphs import ANGLE, CELLS, IMAGES, PART, PRUNED, SCORED, cells, communities, edges, group, images, pruned, threshold_sql
 from vecmosaic.plans.matching import FEATURES, PAIRS, ranked_sql, rounded
 from vecmosaic.sources.tables import features
 
@@ -44,8 +44,10 @@ def spectral_over_clusters(spark, sf):
     """Spectral selection over community matches."""
     f = features(spark, sf)
     e, near = whole_graph(spark, sf)
-    m = G.community_matches(near, e, K.louvain(near), images(spark, sf, features), 0.999)
-    rows = M.with_positions(m, f).select((F.col("i") * 100000 + F.col("j")).alias("id"), "i", "j", "x1", "y1", "x2", "y2", F.col("ratio").alias("score"), "ratio")
+    m = G.community_matches(near, e, K.louvain(near), images(spark, sf), 0.999)
+    ends = images(spark, sf)
+    of = lambda k: ends.select(F.col("vertex").alias(k), F.col("image").alias(f"im_{k}"))
+    rows = M.with_positions(m, f).join(of("i"), "i").join(of("j"), "j").select((F.col("im_i") * 1000 + F.col("im_j")).cast("long").alias("pair"), (F.col("i") * 1000000 + F.col("j")).alias("id"), "i", "j", "x1", "y1", "x2", "y2", F.col("ratio").alias("score"), "ratio")
     return S.spectral_match(rows, keep=0.5).select("i", "j", F.round("ratio", 6).alias("ratio"))
 
 
@@ -58,9 +60,7 @@ def iso_benchmark(spark, sf):
 
 @query("BD10_match_distances", f"WITH {VIEWS} SELECT count(*) AS n, count(*) FILTER (CASE WHEN d_bc IS NOT NULL THEN greatest(d_ac, d_bc) ELSE d_ac END < 30) AS n_near FROM d LEFT JOIN h ON d.a = h.a AND d.c = h.c")
 def match_distances(spark, sf):
-    a, c = points(spark, sf, 0), points(spark, sf, 2)
-    m = a.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.lit(0).alias("z")).join(c.select(F.col("id").alias("c"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.lit(0).alias("z")), "z").where("(a + c) % 3 = 0")
-    return Geo.two_hop(m, points(spark, sf, 1), F_AC, F_AB, F_BC, 30.0).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("error") < 30).alias("n_near"))
+    return Geo.two_hop(near_pairs(spark, sf), points(spark, sf, 1), F_AC, F_AB, F_BC, 30.0).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("error") < 30).alias("n_near"))
 
 
 @query("GM26_weighted_graph", f"WITH {PRUNED} SELECT src, dst, round(w, 6) AS w FROM pr WHERE src < dst AND w > 0")
@@ -89,9 +89,9 @@ def contract_images(spark, sf):
     return T.contract(e.select(F.col("im_i").cast("long").alias("src"), F.col("im_j").cast("long").alias("dst"), "n", h.alias("h")))
 
 
-@query("WN5_first_threshold", f"WITH {ANGLE}, {threshold_sql(str(0.1 * N_V * N_V), 600)} SELECT round(t, 6) AS t FROM th")
+@query("WN5_first_threshold", f"WITH {ANGLE}, {threshold_sql(f'0.1 * {CELLS}', 600)} SELECT round(t, 6) AS t FROM th")
 def first_threshold(spark, sf):
-    return spark.range(1).select(F.round(G.fraction_threshold(edges(spark, sf), N_V, 0.1), 6).alias("t"))
+    return spark.range(1).select(F.round(G.fraction_threshold(edges(spark, sf), cells(spark, sf), 0.1), 6).alias("t"))
 
 
 @query("PF13_mask", "SELECT vec_id::BIGINT AS id, (label IN (1, 3)) AS inside FROM embeddings")

@@ -119,17 +119,21 @@ def band(spark, sf):
     return rounded(G.band_join(G.lines(points(spark, sf, 0), F_AC), points(spark, sf, 2), 8.0), "dist")
 
 
-VIEWS = f"""{LINES}, m AS (SELECT a.id AS a, c.id AS c, c.x AS cx, c.y AS cy FROM f a JOIN f c ON a.img = 0 AND c.img = 2 AND (a.id + c.id) % 3 = 0),
+VIEWS = f"""{LINES}, m AS (SELECT a.id AS a, c.id AS c, c.x AS cx, c.y AS cy FROM f a JOIN f c ON a.img = 0 AND c.img = 2 AND c.id BETWEEN a.id - 60 AND a.id + 60),
 d AS (SELECT m.*, abs(la * cx + lb * cy + lc) AS d_ac FROM m JOIN ac ON m.a = ac.id),
 nb AS (SELECT l.id AS a, p.id AS b FROM ab l JOIN f p ON p.img = 1 AND abs(la * x + lb * y + lc) < 30),
 h AS (SELECT d.a, d.c, min(abs(la * cx + lb * cy + lc)) AS d_bc FROM d JOIN nb ON d.a = nb.a JOIN bc ON bc.id = nb.b WHERE d.d_ac < 30 GROUP BY d.a, d.c)"""
 
 
+def near_pairs(spark, sf):
+    """Pairs of points of images 0 and 2 whose ids are at most 60 apart."""
+    a = points(spark, sf, 0).select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.explode(F.sequence(F.col("id") - 60, F.col("id") + 60)).alias("c"))
+    return a.join(points(spark, sf, 2).select(F.col("id").alias("c"), F.col("x").alias("cx"), F.col("y").alias("cy")), "c")
+
+
 @query("JN18_two_hop_verification", f"WITH {VIEWS} SELECT d.a, d.c, round(CASE WHEN d_bc IS NOT NULL THEN greatest(d_ac, d_bc) ELSE d_ac END, 6) AS error FROM d LEFT JOIN h ON d.a = h.a AND d.c = h.c")
 def two_hop(spark, sf):
-    a, c = points(spark, sf, 0), points(spark, sf, 2)
-    m = a.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.lit(0).alias("z")).join(c.select(F.col("id").alias("c"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.lit(0).alias("z")), "z").where("(a + c) % 3 = 0")
-    return rounded(G.two_hop(m, points(spark, sf, 1), F_AC, F_AB, F_BC, 30.0), "error")
+    return rounded(G.two_hop(near_pairs(spark, sf), points(spark, sf, 1), F_AC, F_AB, F_BC, 30.0), "error")
 
 
 VIEW3 = f"""{LINES}, g AS (SELECT DISTINCT l.id AS a, p.id AS c FROM ac l JOIN f p ON p.img = 2 AND abs(l.la * p.x + l.lb * p.y + l.lc) < 30
@@ -178,15 +182,15 @@ def improvement(spark, sf):
     return rounded(C.false_positives_removed(pr, pr.withColumn("precision", F.col("precision") * 0.5), 100).select("recall", "improvement"), "recall", "improvement")
 
 
-SAME = f"""{FEATURES}, sc AS (SELECT a.img = b.img AS same, list_distance(a.v, b.v) AS score, a.id AS i, b.id AS j FROM f a JOIN f b ON a.id < b.id AND b.id < 150)"""
+SAME = f"""{FEATURES}, sc AS (SELECT a.img = b.img AS same, list_distance(a.v, b.v) AS score, a.id AS i, b.id AS j FROM f a JOIN f b ON b.id BETWEEN a.id + 1 AND a.id + 20)"""
 
 
 def pair_scores(spark, sf):
     from vecmosaic.functions.vectors import euclidean
 
-    f = features(spark, sf).where("feature_id < 150")
-    a, b = f.alias("a"), f.alias("b")
-    return a.join(b, F.col("a.feature_id") < F.col("b.feature_id")).select(
+    f = features(spark, sf)
+    a, b = f.withColumn("next_id", F.explode(F.sequence(F.col("feature_id") + 1, F.col("feature_id") + 20))).alias("a"), f.alias("b")
+    return a.join(b, F.col("a.next_id") == F.col("b.feature_id")).select(
         F.col("a.feature_id").alias("i"), F.col("b.feature_id").alias("j"), (F.col("a.image_id") == F.col("b.image_id")).alias("same"), euclidean(F.col("a.descriptor"), F.col("b.descriptor")).alias("score")
     )
 

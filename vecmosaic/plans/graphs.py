@@ -11,35 +11,48 @@ from vecmosaic.functions import vectors as V
 from vecmosaic.operators import graph as G
 from vecmosaic.plans.catalog import query
 from vecmosaic.plans.matching import FEATURES, rounded
+from vecmosaic.session import written
 from vecmosaic.sources.tables import features
 
-N_V = 200  # the group of features whose dense graph the queries with a SQL twin use; the others read all features
-GROUP = f"g AS (SELECT * FROM f WHERE id < {N_V})"
-ANGLE = f"""{FEATURES}, {GROUP}, dt AS (SELECT a.id AS src, b.id AS dst, list_cosine_similarity(a.v, b.v) AS c FROM g a JOIN g b ON TRUE),
+#: Features of an image set: those of several images, which are matched with each other.  Every query
+#: runs over all sets of the table.
+SET = 200
+N_V = "(SELECT count(*) FROM f)"
+CELLS = f"(SELECT sum(n * n) FROM (SELECT count(*) AS n FROM f GROUP BY id // {SET}))"
+GROUP = f"g AS (SELECT *, id // {SET} AS s FROM f)"
+ANGLE = f"""{FEATURES}, {GROUP}, dt AS (SELECT a.id AS src, b.id AS dst, list_cosine_similarity(a.v, b.v) AS c FROM g a JOIN g b ON a.s = b.s),
 ad AS (SELECT src, dst, acos(least(1.0, greatest(-1.0, c / (SELECT max(c) FROM dt)))) AS value FROM dt WHERE src <> dst),
 ew AS (SELECT src, dst, 1 - value / pi() AS w FROM ad)"""
-IMAGES = f"im AS (SELECT id AS vertex, img AS image FROM f WHERE id < {N_V})"
+IMAGES = "im AS (SELECT id AS vertex, img AS image FROM f)"
 
 
 def group(spark, sf):
-    return features(spark, sf).where(F.col("feature_id") < N_V)
+    """All features with their image set."""
+    return features(spark, sf).withColumn("set_id", F.floor(F.col("feature_id") / SET).cast("long"))
 
 
-def edges(spark, sf, rows=group):
-    return G.weights(G.angle_distances(rows(spark, sf)))
+def cells(spark, sf):
+    """Cells of the weight matrices of all sets."""
+    n = group(spark, sf).groupBy("set_id").agg(F.count(F.lit(1)).alias("n"))
+    return float(n.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0)
 
 
-def images(spark, sf, rows=group):
-    return rows(spark, sf).select(F.col("feature_id").alias("vertex"), F.col("image_id").alias("image"))
+def edges(spark, sf):
+    """The edges inside image sets, written once as most queries read them many times."""
+    return written(G.weights(G.angle_distances(group(spark, sf), "set_id")), "edges")
 
 
-def communities(spark, sf, rows=group):
-    """A fixed partition that mixes images: the sign of two components and the label's parity."""
+def images(spark, sf):
+    return group(spark, sf).select(F.col("feature_id").alias("vertex"), F.col("image_id").alias("image"))
+
+
+def communities(spark, sf):
+    """A fixed partition of each set that mixes images: the signs of four components."""
     d = lambda k: (F.element_at("descriptor", k) > 0).cast("long")
-    return rows(spark, sf).select(F.col("feature_id").alias("vertex"), (d(1) + 2 * d(2) + 4 * d(3) + 8 * d(4)).alias("cluster"))
+    return group(spark, sf).select(F.col("feature_id").alias("vertex"), (16 * F.col("set_id") + d(1) + 2 * d(2) + 4 * d(3) + 8 * d(4)).alias("cluster"))
 
 
-PART = f"pt AS (SELECT id AS vertex, {' + '.join(f'{1 << k} * (CASE WHEN v[{k + 1}] > 0 THEN 1 ELSE 0 END)' for k in range(4))} AS cluster FROM f WHERE id < {N_V})".replace("AS cluster", "AS cluster")
+PART = f"pt AS (SELECT id AS vertex, 16 * (id // {SET}) + {' + '.join(f'{1 << k} * (CASE WHEN v[{k + 1}] > 0 THEN 1 ELSE 0 END)' for k in range(4))} AS cluster FROM f)"
 
 
 def threshold_sql(need: str, n: int, name: str = "th", start: float = 0.0) -> str:
@@ -49,16 +62,16 @@ def threshold_sql(need: str, n: int, name: str = "th", start: float = 0.0) -> st
 {name} AS (SELECT CASE WHEN k IS NULL THEN {start} WHEN k = 0 THEN 1.0 ELSE 1 + k * ({start} - 1.0)::DOUBLE / {n - 1} END::DOUBLE AS t FROM {name}m)"""
 
 
-@query("GM1_hamming_distances", f"""WITH {FEATURES}, {GROUP}, h AS (SELECT a.id AS src, b.id AS dst, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (a.v[i] > 0) <> (b.v[i] > 0) THEN 1 ELSE 0 END))::BIGINT AS value FROM g a JOIN g b ON a.id <> b.id)
-SELECT * FROM h WHERE src < 60 AND dst < 60""")
+@query("GM1_hamming_distances", f"""WITH {FEATURES}, {GROUP}, h AS (SELECT a.id AS src, b.id AS dst, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (a.v[i] > 0) <> (b.v[i] > 0) THEN 1 ELSE 0 END))::BIGINT AS value FROM g a JOIN g b ON a.s = b.s AND a.id <> b.id)
+SELECT * FROM h""")
 def hamming(spark, sf):
-    w = features(spark, sf).where("feature_id < 60").select("feature_id", V.sign_words(F.col("descriptor")).alias("words"))
-    return G.hamming_distances(w)
+    w = group(spark, sf).select("feature_id", "set_id", V.sign_words(F.col("descriptor")).alias("words"))
+    return G.hamming_distances(w, by="set_id")
 
 
 @query("GM2_angle_distances", f"WITH {ANGLE} SELECT src, dst, round(value, 6) AS value FROM ad")
 def angle(spark, sf):
-    return rounded(G.angle_distances(group(spark, sf)), "value")
+    return rounded(G.angle_distances(group(spark, sf), "set_id"), "value")
 
 
 @query("GM3_weights", f"WITH {ANGLE} SELECT src, dst, round(w, 6) AS w FROM ew")
@@ -66,17 +79,16 @@ def weights(spark, sf):
     return rounded(edges(spark, sf), "w")
 
 
-@query("GM4_edge_threshold", f"WITH {ANGLE}, {threshold_sql(str(2.5 * 2 * N_V), 600)} SELECT round(t, 6) AS t FROM th")
+@query("GM4_edge_threshold", f"WITH {ANGLE}, {threshold_sql(f'2.5 * 2 * {N_V}', 600)} SELECT round(t, 6) AS t FROM th")
 def edge_threshold(spark, sf):
-    return spark.range(1).select(F.round(G.edge_threshold(edges(spark, sf), N_V, 2.5), 6).alias("t"))
+    return spark.range(1).select(F.round(G.edge_threshold(edges(spark, sf), group(spark, sf).count(), 2.5), 6).alias("t"))
 
 
-PRUNED = f"{ANGLE}, {threshold_sql(str(2.5 * 2 * N_V), 600)}, pr AS (SELECT src, dst, w FROM ew, th WHERE w > t AND w <> 1)"
+PRUNED = f"{ANGLE}, {threshold_sql(f'2.5 * 2 * {N_V}', 600)}, pr AS (SELECT src, dst, w FROM ew, th WHERE w > t AND w <> 1)"
 
 
-def pruned(spark, sf, rows=group):
-    n = N_V if rows is group else rows(spark, sf).count()
-    return G.prune_threshold(edges(spark, sf, rows), n, 2.5)
+def pruned(spark, sf, full=None):
+    return G.prune_threshold(edges(spark, sf) if full is None else full, group(spark, sf).count(), 2.5)
 
 
 @query("GM5_prune_threshold", f"WITH {PRUNED} SELECT src, dst, round(w, 6) AS w FROM pr")
@@ -84,9 +96,9 @@ def prune_threshold(spark, sf):
     return rounded(pruned(spark, sf), "w")
 
 
-@query("GM6_prune_fraction", f"WITH {ANGLE}, {threshold_sql(str(0.05 * N_V * N_V), 500)} SELECT src, dst, round(w, 6) AS w FROM ew, th WHERE w > t AND w <> 1")
+@query("GM6_prune_fraction", f"WITH {ANGLE}, {threshold_sql(f'0.05 * {CELLS}', 500)} SELECT src, dst, round(w, 6) AS w FROM ew, th WHERE w > t AND w <> 1")
 def prune_fraction(spark, sf):
-    return rounded(G.prune_fraction(edges(spark, sf), N_V, 0.05), "w")
+    return rounded(G.prune_fraction(edges(spark, sf), cells(spark, sf), 0.05), "w")
 
 
 @query("GM7_prune_rows", f"""WITH {ANGLE}, mx AS (SELECT dst, max(w) AS m FROM ew GROUP BY dst), st AS (SELECT max(m) AS hi, min(m) AS lo, count(*) AS n FROM mx),
@@ -161,7 +173,8 @@ lm AS (SELECT a.src AS i, a.dst AS j, a.w2 / a.w AS ratio, a.w FROM lb a JOIN lb
 
 
 def community_matches(spark, sf):
-    return G.community_matches(pruned(spark, sf), edges(spark, sf), communities(spark, sf), images(spark, sf), 0.999)
+    full = edges(spark, sf)
+    return G.community_matches(written(pruned(spark, sf, full), "pruned"), full, communities(spark, sf), images(spark, sf), 0.999)
 
 
 @query("GM13_community_matches", f"WITH {COMM} SELECT i, j, round(ratio, 6) AS ratio, round(w, 6) AS w FROM (SELECT * FROM sg UNION ALL SELECT * FROM lm)")
@@ -171,7 +184,8 @@ def community(spark, sf):
 
 @query("GM17_community_similarity", f"WITH {COMM} SELECT count(*) AS n_matches, round(count(*)::DOUBLE / {N_V}, 6) AS similarity FROM (SELECT * FROM sg UNION ALL SELECT * FROM lm)")
 def community_similarity(spark, sf):
-    return rounded(community_matches(spark, sf).agg(F.count(F.lit(1)).alias("n_matches"), (F.count(F.lit(1)) / N_V).alias("similarity")), "similarity")
+    n = group(spark, sf).agg(F.count(F.lit(1))).scalar()
+    return rounded(community_matches(spark, sf).agg(F.count(F.lit(1)).alias("n_matches")).select("n_matches", (F.col("n_matches") / n).alias("similarity")), "similarity")
 
 
 @query("GM15_heaviest_cross_edges", f"""WITH {COH}, x AS (SELECT c1 AS cluster, src, dst, w, row_number() OVER (PARTITION BY c1 ORDER BY w DESC, src, dst) AS r, count(*) OVER (PARTITION BY c1) AS n FROM ci WHERE i1 = 0 AND i2 = 1)
@@ -180,23 +194,23 @@ def heaviest(spark, sf):
     return rounded(G.heaviest_cross_edges(pruned(spark, sf), communities(spark, sf), images(spark, sf), 0, 1), "w")
 
 
-POS = f"{FEATURES}, {GROUP}, pd AS (SELECT a.id AS src, b.id AS dst, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS value FROM g a JOIN g b ON a.id <> b.id AND a.id < 60 AND b.id < 60)"
+POS = f"{FEATURES}, {GROUP}, pd AS (SELECT a.id AS src, b.id AS dst, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS value FROM g a JOIN g b ON a.s = b.s AND a.id <> b.id)"
 
 
 @query("GM18_position_distances", f"WITH {POS} SELECT src, dst, round(value, 4) AS value FROM pd")
 def position_distances(spark, sf):
-    return G.position_distances(group(spark, sf).where("feature_id < 60")).select("src", "dst", F.round("value", 4).alias("value"))
+    return G.position_distances(group(spark, sf), "set_id").select("src", "dst", F.round("value", 4).alias("value"))
 
 
-@query("GM19_geometric_weights", f"""WITH {ANGLE}, {IMAGES}, pd AS (SELECT a.id AS src, b.id AS dst, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS value FROM g a JOIN g b ON a.id <> b.id)
+@query("GM19_geometric_weights", f"""WITH {ANGLE}, {IMAGES}, pd AS (SELECT a.id AS src, b.id AS dst, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS value FROM g a JOIN g b ON a.s = b.s AND a.id <> b.id)
 SELECT pd.src, pd.dst, round(CASE WHEN a.image = b.image THEN value / (SELECT max(value) FROM pd) ELSE coalesce(w, 0) END, 6) AS w FROM pd LEFT JOIN ew ON pd.src = ew.src AND pd.dst = ew.dst JOIN im a ON pd.src = a.vertex JOIN im b ON pd.dst = b.vertex""")
 def geometric_weights(spark, sf):
-    return rounded(G.geometric_weights(edges(spark, sf), G.position_distances(group(spark, sf)), images(spark, sf)), "w")
+    return rounded(G.geometric_weights(edges(spark, sf), G.position_distances(group(spark, sf), "set_id"), images(spark, sf)), "w")
 
 
-@query("PF10_vertex_filter", f"WITH {FEATURES}, {PART} SELECT vertex FROM pt WHERE cluster IN (1, 3, 5)")
+@query("PF10_vertex_filter", f"WITH {FEATURES}, {PART} SELECT vertex FROM pt WHERE cluster % 16 IN (1, 3, 5)")
 def vertex_filter(spark, sf):
-    return communities(spark, sf).where(F.col("cluster").isin(1, 3, 5)).select("vertex")
+    return communities(spark, sf).where((F.col("cluster") % 16).isin(1, 3, 5)).select("vertex")
 
 
 @query("PF11_positive_edges", f"WITH {PRUNED} SELECT count(*) AS n FROM pr WHERE w > 0")
@@ -204,9 +218,9 @@ def positive_edges(spark, sf):
     return pruned(spark, sf).where("w > 0").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("ST4_mask_union", f"WITH {FEATURES}, {PART} SELECT vertex, (cluster IN (1, 3) OR vertex < 20) AS either, (cluster IN (1, 3) AND vertex < 20) AS together FROM pt")
+@query("ST4_mask_union", f"WITH {FEATURES}, {PART} SELECT vertex, (cluster % 16 IN (1, 3) OR vertex % 3 = 0) AS either, (cluster % 16 IN (1, 3) AND vertex % 3 = 0) AS together FROM pt")
 def mask_union(spark, sf):
-    a, b = F.col("cluster").isin(1, 3), F.col("vertex") < 20
+    a, b = (F.col("cluster") % 16).isin(1, 3), F.col("vertex") % 3 == 0
     return communities(spark, sf).select("vertex", (a | b).alias("either"), (a & b).alias("together"))
 
 
@@ -229,15 +243,19 @@ def heaviest_edge(spark, sf):
     return rounded(pruned(spark, sf).where("src < dst").orderBy(F.desc("w"), "src", "dst").limit(1), "w")
 
 
-RES = f"""{FEATURES}, sc AS (SELECT a.id AS p1, b.id AS p2, CASE WHEN (a.id + b.id) % 7 = 0 THEN 'NaN'::DOUBLE ELSE list_distance(a.v, b.v) END AS score FROM f a JOIN f b ON a.id < b.id AND b.id < 50),
+RES = f"""{FEATURES}, sc AS (SELECT a.id AS p1, b.id AS p2, CASE WHEN (a.id + b.id) % 7 = 0 THEN 'NaN'::DOUBLE ELSE list_distance(a.v, b.v) END AS score FROM f a JOIN f b ON b.id BETWEEN a.id + 1 AND a.id + 8),
 bo AS (SELECT p1, p2, CASE WHEN isnan(score) THEN 0 ELSE score END AS v FROM sc UNION ALL SELECT p2, p1, CASE WHEN isnan(score) THEN 0 ELSE score END FROM sc)"""
 
 
+def next_ones(f, n, key="feature_id"):
+    """Rows with the ids of the ``n`` that follow theirs in ``next_id``."""
+    return f.withColumn("next_id", F.explode(F.sequence(F.col(key) + 1, F.col(key) + n)))
+
+
 def named_scores(spark, sf):
-    f = features(spark, sf).where("feature_id < 50")
-    a, b = f.alias("a"), f.alias("b")
+    a, b = next_ones(features(spark, sf), 8).alias("a"), features(spark, sf).alias("b")
     d = F.when((F.col("a.feature_id") + F.col("b.feature_id")) % 7 == 0, F.lit(float("nan"))).otherwise(V.euclidean(F.col("a.descriptor"), F.col("b.descriptor")))
-    return a.join(b, F.col("a.feature_id") < F.col("b.feature_id")).select(F.col("a.feature_id").alias("p1"), F.col("b.feature_id").alias("p2"), d.alias("score"))
+    return a.join(b, F.col("a.next_id") == F.col("b.feature_id")).select(F.col("a.feature_id").alias("p1"), F.col("b.feature_id").alias("p2"), d.alias("score"))
 
 
 @query("JN22_result_matrix", f"WITH {RES} SELECT p1, p2, round((v - (SELECT least(min(v), 0) FROM bo)) / (SELECT greatest(max(v), 0) - least(min(v), 0) FROM bo), 6) AS value FROM bo")

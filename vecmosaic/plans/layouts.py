@@ -51,18 +51,18 @@ def write_images(spark, sf):
     return S.write_images(images(spark), place(spark, "images")).select("image_id", F.element_at(F.split("path", "/"), -1).alias("name"))
 
 
-@query("SRC5_face_csv", "SELECT vec_id || '.png' AS path, CAST(label AS INTEGER) AS label, CAST(vec_id % 5 AS INTEGER) AS grp FROM embeddings WHERE vec_id < 240")
+@query("SRC5_face_csv", "SELECT vec_id || '.png' AS path, CAST(label AS INTEGER) AS label, CAST(vec_id % 5 AS INTEGER) AS grp FROM embeddings")
 def face_csv(spark, sf):
     at = place(spark, "faces")
     people(spark, sf).select(F.concat(F.col("id").cast("string"), F.lit(".png")), "label", "grp").write.option("sep", ";").csv(at)
     return S.read_face_csv(spark, at)
 
 
-@query("SRC6_keypoint_files", f"""WITH {FEATURES}, q AS (SELECT img, id - min(id) OVER (PARTITION BY img) AS o, id, v[1:8] AS v FROM f WHERE id < 200), d AS (SELECT img, row_number() OVER (PARTITION BY img ORDER BY id) - 1 AS k, list_transform(v, lambda e: floor(abs(e) * 512)) AS w FROM q)
+@query("SRC6_keypoint_files", f"""WITH {FEATURES}, q AS (SELECT img, id - min(id) OVER (PARTITION BY img) AS o, id, v[1:8] AS v FROM f), d AS (SELECT img, row_number() OVER (PARTITION BY img ORDER BY id) - 1 AS k, list_transform(v, lambda e: floor(abs(e) * 512)) AS w FROM q)
 SELECT 'im' || img AS name, k::INTEGER AS feature_id, round(list_sum(list_transform(w, lambda e: e / sqrt(list_sum(list_transform(w, lambda z: z * z))))), 6) AS total FROM d""")
 def keypoint_files(spark, sf):
     at = place(spark, "keypoints")
-    f = features(spark, sf).where("feature_id < 200")
+    f = features(spark, sf)
     d = F.transform(F.slice("descriptor", 1, 8), lambda e: F.floor(F.abs(e) * 512).cast("int"))
     S.write_keypoints(f.select(F.concat(F.lit("im"), F.col("image_id").cast("string")).alias("name"), "feature_id", F.col("y").alias("row"), F.col("x").alias("col"), F.lit(1).alias("scale"), F.lit(0).alias("orientation"), d.alias("descriptor")), at)
     back = S.read_keypoints(spark, f"{at}/*", 8)

@@ -187,11 +187,12 @@ def all_pairs(spark, sf):
     return images.select(F.col("image_id").alias("p1")).join(images.select(F.col("image_id").alias("p2")), F.col("p1") < F.col("p2"))
 
 
-@query("JN23_same_label", "SELECT count(*) FILTER (a.label = b.label) AS n_same, count(*) FILTER (a.label <> b.label) AS n_diff FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND b.vec_id < 200")
+@query("JN23_same_label", "SELECT count(*) FILTER (a.label = b.label) AS n_same, count(*) FILTER (a.label <> b.label) AS n_diff FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id")
 def same_label(spark, sf):
-    f = features(spark, sf).select("feature_id", "image_id").where("feature_id < 200")
-    pairs = f.alias("a").join(f.alias("b"), F.col("a.feature_id") < F.col("b.feature_id")).select((F.col("a.image_id") == F.col("b.image_id")).alias("same"))
-    return pairs.agg(F.count_if("same").alias("n_same"), F.count_if(~F.col("same")).alias("n_diff"))
+    """Pairs are counted from the sizes of the labels, without making them."""
+    n = features(spark, sf).where("image_id is not null").groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
+    both = n.agg(F.sum(F.expr("n * (n - 1) div 2")).alias("n_same"), F.sum("n").alias("all"))
+    return both.select(F.coalesce("n_same", F.lit(0)).alias("n_same"), F.coalesce(F.expr("`all` * (`all` - 1) div 2 - n_same"), F.lit(0)).alias("n_diff"))
 
 
 @query("PF6_keep_match", f"""WITH {PAIRS}, {ranked_sql('k', 'all')} SELECT a.q AS i, a.t AS j, round(a.d, 6) AS score FROM k a JOIN k b ON a.t = b.q AND b.t = a.q AND a.r = 1 AND b.r = 1 WHERE a.qi < a.ti AND a.d < 1.25""")
@@ -201,10 +202,11 @@ def keep_match(spark, sf):
     return rounded(near.join(back, "t").where("back = q and qi < ti and d < 1.25").select(F.col("q").alias("i"), F.col("t").alias("j"), F.col("d").alias("score")), "score")
 
 
-@query("PF7_pair_orientation", f"WITH {PAIRS} SELECT CASE WHEN qi <= ti THEN q ELSE t END AS first_id, CASE WHEN qi <= ti THEN t ELSE q END AS second_id FROM p WHERE q < t AND q < 40 AND t < 40")
+@query("PF7_pair_orientation", f"WITH {PAIRS} SELECT CASE WHEN qi <= ti THEN q ELSE t END AS first_id, CASE WHEN qi <= ti THEN t ELSE q END AS second_id FROM p WHERE t BETWEEN q + 1 AND q + 8")
 def pair_orientation(spark, sf):
-    f = features(spark, sf).where("feature_id < 40").select("feature_id", "image_id")
-    p = f.alias("a").join(f.alias("b"), F.col("a.feature_id") < F.col("b.feature_id"))
+    f = features(spark, sf).select("feature_id", "image_id")
+    near = f.withColumn("next_id", F.explode(F.sequence(F.col("feature_id") + 1, F.col("feature_id") + 8)))
+    p = near.alias("a").join(f.alias("b"), F.col("a.next_id") == F.col("b.feature_id"))
     low = F.col("a.image_id") <= F.col("b.image_id")
     return p.select(F.when(low, F.col("a.feature_id")).otherwise(F.col("b.feature_id")).alias("first_id"), F.when(low, F.col("b.feature_id")).otherwise(F.col("a.feature_id")).alias("second_id"))
 
