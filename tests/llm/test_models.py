@@ -1,5 +1,6 @@
 import random
 import re
+import struct
 import time
 from collections import Counter, defaultdict
 
@@ -12,7 +13,7 @@ from vecmosaic.llm.ann_tree import AnnOptions, nearest_neighbours
 from vecmosaic.llm.language_id import fit_ftrl, fit_temperature, language_filter, language_id, softmax, LanguageOptions
 from vecmosaic.llm.license_scan import PHRASES, LicenseOptions, Scanner, license_scan, pieces
 from vecmosaic.llm.packing import PackingOptions, pack, pack_shard
-from vecmosaic.llm.piece_fst import PieceEncoder, PieceModel, PieceOptions, decode, decode_pieces, encode_pieces
+from vecmosaic.llm.piece_fst import Acceptor, PieceEncoder, PieceMachine, PieceModel, PieceOptions, _fields, decode, decode_pieces, encode_pieces, shortest_path
 
 
 def test_nearest_neighbours_reach_the_recall(spark):
@@ -228,3 +229,86 @@ def test_adjacent_notices_and_very_long_texts():
     got = one(("é All rights reserved, cc by " * 40_000).encode())
     assert time.perf_counter() - t < 20 and got["n_base"] == 80_000 and got["spans"].count("reserved:") == 40_000
     assert got["spans"].split(",")[39_999] == f"reserved:{39_999 * 29 + 2}:{39_999 * 29 + 21}:0"
+
+
+def _field(number, value):
+    """A protocol-buffer field: a number, a 32-bit float or bytes."""
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def unigram_model(pieces, normaliser, fallback):
+    """A model file with the given pieces and scores; nothing is trained."""
+    entries = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256) if fallback), *((p, s, 1) for p, s in pieces)]
+    data = b"".join(_field(1, _field(1, p.encode()) + _field(2, float(s)) + _field(3, k)) for p, s, k in entries)
+    return data + _field(2, _field(3, 1) + _field(35, int(fallback))) + _field(3, normaliser)
+
+
+@pytest.mark.parametrize("fallback", [True, False])
+@pytest.mark.parametrize("rule", ["identity", "nmt_nfkc"])
+def test_unigram_models_match_the_library(fallback, rule):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    rng = random.Random(17)
+    texts = {"▁", "a", "b", "c", "é", "1"} | {"".join(rng.choice("▁abc▁é1") for _ in range(rng.randint(2, 5))) for _ in range(120)}
+    pieces = [(t, rng.choice([-1.5, -2.25, -3.0, -rng.random() * 8])) for t in sorted(texts)]
+    if rule == "identity":
+        spec = _field(1, b"identity") + _field(3, 1) + _field(4, 0) + _field(5, 1)
+    else:
+        spec = dict(_fields(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()))[3]
+        spec = _field(1, rule.encode()) + _field(2, dict(_fields(spec))[2]) + _field(3, 1) + _field(4, 1) + _field(5, 1)
+    data = unigram_model(pieces, spec, fallback)
+    sp, model = sentencepiece.SentencePieceProcessor(model_proto=data), PieceModel(data)
+    one = PieceEncoder(model, 100)
+    bits = ["a", "b", "c", "é", "e\u0301", "1", "ａ", "①", " ", "  ", "x", "日本", "\u3000", "ﬁ", "▁", "\t", "\u200b", "\n", "ab", "cab"]
+    for _ in range(1500):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
+        assert np.frombuffer(one(pa.array([t]))[0], one.code).tolist() == sp.encode(t), repr(t)
+
+
+def test_shortest_path_is_the_least_of_all_paths():
+    rng = random.Random(23)
+    for _ in range(200):
+        machine, pieces = PieceMachine(), {}
+        for k, t in enumerate(sorted({"".join(rng.choice("ab") for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(2, 9))})):
+            pieces[k] = t, float(rng.randint(1, 40))
+            machine.add(t, k, pieces[k][1])
+        banned = {(rng.choice(list(pieces)), rng.choice(list(pieces))) for _ in range(rng.randint(0, 6))}
+        text = "".join(rng.choice("abx") for _ in range(rng.randint(0, 8)))
+
+        def paths(at, last, text=text, pieces=pieces, banned=banned):
+            if at == len(text):
+                yield 0.0, []
+                return
+            for k, (t, cost) in pieces.items():
+                if text.startswith(t, at) and (last, k) not in banned:
+                    yield from ((cost + c, [k, *p]) for c, p in paths(at + len(t), k))
+            if text[at] not in {t for t, _ in pieces.values()}:
+                yield from ((50.0 + c, [-1, *p]) for c, p in paths(at + 1, -1))
+
+        want = min((c for c, _ in paths(0, -1)), default=None)
+        follows = Acceptor(lambda last, k, banned=banned: (last, k) not in banned)
+        if want is None:
+            with pytest.raises(ValueError):
+                shortest_path(text, machine, follows, 50.0)
+            continue
+        got = shortest_path(text, machine, follows, 50.0)
+        assert "".join(pieces[k][0] if k >= 0 else "?" for k in got).replace("?", "x") == text or "?" in "".join(pieces[k][0] if k >= 0 else "?" for k in got)
+        assert sum(pieces[k][1] if k >= 0 else 50.0 for k in got) == want
+        assert not any(pair in banned for pair in zip(got, got[1:], strict=False))
+
+
+def test_very_long_segment_is_encoded_whole():
+    P = pytest.importorskip("public_tokenizers")
+    with open(P.path("piece_bpe_32k.model"), "rb") as f:
+        one = PieceEncoder(PieceModel(f.read()), 100)
+    text = "".join(random.Random(2).choices("abcdefghij.", k=300_000))
+    assert decode(one.model, np.frombuffer(one(pa.array([text]))[0], one.code)) == text
