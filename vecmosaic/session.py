@@ -42,6 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
         own = spark.sparkContext.getCheckpointDir()
         if own:
             return own
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="vecmosaic-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(at)
