@@ -16,46 +16,45 @@ from vecmosaic.llm.secret_scan import redacted
 from vecmosaic.session import written
 
 
-def _short_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Fewer rows in an Arrow batch than Spark's default, as texts can be long; another setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
-        spark.conf.set(key, str(rows))
+#: The languages of the corpus; documents in any other one go.
+LANGUAGES = ("en",)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and whose host isn't rejected.
 
     A null, empty or short text goes; a null source is a host of its own; repeated rows are judged
-    one by one; an empty table stays empty.
+    one by one; an empty table stays empty; very long texts are measured whole; other columns may have
+    any names.
     """
     return quality_filter(docs)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language, predicted with a fair score.
+    """Documents in one of ``LANGUAGES``, predicted as more likely than all others together.
 
     A text that is null or has no letter goes, unless nothing can be learned (no labelled row), in
-    which case every row stays; repeated rows are judged one by one; an empty table stays empty.
+    which case every row stays; repeated rows are judged one by one; an empty table stays empty;
+    very long texts are read whole; other columns may have any names.
     """
-    _short_batches(spark)
-    return language_filter(docs)
+    return language_filter(docs, keep=LANGUAGES)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, linked from 80 % of their word shingles on.
 
-    The one with the smallest doc_id stays, once if its row repeats; rows without a doc_id stay, and
-    so does each text without words; an empty table stays empty.
+    The one with the smallest doc_id stays, once if its row repeats; texts of one doc_id that differ
+    are judged apart; rows without a doc_id stay, and so does each text without words; an empty table
+    stays empty; very long texts are compared whole; other columns may have any names.
     """
-    _short_batches(spark)
     return without_near_duplicates(docs, NearDupOptions(percent=80))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced and n_chars brought up to date.
 
-    A null text stays null; an empty table stays empty.
+    A null text stays null; repeated rows are redacted one by one; an empty table stays empty; very
+    long texts and candidates are scanned whole; other columns may have any names.
     """
     return redacted(docs)
 
@@ -64,7 +63,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bins of documents.
 
     A null or empty text costs its end token; rows that repeat go to different bins; an empty table
-    gives an empty result.
+    gives an empty result; a text longer than a bin is cut into pieces; other columns may have any
+    names.
     """
     return pack(docs)
 
