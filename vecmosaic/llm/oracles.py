@@ -36,8 +36,8 @@ m AS (SELECT w.doc_id, source, len(w)::BIGINT AS n_words, length(array_to_string
 f AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed FROM m),
 q AS (SELECT *, (base_failed::INTEGER + (100 * n_symbols > 10 * word_chars)::INTEGER + (100 * n_dup_lines > 30 * lines)::INTEGER) AS rules_failed FROM f),
 h AS (SELECT source, count(*) AS n, count(*) FILTER (rules_failed > 0) AS bad FROM q GROUP BY source),
-z AS (SELECT sum(bad)::DOUBLE / sum(n) AS mean, var_pop(bad::DOUBLE / n) AS v FROM h),
-y AS (SELECT mean, CASE WHEN v > 1e-12 AND mean > 0 AND mean < 1 THEN least(greatest(mean * (1 - mean) / v - 1, 1.0), 10000.0) ELSE 20.0 END AS s FROM z),
+z AS (SELECT sum(bad)::DOUBLE / sum(n) AS mean, var_pop(bad::DOUBLE / n) AS v, avg(1.0::DOUBLE / n) AS noise FROM h),
+y AS (SELECT mean, CASE WHEN mean > 0 AND mean < 1 AND noise < 1 THEN 1 / greatest(least((v / (mean * (1 - mean)) - noise) / (1 - noise), 0.5), 1.0::DOUBLE / 10001) - 1 ELSE 20.0 END AS s FROM z),
 x AS (SELECT source, (bad + mean * s) / (n + s) AS rate FROM h, y)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND NOT rate > 0.5) AS kept, rules_failed, round(rate, 9) AS host_rate FROM q JOIN x USING (source)
 """
