@@ -2,6 +2,7 @@ import random
 import re
 import struct
 import time
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecmosaic.llm.ann_tree import AnnOptions, nearest_neighbours
-from vecmosaic.llm.language_id import fit_ftrl, fit_temperature, language_filter, language_id, softmax, LanguageOptions
+from vecmosaic.llm.language_id import LanguageOptions, features, fit_ftrl, fit_temperature, language_filter, language_id, softmax, train_language_model
 from vecmosaic.llm.license_scan import PHRASES, LicenseOptions, Scanner, license_scan, pieces
 from vecmosaic.llm.packing import PackingOptions, pack, pack_shard
 from vecmosaic.llm.piece_fst import Acceptor, PieceEncoder, PieceMachine, PieceModel, PieceOptions, _fields, decode, decode_pieces, encode_pieces, shortest_path
@@ -312,3 +313,54 @@ def test_very_long_segment_is_encoded_whole():
         one = PieceEncoder(PieceModel(f.read()), 100)
     text = "".join(random.Random(2).choices("abcdefghij.", k=300_000))
     assert decode(one.model, np.frombuffer(one(pa.array([text]))[0], one.code)) == text
+
+
+def test_clusters_handed_in_go_to_different_bins(spark):
+    rows = [(i, "a b c", f"s{i}", i % 2) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, shard long")
+    bins = defaultdict(list)
+    for r in pack(docs, PackingOptions(capacity=64), cluster="shard").collect():
+        bins[r.bin_id].append(r.doc_id)
+    assert sorted(map(sorted, bins.values())) and all(len({i % 2 for i in b}) == len(b) for b in bins.values()) and sum(map(len, bins.values())) == 8
+
+
+def test_an_id_with_very_many_rows_goes_to_several_shards(spark):
+    docs = spark.range(300).selectExpr("7L as doc_id", "'a b c' as text", "'s' as source")
+    got = pack(docs, PackingOptions(capacity=64, shard_rows=50)).collect()
+    assert len(got) == 300 and len({r.bin_id >> 40 for r in got}) == 6
+
+
+def test_language_model_matches_a_plain_recomputation(spark):
+    """The query's model against frequencies counted over all rows and weights fitted to the same rows."""
+    rng = random.Random(5)
+    parts = {"aa": ["the", "ing"], "bb": ["der", "ung"]}
+    rows = [(i, " ".join(rng.choice(parts[k]) + rng.choice("xyz") for _ in range(8)), k) for i in range(200) for k in [rng.choice(["aa", "bb"])]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    o = LanguageOptions(bits=10)
+    model = train_language_model(docs, o)
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    assert model.labels == ("aa", "bb") and len(model.idf) == 1 << o.bits
+    counted = np.zeros(1 << o.bits)
+    for _, text, _ in train:
+        counted[features(text, o)[0]] += 1
+    assert np.allclose(model.idf, np.log((1 + len(train)) / (1 + counted)) + 1)
+    order = [r.doc_id for r in docs.withColumn("o", F.xxhash64("doc_id", F.lit(23))).orderBy("o").collect()]
+    by = {r[0]: r for r in train}
+    xs, ys = [], []
+    for i in (i for i in order if i in by):
+        index, tf = features(by[i][1], o)
+        x = tf.astype("f4").astype(float) * model.idf[index]
+        xs.append((index, x / np.sqrt(x @ x)))
+        ys.append(model.labels.index(by[i][2]))
+    cut = len(xs) - int(len(xs) * o.calibration_share)
+    w, b = fit_ftrl(xs[:cut], np.array(ys[:cut]), 2, o)
+    assert np.allclose(model.weights, w, atol=1e-6) and np.allclose(model.bias, b)
+    held = np.array([x @ w[i] + b for i, x in xs[cut:]])
+    assert abs(model.temperature - fit_temperature(held, np.array(ys[cut:]))) < 1e-9
+    got = {r.doc_id: r for r in language_id(docs, o).collect()}
+    for i, text, _ in rows:
+        index, tf = features(text, o)
+        x = tf * model.idf[index]
+        p = softmax((x @ w[index] / np.sqrt(x @ x) + b) / model.temperature)
+        assert got[i].lang_pred == model.labels[int(p.argmax())] and abs(got[i].score - p.max()) < 1e-5
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)

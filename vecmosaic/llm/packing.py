@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from vecmosaic.llm.grouped import groups, runs
 from vecmosaic.llm.quality_rules import words_of
+from vecmosaic.session import written
 
 RESULT = "bin_id long, slot int, doc_id long, piece int, doc_start long, n_tokens int, bin_start int"
 
@@ -130,18 +131,28 @@ def pack_shard(ids: list, lengths: list[int], sources: list, clusters: list, opt
     return [(b.number, slot, *p) for b in packer.bins for slot, p in enumerate(b.pieces)]
 
 
-def pack(docs: DataFrame, options: PackingOptions = PackingOptions(), doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """RESULT rows: every piece of every document with its bin, slot and place in it."""
+def pack(docs: DataFrame, options: PackingOptions = PackingOptions(), doc_id: str = "doc_id", text: str = "text", source: str = "source", cluster: str | None = None) -> DataFrame:
+    """RESULT rows: every piece of every document with its bin, slot and place in it.
+
+    ``cluster`` names a column of duplicate clusters, such as the component_id of ``near_duplicates``;
+    without it a cluster is exact copies up to case and spacing.
+    """
     spark = docs.sparkSession
     words = words_of(F.lower(F.col(text)))
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         (F.size(words) + 1).cast("long").alias("n"),
         F.xxhash64(F.coalesce(F.col(source).cast("string"), F.lit("\u0000"))).alias("src"),
-        F.xxhash64(words).alias("cluster"),
+        (F.xxhash64(F.col(cluster).cast("string")) if cluster else F.xxhash64(words)).alias("cluster"),
     )
+    # an id that more rows have than a shard should hold is dealt over several
+    often = written(docs.groupBy(F.col(doc_id).cast("long").alias("often")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > options.shard_rows), "frequent-ids")
+    salt = F.lit(0).cast("long")
+    if often.limit(1).count():
+        rows = rows.join(often, F.col("doc_id").eqNullSafe(F.col("often")), "left")
+        salt = F.when(F.col("c").isNotNull(), F.monotonically_increasing_id()).otherwise(salt)
     shards = max(1, -(-docs.count() // options.shard_rows))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "src"), F.lit(shards)))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "src", salt), F.lit(shards))).select("doc_id", "n", "src", "cluster", "shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
