@@ -12,11 +12,12 @@ ids uint32; index offset uint64, documents uint64, magic.
 Encoding goes piece by piece: byte-level BPE with the usual split pattern never joins characters
 across a single blank that has non-blank characters on both sides, so the ids of such a piece
 don't depend on its neighbours and the library's answer is kept in a bounded cache.  Texts with
-other white space or special tokens go to the library whole.
+other white space or special tokens go to the library whole, and so do all texts where the
+tokenizer's file names another normaliser or split.
 
 Defined results: a null or empty text is the end id alone; rows of one doc_id stay together in
 the order of their frames; a null doc_id comes first; an empty table gives no file and an empty
-result.  The dictionary is trained on at most ``sample_docs`` rows, at most ``sample_chars``
+result; very long texts are encoded whole; other columns may have any names.  The dictionary is trained on at most ``sample_docs`` rows, at most ``sample_chars``
 characters of each; where that is too little for training there is no dictionary.
 """
 
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import os
 import re
 import uuid
@@ -49,9 +51,9 @@ MAGIC = b"VMTOKS01"
 class TokenStoreOptions:
     tokenizer: str
     end_id: int = 2
-    level: int = 1
+    level: int = 3
     dictionary_bytes: int = 65_536
-    sample_docs: int = 500
+    sample_docs: int = 1000
     sample_chars: int = 20_000
     cached_pieces: int = 600_000
     read_bytes: int = 8 << 20
@@ -63,6 +65,18 @@ _MARK = "\x01"
 _SIGNS = r"(\pL)([!-/:-@\[-`{-~]+)([ \n]|\z)"
 
 
+def _splits_as_usual(path: str) -> bool:
+    """Whether the file's normaliser and split are those for which pieces between single blanks are independent.
+
+    With any other file every text goes to the library whole.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    split = spec.get("pre_tokenizer") or {}
+    usual = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    return bool(usual and spec.get("normalizer") is None and spec.get("model", {}).get("type") == "BPE" and not spec["model"].get("continuing_subword_prefix") and not spec["model"].get("end_of_word_suffix"))
+
+
 class PieceEncoder(PieceCoder):
     """Texts to id bytes; ids of pieces between single blanks or line feeds are kept.
 
@@ -77,7 +91,7 @@ class PieceEncoder(PieceCoder):
         super().__init__(cached)
         self.tok = Tokenizer.from_file(path)
         special = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
-        self.apart_unless = "|".join([r"\A[ \n]| \z|  | \n|\n |\n\n", _MARK, OTHER_SPACE, *special])
+        self.apart_unless = "|".join([r"\A[ \n]| \z|  | \n|\n |\n\n", _MARK, OTHER_SPACE, *special]) if _splits_as_usual(path) else r"(?s)."
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
         self.feed = self._plain(["\n"])[0]
