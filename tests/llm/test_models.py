@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -364,3 +365,20 @@ def test_language_model_matches_a_plain_recomputation(spark):
         p = softmax((x @ w[index] / np.sqrt(x @ x) + b) / model.temperature)
         assert got[i].lang_pred == model.labels[int(p.argmax())] and abs(got[i].score - p.max()) < 1e-5
         assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def test_clustered_vectors_are_pruned(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    n, centres = 50_000, rng.normal(size=(300, 32))
+    x = centres[rng.integers(0, 300, n)] + 0.25 * rng.normal(size=(n, 32))
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x))}), tmp_path / "v.parquet")
+    found, share = defaultdict(set), []
+    for r in nearest_neighbours(spark.read.parquet(f"{tmp_path}/v.parquet"), F.col("vec_id") % 100 == 0).collect():
+        found[r.query_id].add(r.vec_id)
+        share.append(r.scored_share)
+    q = np.arange(0, n, 100)
+    s = x[q] @ x.T
+    s[np.arange(len(q)), q] = -np.inf
+    want = np.argpartition(-s, 20, axis=1)[:, :20]
+    assert np.mean([len(found[i] & set(w.tolist())) for i, w in zip(q.tolist(), want, strict=True)]) >= 0.95 * 20
+    assert np.mean(share) < 0.3

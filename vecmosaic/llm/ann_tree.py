@@ -3,8 +3,11 @@
 The tree is fitted on the driver to a bounded sample; every row is then put into its leaf.  A
 query visits leaves best bin first: a priority queue holds the nodes by the inner product with
 their centroids, and the number of leaves to visit is widened until a calibration set of queries,
-searched exactly against all rows, reaches the asked recall.  Leaves and their queries meet in
-blocks of bounded size, so a leaf or a vector with very many rows is spread over tasks.
+searched exactly against all rows, reaches the asked recall.  Leaves next to each other in the tree
+share a shelf; a query goes to a shelf once, with the list of its leaves there, and only rows of
+those leaves compete.  Shelves and their queries meet in blocks of bounded size, so a leaf or a
+vector with very many rows is spread over tasks.  Each result row says which share of all rows its
+query's leaves held; vectors without structure leave little to prune.
 
 Scores are inner products of the original vectors in double precision, summed in one fixed order,
 so equal vectors have equal scores; ties go to the smaller id.
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from vecmosaic.llm.grouped import groups, runs
 from vecmosaic.session import written
 
-RESULT = "query_id long, rank int, vec_id long, score double"
+RESULT = "query_id long, rank int, vec_id long, score double, scored_share double"
 
 
 @dataclass(frozen=True)
@@ -81,8 +84,12 @@ class KMeansTree:
                 part = rows[label == j]
                 heapq.heappush(open_, (-len(part), child, part))
             n_leaves += len(means) - 1
-        for number, node in enumerate(i for i, c in enumerate(children) if not c):
-            leaf_of[node] = number
+        stack, number = [0], 0
+        while stack:  # leaves are numbered down the tree, so that near ones have near numbers
+            node = stack.pop()
+            stack += children[node][::-1]
+            if not children[node]:
+                leaf_of[node], number = number, number + 1
         return KMeansTree(np.array(centroids), children, leaf_of)
 
     def assign(self, x: np.ndarray) -> np.ndarray:
@@ -145,11 +152,12 @@ def usable(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") ->
     return rows.where(F.size("v") == common["dim"]), common["dim"], common["count"]
 
 
-def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, scores) of each query's k nearest rows but itself, exact within the block.
+def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, leaf: np.ndarray | None = None, visited: list[np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, scores) of each query's k nearest rows but itself, exact within the block or its visited leaves.
 
-    Equal vectors are scored once; of their rows only the k + 1 smallest ids can be among the
-    nearest.  The matrix product only picks candidates, with a slack beyond its rounding.
+    Equal vectors, which are in one leaf, are scored once; of their rows only the k + 1 smallest ids
+    can be among the nearest.  The matrix product only picks candidates, with a slack beyond its
+    rounding.
     """
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], np.ascontiguousarray(x[order])
@@ -158,15 +166,20 @@ def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: in
     ends = np.cumsum(np.bincount(group, minlength=len(rows)))
     starts = np.concatenate([[0], ends[:-1]])
     distinct = x[by[starts]]
+    if visited is not None:
+        names, place = np.unique(leaf[order][by[starts]], return_inverse=True)
     slack = 1e-12 * x.shape[1]
     top = min(k + 1, len(rows))
     norms = np.sqrt((distinct * distinct).sum(axis=1)).max()
     for a in range(0, len(q), 256):
         s = q[a : a + 256] @ distinct.T
+        if visited is not None:
+            seen = np.stack([np.isin(names, v) for v in visited[a : a + 256]])
+            s[~seen[:, place]] = -np.inf
         least = np.partition(s, len(rows) - top, axis=1)[:, len(rows) - top]
         for i, row in enumerate(s):
             one = q[a + i]
-            cand = np.flatnonzero(row >= least[i] - slack * norms * np.sqrt(one @ one))
+            cand = np.flatnonzero((row >= least[i] - slack * norms * np.sqrt(one @ one)) & (row > -np.inf))
             score = (distinct[cand] * one).sum(axis=1)
             take = np.minimum(ends[cand] - starts[cand], k + 1)
             at = np.repeat(starts[cand] - np.concatenate([[0], np.cumsum(take)[:-1]]), take) + np.arange(take.sum())
@@ -178,39 +191,43 @@ def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: in
 
 
 def _nearest(placed: DataFrame, dim: int, k: int, parallel: int) -> DataFrame:
-    """The k nearest of each query from rows (gid, is_query, id, v) whose groups hold both."""
+    """The k nearest of each query from rows (gid, is_query, id, v, leaf, leaves, share) whose groups hold both."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, "gid"):
-            is_query, ids = table.column("is_query").to_numpy(), table.column("id").to_numpy()
-            x = _raw(table.column("v"), dim)
-            out: tuple[list, list, list] = ([], [], [])
+            is_query, ids, leaf, share = (table.column(c).to_numpy() for c in ("is_query", "id", "leaf", "share"))
+            x, leaves = _raw(table.column("v"), dim), table.column("leaves")
+            out: tuple[list, list, list, list] = ([], [], [], [])
             for a, b in groups(table, "gid"):
                 ask = np.flatnonzero(is_query[a:b]) + a
                 have = np.flatnonzero(~is_query[a:b]) + a
                 if not len(ask) or not len(have):
                     continue
-                for qid, (got, score) in zip(ids[ask].tolist(), best(ids[ask], x[ask], ids[have], x[have], k), strict=True):
+                visited = [np.frombuffer(leaves[i].as_py(), "<i4") for i in ask.tolist()]
+                for qid, part, (got, score) in zip(ids[ask].tolist(), share[ask].tolist(), best(ids[ask], x[ask], ids[have], x[have], k, leaf[have], visited), strict=True):
                     out[0].append(qid)
                     out[1].append(got.astype("<i8").tobytes())
                     out[2].append(score.astype("<f8").tobytes())
+                    out[3].append(part)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["query_id", "ids", "scores"])
+                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["query_id", "ids", "scores", "share"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, "query_id"):
-            qid, ids, scores = table.column("query_id").to_numpy(), table.column("ids").to_pylist(), table.column("scores").to_pylist()
+            qid, ids, scores, share = table.column("query_id").to_numpy(), table.column("ids").to_pylist(), table.column("scores").to_pylist(), table.column("share").to_numpy()
             rows: list[tuple] = []
             for a, b in groups(table, "query_id"):
                 got, sc = np.frombuffer(b"".join(ids[a:b]), "<i8"), np.frombuffer(b"".join(scores[a:b]), "<f8")
                 order = np.lexsort((got, -sc))
                 got, sc = got[order], sc[order]
                 first = np.sort(np.unique(got, return_index=True)[1])[:k]
-                rows += [(int(qid[a]), r + 1, int(got[i]), float(sc[i])) for r, i in enumerate(first)]
+                rows += [(int(qid[a]), r + 1, int(got[i]), float(sc[i]), float(share[a])) for r, i in enumerate(first)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "rank", "vec_id", "score"])
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["query_id", "rank", "vec_id", "score", "scored_share"])
 
-    found = placed.repartition(parallel, "gid").sortWithinPartitions("gid").mapInArrow(search, "query_id long, ids binary, scores binary")
+    found = placed.repartition(parallel, "gid").sortWithinPartitions("gid").mapInArrow(search, "query_id long, ids binary, scores binary, share double")
     return found.repartition(parallel, "query_id").sortWithinPartitions("query_id").mapInArrow(merge, RESULT)
 
 
@@ -226,38 +243,54 @@ class AnnIndex:
     calibrated: float
     options: AnnOptions
 
+    def shelves(self) -> np.ndarray:
+        """The shelf of each leaf: leaves in order, as many as hold ``block`` rows together."""
+        out, held, shelf = np.zeros(self.tree.leaves, dtype=np.int32), 0, 0
+        for leaf in range(self.tree.leaves):
+            c = self.counts.get(leaf, 0)
+            if held and held + c > self.options.block:
+                shelf, held = shelf + 1, 0
+            out[leaf], held = shelf, held + c
+        return out
+
     def search(self, queries: DataFrame) -> DataFrame:
         """RESULT rows for queries (vec_id, v array<double>)."""
         spark, o, tree, n, dim, counts = queries.sparkSession, self.options, self.tree, self.visits, self.dim, self.counts
         parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        shelf_of, rows_of = self.shelves(), sum(counts.values())
 
         def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for a in range(0, batch.num_rows, 256):
                     part = batch.slice(a, 256)
-                    q = _matrix(part.column("v"), dim)
-                    order = list(tree.visits(q, n, counts, o.k + 1))
-                    raw = [r.astype("<f8").tobytes() for r in q]
-                    at = np.repeat(np.arange(len(q)), [len(x) for x in order])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(order).astype(np.int32)), part.column("vec_id").take(pa.array(at)), pa.array([raw[i] for i in at], pa.binary())],
-                        names=["leaf", "id", "v"],
-                    )
-
-        asked = written(queries.select("vec_id", "v").mapInArrow(visit, "leaf int, id long, v binary"), "visits")
-        per_leaf = {r["leaf"]: r["count"] for r in asked.groupBy("leaf").count().collect()}  # a row per leaf, of which there are at most max_leaves
+                    q, ids = _matrix(part.column("v"), dim), part.column("vec_id").to_pylist()
+                    out: list[tuple] = []
+                    for qid, row, order in zip(ids, q, tree.visits(q, n, counts, o.k + 1), strict=True):
+                        raw, leaves = row.astype("<f8").tobytes(), np.sort(np.array(order, dtype="<i4"))
+                        share = sum(counts.get(x, 0) for x in order) / rows_of
+                        shelf = shelf_of[leaves]
+                        cuts = np.flatnonzero(np.diff(shelf)) + 1
+                        out += [(int(s[0]), qid, raw, x.tobytes(), share) for s, x in zip(np.split(shelf, cuts), np.split(leaves, cuts), strict=True)]
+                    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.float64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["shelf", "id", "v", "leaves", "share"])
+
+        asked = written(queries.select("vec_id", "v").mapInArrow(visit, "shelf int, id long, v binary, leaves binary, share double"), "visits")
+        per_shelf = {r["shelf"]: r["count"] for r in asked.groupBy("shelf").count().collect()}  # a row per shelf, of which there are at most max_leaves
+        held = np.bincount(shelf_of, weights=[counts.get(x, 0) for x in range(tree.leaves)]).astype(int).tolist()
         sizes = spark.createDataFrame(
-            [(leaf, -(-c // o.block), -(-per_leaf.get(leaf, 1) // o.block)) for leaf, c in self.counts.items()] or [(0, 1, 1)], "leaf int, row_blocks int, query_blocks int"
+            [(shelf, max(1, -(-c // o.block)), -(-per_shelf.get(shelf, 1) // o.block)) for shelf, c in enumerate(held)], "shelf int, row_blocks int, query_blocks int"
         )
+        shelf_table = spark.createDataFrame([(leaf, int(x)) for leaf, x in enumerate(shelf_of.tolist())], "leaf int, shelf int")
 
         def dealt(df: DataFrame, own: str, other: str, is_query: bool) -> DataFrame:
             mine = F.pmod(F.xxhash64("id"), F.col(own)).cast("int")
             theirs = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("theirs")
-            one = df.join(F.broadcast(sizes), "leaf").select("leaf", "id", "v", mine.alias("mine"), theirs)
+            one = df.join(F.broadcast(sizes), "shelf").select("shelf", "id", "v", "leaf", "leaves", "share", mine.alias("mine"), theirs)
             pair = ("theirs", "mine") if is_query else ("mine", "theirs")
-            return one.select(F.xxhash64("leaf", *pair).alias("gid"), F.lit(is_query).alias("is_query"), "id", "v")
+            return one.select(F.xxhash64("shelf", *pair).alias("gid"), F.lit(is_query).alias("is_query"), "id", "v", "leaf", "leaves", "share")
 
-        placed = dealt(self.rows, "row_blocks", "query_blocks", False).unionByName(dealt(asked, "query_blocks", "row_blocks", True))
+        rows = self.rows.join(F.broadcast(shelf_table), "leaf").withColumn("leaves", F.lit(None).cast("binary")).withColumn("share", F.lit(0.0))
+        placed = dealt(rows, "row_blocks", "query_blocks", False).unionByName(dealt(asked.withColumn("leaf", F.lit(-1)), "query_blocks", "row_blocks", True))
         return _nearest(placed, dim, o.k, parallel)
 
 
