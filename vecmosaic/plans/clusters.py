@@ -116,7 +116,7 @@ def iso_match(spark, sf):
 
 query("GM29_spin_glass")(lambda spark, sf: K.spin_glass(G.prune_highest(checkpointed(pruned(spark, sf)), 2), k=6, sweeps=30))
 query("AG33_mutual_information")(lambda spark, sf: K.adjusted_mutual_information(K.louvain(pruned(spark, sf)), images(spark, sf).withColumnRenamed("image", "cluster")))
-query("AG33_self_information")(lambda spark, sf: K.adjusted_mutual_information(communities(spark, sf), communities(spark, sf)).select(F.round("ami", 6).alias("ami")))
+query("AG33_self_information", "SELECT 1.0::DOUBLE AS ami")(lambda spark, sf: K.adjusted_mutual_information(communities(spark, sf), communities(spark, sf)).select(F.round("ami", 6).alias("ami")))
 
 MATCHES = f"""{ORIENTED_SQL}, mm AS (SELECT im_i * 1000 + im_j AS pair, m.i * 1000000 + m.j AS id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, m.score FROM m JOIN f a ON m.i = a.id JOIN f b ON m.j = b.id),
 af AS (SELECT q.pair, a.id AS a, b.id AS b, CASE WHEN abs(d0 - d1) < 150 THEN 4.5 - (d0 - d1) ** 2 / 5000 ELSE 0 END AS w FROM (SELECT a.pair, a.id AS ai, b.id AS bi, sqrt((a.x1 - b.x1) ** 2 + (a.y1 - b.y1) ** 2) AS d0, sqrt((a.x2 - b.x2) ** 2 + (a.y2 - b.y2) ** 2) AS d1 FROM mm a JOIN mm b ON a.pair = b.pair AND a.id <> b.id) q JOIN mm a ON a.id = q.ai JOIN mm b ON b.id = q.bi),

@@ -37,9 +37,29 @@ def lbp(spark, sf):
     return long(I.per_image(images(spark), I.lbp_original))
 
 
-query("FX7_lbp_circular")(lambda spark, sf: long(I.per_image(images(spark), I.lbp_circular(1, 8))))
-query("FX8_lbp_variance")(lambda spark, sf: long(I.per_image(images(spark), I.lbp_variance(1, 8))))
-query("FX12_lbp_preprocessing")(lambda spark, sf: long(I.per_image(images(spark), I.lbp_circular(2, 8))))
+def circle_sql(radius, neighbors=8):
+    """``s`` has the bilinear samples on a circle around each inner pixel, ``p`` the pixel."""
+    theta = 2 * np.pi * np.arange(neighbors) / neighbors
+    dy, dx = -radius * np.sin(theta), radius * np.cos(theta)
+    top, left = int(-np.floor(dy.min())), int(-np.floor(dx.min()))
+    h, w = SIDE - top - int(np.ceil(dy.max())), SIDE - left - int(np.ceil(dx.max()))
+    at = lambda y, x: f"a[(r + {y}) * {SIDE} + c + {x} + 1]"
+    sample = []
+    for y, x in zip((dy + top).tolist(), (dx + left).tolist(), strict=True):
+        (ya, yb), (xa, xb) = ((int(np.floor(v)), int(np.ceil(v))) for v in (y, x))
+        ty, tx = f"{y - ya!r}::DOUBLE", f"{x - xa!r}::DOUBLE"
+        sample.append(f"(1 - {ty}) * ((1 - {tx}) * {at(ya, xa)} + {tx} * {at(ya, xb)}) + {ty} * ((1 - {tx}) * {at(yb, xa)} + {tx} * {at(yb, xb)})")
+    return f"""{PIX}, im AS (SELECT image_id, list(p ORDER BY r, c) AS a FROM px GROUP BY image_id),
+cs AS (SELECT image_id, r, c, {at(top, left)} AS p, [{', '.join(sample)}] AS s FROM im, (SELECT unnest(range({h})) AS r), (SELECT unnest(range({w})) AS c))"""
+
+
+def code_sql(radius):
+    return f"WITH {circle_sql(radius)} SELECT image_id, r, c, {' + '.join(f'{1 << i} * (s[{i + 1}] >= p)::INTEGER' for i in range(8))} + 0.0 AS v FROM cs"
+
+
+query("FX7_lbp_circular", code_sql(1))(lambda spark, sf: long(I.per_image(images(spark), I.lbp_circular(1, 8))))
+query("FX8_lbp_variance", f"WITH {circle_sql(1)} SELECT image_id, r, c, round(list_aggregate(s, 'var_samp'), 6) + 0.0 AS v FROM cs")(lambda spark, sf: long(I.per_image(images(spark), I.lbp_variance(1, 8))))
+query("FX12_lbp_preprocessing", code_sql(2))(lambda spark, sf: long(I.per_image(images(spark), I.lbp_circular(2, 8))))
 
 
 @query("FX9_spatial_histogram", f"""WITH {LBP}, h AS (SELECT image_id, r // 11 AS gr, c // 11 AS gc, code, count(*) / 121.0 AS v FROM lb WHERE r < 22 AND c < 22 GROUP BY ALL)

@@ -12,7 +12,7 @@ from vecmosaic.operators import graph as G
 from vecmosaic.operators import images as I
 from vecmosaic.plans.catalog import query
 from vecmosaic.plans.faces import people
-from vecmosaic.plans.geometry import H, matches
+from vecmosaic.plans.geometry import ERRORS, H, matches
 from vecmosaic.plans.graphs import MOD, TOP, communities, edges, pruned
 from vecmosaic.plans.images import PIX, images, long
 from vecmosaic.plans.matching import FEATURES, rounded
@@ -123,4 +123,4 @@ def prune_highest_one(spark, sf):
 
 
 query("GM38_fundamental_matrices")(lambda spark, sf: Geo.fundamentals(matches(spark, sf), ("im_i", "im_j"), 2.0, 50, 20.0).select("im_i", "im_j", F.size("f").alias("n")))
-query("GM37_homography_errors")(lambda spark, sf: Geo.with_errors(matches(spark, sf), H).groupBy("im_i").agg(F.round(F.min("error"), 6).alias("least")))
+query("GM37_homography_errors", f"WITH {ERRORS} SELECT im_i, round(min(error), 6) AS least FROM e GROUP BY im_i")(lambda spark, sf: Geo.with_errors(matches(spark, sf), H).groupBy("im_i").agg(F.round(F.min("error"), 6).alias("least")))

@@ -211,7 +211,12 @@ def pair_orientation(spark, sf):
     return p.select(F.when(low, F.col("a.feature_id")).otherwise(F.col("b.feature_id")).alias("first_id"), F.when(low, F.col("b.feature_id")).otherwise(F.col("a.feature_id")).alias("second_id"))
 
 
-query("PF8_distinct_matches")(lambda spark, sf: M.distinct_matches(M.with_positions(M.mirror_match(features(spark, sf), 9.0), features(spark, sf)), 20.0).select("i", "j", "im_i", "im_j"))
+GREEDY_SQL = f"""WITH RECURSIVE {ORIENTED_SQL}, g AS (SELECT im_i, im_j, m.i, m.j, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, row_number() OVER (PARTITION BY im_i, im_j ORDER BY m.i, m.j) AS k FROM m JOIN f a ON m.i = a.id JOIN f b ON m.j = b.id),
+w(im_i, im_j, k, kept) AS (SELECT im_i, im_j, 1::BIGINT, [{{'i': i, 'j': j, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] FROM g WHERE k = 1 UNION ALL
+  SELECT g.im_i, g.im_j, g.k, CASE WHEN len(list_filter(kept, lambda z: sqrt((z.x1 - g.x1) ** 2 + (z.y1 - g.y1) ** 2) < 20 AND sqrt((z.x2 - g.x2) ** 2 + (z.y2 - g.y2) ** 2) < 20)) > 0 THEN kept
+  ELSE list_append(kept, {{'i': g.i, 'j': g.j, 'x1': g.x1, 'y1': g.y1, 'x2': g.x2, 'y2': g.y2}}) END FROM w JOIN g ON g.im_i = w.im_i AND g.im_j = w.im_j AND g.k = w.k + 1),
+z AS (SELECT im_i, im_j, unnest(kept) AS q FROM w QUALIFY row_number() OVER (PARTITION BY im_i, im_j ORDER BY k DESC) = 1)"""
+query("PF8_distinct_matches", f"{GREEDY_SQL} SELECT q.i AS i, q.j AS j, im_i, im_j FROM z")(lambda spark, sf: M.distinct_matches(M.with_positions(M.mirror_match(features(spark, sf), 9.0), features(spark, sf)), 20.0).select("i", "j", "im_i", "im_j"))
 
 PRUNE_SQL = f"""{ORIENTED_SQL}, z AS (SELECT m.i, m.j, b.x + 500 - a.x AS dx, b.y - a.y AS dy FROM m JOIN f a ON m.i = a.id JOIN f b ON m.j = b.id),
 l AS (SELECT i, j, sqrt(dx * dx + dy * dy) AS length, acos(greatest(-1.0, least(1.0, dx / (sqrt(dx * dx + dy * dy) + 0.001)))) AS angle FROM z),
