@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from vecmosaic.llm.near_dup import NearDupOptions, SetGroup, band_keys, meetings, near_duplicates, registers, without_near_duplicates
+from vecmosaic.llm.near_dup import NearDupOptions, SetGroup, _marked, band_keys, meetings, near_duplicates, registers, without_near_duplicates
 from vecmosaic.llm.shingles import SEGMENT, shingle_sets, word_hashes
 
 
@@ -185,3 +185,9 @@ def test_group_bounded_by_shingles(docs_of):
     rows = family(rng, 1000, 30, 300, 5) + family(rng, 2000, 3, 40, 1)
     got = {r.doc_id: r.component_id for r in near_duplicates(docs_of(rows), NearDupOptions(group_shingles=1500)).collect()}
     assert got == expected(rows)
+
+
+def test_marks_pass_every_asked_id_and_few_others(spark):
+    docs = spark.range(20000).selectExpr("id as doc_id", "'t' as text")
+    got = [r.doc_id for r in _marked(docs, docs.where("doc_id % 10 = 3").select("doc_id")).select("doc_id").collect()]
+    assert set(range(3, 20000, 10)) <= set(got) and len(got) < 2010

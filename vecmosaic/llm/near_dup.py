@@ -285,11 +285,10 @@ def _across_blocks(placed: DataFrame, cells: DataFrame, found: DataFrame, reps:
     return full.repartition(parallel, "gid").sortWithinPartitions("gid").mapInArrow(across, "src long, dst long").distinct()
 
 
-def _verified(docs: DataFrame, coarse: DataFrame, options: NearDupOptions) -> DataFrame:
-    """(rep, component): exact components of the coarse classes (rep, component, doc_id, version, n)."""
-    spark = docs.sparkSession
+def _verified(texts: DataFrame, coarse: DataFrame, options: NearDupOptions) -> DataFrame:
+    """(rep, component): exact components of the coarse classes (rep, component, n) from their texts (rep, component, body)."""
+    spark = texts.sparkSession
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.join(coarse, ["doc_id", "version"]).select("rep", "component", F.encode("text", "UTF-8").alias("body"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -410,8 +409,12 @@ def _classes(docs: DataFrame, options: NearDupOptions) -> DataFrame:
         return df.join(several, "doc_id", "left").withColumn("rep", F.when(F.col("version") != F.col("first"), own).otherwise(F.col("doc_id"))).drop("first")
 
     reps = written(with_vertex(named.where(F.col("n") >= least)).select("rep", "doc_id", "version", "n", "regs"), "representatives")
-    coarse = written(_coarse(reps.select("rep", "n", "regs"), options).select(F.col("vertex").alias("rep"), "component").join(reps.drop("regs"), "rep"), "coarse")
-    exact = written(_verified(docs.where("doc_id is not null"), coarse, options), "classes").groupBy("rep").agg(F.min("component").alias("component"))
+    coarse = written(_coarse(reps.select("rep", "n", "regs"), options).select(F.col("vertex").alias("rep"), "component"), "coarse")
+    # only what is needed to find the texts goes into the join with them
+    wanted = coarse.join(reps.select("rep", "doc_id", "version"), "rep") if some else coarse.withColumn("doc_id", F.col("rep"))
+    near = _marked(docs.where("doc_id is not null"), wanted.select("doc_id"))
+    texts = near.join(wanted.hint("shuffle_merge"), ["doc_id", "version"] if some else ["doc_id"]).select("rep", "component", F.encode("text", "UTF-8").alias("body"))
+    exact = written(_verified(texts, coarse.join(reps.select("rep", "n"), "rep"), options), "classes").groupBy("rep").agg(F.min("component").alias("component"))
     classes = with_vertex(named.select("set_key", "doc_id", "version")).join(exact, "rep", "left")
     classes = classes.select("set_key", F.col("doc_id").alias("least"), F.coalesce("component", "rep").alias("vertex"))
     if some:
@@ -419,13 +422,34 @@ def _classes(docs: DataFrame, options: NearDupOptions) -> DataFrame:
         classes = classes.join(roots, "vertex")
     else:
         classes = classes.withColumn("root", F.col("vertex"))
-    out = signed.select("doc_id", "version", "n", "set_key").join(classes.select("set_key", "vertex", "root"), "set_key", "left")
+    # both sides are plain scans, so adaptive execution can split a set that very many rows have
+    classes = written(classes.select("set_key", "vertex", "root"), "vertices")
+    out = signed.select("doc_id", "version", "n", "set_key").join(classes, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select(
         "doc_id", "version", "vertex", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")
     )
 
 
+_MARKS = 1 << 26
+
+
+def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id may be among ``ids``, so that few texts go into the shuffle of a join with those.
+
+    Ids are marked in one bitmap of ``_MARKS`` bits (8 MB) whatever the table.  An id outside passes
+    by chance, seldom while the ids are far fewer than the bits; where they aren't, all rows pass
+    and the join shuffles every text once.
+    """
+    place = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(_MARKS)) + 1
+    bits = ids.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
+    bits = bits.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return docs.withColumn("bucket", F.bitmap_bucket_number(place)).join(F.broadcast(bits), "bucket").where(hit).drop("bucket", "bits")
+
+
 def _narrow(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), F.col(text).alias("text"))
 
