@@ -188,7 +188,7 @@ def test_model_round_trip(spark, tmp_path):
 def test_unknown_features_are_refused(spark):
     df = spark.createDataFrame([], I.IMAGE)
     with pytest.raises(ValueError, match="precomputed"):
-        I.features_of(df, "SIFT")
+        I.features_of(df, "SURF")
     with pytest.raises(ValueError, match="unknown"):
         I.features_of(df, "nothing")
 

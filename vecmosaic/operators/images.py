@@ -210,17 +210,25 @@ def _peaks(r: np.ndarray, most: int, least: float) -> list[tuple[int, int, float
     return [(int(ys[k]), int(xs[k]), float(r[ys[k], xs[k]])) for k in order]
 
 
-DETECTORS = ("HARRIS", "FAST", "DENSE")
-PRECOMPUTED = ("SIFT", "SURF", "ORB", "STAR", "MSER", "BRISK", "GFTT", "SIMPLEBLOB", "BRIEF", "FREAK")
+DETECTORS = ("HARRIS", "FAST", "DENSE", "SIFT", "ORB", "BRIEF")
+#: Detectors that bring their own descriptor.
+OWN = {"SIFT": "SIFT", "ORB": "ORB", "BRIEF": "BRIEF"}
+PRECOMPUTED = ("SURF", "STAR", "MSER", "BRISK", "GFTT", "SIMPLEBLOB", "FREAK")
 
 
 def features_of(images: DataFrame, keypoint: str = "HARRIS", descriptor: str = "GRADIENT", max_kp: int = 9999, step: int = 8) -> DataFrame:
     """(feature_id, image_id, x, y, response, descriptor) of grey images.
 
     Corners, arcs or a dense grid; each is described by orientation histograms of gradients in a
-    4 x 4 grid around it, scaled to length one.  Other kinds need features computed elsewhere.
+    4 x 4 grid around it, scaled to length one.  ``SIFT``, ``ORB`` and ``BRIEF`` are the scale-space,
+    oriented and upright binary features of ``keypoints``, whatever the descriptor named with them.
+    Other kinds need features computed elsewhere.
     """
+    from vecmosaic.operators import keypoints
+
     kind = keypoint.upper()
+    if kind in OWN:
+        descriptor = "GRADIENT"
     if kind in PRECOMPUTED or descriptor.upper() in PRECOMPUTED:
         raise ValueError(f"{keypoint}/{descriptor} features are read precomputed, not detected here")
     if kind not in DETECTORS or descriptor.upper() != "GRADIENT":
@@ -231,6 +239,10 @@ def features_of(images: DataFrame, keypoint: str = "HARRIS", descriptor: str = "
             rows = []
             for i, h, w, p in zip(frame["image_id"], frame["height"], frame["width"], frame["pixels"], strict=True):
                 x = np.asarray(p, dtype=float).reshape(int(h), int(w))
+                if kind in OWN:
+                    own = keypoints.scale_space_features(x) if kind == "SIFT" else keypoints.binary_features(x, kind == "ORB")
+                    rows += [(int(i) * 1_000_000 + k, int(i), q.x, q.y, q.response, d.tolist()) for k, (q, d) in enumerate(own[:max_kp])]
+                    continue
                 if kind == "DENSE":
                     found = [(a, b, 1.0) for a in range(step // 2, x.shape[0], step) for b in range(step // 2, x.shape[1], step)][:max_kp]
                 else:

@@ -103,6 +103,9 @@ def invert(spark, sf):
 
 
 query("FX1_features_harris")(lambda spark, sf: I.features_of(images(spark), "HARRIS").drop("descriptor"))
+query("FX1_features_scale_space")(lambda spark, sf: I.features_of(images(spark), "SIFT").select("feature_id", "image_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.size("descriptor").alias("n")))
+query("FX3_oriented_binary")(lambda spark, sf: I.features_of(images(spark), "ORB").select("feature_id", "image_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.size("descriptor").alias("n")))
+query("FX4_binary_tests")(lambda spark, sf: I.features_of(images(spark), "BRIEF").select("feature_id", "image_id", F.size(F.filter("descriptor", lambda b: b > 0)).alias("n_set")))
 query("FX2_keypoints_fast")(lambda spark, sf: I.features_of(images(spark), "FAST").drop("descriptor"))
 query("FX4_dense_descriptors")(lambda spark, sf: I.features_of(images(spark), "Dense").select("feature_id", "image_id", F.round(F.array_max("descriptor"), 6).alias("largest")))
 
