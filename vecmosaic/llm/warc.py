@@ -8,7 +8,8 @@ gap between them stays small, and the records are cut from the block.
 
 Defined results: a null payload is an empty one; a null URL is an empty URI; rows that repeat the
 group's largest id are all responses, and where no id is known all are; an empty table gives no
-archive and an empty result; other columns are left alone.
+archive and an empty result; very long payloads are written and read whole; other columns are left
+alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,8 +41,13 @@ class WarcOptions:
     date: str = "2020-01-01T00:00:00Z"
 
 
-def _record(page_id: int | None, url: str, kind: str, refers: int | None, digest: str, payload: bytes, options: WarcOptions) -> bytes:
-    urn = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url} {kind}')}>"
+def _urn(name: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
+
+
+def _record(page_id: int | None, url: str, kind: str, refers: int | None, digest: str, payload: bytes, place: str, options: WarcOptions) -> bytes:
+    """A response is named by page and digest, so that its revisits can name it; they are named by their place."""
+    urn = _urn(f"{page_id} {digest}" if kind == "response" and page_id is not None else place)
     uri = "".join(c if c > " " else "%%%02X" % ord(c) for c in url)
     head = [
         "WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: {urn}", f"WARC-Date: {options.date}", f"WARC-Target-URI: {uri}",
@@ -51,7 +57,7 @@ def _record(page_id: int | None, url: str, kind: str, refers: int | None, digest
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     body = http + payload if kind == "response" else http
     if kind == "revisit":
-        head += [f"WARC-Refers-To-Page: {refers}", f"WARC-Profile: {RESPONSE_PROFILE}"]
+        head += [f"WARC-Refers-To: {_urn(f'{refers} {digest}')}", f"X-Refers-To-Page: {refers}", f"WARC-Profile: {RESPONSE_PROFILE}"]
     head.append(f"Content-Length: {len(body)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
@@ -104,7 +110,7 @@ def write_warc(pages: DataFrame, options: WarcOptions = WarcOptions(), folder: s
                 page_id, url, body, digest, kind, refers = (c[i].as_py() for c in cols)
                 digests.append(base64.b32encode(bytes.fromhex(digest)).decode())
                 pack = zlib.compressobj(options.level, zlib.DEFLATED, 31)
-                member = pack.compress(_record(page_id, url or "", kind, refers, digests[-1], body, options)) + pack.flush()
+                member = pack.compress(_record(page_id, url or "", kind, refers, digests[-1], body, f"{path} {at}", options)) + pack.flush()
                 out.write(member)
                 offsets.append(at)
                 lengths.append(len(member))
@@ -156,8 +162,9 @@ def read_records(selected: DataFrame, options: WarcOptions = WarcOptions()) -> D
                     kind, digest = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:")
                     if kind == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
                         raise ValueError(f"{path} at {offset}: the payload doesn't have its digest")
-                    refers = head.get("warc-refers-to-page")
-                    found.append((int(head["x-page-id"]) if head["x-page-id"] else None, head["warc-target-uri"], kind, digest, int(head["x-payload-length"]), int(refers) if refers else None, payload if kind == "response" else None))
+                    refers = head.get("x-refers-to-page")
+                    size = len(payload) if kind == "response" else int(head["x-payload-length"])
+                    found.append((int(head["x-page-id"]) if head["x-page-id"] else None, head["warc-target-uri"], kind, digest, size, int(refers) if refers else None, payload if kind == "response" else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names=names)
 
     n = max(1, int(selected.sparkSession.conf.get("spark.sql.shuffle.partitions")))
