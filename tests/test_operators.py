@@ -213,3 +213,26 @@ def test_stream_of_new_features(spark, five, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.q, r.t) for r in seen} == {(0, 2), (1, 3)}
+
+
+def test_components_are_the_same_with_hubs_joined_apart(spark, monkeypatch):
+    from vecmosaic.operators import components as C
+
+    rng = np.random.default_rng(8)
+    edges = [(500, int(v)) for v in range(1, 400)] + [(int(a), int(b)) for a, b in rng.integers(600, 900, (200, 2))] + [(k, k + 1) for k in range(1000, 1040)]
+    root = {v: v for e in edges for v in e}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for a, b in edges:
+        if a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    want = {v: find(v) for e in edges if e[0] != e[1] for v in e}
+    df = spark.createDataFrame(edges, "src long, dst long")
+    for limit in (0, 20_000):
+        monkeypatch.setattr(C, "_ONE_TASK", limit)
+        assert {r.vertex: r.component for r in C.connected_components(df).collect()} == want
