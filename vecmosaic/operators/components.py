@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecmosaic.session import checkpointed
 
 _HUBS = 4  # of a partition; their number doesn't depend on the table
-_ONE_TASK = 20_000  # pairs that one task may well hold, so that hubs needn't be looked for
+_ONE_TASK = 20_000  # pairs that one task may well hold; they are joined there, with the same result
 
 
 def _with_least(pairs: DataFrame, hubs: int) -> DataFrame:
@@ -19,13 +22,28 @@ def _with_least(pairs: DataFrame, hubs: int) -> DataFrame:
     ``1 / hubs`` of the pairs.
     """
     least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))  # one exchange for both uses
-    if not hubs:
-        return pairs.join(least.select("u", "m"), "u")
     top = F.broadcast(least.orderBy(F.desc("n"), "u").limit(hubs).select("u", "m"))
     rest = pairs.join(top.select("u"), "u", "left_anti").join(least.select("u", "m"), "u")
     return pairs.join(top, "u").unionByName(rest)
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of a bounded number of pairs, by pointers to smaller ids."""
+    to: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := to.setdefault(x, x)) != x:
+            to[x] = x = to[up]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            a, b = root(u), root(v)
+            to[max(a, b)] = min(a, b)
+    if to:
+        yield pa.RecordBatch.from_arrays([pa.array(list(to), pa.int64()), pa.array([root(x) for x in list(to)], pa.int64())], names=["vertex", "component"])
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 50) -> DataFrame:
     """(vertex, component): the least vertex id reachable from each vertex that has an edge.
 
@@ -35,7 +53,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     parallel = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     e = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).where("a <> b")
     e = checkpointed(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen, hubs = None, _HUBS * parallel if e.count() > _ONE_TASK else 0
+    if e.count() <= _ONE_TASK:
+        return e.coalesce(1).mapInArrow(_joined, "vertex long, component long")
+    seen, hubs = None, _HUBS * parallel
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both, hubs).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
