@@ -103,7 +103,17 @@ def invert(spark, sf):
 
 
 query("FX1_features_harris")(lambda spark, sf: I.features_of(images(spark), "HARRIS").drop("descriptor"))
-query("FX1_features_scale_space")(lambda spark, sf: I.features_of(images(spark), "SIFT").select("feature_id", "image_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.size("descriptor").alias("n")))
+WIDE = 64
+
+
+def waves(spark):
+    """Larger images with blots of several sizes in closed form."""
+    r, c = lambda k: F.floor(k / WIDE), lambda k: k % WIDE
+    pixel = lambda k: 127 + 100 * F.sin((r(k) + 3 * F.col("id")) / 3.0) * F.sin(c(k) / 4.0) * F.cos((r(k) + c(k)) / 17.0)
+    return spark.range(N).select(F.col("id").alias("image_id"), F.lit(WIDE).alias("height"), F.lit(WIDE).alias("width"), F.transform(F.sequence(F.lit(0), F.lit(WIDE * WIDE - 1)), pixel).alias("pixels"))
+
+
+query("FX1_features_scale_space")(lambda spark, sf: I.features_of(waves(spark), "SIFT").select("feature_id", "image_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.size("descriptor").alias("n")))
 query("FX3_oriented_binary")(lambda spark, sf: I.features_of(images(spark), "ORB").select("feature_id", "image_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.size("descriptor").alias("n")))
 query("FX4_binary_tests")(lambda spark, sf: I.features_of(images(spark), "BRIEF").select("feature_id", "image_id", F.size(F.filter("descriptor", lambda b: b > 0)).alias("n_set")))
 query("FX2_keypoints_fast")(lambda spark, sf: I.features_of(images(spark), "FAST").drop("descriptor"))
