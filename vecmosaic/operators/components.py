@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from vecmosaic.session import checkpointed
 
 _HUBS = 4  # of a partition; their number doesn't depend on the table
-_ONE_TASK = 20_000  # pairs that one task may well hold; they are joined there, with the same result
+_ONE_TASK = 200_000  # pairs that one task may well hold (a few tens of MB); they are joined there, with the same result
 
 
 def _with_least(pairs: DataFrame, hubs: int) -> DataFrame:
