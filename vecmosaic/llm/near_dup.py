@@ -431,13 +431,13 @@ def _classes(docs: DataFrame, options: NearDupOptions) -> DataFrame:
     )
 
 
-_MARKS = 1 << 26
+_MARKS = 1 << 24
 
 
 def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows whose id may be among ``ids``, so that few texts go into the shuffle of a join with those.
 
-    Ids are marked in one bitmap of ``_MARKS`` bits (8 MB) whatever the table.  An id outside passes
+    Ids are marked in one bitmap of ``_MARKS`` bits (2 MB) whatever the table.  An id outside passes
     by chance, seldom while the ids are far fewer than the bits; where they aren't, all rows pass
     and the join shuffles every text once.
     """
