@@ -16,7 +16,7 @@ long texts are used whole; other columns are left alone.
 
 from __future__ import annotations
 
-import re
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,12 +46,20 @@ class LanguageOptions:
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], dtype=np.uint32)
 
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+@functools.lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Which code points are letters."""
+    return np.fromiter(map(str.isalpha, map(chr, range(0x110000))), dtype=bool, count=0x110000)
 
 
 def _codes(text: str) -> np.ndarray:
-    """Code points of the runs of letters in lower case, with one blank between, before and after them."""
-    return np.frombuffer(f" {' '.join(_LETTERS.findall(text.lower()))} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    """Code points in lower case with a blank at both ends and runs of others than letters as one blank."""
+    a = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    letter = _letters()[a]
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]
+    keep[0] = True
+    return np.where(letter, a, np.uint32(32))[keep]
 
 
 def features(text: str, options: LanguageOptions) -> tuple[np.ndarray, np.ndarray]:
