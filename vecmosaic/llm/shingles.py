@@ -53,7 +53,7 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return h, starts
 
 
-def _pieces(data: bytes) -> Iterator[bytes]:
+def pieces(data: bytes) -> Iterator[bytes]:
     """Long data in segments that end at white space."""
     a = 0
     while len(data) - a > 2 * SEGMENT:
@@ -97,7 +97,7 @@ def shingle_sets(texts: list[bytes], width: int = 5) -> Iterator[np.ndarray]:
             n += len(texts[b]) + 1
             b += 1
         if b == a + 1:
-            words = np.concatenate([word_hashes(x)[0] for x in _pieces(texts[a].lower())])
+            words = np.concatenate([word_hashes(x)[0] for x in pieces(texts[a].lower())])
             yield from _sets_of(words, np.zeros(1, dtype=np.int64), width)
         else:
             words, starts = word_hashes(b" ".join(texts[a:b]).lower())
