@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecmosaic.llm.alignment import AlignmentOptions, aligned_counts
 from vecmosaic.llm.ann_tree import nearest_neighbours
+from vecmosaic.llm.fingerprint import edited_fingerprints
 from vecmosaic.llm.language_id import language_id
 from vecmosaic.llm.license_scan import license_scan
 from vecmosaic.llm.near_dup import near_duplicates
@@ -13,6 +15,7 @@ from vecmosaic.llm.oracles import ORACLES  # noqa: F401
 from vecmosaic.llm.packing import pack
 from vecmosaic.llm.piece_fst import PieceOptions, piece_digests
 from vecmosaic.llm.quality_rules import quality_verdicts
+from vecmosaic.llm.runs import periodic_runs
 from vecmosaic.llm.secret_scan import secret_spans
 from vecmosaic.llm.token_store import TokenStoreOptions, read_tokens, write_tokens
 from vecmosaic.llm.warc import read_records, write_warc
@@ -71,6 +74,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(_table(spark, sf_dir, "documents"))
 
 
+def op11_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(_table(spark, sf_dir, "documents"), planted=True)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned_counts(_table(spark, sf_dir, "documents"), AlignmentOptions(_tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model")))
+
+
 QUERIES = {
     "op1_near_dup": op1_near_dup,
     "op2_warc": op2_warc,
@@ -82,4 +97,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_token_store": op9_token_store,
     "op10_secret_scan": op10_secret_scan,
+    "op11_fingerprint": op11_fingerprint,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_alignment": op13_alignment,
 }
