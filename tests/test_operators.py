@@ -215,11 +215,12 @@ def test_stream_of_new_features(spark, five, tmp_path):
     assert {(r.q, r.t) for r in seen} == {(0, 2), (1, 3)}
 
 
-def test_components_are_the_same_with_hubs_joined_apart(spark, monkeypatch):
-    from vecmosaic.operators import components as C
-
+def test_components_in_small_chunks(spark):
+    """Hubs, chains and random pairs, with so few pairs in a chunk that everything takes several rounds."""
     rng = np.random.default_rng(8)
     edges = [(500, int(v)) for v in range(1, 400)] + [(int(a), int(b)) for a, b in rng.integers(600, 900, (200, 2))] + [(k, k + 1) for k in range(1000, 1040)]
+    order = (2000 + rng.permutation(300)).tolist()
+    edges += list(zip(order, order[1:], strict=False)) + [(3999, v) for v in range(3500, 3999)] + [(600, 601)] * 50
     root = {v: v for e in edges for v in e}
 
     def find(v):
@@ -232,7 +233,14 @@ def test_components_are_the_same_with_hubs_joined_apart(spark, monkeypatch):
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     want = {v: find(v) for e in edges if e[0] != e[1] for v in e}
-    df = spark.createDataFrame(edges, "src long, dst long")
-    for limit in (0, 20_000):
-        monkeypatch.setattr(C, "_ONE_TASK", limit)
-        assert {r.vertex: r.component for r in C.connected_components(df).collect()} == want
+    df = spark.createDataFrame(edges, "src long, dst long").repartition(7)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        for rows, chunk in ((16, 8), (16, 40), (10_000, 1 << 19)):
+            spark.conf.set(size, rows)
+            got = connected_components(df, chunk=chunk).collect()
+            assert len(got) == len(want) and {r.vertex: r.component for r in got} == want
+    finally:
+        spark.conf.set(size, before)
+    assert connected_components(df.limit(0)).count() == 0

@@ -1,71 +1,96 @@
-"""Connected components of an edge table by alternating large-star and small-star steps."""
+"""Connected components of an edge table by large-star steps and contraction of what lies together.
+
+Every pair is held as (u, v) with u > v.  In a large-star step u moves from v to the least vertex among v and v's
+neighbours.  Then all pairs of one u come together in a task, which replaces the pairs it holds, a bounded number at
+a time, by stars around the least vertex of each part.  This joins the different v of one u, as a
+small-star step does, and whatever else meets there.  A vertex so has at most a pair in each chunk of
+pairs, however many it began with, and a part is finished when all its pairs lead to one vertex.
+
+The steps are the same at every size.  Each round writes two tables and reads them back as plain scans; those before are
+deleted.  Many pairs may lead to one v; the join that looks up its least neighbour is between two
+exchanged scans, so adaptive execution splits such a v over tasks.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecmosaic.session import checkpointed
+from vecmosaic.session import discard, new_path, written_at
 
-_HUBS = 4  # of a partition; their number doesn't depend on the table
-_ONE_TASK = 200_000  # pairs that one task may well hold (a few tens of MB); they are joined there, with the same result
+_PAIR = "u long, v long"
 
 
-def _with_least(pairs: DataFrame, hubs: int) -> DataFrame:
-    """(u, v, m): each directed pair with the least id among u and all of u's neighbours.
-
-    The minimum is combined before its shuffle.  The ``hubs`` vertices with the most neighbours are
-    joined by broadcast, where nothing is dealt by vertex; each of the others has at most
-    ``1 / hubs`` of the pairs.
-    """
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))  # one exchange for both uses
-    top = F.broadcast(least.orderBy(F.desc("n"), "u").limit(hubs).select("u", "m"))
-    rest = pairs.join(top.select("u"), "u", "left_anti").join(least.select("u", "m"), "u")
-    return pairs.join(top, "u").unionByName(rest)
+def contracted(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(vertex, least vertex of its part) for the vertices of some pairs but the least ones."""
+    ids, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = place[: len(u)], place[len(u) :]
+    up = np.arange(len(ids))
+    while True:
+        x, y = up[a], up[b]
+        open_ = x != y
+        if not open_.any():
+            low = np.flatnonzero(up != np.arange(len(ids)))
+            return ids[low], ids[up[low]]
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up, jump := up[up]):
+            up = jump
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Components of a bounded number of pairs, by pointers to smaller ids."""
-    to: dict[int, int] = {}
+def _stars(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
+    """Pairs contracted in chunks, which end between different u where the pairs are sorted by it."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    rows = 0
 
-    def root(x: int) -> int:
-        while (up := to.setdefault(x, x)) != x:
-            to[x] = x = to[up]
-        return x
+    def out(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in contracted(u, v)], names=["u", "v"])
 
     for batch in batches:
-        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
-            a, b = root(u), root(v)
-            to[max(a, b)] = min(a, b)
-    if to:
-        yield pa.RecordBatch.from_arrays([pa.array(list(to), pa.int64()), pa.array([root(x) for x in list(to)], pa.int64())], names=["vertex", "component"])
+        held.append((batch.column("u").to_numpy(), batch.column("v").to_numpy()))
+        rows += batch.num_rows
+        if rows >= chunk:
+            u, v = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+            cut = int(np.flatnonzero(u != u[-1])[-1]) + 1 if (u != u[-1]).any() else 0
+            if cut:
+                yield out(u[:cut], v[:cut])
+            held, rows = [(u[cut:], v[cut:])], len(u) - cut
+    if rows:
+        yield out(*(np.concatenate([x[k] for x in held]) for k in (0, 1)))
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 50) -> DataFrame:
-    """(vertex, component): the least vertex id reachable from each vertex that has an edge.
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 50, chunk: int = 1 << 19) -> DataFrame:
+    """(vertex, component): the least vertex id reachable from each vertex that has an edge to another.
 
-    Null ends and loops are dropped.  Lineage is cut each round in the shared folder; only the
-    number of edges and a sum of their hashes reach the driver.
+    ``chunk`` pairs are contracted together.  Null ends and loops are dropped; repeated edges count once; no edges give no rows.  Only whether a vertex is left
+    with several pairs reaches the driver.
     """
-    parallel = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    e = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).where("a <> b")
-    e = checkpointed(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    if e.count() <= _ONE_TASK:
-        return e.coalesce(1).mapInArrow(_joined, "vertex long, component long")
-    seen, hubs = None, _HUBS * parallel
+    spark = edges.sparkSession
+    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _stars(batches, chunk)
+
+    def together(pairs: DataFrame) -> tuple[DataFrame, str]:
+        met = pairs.repartition(parallel, "u").sortWithinPartitions("u").mapInArrow(stars, _PAIR)
+        return written_at(met, new_path(spark, "component-pairs"))
+
+    ends = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).where("a <> b")
+    e, at = together(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).mapInArrow(stars, _PAIR))
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both, hubs).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = _with_least(large, hubs)
-        e = checkpointed(small.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = e.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct()
-    return e.select(F.col("u").alias("vertex"), F.col("v").alias("component")).union(roots)
+        # a vertex that isn't less than its neighbours is done when it has one neighbour
+        seen = both.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most"))
+        least, where = written_at(seen.select(F.col("u").alias("v"), F.least("u", "m").alias("m"), ((F.col("m") < F.col("u")) & (F.col("m") < F.col("most"))).alias("open")), new_path(spark, "component-least"))
+        if not least.where("open").limit(1).count():
+            discard(spark, at)
+            return least.select(F.col("v").alias("vertex"), F.col("m").alias("component"))
+        before = at
+        e, at = together(e.join(least.select("v", "m"), "v").select("u", F.col("m").alias("v")))
+        discard(spark, where)
+        discard(spark, before)
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -50,12 +50,26 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A path in the shared folder that nothing has had before."""
+    return os.path.join(shared_dir(spark), "vecmosaic", f"{tag}-{uuid.uuid4().hex}")
+
+
+def written_at(df: DataFrame, at: str) -> tuple[DataFrame, str]:
+    """The frame written as Parquet and read back, and its path, for ``discard`` once nothing reads it any more."""
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at), at
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write a frame as Parquet in the shared folder and read it back: lineage is cut, columns still prune."""
-    spark = df.sparkSession
-    at = os.path.join(shared_dir(spark), "vecmosaic", f"{tag}-{uuid.uuid4().hex}")
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    return written_at(df, new_path(df.sparkSession, tag))[0]
+
+
+def discard(spark: SparkSession, at: str) -> None:
+    """Delete a table of our own in the shared folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
