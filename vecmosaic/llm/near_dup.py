@@ -431,23 +431,25 @@ def _classes(docs: DataFrame, options: NearDupOptions) -> DataFrame:
     )
 
 
-_MARKS = 1 << 24
+_MARKS = 1 << 26
 
 
 def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows whose id may be among ``ids``, so that few texts go into the shuffle of a join with those.
 
-    Ids are marked in one bitmap of ``_MARKS`` bits (2 MB) whatever the table.  An id outside passes
-    by chance, seldom while the ids are far fewer than the bits; where they aren't, all rows pass
+    Ids are marked in a bitmap of 16 bits for each, ``_MARKS`` bits (8 MB) at most.  An id outside passes
+    by chance, one in 16 or fewer up to 4 million ids; with very many more all rows pass
     and the join shuffles every text once.
     """
-    place = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(_MARKS)) + 1
-    bits = ids.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
-    bits = bits.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    wanted = ids.count()
+    bits = min(_MARKS, max(1 << 15, 1 << (16 * wanted).bit_length()))
+    place = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(bits)) + 1
+    marks = ids.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
+    marks = marks.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
     at = F.bitmap_bit_position(place)
     byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     hit = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
-    return docs.withColumn("bucket", F.bitmap_bucket_number(place)).join(F.broadcast(bits), "bucket").where(hit).drop("bucket", "bits")
+    return docs.withColumn("bucket", F.bitmap_bucket_number(place)).join(F.broadcast(marks), "bucket").where(hit).drop("bucket", "bits")
 
 
 def _narrow(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
