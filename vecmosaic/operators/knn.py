@@ -2,7 +2,7 @@
 
 Strategies: ``block`` keeps the targets in every worker and is used only while their measured
 size is below ``broadcast_bytes``; ``grid`` splits both sides into blocks that meet in pairs and
-holds at any size; ``sql`` stays in the JVM; ``lsh`` is approximate, with an exact second ranking.
+holds at any size; ``sql`` stays in the JVM; ``forest`` is approximate, by randomised kd-trees tuned to ``precision``.
 The first three agree: distances are computed from the component differences, ties go to the
 smaller id, and a feature is never its own neighbour.
 """
@@ -27,12 +27,11 @@ class KnnOptions:
     k: int = 3
     scope: str = "all"  # all, same: the query's image only, other: all images but the query's
     metric: str = "l2"  # l2, angle: arc cosine of the scaled dot product
-    strategy: str = "auto"  # auto, block, grid, sql, lsh
+    strategy: str = "auto"  # auto, block, grid, sql, forest
     broadcast_bytes: int = 64 << 20
     block: int = 2048
     dot_scale: float = 0.9999
-    lsh_tables: int = 8
-    lsh_bucket: float = 0.5
+    precision: float = 0.9  # of ``forest``
 
     def __post_init__(self) -> None:
         if self.scope not in ("all", "same", "other") or self.metric not in ("l2", "angle"):
@@ -99,7 +98,7 @@ def _block(queries: DataFrame, targets: DataFrame, o: KnnOptions) -> DataFrame:
     return queries.mapInArrow(run, KNN)
 
 
-def _ranked(rows: DataFrame, k: int) -> DataFrame:
+def ranked(rows: DataFrame, k: int) -> DataFrame:
     r = F.row_number().over(Window.partitionBy("q").orderBy("d", "t"))
     return rows.withColumn("r", r).where(F.col("r") <= k).select("q", "qi", "r", "t", "ti", "d")
 
@@ -116,7 +115,7 @@ def _grid(queries: DataFrame, targets: DataFrame, nq: int, nt: int, o: KnnOption
         q, t = group.filter(pa.array(side == 0)), group.filter(pa.array(side == 1))
         return pa.Table.from_batches([_record(_topk(*_arrays(q), *_arrays(t), o) if q.num_rows and t.num_rows else [])])
 
-    return _ranked(left.unionByName(right).groupBy("a", "b").applyInArrow(run, KNN), o.k)
+    return ranked(left.unionByName(right).groupBy("a", "b").applyInArrow(run, KNN), o.k)
 
 
 def _sql(queries: DataFrame, targets: DataFrame, nq: int, nt: int, o: KnnOptions) -> DataFrame:
@@ -132,28 +131,7 @@ def _sql(queries: DataFrame, targets: DataFrame, nq: int, nt: int, o: KnnOptions
     if o.scope != "all":
         on = on & ((F.col("qi") == F.col("ti")) if o.scope == "same" else (F.col("qi") != F.col("ti")))
     d = V.euclidean(F.col("qv"), F.col("tv")) if o.metric == "l2" else F.acos(F.greatest(F.least(o.dot_scale * V.dot(F.col("qv"), F.col("tv")), F.lit(1.0)), F.lit(-1.0)))
-    return _ranked(q.join(t, on).select("q", "qi", "t", "ti", d.alias("d")), o.k)
-
-
-def _lsh(queries: DataFrame, targets: DataFrame, o: KnnOptions) -> DataFrame:
-    """Random-projection buckets propose pairs, which are then ranked by exact distance."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    q = queries.withColumn("vec", array_to_vector("descriptor"))
-    t = targets.withColumn("vec", array_to_vector("descriptor"))
-    model = BucketedRandomProjectionLSH(inputCol="vec", outputCol="buckets", numHashTables=o.lsh_tables, bucketLength=o.lsh_bucket, seed=7).fit(t)
-
-    def bucketed(df: DataFrame, n: str, i: str, v: str) -> DataFrame:
-        keys = F.transform("keys", lambda b, k: F.struct(k.alias("table"), b.alias("bucket")))
-        hashed = model.transform(df).withColumn("keys", F.array(*[F.element_at(vector_to_array(F.col("buckets")[k]), 1) for k in range(o.lsh_tables)]))
-        return hashed.select(F.col("feature_id").alias(n), F.col("image_id").alias(i), F.col("descriptor").alias(v), F.explode(keys).alias("key"))
-
-    pairs = bucketed(q, "q", "qi", "qv").join(bucketed(t, "t", "ti", "tv"), "key").where("q <> t")
-    if o.scope != "all":
-        pairs = pairs.where("qi = ti" if o.scope == "same" else "qi <> ti")
-    pairs = pairs.dropDuplicates(["q", "t"]).select("q", "qi", "t", "ti", V.euclidean(F.col("qv"), F.col("tv")).alias("d"))
-    return _ranked(pairs, o.k)
+    return ranked(q.join(t, on).select("q", "qi", "t", "ti", d.alias("d")), o.k)
 
 
 def knn_join(queries: DataFrame, targets: DataFrame | None = None, options: KnnOptions = KnnOptions()) -> DataFrame:
@@ -163,8 +141,10 @@ def knn_join(queries: DataFrame, targets: DataFrame | None = None, options: KnnO
     targets = queries if own else _narrow(targets)
     if o.strategy == "sql":
         return _sql(queries, targets, queries.count(), targets.count(), o)
-    if o.strategy == "lsh":
-        return _lsh(queries, targets, o)
+    if o.strategy == "forest":
+        from vecmosaic.operators.forest import ForestOptions, forest_knn
+
+        return forest_knn(queries, targets, o, ForestOptions(precision=o.precision))
     size = targets.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("descriptor")).alias("cells")).first()
     small = 8 * (size["cells"] or 0) <= o.broadcast_bytes
     if o.strategy == "block" and not small:

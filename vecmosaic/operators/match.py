@@ -11,6 +11,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecmosaic.operators.balltree import BallOptions, ball_tree, neighbours_inside
 from vecmosaic.operators.knn import KnnOptions, knn_join, radius_counts
 
 SCOPES = ("query", "target", "all")
@@ -133,33 +134,31 @@ class SpeedOptions:
     leaf: int = 2
     radius: float = 300.0
     dist_threshold: float = 100.0
-    bits: int = 6
+    block: int = 2048
+    tree: BallOptions = BallOptions()
 
 
 def speed_match(features: DataFrame, options: SpeedOptions = SpeedOptions()) -> DataFrame:
-    """(i, j, score): mutual nearest neighbours within small partitions, closer than the limit.
+    """(i, j, score, ratio): mutual nearest neighbours inside the top-most small nodes of a ball tree.
 
-    The partition is the sign pattern of the leading components against their medians: a
-    deterministic stand-in for the small nodes of a space-dividing tree.
+    Both are from different images, closer than ``dist_threshold`` and the lower image is first; the
+    ratio is to the second neighbour in the node, null without one.
     """
-    keys = F.array(*[(F.element_at("descriptor", k + 1) > 0).cast("int") for k in range(options.bits)])
-    put = features.select("feature_id", "image_id", "descriptor", F.array_join(keys.cast("array<string>"), "").alias("node"))
-    from vecmosaic.functions.vectors import euclidean
-
-    a = put.select("node", F.col("feature_id").alias("q"), F.col("image_id").alias("qi"), F.col("descriptor").alias("qv"))
-    b = put.select("node", F.col("feature_id").alias("t"), F.col("image_id").alias("ti"), F.col("descriptor").alias("tv"))
-    pairs = a.join(b, "node").where("q <> t").select("q", "qi", "t", "ti", euclidean(F.col("qv"), F.col("tv")).alias("d"))
-    first = F.row_number().over(Window.partitionBy("q").orderBy("d", "t"))
-    best = pairs.withColumn("r", first).where("r = 1")
-    back = best.select(F.col("q").alias("t"), F.col("t").alias("back"))
-    return best.join(back, "t").where((F.col("back") == F.col("q")) & (F.col("qi") < F.col("ti")) & (F.col("d") < options.dist_threshold)).select(F.col("q").alias("i"), F.col("t").alias("j"), F.col("d").alias("score"))
+    tree = ball_tree(features, replace(options.tree, leaf=options.leaf))
+    near = neighbours_inside(tree.members(options.radius), 2, options.block)
+    per = near.groupBy("q", "qi").agg(
+        F.min_by("t", "r").alias("j"), F.min_by("ti", "r").alias("tj"), F.max(F.when(F.col("r") == 1, F.col("d"))).alias("d1"), F.max(F.when(F.col("r") == 2, F.col("d"))).alias("d2")
+    )
+    back = per.select(F.col("q").alias("j"), F.col("j").alias("back"))
+    both = per.join(back, "j").where((F.col("back") == F.col("q")) & (F.col("qi") < F.col("tj")) & (F.col("d1") < options.dist_threshold))
+    return both.select(F.col("q").alias("i"), "j", F.col("d1").alias("score"), F.try_divide("d1", "d2").alias("ratio"))
 
 
 def ball_match(features: DataFrame, match_type: str, threshold: float, **options) -> DataFrame:
     if match_type == "radius":
         return radius_match(features, threshold, RadiusOptions(**options))
     if match_type == "speed":
-        return speed_match(features, SpeedOptions(**options))
+        return below(speed_match(features, SpeedOptions(**options)), threshold)
     raise ValueError(f"unknown match type {match_type}")
 
 

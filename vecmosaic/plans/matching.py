@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vecmosaic.functions import vectors as V
 from vecmosaic.operators import match as M
+from vecmosaic.operators.balltree import BallOptions, ball_tree
 from vecmosaic.operators.knn import KnnOptions, knn_join, radius_counts
 from vecmosaic.plans.catalog import query
 from vecmosaic.sources.tables import features
@@ -40,7 +41,10 @@ for _strategy in ("grid", "sql"):
     query(f"JN3_knn_{_strategy}", f"WITH {PAIRS}, {ranked_sql('k', 'all')} {KNN_SQL.format('k', 2)}")(
         lambda spark, sf, s=_strategy: rounded(knn_join(features(spark, sf), options=KnnOptions(k=2, strategy=s, block=200)), "d")
     )
-query("JN2_knn_approximate")(lambda spark, sf: knn_join(features(spark, sf), options=KnnOptions(k=3, strategy="lsh")))
+query("JN2_knn_forest_all_leaves", f"WITH {PAIRS}, {ranked_sql('k', 'other')} {KNN_SQL.format('k', 3)}")(
+    lambda spark, sf: rounded(knn_join(features(spark, sf), options=KnnOptions(k=3, scope="other", strategy="forest", precision=1.0)), "d")
+)
+query("JN2_knn_approximate")(lambda spark, sf: knn_join(features(spark, sf), options=KnnOptions(k=3, strategy="forest")))
 
 CROSS = f"""{FEATURES}, p AS (SELECT a.id AS q, a.img AS qi, b.id AS t, b.img AS ti, list_distance(a.v, b.v) AS d FROM f a JOIN f b ON a.img = 0 AND b.img = 1)"""
 BRUTE_SQL = f"""WITH {CROSS}, {ranked_sql('k', 'all')},
@@ -154,24 +158,49 @@ def radius_match(spark, sf):
     return rounded(M.ball_match(features(spark, sf), "radius", 1.15, radius=1.2, ratio_boost=1.2, group_limit=4), "score", "ratio")
 
 
-NODE_SQL = f"""{FEATURES}, g AS (SELECT *, {" || ".join(f"CASE WHEN v[{k}] > 0 THEN '1' ELSE '0' END" for k in range(1, 7))} AS node FROM f),
-p AS (SELECT a.id AS q, a.img AS qi, b.id AS t, b.img AS ti, list_distance(a.v, b.v) AS d FROM g a JOIN g b ON a.node = b.node AND a.id <> b.id)"""
+def tree_sql(leaf: int, radius: float, levels: int = 14) -> str:
+    """The ball tree by its levels: ``lv`` has each row's node level by level, ``nd`` the nodes, ``sn`` the selected ones, ``mb`` their rows."""
+    steps = [f"{FEATURES}, lv0 AS MATERIALIZED (SELECT id, img, v, 1::BIGINT AS node FROM f)"]
+    for k in range(levels):
+        steps.append(f"""sp{k} AS (SELECT node, d, max(e) - min(e) AS spread FROM (SELECT node, unnest(v) AS e, generate_subscripts(v, 1) AS d FROM lv{k}) GROUP BY node, d),
+dm{k} AS (SELECT node, d FROM sp{k} QUALIFY row_number() OVER (PARTITION BY node ORDER BY spread DESC, d) = 1),
+lv{k + 1} AS MATERIALIZED (SELECT id, img, v, CASE WHEN n <= {2 * leaf} THEN node ELSE 2 * node + (rn > n // 2)::INTEGER END AS node
+  FROM (SELECT l.*, count(*) OVER (PARTITION BY l.node) AS n, row_number() OVER (PARTITION BY l.node ORDER BY v[d], id) AS rn FROM lv{k} l JOIN dm{k} ON l.node = dm{k}.node))""")
+    steps.append(f"""al AS (SELECT DISTINCT node, id FROM ({' UNION ALL '.join(f'SELECT node, id FROM lv{k}' for k in range(levels + 1))})),
+ce AS (SELECT node, list(m ORDER BY d) AS c FROM (SELECT node, d, avg(e) AS m FROM (SELECT al.node, unnest(v) AS e, generate_subscripts(v, 1) AS d FROM al JOIN f ON al.id = f.id) GROUP BY node, d) GROUP BY node),
+nd AS (SELECT al.node, count(*) AS n, max(list_distance(v, c)) AS radius, count(*) <= {2 * leaf} AS is_leaf FROM al JOIN f ON al.id = f.id JOIN ce ON al.node = ce.node GROUP BY al.node),
+ft AS (SELECT * FROM nd WHERE radius < {radius} OR is_leaf),
+up AS (SELECT node, node >> k AS above FROM ft, (SELECT unnest(range(1, {levels + 1})) AS k) WHERE node >> k > 0),
+sn AS (SELECT * FROM ft WHERE node NOT IN (SELECT up.node FROM up JOIN ft ON up.above = ft.node)),
+mb AS (SELECT sn.node, f.* FROM sn JOIN al ON sn.node = al.node JOIN f ON al.id = f.id),
+p AS (SELECT a.id AS q, a.img AS qi, b.id AS t, b.img AS ti, list_distance(a.v, b.v) AS d FROM mb a JOIN mb b ON a.node = b.node AND a.id <> b.id)""")
+    return ", ".join(steps)
+
+
+LEAF, SMALL = 5, 0.93
+SPEED_SQL = f"""WITH {tree_sql(LEAF, SMALL)}, {ranked_sql('k', 'all')},
+m AS (SELECT a.q AS i, a.t AS j, a.d AS score, a.d / s.d AS ratio FROM k a JOIN k b ON a.t = b.q AND b.t = a.q AND a.r = 1 AND b.r = 1 LEFT JOIN k s ON s.q = a.q AND s.r = 2 WHERE a.qi < a.ti AND a.d < 100)"""
 
 
-@query("JN13_speed_match", f"WITH {NODE_SQL}, {ranked_sql('k', 'all')} SELECT a.q AS i, a.t AS j, round(a.d, 6) AS score FROM k a JOIN k b ON a.t = b.q AND b.t = a.q AND a.r = 1 AND b.r = 1 WHERE a.qi < a.ti AND a.d < 100")
+@query("JN13_speed_match", f"{SPEED_SQL} SELECT i, j, round(score, 6) AS score, round(ratio, 6) AS ratio FROM m")
 def speed_match(spark, sf):
-    return rounded(M.speed_match(features(spark, sf)), "score")
+    return rounded(M.speed_match(features(spark, sf), M.SpeedOptions(leaf=LEAF, radius=SMALL)), "score", "ratio")
 
 
-@query("JN14_nodes", f"WITH {NODE_SQL} SELECT node, count(*) AS n FROM g GROUP BY node")
+@query("JN14_nodes", f"WITH {tree_sql(LEAF, SMALL)} SELECT node, n, round(radius, 6) AS radius, is_leaf FROM sn")
 def nodes(spark, sf):
-    key = F.array_join(F.array(*[(F.element_at("descriptor", k + 1) > 0).cast("int").cast("string") for k in range(6)]), "")
-    return features(spark, sf).groupBy(key.alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    return rounded(ball_tree(features(spark, sf), BallOptions(leaf=LEAF)).selected(SMALL).select("node", "n", "radius", "is_leaf"), "radius")
+
+
+@query("JN14_tree", f"WITH {tree_sql(LEAF, SMALL)} SELECT node, n, round(radius, 6) AS radius, is_leaf FROM nd")
+def whole_tree(spark, sf):
+    """Every node, with the parts split further in small blocks."""
+    return rounded(ball_tree(features(spark, sf), BallOptions(leaf=LEAF, block=64)).nodes.select("node", "n", "radius", "is_leaf"), "radius")
 
 
-@query("JN15_match_type_speed", f"WITH {NODE_SQL}, {ranked_sql('k', 'all')} SELECT a.q AS i, a.t AS j FROM k a JOIN k b ON a.t = b.q AND b.t = a.q AND a.r = 1 AND b.r = 1 WHERE a.qi < a.ti AND a.d < 1.3")
+@query("JN15_match_type_speed", f"{SPEED_SQL} SELECT i, j FROM m WHERE score < 1.3 AND ratio < 0.97")
 def match_type(spark, sf):
-    return M.ball_match(features(spark, sf), "speed", 1.0, dist_threshold=1.3).select("i", "j")
+    return M.ball_match(features(spark, sf), "speed", 0.97, leaf=LEAF, radius=SMALL, dist_threshold=1.3).select("i", "j")
 
 
 @query("JN24_angle_match", f"""WITH {FEATURES}, p AS (SELECT a.id AS q, a.img AS qi, b.id AS t, b.img AS ti, acos(greatest(-1.0, least(1.0, 0.9999 * list_dot_product(a.v, b.v)))) AS d FROM f a JOIN f b ON a.img = 0 AND b.img = 1), {ranked_sql('k', 'all')}
