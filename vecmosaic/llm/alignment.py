@@ -27,6 +27,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +39,8 @@ from pyspark.sql import functions as F
 
 from vecmosaic.llm.files import new_folder, reader, writer
 from vecmosaic.operators.grouped import runs
-from vecmosaic.llm.pieces import chunks
+from vecmosaic.llm.piece_fst import PieceModel, _fields
+from vecmosaic.llm.pieces import PieceCoder, chunks
 from vecmosaic.llm.token_store import PieceEncoder
 from vecmosaic.session import written
 
@@ -65,6 +67,43 @@ class SpacedEncoder(PieceEncoder):
         return self._plain([" " + t for t in texts])
 
 
+class LibraryPieces(PieceCoder):
+    """Ids by the SentencePiece library, kept for pieces between single blanks and line feeds.
+
+    Such pieces are independent of each other in a merge-based model that leaves texts as they are, whose pieces have
+    the blank's sign at their head only and no line feed; with any other model every text goes to the library whole.
+    """
+
+    def __init__(self, path: str, cached: int):
+        import sentencepiece
+
+        super().__init__(cached)
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.width, self.code = (2, "H") if self.model.get_piece_size() <= 1 << 16 else (4, "I")
+        self.apart_unless = "\\A[ \n]| \\z|  | \n|\n |▁|\0" if self._free(path) else r"(?s)."
+        self.blank = self.model.piece_to_id("▁")
+
+    def _free(self, path: str) -> bool:
+        with open(path, "rb") as f:
+            fields = list(_fields(f.read()))
+        trainer, normaliser = ({k: v for field, value in fields if field == n for k, v in _fields(value)} for n in (2, 3))
+        user = any(dict(_fields(value)).get(3) == PieceModel.USER for field, value in fields if field == 1)
+        plain = not normaliser.get(2) and normaliser.get(3, 1) and not normaliser.get(4, 1) and normaliser.get(5, 1) and not trainer.get(24, 0)
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        return bool(trainer.get(3) == PieceModel.MERGES and plain and not user and "▁" in pieces and not any("\n" in p or "▁" in p.lstrip("▁") for p in pieces))
+
+    def learn(self, names: list[str]) -> None:
+        for name, ids in zip(names, self.model.encode(names, num_threads=1), strict=True):
+            if name[0] == "\n":  # no blank stands before a line feed
+                if ids[0] != self.blank:
+                    raise ValueError("the model joins a blank with a line feed")
+                ids = ids[1:]
+            self.cache[name] = array(self.code, ids).tobytes()
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [array(self.code, ids).tobytes() for ids in self.model.encode(texts, num_threads=1)]
+
+
 def byte_table(tok) -> list[bytes]:
     """The bytes of each id of a byte-level vocabulary, whose letters stand for one byte each."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -85,25 +124,24 @@ class Aligner:
     """Both tokenizers and what is known of their ids; built once in each worker process."""
 
     def __init__(self, options: AlignmentOptions):
-        import sentencepiece
-
         self.options = options
-        self.a = SpacedEncoder(options.bytes_model, options.cached_pieces)
-        self.b = sentencepiece.SentencePieceProcessor(model_file=options.piece_model)
-        self.bytes_a, self.bytes_b = byte_table(self.a.tok), piece_table(self.b)
-        self.size_a, self.size_b = (np.array([len(x) for x in t]) for t in (self.bytes_a, self.bytes_b))
-        self.kind = "<u2" if self.a.width == 2 else "<u4"
+        self.a, self.b = SpacedEncoder(options.bytes_model, options.cached_pieces), LibraryPieces(options.piece_model, options.cached_pieces // 2)
+        tables = byte_table(self.a.tok), piece_table(self.b.model)
+        self.bytes_a, self.bytes_b = (pa.array(t, pa.large_binary()) for t in tables)
+        self.size_a, self.size_b = (np.array([len(x) for x in t]) for t in tables)
+        self.kinds = ["<u2" if x.width == 2 else "<u4" for x in (self.a, self.b)]
         # what an id is written as, when its group goes on and when it ends there
-        self.written = [f"{i}{end}" for i in range(len(self.bytes_a)) for end in ",|"] + [f"{i}{end}" for i in range(len(self.bytes_b)) for end in ",;"]
+        names = [f"{i}{end}" for t, ends in zip(tables, (",|", ",;"), strict=True) for i in range(len(t)) for end in ends]
+        self.written = pa.array(names, pa.large_string())
 
     def encoded(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The ids of each text by both; none where they don't spell a blank and the text."""
-        b = self.b.encode(texts.fill_null("").to_pylist(), num_threads=1)
         none = np.zeros(0, dtype=np.int64)
-        for text, raw, two in zip(texts.cast(pa.binary()), self.a(texts), b, strict=True):
-            body, one = b" " + (text.as_py() or b""), np.frombuffer(raw, dtype=self.kind).astype(np.int64)
-            good = len(body) > 1 and b"".join(map(self.bytes_b.__getitem__, two)) == body and b"".join(map(self.bytes_a.__getitem__, one.tolist())) == body
-            yield (one, np.array(two, dtype=np.int64)) if good else (none, none)
+        for text, *raw in zip(texts.cast(pa.binary()), self.a(texts), self.b(texts), strict=True):
+            body = b" " + (text.as_py() or b"")
+            one, two = (np.frombuffer(x, dtype=kind).astype(np.int64) for x, kind in zip(raw, self.kinds, strict=True))
+            good = len(body) > 1 and joined(self.bytes_a, one) == body and joined(self.bytes_b, two) == body
+            yield (one, two) if good else (none, none)
 
     def groups(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The group of each token of both."""
@@ -114,14 +152,14 @@ class Aligner:
         cut = end_b[shared]
         return np.searchsorted(cut, end_a), np.cumsum(shared) - shared
 
-    def text_of(self, a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray) -> str:
+    def text_of(self, a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray) -> memoryview:
         """``a1,a2|b1;a3|b2,b3``: the ids of each group."""
         n = np.bincount(in_a), np.bincount(in_b)
         before_a, before_b = np.cumsum(n[0]), np.cumsum(n[1]) - n[1]
         codes = np.empty(len(a) + len(b), dtype=np.int64)
         codes[np.arange(len(a)) + before_b[in_a]] = 2 * a + (np.diff(in_a, append=-1) != 0)
         codes[np.arange(len(b)) + before_a[in_b]] = 2 * (len(self.bytes_a) + b) + (np.diff(in_b, append=-1) != 0)
-        return "".join(map(self.written.__getitem__, codes.tolist()))[:-1]
+        return joined(self.written, codes)[:-1]
 
     def pairs(self, a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct packed id pairs, ascending, and the number of links of each."""
@@ -131,6 +169,8 @@ class Aligner:
             (in_a, a, times_a), (in_b, b, times_b) = _counted(in_a, a), _counted(in_b, b)
             n_b = np.bincount(in_b)
         first_b, links = np.cumsum(n_b) - n_b, n_b[in_a]
+        if len(times_a) == len(times_b) == len(links) == len(n_b) and (n_b == 1).all():  # one of each in every group
+            return summed(a << _SHIFT | b, times_a * times_b)
         keys, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         for i, j in chunks(links.tolist(), self.options.batch_links):
             left = np.repeat(np.arange(i, j), links[i:j])
@@ -139,6 +179,15 @@ class Aligner:
         return keys, counts
 
 
+def joined(table: pa.Array, at: np.ndarray) -> memoryview:
+    """The bytes of the table's values at these places, one after the other."""
+    if not len(at):
+        return memoryview(b"")
+    taken = table.take(pa.array(at))
+    _, ends, data = taken.buffers()
+    return memoryview(data).cast("B")[: int(np.frombuffer(ends, dtype="<i8")[len(at)])]
+
+
 def _counted(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keys, counts = np.unique(group << _SHIFT | ids, return_counts=True)
     return keys >> _SHIFT, keys & ((1 << _SHIFT) - 1), counts
@@ -146,6 +195,10 @@ def _counted(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, ascending, with the sums of their counts."""
+    if len(counts) and counts.min() == counts.max():  # then their order doesn't matter
+        keys, one = np.sort(keys), counts[0]
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        return keys[first], np.diff(first, append=len(keys)) * one
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     first = np.flatnonzero(np.diff(keys, prepend=-1))
@@ -182,7 +235,7 @@ def aligned(docs: DataFrame, options: AlignmentOptions, doc_id: str = "doc_id",
                         continue
                     in_a, in_b = one.groups(a, b)
                     keys, links = one.pairs(a, b, in_a, in_b)
-                    digest = hashlib.sha256(one.text_of(a, b, in_a, in_b).encode()).hexdigest()
+                    digest = hashlib.sha256(one.text_of(a, b, in_a, in_b)).hexdigest()
                     rows.append((len(a), len(b), int(in_b[-1]) + 1, int(links.sum()), digest, pack.compress(_columns(keys)), pack.compress(links.astype("<u4").tobytes())))
                 kinds = [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.binary()]
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
