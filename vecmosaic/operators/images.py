@@ -113,11 +113,16 @@ def gaussian(x: np.ndarray, sigma: float, truncate: float = 4.0) -> np.ndarray:
     return x
 
 
+def difference_of_gaussians(x: np.ndarray, inner: float, outer: float) -> np.ndarray:
+    """The wider Gaussian less the narrower one; what is only rounding, as in even areas, is zero."""
+    d = gaussian(x, outer) - gaussian(x, inner)
+    return np.where(np.abs(d) < 1e-9, 0.0, d)
+
+
 def illumination_normalized(alpha: float = 0.1, tau: float = 10.0, gamma: float = 0.2, inner: float = 1.0, outer: float = 2.0) -> Callable[[np.ndarray], np.ndarray]:
     """Gamma, difference of Gaussians, two-stage contrast and a soft limit."""
     def kernel(x: np.ndarray) -> np.ndarray:
-        x = np.power(x, gamma)
-        x = gaussian(x, outer) - gaussian(x, inner)
+        x = difference_of_gaussians(np.power(x, gamma), inner, outer)
         level = lambda v: max(np.mean(np.power(v, alpha)) ** (1 / alpha), 1e-12)
         x = x / level(np.abs(x))
         x = x / level(np.minimum(np.abs(x), tau))
@@ -180,6 +185,8 @@ def zscore(images: DataFrame) -> DataFrame:
 
 
 def corner_response(x: np.ndarray, k: float = 0.04) -> np.ndarray:
+    if min(x.shape) < 2:
+        return np.zeros(x.shape)
     gy, gx = np.gradient(x)
     a, b, c = gaussian(gx * gx, 1.5), gaussian(gx * gy, 1.5), gaussian(gy * gy, 1.5)
     return a * c - b * b - k * (a + c) ** 2
@@ -200,7 +207,8 @@ def fast_score(x: np.ndarray, threshold: float = 20.0, run: int = 9) -> np.ndarr
     return score
 
 
-def _peaks(r: np.ndarray, most: int, least: float) -> list[tuple[int, int, float]]:
+def peaks(r: np.ndarray, least: float, most: int | None = None) -> list[tuple[int, int, float]]:
+    """(y, x, value) of values above all eight neighbours and the given one, the largest first."""
     if min(r.shape) < 3:
         return []
     p = np.pad(r, 1, constant_values=-np.inf)
@@ -210,6 +218,18 @@ def _peaks(r: np.ndarray, most: int, least: float) -> list[tuple[int, int, float
     return [(int(ys[k]), int(xs[k]), float(r[ys[k], xs[k]])) for k in order]
 
 
+def gradient_cells(x: np.ndarray, places: list[tuple[int, int]]) -> list[list[float]]:
+    """Orientation histograms of gradients in 4 x 4 cells of 4 pixels around each place, scaled to length one."""
+    gy, gx = np.gradient(np.pad(x, 8, mode="edge"))
+    size, turn = np.hypot(gx, gy), ((np.arctan2(gy, gx) + np.pi) / (2 * np.pi) * 8).astype(int) % 8
+    cell = (np.arange(16)[:, None] // 4 * 4 + np.arange(16)[None, :] // 4) * 8
+    out = []
+    for a, b in places:
+        d = np.bincount((cell + turn[a : a + 16, b : b + 16]).ravel(), weights=size[a : a + 16, b : b + 16].ravel(), minlength=128)
+        out.append((d / (np.linalg.norm(d) or 1.0)).tolist())
+    return out
+
+
 DETECTORS = ("HARRIS", "FAST", "DENSE", "SIFT", "ORB", "BRIEF")
 #: Detectors that bring their own descriptor.
 OWN = {"SIFT": "SIFT", "ORB": "ORB", "BRIEF": "BRIEF"}
@@ -246,14 +266,9 @@ def features_of(images: DataFrame, keypoint: str = "HARRIS", descriptor: str = "
                 if kind == "DENSE":
                     found = [(a, b, 1.0) for a in range(step // 2, x.shape[0], step) for b in range(step // 2, x.shape[1], step)][:max_kp]
                 else:
-                    found = _peaks(corner_response(x) if kind == "HARRIS" else fast_score(x), max_kp, 0.0)
-                gy, gx = np.gradient(np.pad(x, 8, mode="edge"))
-                size, turn = np.hypot(gx, gy), ((np.arctan2(gy, gx) + np.pi) / (2 * np.pi) * 8).astype(int) % 8
-                for k, (a, b, r) in enumerate(found):
-                    s, t = size[a : a + 16, b : b + 16], turn[a : a + 16, b : b + 16]
-                    cell = (np.arange(16)[:, None] // 4 * 4 + np.arange(16)[None, :] // 4) * 8
-                    d = np.bincount((cell + t).ravel(), weights=s.ravel(), minlength=128)
-                    rows.append((int(i) * 1_000_000 + k, int(i), float(b), float(a), r, (d / (np.linalg.norm(d) or 1.0)).tolist()))
+                    found = peaks(corner_response(x) if kind == "HARRIS" else fast_score(x), 0.0, max_kp)
+                for k, ((a, b, r), d) in enumerate(zip(found, gradient_cells(x, [(a, b) for a, b, _ in found]), strict=True)):
+                    rows.append((int(i) * 1_000_000 + k, int(i), float(b), float(a), r, d))
             yield pd.DataFrame(rows, columns=["feature_id", "image_id", "x", "y", "response", "descriptor"])
 
     return images.select("image_id", "height", "width", "pixels").mapInPandas(run, "feature_id long, image_id int, x double, y double, response double, descriptor array<double>")

@@ -14,7 +14,8 @@ from vecmosaic.plans.catalog import query
 from vecmosaic.plans.faces import people
 from vecmosaic.plans.geometry import ERRORS, H, matches
 from vecmosaic.plans.graphs import MOD, TOP, communities, edges, pruned
-from vecmosaic.plans.images import PIX, images, long
+from vecmosaic.plans.images import GRID, PIX, SIDE, images
+from vecmosaic.operators.tiles import long
 from vecmosaic.plans.matching import FEATURES, rounded
 from vecmosaic.session import shared_dir
 from vecmosaic.sources import files as S
@@ -25,30 +26,43 @@ def place(spark, tag):
     return f"{shared_dir(spark)}/vecmosaic/{tag}-{uuid.uuid4().hex}"
 
 
-def images_back(spark, channel, stretch):
+def images_back(spark, sf, channel, stretch):
+    """The images written as files and read again."""
     at = place(spark, "images")
-    written = S.write_images(images(spark), at)
-    back = S.read_images(spark, at, channel, stretch).withColumn("id", F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long"))
-    return back.join(written.select(F.col("image_id").alias("id")), "id").select(F.col("id").alias("image_id"), "height", "width", "pixels")
+    S.write_images(images(spark, sf), at)
+    back = S.read_images(spark, at, channel, stretch)
+    return back.select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long").alias("image_id"), "height", "width", "pixels")
+
+
+def pixels(df):
+    """(image_id, r, c, v) of whole images."""
+    return long(df.select("image_id", F.lit(0).alias("top"), F.lit(0).alias("left"), F.col("width").alias("cols"), "pixels"))
 
 
 @query("SRC3_read_grey_images", f"WITH {PIX} SELECT image_id, r, c, p + 0.0 AS v FROM px")
 def grey(spark, sf):
-    return long(images_back(spark, "grey", False))
+    return pixels(images_back(spark, sf, "grey", False))
 
 
 @query("SRC2_read_images_unstretched", f"WITH {PIX} SELECT image_id, round(sum(p), 3) AS total FROM px GROUP BY image_id")
 def unstretched(spark, sf):
-    return images_back(spark, "L", False).select("image_id", F.round(F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
+    return images_back(spark, sf, "L", False).select("image_id", F.round(F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
+
 
+@query("SRC1_read_luminance", f"""WITH {PIX}, li AS (SELECT *, p / 255.0::DOUBLE AS q FROM px), ln AS (SELECT *, CASE WHEN q > 0.04045 THEN pow((q + 0.055) / 1.055, 2.4) ELSE q / 12.92 END AS y FROM li),
+lu AS (SELECT *, CASE WHEN y > 0.008856 THEN 116 * cbrt(y) - 16 ELSE 903.3 * y END AS l FROM ln), mm AS (SELECT image_id, min(l) AS lo, max(l) AS hi FROM lu GROUP BY image_id)
+SELECT image_id, r, c, floor(255 * (l - lo) / (hi - lo) + 0.5) + 0.0 AS v FROM lu JOIN mm USING (image_id)""")
+def luminance(spark, sf):
+    return pixels(images_back(spark, sf, "L", True))
 
-query("SRC1_read_luminance")(lambda spark, sf: images_back(spark, "L", True).select("image_id", F.array_min("pixels").alias("least"), F.array_max("pixels").alias("most")))
-query("SRC18_recursive_walk", "SELECT range AS image_id FROM range(6)")(lambda spark, sf: images_back(spark, "grey", False).select("image_id"))
 
+IDS = f"SELECT DISTINCT vec_id // {GRID * GRID} AS image_id FROM embeddings"
+query("SRC18_recursive_walk", IDS)(lambda spark, sf: images_back(spark, sf, "grey", False).select("image_id"))
 
-@query("SNK2_write_images", "SELECT range AS image_id, range || '.png' AS name FROM range(6)")
+
+@query("SNK2_write_images", f"SELECT image_id, image_id || '.png' AS name FROM ({IDS})")
 def write_images(spark, sf):
-    return S.write_images(images(spark), place(spark, "images")).select("image_id", F.element_at(F.split("path", "/"), -1).alias("name"))
+    return S.write_images(images(spark, sf), place(spark, "images")).select("image_id", F.element_at(F.split("path", "/"), -1).alias("name"))
 
 
 @query("SRC5_face_csv", "SELECT vec_id || '.png' AS path, CAST(label AS INTEGER) AS label, CAST(vec_id % 5 AS INTEGER) AS grp FROM embeddings")
@@ -101,9 +115,14 @@ def model_table(spark, sf):
     return spark.createDataFrame([(k, round(v, 9)) for k, v in enumerate(model.values)], "k int, value double")
 
 
-@query("PF21_crop_and_resize", "SELECT range AS image_id, 8 AS height, 6 AS width FROM range(6)")
+SMALL = round(SIDE * 0.4)  # pixels of a side after resizing
+EDGES = f"round(({{0}}) * {SIDE}.0 / {SMALL})"
+
+
+@query("PF21_crop_and_resize", f"""WITH {PIX}, k AS (SELECT y, x, {EDGES.format(f'y + {(SMALL - 8) // 2}')} AS r0, {EDGES.format(f'y + {(SMALL - 8) // 2 + 1}')} AS r1, {EDGES.format(f'x + {(SMALL - 6) // 2}')} AS c0, {EDGES.format(f'x + {(SMALL - 6) // 2 + 1}')} AS c1 FROM (SELECT unnest(range(8)) AS y), (SELECT unnest(range(6)) AS x))
+SELECT image_id, y AS r, x AS c, round(avg(p), 6) + 0.0 AS v FROM k JOIN px ON r >= r0 AND r < r1 AND c >= c0 AND c < c1 GROUP BY ALL""")
 def crop_and_resize(spark, sf):
-    return I.per_image(images(spark), I.resized_centre(0.4, 8, 6)).select("image_id", "height", "width")
+    return pixels(I.per_image(images(spark, sf), I.resized_centre(0.4, 8, 6)))
 
 
 GAINS = f"""{MOD}, dg AS (SELECT src AS vertex, sum(w) AS degree FROM pr GROUP BY src), lk AS (SELECT src AS vertex, c2 AS cluster, sum(w) AS links FROM ce GROUP BY ALL),
