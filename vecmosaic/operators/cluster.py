@@ -63,23 +63,22 @@ def louvain_kernel(ids: np.ndarray, src: np.ndarray, dst: np.ndarray, w: np.ndar
     return ids[label]
 
 
-def louvain(edges: DataFrame) -> DataFrame:
+def louvain(edges: DataFrame, by: str | None = None) -> DataFrame:
     """(vertex, cluster) for every vertex with an edge, by connected component at every size.
 
-    Gains use the weight of the whole graph; a component's sweeps stop by themselves.  A component
-    is one task, whose memory goes with its edges.
+    Gains use the weight of the whole graph, or with ``by`` of the vertex's set; a component's sweeps stop by
+    themselves.  A component is one task, whose memory goes with its edges.
     """
-    spark = edges.sparkSession
-    edges = checkpointed(edges.select("src", "dst", "w"))
-    total = edges.agg(F.sum("w")).first()[0]
-    if not total:
-        return spark.createDataFrame([], "vertex long, cluster long")
+    of = [by] if by else []
+    edges = checkpointed(edges.select("src", "dst", "w", *of))
+    totals = edges.groupBy(*of).agg(F.sum("w").alias("total")).where("total <> 0")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return _moved(rows, total)
+        return _moved(rows, float(rows["total"].iloc[0]))
 
     named = edges.join(connected_components(edges).withColumnRenamed("vertex", "src"), "src")
-    return named.select("component", "src", "dst", "w").groupBy("component").applyInPandas(run, "vertex long, cluster long")
+    named = named.join(totals, by) if by else named.join(F.broadcast(totals))  # one row
+    return named.select("component", "src", "dst", "w", "total").groupBy("component").applyInPandas(run, "vertex long, cluster long")
 
 
 def _moved(rows: pd.DataFrame, total: float) -> pd.DataFrame:

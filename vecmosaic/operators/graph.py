@@ -2,6 +2,10 @@
 
 An edge table (src, dst, w) holds every edge in both directions; absent pairs weigh zero.  A
 partition is (vertex, cluster).
+
+Several graphs, one for each set of images, may lie in one table.  ``by`` then names the column that tells them apart:
+largest values, thresholds, totals and shares are those of each set alone, so a set's result doesn't depend on the
+others.  Without it the whole table is one graph.
 """
 
 from __future__ import annotations
@@ -19,13 +23,25 @@ from vecmosaic.functions import vectors as V
 PAIR = "src long, dst long, value double"
 
 
+def _keys(by: str | None) -> list[str]:
+    return [by] if by else []
+
+
+def _with(df: DataFrame, each: DataFrame, by: str | None) -> DataFrame:
+    """The rows with the columns that ``each`` has for their set; without sets it is one row."""
+    if by:
+        return df.join(each, by)
+    one = each.first()  # one row
+    return df.withColumns({c: F.lit(one[c] if one else None) for c in each.columns})
+
+
 def all_pairs(features: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], block: int = 1024, by: str | None = None) -> DataFrame:
     """(src, dst, value) of every ordered pair of different features of one set, in blocks that meet pairwise.
 
-    ``by`` names the column that tells the sets apart; without it all features are one set.  The
-    result is quadratic in the features of a set, as the operator asks, and linear in the sets.
+    With ``by`` the set is a column, too.  The result is quadratic in the features of a set, as the operator asks, and
+    linear in the sets.
     """
-    f = features.select(F.col("feature_id").cast("long").alias("id"), F.col("descriptor").alias("v"), (F.col(by) if by else F.lit(0)).alias("g"))
+    f = features.select(F.col("feature_id").cast("long").alias("id"), F.col("descriptor").alias("v"), (F.col(by) if by else F.lit(0)).cast("long").alias("g"))
     sizes = f.groupBy(F.col("g").alias("of")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"))
     mine, other = F.pmod(F.xxhash64("id"), F.col("n")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("n") - 1))
     f = f.join(sizes, F.col("g").eqNullSafe(F.col("of"))).drop("of")
@@ -36,23 +52,25 @@ def all_pairs(features: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], np
         side = group.column("side").to_numpy()
         parts = [group.filter(pa.array(side == k)) for k in (0, 1)]
         if not all(p.num_rows for p in parts):
-            return pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64()), "value": pa.array([], pa.float64())})
+            return pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64()), "value": pa.array([], pa.float64())} | ({by: pa.array([], pa.int64())} if by else {}))
         (i, x), (j, y) = ((p.column("id").to_numpy(), np.array(p.column("v").to_pylist(), dtype=np.float64)) for p in parts)
         value = kernel(x, y)
         keep = i[:, None] != j[None, :]
         src, dst = np.broadcast_to(i[:, None], keep.shape)[keep], np.broadcast_to(j[None, :], keep.shape)[keep]
-        return pa.table({"src": src, "dst": dst, "value": value[keep].astype(np.float64)})
+        of = {by: pa.array([group.column("g")[0].as_py()] * len(src), pa.int64())} if by else {}
+        return pa.table({"src": src, "dst": dst, "value": value[keep].astype(np.float64)} | of)
 
-    return left.unionByName(right).groupBy("g", "a", "b").applyInArrow(run, PAIR)
+    return left.unionByName(right).groupBy("g", "a", "b").applyInArrow(run, PAIR + (f", `{by}` long" if by else ""))
 
 
 def angle_distances(features: DataFrame, by: str | None = None) -> DataFrame:
     """(src, dst, value): arc cosine of the cosines over their largest, the features' own included."""
     unit = lambda x: x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
     dots = all_pairs(features, lambda x, y: unit(x) @ unit(y).T, by=by)
-    own = features.select(F.try_divide(V.dot(F.col("descriptor"), F.col("descriptor")), V.norm(F.col("descriptor")) * V.norm(F.col("descriptor"))).alias("value"))
-    most = dots.select("value").union(own).agg(F.max("value")).scalar()
-    return dots.select("src", "dst", F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("value") / most))).alias("value"))
+    own = features.select(F.try_divide(V.dot(F.col("descriptor"), F.col("descriptor")), V.norm(F.col("descriptor")) * V.norm(F.col("descriptor"))).alias("value"), *_keys(by))
+    most = dots.select("value", *_keys(by)).unionByName(own).groupBy(*_keys(by)).agg(F.max("value").alias("most"))
+    scaled = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("value") / F.col("most"))))
+    return _with(dots, most, by).select("src", "dst", scaled.alias("value"), *_keys(by))
 
 
 def hamming_distances(words: DataFrame, compat: bool = False, by: str | None = None) -> DataFrame:
@@ -74,56 +92,73 @@ def hamming_distances(words: DataFrame, compat: bool = False, by: str | None = N
 def weights(distances: DataFrame, kind: str = "angle") -> DataFrame:
     """Edges with one minus the scaled distance; other kinds than angle are bit distances."""
     scale = math.pi if kind == "angle" else 255.0
-    return distances.select("src", "dst", (1 - F.col("value") / scale).alias("w"))
+    return distances.select("src", "dst", (1 - F.col("value") / scale).alias("w"), *[c for c in distances.columns if c not in ("src", "dst", "value")])
 
 
-def _grid_threshold(values: DataFrame, column: str, need: float, n: int, start: float, top: float = 1.0) -> Column:
-    """The first of n even thresholds from ``top`` to ``start`` that ``need`` values exceed.
+def _grid_threshold(values: DataFrame, column: str, needs: DataFrame, n: int, by: str | None) -> DataFrame:
+    """(set, k): the first of n even thresholds from ``top`` to ``start`` that ``need`` values of the set exceed.
 
-    Each value is put at the first threshold below it, so one count per threshold is enough; the
-    running sum is over at most n rows.
+    ``needs`` has need, top and start of each set.  Each value is put at the first threshold below it, so one count per
+    threshold is enough; the running sum is over at most n rows of a set.  k is null where no threshold is exceeded so often.
     """
-    at = lambda k: F.lit(float(top)) + k * F.lit(float(start - top)) / F.lit(float(n - 1))
-    guess = F.floor((F.lit(float(top)) - F.col(column)) / F.lit(float(top - start)) * F.lit(float(n - 1))).cast("int")
+    top, start = F.col("top"), F.col("start")
+    at = lambda k: top + k * (start - top) / F.lit(float(n - 1))
+    guess = F.floor(F.try_divide(top - F.col(column), top - start) * F.lit(float(n - 1))).cast("int")
     first = F.coalesce(*[F.when((guess + d >= 0) & (F.col(column) > at(guess + d)), guess + d) for d in (-1, 0, 1, 2)], F.when(F.col(column) > at(F.lit(0)), F.lit(0)))
-    counts = values.select(first.alias("k")).where(F.col("k").isNotNull() & (F.col("k") < n)).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    run = counts.withColumn("sum", F.sum("n").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)))
-    k = run.where(F.col("sum") >= need).agg(F.min("k").alias("k"))
-    return k.select(F.when(F.col("k").isNull(), F.lit(float(start))).when(F.col("k") == 0, F.lit(1.0)).otherwise(at(F.col("k"))).alias("t")).scalar()
+    placed = _with(values.select(column, *_keys(by)), needs, by).select(first.alias("k"), *_keys(by))
+    counts = placed.where(F.col("k").isNotNull() & (F.col("k") < n)).groupBy("k", *_keys(by)).agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy(*_keys(by)).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    run = _with(counts.withColumn("sum", F.sum("n").over(order)), needs, by)
+    reached = run.where(F.col("sum") >= F.col("need")).groupBy(*_keys(by)).agg(F.min("k").alias("k"))
+    return needs.join(reached, by, "left") if by else reached
+
 
+def thresholds(edges: DataFrame, needs: DataFrame, n: int = 600, start: float = 0.0, by: str | None = None) -> DataFrame:
+    """(set, t): of n even thresholds from 1 to ``start`` the first that ``need`` weights of the set exceed."""
+    needs = needs.select(*_keys(by), "need", F.lit(1.0).alias("top"), F.lit(float(start)).alias("start"))
+    k = F.col("k")
+    t = F.when(k.isNull(), F.lit(float(start))).when(k == 0, F.lit(1.0)).otherwise(1.0 + k * F.lit(float(start - 1.0)) / F.lit(float(n - 1)))
+    return _grid_threshold(edges, "w", needs, n, by).select(*_keys(by), t.alias("t"))
 
-def edge_threshold(edges: DataFrame, vertices: int, per_vertex: float, n: int = 600, start: float = 0.0) -> Column:
-    """The threshold above which there are about ``per_vertex`` edges a vertex."""
-    return _grid_threshold(edges, "w", per_vertex * 2.0 * vertices, n, start)
 
+def vertex_counts(features: DataFrame, by: str | None = None) -> DataFrame:
+    """(set, vertices)."""
+    return features.groupBy(*_keys(by)).agg(F.count(F.lit(1)).alias("vertices"))
 
-def fraction_threshold(edges: DataFrame, cells: float, fraction: float, n: int = 600, start: float = 0.0) -> Column:
-    """The threshold that about ``fraction`` of all cells of the weight matrix exceed."""
-    return _grid_threshold(edges, "w", fraction * cells, n, start)
 
+def edge_threshold(edges: DataFrame, vertices: DataFrame, per_vertex: float, n: int = 600, start: float = 0.0, by: str | None = None) -> DataFrame:
+    """(set, t): the threshold above which there are about ``per_vertex`` edges a vertex."""
+    return thresholds(edges, vertices.select(*_keys(by), (per_vertex * 2.0 * F.col("vertices")).alias("need")), n, start, by)
 
-def above(edges: DataFrame, threshold: Column) -> DataFrame:
-    return edges.where((F.col("w") > threshold) & (F.col("w") != 1))
 
+def fraction_threshold(edges: DataFrame, vertices: DataFrame, fraction: float, n: int = 600, start: float = 0.0, by: str | None = None) -> DataFrame:
+    """(set, t): the threshold that about ``fraction`` of all cells of the weight matrix exceed."""
+    return thresholds(edges, vertices.select(*_keys(by), (fraction * F.col("vertices").cast("double") * F.col("vertices")).alias("need")), n, start, by)
 
-def prune_threshold(edges: DataFrame, vertices: int, per_vertex: float, n: int = 600, start: float = 0.0) -> DataFrame:
-    return above(edges, edge_threshold(edges, vertices, per_vertex, n, start))
 
+def above(edges: DataFrame, threshold: DataFrame | float, by: str | None = None) -> DataFrame:
+    """The edges over their set's threshold, but those of weight one."""
+    kept = (F.col("w") > F.col("t")) & (F.col("w") != 1)
+    each = edges.withColumn("t", F.lit(threshold)) if isinstance(threshold, float) else _with(edges, threshold, by)
+    return each.where(kept).drop("t")
 
-def prune_fraction(edges: DataFrame, cells: float, fraction: float, n: int = 500, start: float = 0.0) -> DataFrame:
-    return above(edges, fraction_threshold(edges, cells, fraction, n, start))
 
+def prune_threshold(edges: DataFrame, vertices: DataFrame, per_vertex: float, n: int = 600, start: float = 0.0, by: str | None = None) -> DataFrame:
+    return above(edges, edge_threshold(edges, vertices, per_vertex, n, start, by), by)
 
-def prune_rows(edges: DataFrame, fraction: float, n: int = 1000) -> DataFrame:
-    """Edges above the threshold that the largest weight of about ``fraction`` of the vertices exceeds."""
-    most = edges.groupBy("dst").agg(F.max("w").alias("m"))
-    s = most.agg(F.max("m").alias("hi"), F.min("m").alias("lo"), F.count(F.lit(1)).alias("n")).first()  # one row
-    if s["n"] == 0 or s["hi"] == s["lo"]:
-        return edges.where("w <> 1").where(F.col("w") > F.lit(s["hi"]))
-    at = lambda k: F.lit(s["hi"]) + k * F.lit((s["lo"] - s["hi"])) / F.lit(float(n - 1))
-    ks = edges.sparkSession.range(n).select(F.col("id").alias("k"), at(F.col("id")).alias("t"))
-    share = most.join(F.broadcast(ks), F.col("m") > F.col("t")).groupBy("k", "t").agg((F.count(F.lit(1)) / F.lit(float(s["n"]))).alias("share"))
-    return above(edges, share.where(F.col("share") >= fraction).agg(F.max("t")).scalar())
+
+def prune_fraction(edges: DataFrame, vertices: DataFrame, fraction: float, n: int = 500, start: float = 0.0, by: str | None = None) -> DataFrame:
+    return above(edges, fraction_threshold(edges, vertices, fraction, n, start, by), by)
+
+
+def prune_rows(edges: DataFrame, fraction: float, n: int = 1000, by: str | None = None) -> DataFrame:
+    """Edges above the threshold that the largest weight of about ``fraction`` of the set's vertices exceeds."""
+    most = edges.groupBy("dst", *_keys(by)).agg(F.max("w").alias("m"))
+    needs = most.groupBy(*_keys(by)).agg(F.max("m").alias("top"), F.min("m").alias("start"), (fraction * F.count(F.lit(1))).alias("need"))
+    k = _grid_threshold(most, "m", needs, n, by)
+    k = k if by else _with(k, needs, by)
+    t = F.col("top") + F.col("k") * (F.col("start") - F.col("top")) / F.lit(float(n - 1))
+    return above(edges, k.select(*_keys(by), t.alias("t")), by)
 
 
 def prune_highest(edges: DataFrame, keep: int) -> DataFrame:
@@ -142,28 +177,30 @@ def _clustered(edges: DataFrame, partition: DataFrame) -> DataFrame:
     return edges.join(side("src", "c1"), "src").join(side("dst", "c2"), "dst")
 
 
-def modularity_parts(edges: DataFrame, partition: DataFrame) -> DataFrame:
-    """(cluster, inside, degree, q): each cluster's part of the modularity; zero without any weight."""
-    k = edges.agg(F.sum("w")).scalar()
-    sums = _clustered(edges, partition).groupBy(F.col("c1").alias("cluster")).agg(
+def modularity_parts(edges: DataFrame, partition: DataFrame, by: str | None = None) -> DataFrame:
+    """(cluster, inside, degree, q): each cluster's part of its set's modularity; zero without any weight."""
+    total = edges.groupBy(*_keys(by)).agg(F.sum("w").alias("k"))
+    sums = _clustered(edges, partition).groupBy(F.col("c1").alias("cluster"), *_keys(by)).agg(
         F.sum(F.when(F.col("c1") == F.col("c2"), F.col("w")).otherwise(0.0)).alias("inside"), F.sum("w").alias("degree")
     )
-    share = F.try_divide("degree", k)
-    return sums.withColumn("q", F.coalesce(F.try_divide("inside", k) - share * share, F.lit(0.0)))
+    share = F.try_divide("degree", "k")
+    return _with(sums, total, by).withColumn("q", F.coalesce(F.try_divide("inside", "k") - share * share, F.lit(0.0))).drop("k")
 
 
-def modularity(edges: DataFrame, partition: DataFrame) -> DataFrame:
-    return modularity_parts(edges, partition).agg(F.sum("q").alias("modularity"))
+def modularity(edges: DataFrame, partition: DataFrame, by: str | None = None) -> DataFrame:
+    """(set, modularity)."""
+    return modularity_parts(edges, partition, by).groupBy(*_keys(by)).agg(F.sum("q").alias("modularity"))
 
 
-def move_gains(edges: DataFrame, partition: DataFrame) -> DataFrame:
+def move_gains(edges: DataFrame, partition: DataFrame, by: str | None = None) -> DataFrame:
     """(vertex, cluster, gain) of moving each vertex to a neighbouring cluster, itself not taken out first."""
-    k = edges.agg(F.sum("w")).scalar()
+    total = edges.groupBy(*_keys(by)).agg(F.sum("w").alias("k"))
     own = degrees(edges)
-    parts = modularity_parts(edges, partition).select("cluster", "inside", F.col("degree").alias("total"))
-    links = _clustered(edges, partition).groupBy(F.col("src").alias("vertex"), F.col("c2").alias("cluster")).agg(F.sum("w").alias("links"))
+    parts = modularity_parts(edges, partition, by).select("cluster", "inside", F.col("degree").alias("total"))
+    links = _clustered(edges, partition).groupBy(F.col("src").alias("vertex"), F.col("c2").alias("cluster"), *_keys(by)).agg(F.sum("w").alias("links"))
+    k = F.col("k")
     gain = (2 * F.col("links") - (F.col("degree") * (2 * F.col("total") - F.col("inside")) + F.col("degree") * F.col("degree")) / k) / k
-    return links.join(own, "vertex").join(parts, "cluster").select("vertex", "cluster", gain.alias("gain"))
+    return _with(links, total, by).join(own, "vertex").join(parts, "cluster").select("vertex", "cluster", gain.alias("gain"))
 
 
 def coherence(edges: DataFrame, partition: DataFrame, images: DataFrame, first: int, second: int) -> DataFrame:
@@ -250,12 +287,12 @@ def position_distances(features: DataFrame, by: str | None = None) -> DataFrame:
     return all_pairs(at, lambda p, q: ((p[:, None, :] - q[None, :, :]) ** 2).sum(axis=2), by=by)
 
 
-def geometric_weights(edges: DataFrame, positions: DataFrame, images: DataFrame) -> DataFrame:
-    """Within an image the position distance over the largest one, between images the edge weight."""
-    most = positions.agg(F.max("value")).scalar()
+def geometric_weights(edges: DataFrame, positions: DataFrame, images: DataFrame, by: str | None = None) -> DataFrame:
+    """Within an image the position distance over the largest one of the set, between images the edge weight."""
+    most = positions.groupBy(*_keys(by)).agg(F.max("value").alias("most"))
     of = lambda k, n: images.select(F.col("vertex").alias(k), F.col("image").alias(n))
-    both = positions.join(edges, ["src", "dst"], "left").join(of("src", "a"), "src").join(of("dst", "b"), "dst")
-    return both.select("src", "dst", F.when(F.col("a") == F.col("b"), F.try_divide("value", most)).otherwise(F.coalesce("w", F.lit(0.0))).alias("w"))
+    both = _with(positions, most, by).join(edges.select("src", "dst", "w"), ["src", "dst"], "left").join(of("src", "a"), "src").join(of("dst", "b"), "dst")
+    return both.select("src", "dst", F.when(F.col("a") == F.col("b"), F.try_divide("value", "most")).otherwise(F.coalesce("w", F.lit(0.0))).alias("w"))
 
 
 def result_matrix(scores: DataFrame) -> DataFrame:
@@ -266,22 +303,27 @@ def result_matrix(scores: DataFrame) -> DataFrame:
     return both.select("p1", "p2", F.try_divide(F.col("v") - lo, hi - lo).alias("value"))
 
 
-def match_scores(edges: DataFrame, partition: DataFrame, images: DataFrame) -> DataFrame:
-    """(cluster, share, m, c, score): modularity and coherence of clusters in both images 0 and 1."""
+def match_scores(edges: DataFrame, partition: DataFrame, images: DataFrame, by: str | None = None, scoring: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """(set, cluster, share, m, c, score): modularity and coherence of clusters in both images 0 and 1.
+
+    The score is ``scoring`` of the two times the cluster's share of its set's modularity; by default their sum where
+    the coherence is positive, else zero.
+    """
+    rate = scoring or (lambda m, c: F.when(c > 0, m + c).otherwise(0.0))
     both = partition.join(images, "vertex").groupBy("cluster").agg(F.count_if(F.col("image") == 0).alias("n0"), F.count_if(F.col("image") == 1).alias("n1")).where("n0 > 0 and n1 > 0")
-    parts = modularity_parts(edges, partition).select("cluster", F.col("q").alias("m")).join(both, "cluster")
-    total = parts.agg(F.sum("m")).scalar()
+    parts = modularity_parts(edges, partition, by).select(*_keys(by), "cluster", F.col("q").alias("m")).join(both, "cluster")
+    total = parts.groupBy(*_keys(by)).agg(F.sum("m").alias("total"))
     c = coherence(edges, partition, images, 0, 1).withColumnRenamed("coherence", "c")
-    rows = parts.join(c, "cluster").withColumn("share", F.try_divide("m", total))
-    return rows.select("cluster", "share", "m", "c", (F.when(F.col("c") > 0, F.col("m") + F.col("c")).otherwise(0.0) * F.col("share")).alias("score"))
+    rows = _with(parts, total, by).join(c, "cluster").withColumn("share", F.try_divide("m", "total"))
+    return rows.select(*_keys(by), "cluster", "share", "m", "c", (rate(F.col("m"), F.col("c")) * F.col("share")).alias("score"))
 
 
-def bipartite_scores(edges: DataFrame, partition: DataFrame, images: DataFrame) -> DataFrame:
-    """(cluster, score): mean weight between the two images by an equal share of the clusters, over ten."""
-    both = partition.join(images, "vertex").groupBy("cluster").agg(F.count_if(F.col("image") == 0).alias("n0"), F.count_if(F.col("image") == 1).alias("n1")).where("n0 > 1 and n1 > 1")
+def bipartite_scores(edges: DataFrame, partition: DataFrame, images: DataFrame, by: str | None = None) -> DataFrame:
+    """(cluster, score): mean weight between the two images by an equal share of the set's clusters, over ten."""
+    both = partition.join(images, "vertex").groupBy("cluster", *_keys(by)).agg(F.count_if(F.col("image") == 0).alias("n0"), F.count_if(F.col("image") == 1).alias("n1")).where("n0 > 1 and n1 > 1")
     mean = _cross_edges(edges, partition, images).where("i1 = 0 and i2 = 1").groupBy("cluster").agg(F.avg("w").alias("mean"))
-    n = both.agg(F.count(F.lit(1))).scalar()
-    return both.join(mean, "cluster", "left").select("cluster", (F.col("mean") / n / 10).alias("score"))
+    n = both.groupBy(*_keys(by)).agg(F.count(F.lit(1)).alias("n"))
+    return _with(both.select("cluster", *_keys(by)), n, by).join(mean, "cluster", "left").select("cluster", (F.col("mean") / F.col("n") / 10).alias("score"))
 
 
 def partition_deviation(partition: DataFrame, features: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from vecmosaic.operators import spectral as S
 from vecmosaic.operators.components import connected_components
 from vecmosaic.plans.catalog import query
 from vecmosaic.plans.geometry import H, matches
-from vecmosaic.plans.graphs import communities, edges, images, next_ones, pruned
+from vecmosaic.plans.graphs import BY, communities, edges, images, next_ones, pruned
 from vecmosaic.plans.matching import ORIENTED_SQL, rounded
 from vecmosaic.session import checkpointed, written
 from vecmosaic.sources.tables import features
@@ -31,32 +31,32 @@ def whole_graph(spark, sf):
 
 @query("GM9_louvain")
 def louvain(spark, sf):
-    return K.louvain(pruned(spark, sf))
+    return K.louvain(pruned(spark, sf), BY)
 
 
 @query("GM9_louvain_modularity")
 def louvain_modularity(spark, sf):
     near = written(pruned(spark, sf), "pruned")
-    return G.modularity(near, K.louvain(near))
+    return G.modularity(near, K.louvain(near, BY), BY)
 
 
 @query("GM12_split_large_clusters")
 def split_large_clusters(spark, sf):
     e, near = whole_graph(spark, sf)
-    return K.split_large(e, K.louvain(near), 40, 1.5)
+    return K.split_large(e, K.louvain(near, BY), 40, 1.5)
 
 
 @query("GM16_cluster_match")
 def cluster_match(spark, sf):
     e, near = whole_graph(spark, sf)
-    return G.community_matches(near, e, K.split_large(e, K.louvain(near), 50, 1.5), images(spark, sf), 0.99)
+    return G.community_matches(near, e, K.split_large(e, K.louvain(near, BY), 50, 1.5), images(spark, sf), 0.99)
 
 
 @query("BD2_cluster_benchmark")
 def cluster_benchmark(spark, sf):
     f = features(spark, sf)
     e, near = whole_graph(spark, sf)
-    found = G.community_matches(near, e, K.louvain(near), images(spark, sf), 0.999)
+    found = G.community_matches(near, e, K.louvain(near, BY), images(spark, sf), 0.999)
     return Geo.evaluate(M.with_positions(found, f), H, [0.95, 0.99, 0.999]).groupBy("threshold").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("error"), 6).alias("mean_error"))
 
 
@@ -115,7 +115,7 @@ def iso_match(spark, sf):
 
 
 query("GM29_spin_glass")(lambda spark, sf: K.spin_glass(G.prune_highest(checkpointed(pruned(spark, sf)), 2), k=6, sweeps=30))
-query("AG33_mutual_information")(lambda spark, sf: K.adjusted_mutual_information(K.louvain(pruned(spark, sf)), images(spark, sf).withColumnRenamed("image", "cluster")))
+query("AG33_mutual_information")(lambda spark, sf: K.adjusted_mutual_information(K.louvain(pruned(spark, sf), BY), images(spark, sf).withColumnRenamed("image", "cluster")))
 query("AG33_self_information", "SELECT 1.0::DOUBLE AS ami")(lambda spark, sf: K.adjusted_mutual_information(communities(spark, sf), communities(spark, sf)).select(F.round("ami", 6).alias("ami")))
 
 MATCHES = f"""{ORIENTED_SQL}, mm AS (SELECT im_i * 1000 + im_j AS pair, m.i * 1000000 + m.j AS id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, m.score FROM m JOIN f a ON m.i = a.id JOIN f b ON m.j = b.id),

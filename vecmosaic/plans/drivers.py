@@ -13,7 +13,7 @@ from vecmosaic.operators import stitch as T
 from vecmosaic.plans.catalog import query
 from vecmosaic.plans.clusters import iso_match, whole_graph
 from vecmosaic.plans.geometry import ERRORS, F_AB, F_AC, F_BC, H, T_SQL, THRESHOLDS, VIEWS, error_sql, matches, near_pairs, points
-from vecmosaic.plans.graphs import ANGLE, CELLS, IMAGES, PART, PRUNED, SCORED, cells, communities, edges, group, images, pruned, threshold_sql
+from vecmosaic.plans.graphs import ANGLE, BY, IMAGES, PART, PRUNED, SCORED, communities, edges, group, images, pruned, sizes, threshold_sql
 from vecmosaic.plans.matching import FEATURES, PAIRS, ranked_sql, rounded
 from vecmosaic.sources.tables import features
 
@@ -44,7 +44,7 @@ def spectral_over_clusters(spark, sf):
     """Spectral selection over community matches."""
     f = features(spark, sf)
     e, near = whole_graph(spark, sf)
-    m = G.community_matches(near, e, K.louvain(near), images(spark, sf), 0.999)
+    m = G.community_matches(near, e, K.louvain(near, BY), images(spark, sf), 0.999)
     ends = images(spark, sf)
     of = lambda k: ends.select(F.col("vertex").alias(k), F.col("image").alias(f"im_{k}"))
     rows = M.with_positions(m, f).join(of("i"), "i").join(of("j"), "j").select((F.col("im_i") * 1000 + F.col("im_j")).cast("long").alias("pair"), (F.col("i") * 1000000 + F.col("j")).alias("id"), "i", "j", "x1", "y1", "x2", "y2", F.col("ratio").alias("score"), "ratio")
@@ -65,7 +65,7 @@ def match_distances(spark, sf):
 
 @query("GM26_weighted_graph", f"WITH {PRUNED} SELECT src, dst, round(w, 6) AS w FROM pr WHERE src < dst AND w > 0")
 def weighted_graph(spark, sf):
-    return rounded(pruned(spark, sf).where("src < dst and w > 0"), "w")
+    return rounded(pruned(spark, sf).where("src < dst and w > 0").drop(BY), "w")
 
 
 @query("GM27_vertex_properties", f"WITH {FEATURES}, {PART}, {IMAGES} SELECT pt.vertex, cluster::BIGINT AS cluster, image, round(x, 6) AS x, round(y, 6) AS y FROM pt JOIN im ON pt.vertex = im.vertex JOIN f ON f.id = pt.vertex")
@@ -77,7 +77,7 @@ def vertex_properties(spark, sf):
 @query("GM31_trait_graph", f"""WITH {SCORED}, vt AS (SELECT DISTINCT pt.cluster, img AS image_id FROM pt JOIN f ON pt.vertex = f.id)
 SELECT a.cluster::BIGINT AS cluster, a.image_id AS im_i, b.image_id AS im_j, round(200 * score, 5) + 0.0 AS w FROM vt a JOIN vt b ON a.cluster = b.cluster AND a.image_id < b.image_id JOIN sr ON sr.cluster = a.cluster""")
 def trait_graph(spark, sf):
-    s = G.match_scores(pruned(spark, sf), communities(spark, sf), images(spark, sf)).select("cluster", "score")
+    s = G.match_scores(pruned(spark, sf), communities(spark, sf), images(spark, sf), BY).select("cluster", "score")
     return T.trait_graph(communities(spark, sf), group(spark, sf), s)[1].select("cluster", "im_i", "im_j", (F.round("w", 5) + 0.0).alias("w"))
 
 
@@ -89,9 +89,9 @@ def contract_images(spark, sf):
     return T.contract(e.select(F.col("im_i").cast("long").alias("src"), F.col("im_j").cast("long").alias("dst"), "n", h.alias("h")))
 
 
-@query("WN5_first_threshold", f"WITH {ANGLE}, {threshold_sql(f'0.1 * {CELLS}', 600)} SELECT round(t, 6) AS t FROM th")
+@query("WN5_first_threshold", f"WITH {ANGLE}, {threshold_sql('0.1 * zs.n * zs.n', 600)} SELECT sid AS set_id, round(t, 6) AS t FROM th")
 def first_threshold(spark, sf):
-    return spark.range(1).select(F.round(G.fraction_threshold(edges(spark, sf), cells(spark, sf), 0.1), 6).alias("t"))
+    return rounded(G.fraction_threshold(edges(spark, sf), sizes(spark, sf), 0.1, by=BY), "t")
 
 
 @query("PF13_mask", "SELECT vec_id::BIGINT AS id, (label IN (1, 3)) AS inside FROM embeddings")

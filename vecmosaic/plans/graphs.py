@@ -17,29 +17,27 @@ from vecmosaic.sources.tables import features
 #: Features of an image set: those of several images, which are matched with each other.  Every query
 #: runs over all sets of the table.
 SET = 200
-N_V = "(SELECT count(*) FROM f)"
-CELLS = f"(SELECT sum(n * n) FROM (SELECT count(*) AS n FROM f GROUP BY id // {SET}))"
-GROUP = f"g AS (SELECT *, id // {SET} AS s FROM f)"
-ANGLE = f"""{FEATURES}, {GROUP}, dt AS (SELECT a.id AS src, b.id AS dst, list_cosine_similarity(a.v, b.v) AS c FROM g a JOIN g b ON a.s = b.s),
-ad AS (SELECT src, dst, acos(least(1.0, greatest(-1.0, c / (SELECT max(c) FROM dt)))) AS value FROM dt WHERE src <> dst),
-ew AS (SELECT src, dst, 1 - value / pi() AS w FROM ad)"""
+GROUP = f"g AS (SELECT *, id // {SET} AS sid FROM f), zs AS (SELECT sid, count(*) AS n FROM g GROUP BY sid)"
+ANGLE = f"""{FEATURES}, {GROUP}, dt AS (SELECT a.sid, a.id AS src, b.id AS dst, list_cosine_similarity(a.v, b.v) AS c FROM g a JOIN g b ON a.sid = b.sid), mc AS (SELECT sid, max(c) AS most FROM dt GROUP BY sid),
+ad AS (SELECT sid, src, dst, acos(least(1.0, greatest(-1.0, c / most))) AS value FROM dt JOIN mc USING (sid) WHERE src <> dst),
+ew AS (SELECT sid, src, dst, 1 - value / pi() AS w FROM ad)"""
 IMAGES = "im AS (SELECT id AS vertex, img AS image FROM f)"
+BY = "set_id"
 
 
 def group(spark, sf):
     """All features with their image set."""
-    return features(spark, sf).withColumn("set_id", F.floor(F.col("feature_id") / SET).cast("long"))
+    return features(spark, sf).withColumn(BY, F.floor(F.col("feature_id") / SET).cast("long"))
 
 
-def cells(spark, sf):
-    """Cells of the weight matrices of all sets."""
-    n = group(spark, sf).groupBy("set_id").agg(F.count(F.lit(1)).alias("n"))
-    return float(n.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0)
+def sizes(spark, sf):
+    """The number of features of each set."""
+    return G.vertex_counts(group(spark, sf), BY)
 
 
 def edges(spark, sf):
     """The edges inside image sets, written once as most queries read them many times."""
-    return written(G.weights(G.angle_distances(group(spark, sf), "set_id")), "edges")
+    return written(G.weights(G.angle_distances(group(spark, sf), BY)), "edges")
 
 
 def images(spark, sf):
@@ -56,56 +54,58 @@ PART = f"pt AS (SELECT id AS vertex, 16 * (id // {SET}) + {' + '.join(f'{1 << k}
 
 
 def threshold_sql(need: str, n: int, name: str = "th", start: float = 0.0) -> str:
-    return f"""{name}k AS (SELECT range AS k, 1 + range * ({start} - 1.0)::DOUBLE / {n - 1} AS t FROM range({n})),
-{name}c AS (SELECT k, t, count(w) AS c FROM {name}k LEFT JOIN ew ON w > t GROUP BY k, t),
-{name}m AS (SELECT min(k) AS k FROM {name}c WHERE c >= {need}),
-{name} AS (SELECT CASE WHEN k IS NULL THEN {start} WHEN k = 0 THEN 1.0 ELSE 1 + k * ({start} - 1.0)::DOUBLE / {n - 1} END::DOUBLE AS t FROM {name}m)"""
+    """``th`` has each set's threshold; ``need`` is an expression of the set's size n.  Weights are counted at the first step below them."""
+    at = f"1 + {{0}} * ({start} - 1.0)::DOUBLE / {n - 1}"
+    return f"""{name}k AS (SELECT sid, list_filter([greatest(k0 - 1, 0), k0, k0 + 1, k0 + 2], lambda k: w > {at.format('k')})[1] AS k FROM (SELECT sid, w, greatest(0, floor((1 - w) * {n - 1} / (1 - {start}))::BIGINT) AS k0 FROM ew)),
+{name}c AS (SELECT sid, k, sum(count(*)) OVER (PARTITION BY sid ORDER BY k) AS c FROM {name}k WHERE k < {n} GROUP BY sid, k),
+{name}m AS (SELECT zs.sid, min(k) AS k FROM zs LEFT JOIN {name}c c ON c.sid = zs.sid AND c.c >= {need} GROUP BY zs.sid),
+{name} AS (SELECT sid, CASE WHEN k IS NULL THEN {start} WHEN k = 0 THEN 1.0 ELSE {at.format('k')} END::DOUBLE AS t FROM {name}m)"""
 
 
-@query("GM1_hamming_distances", f"""WITH {FEATURES}, {GROUP}, h AS (SELECT a.id AS src, b.id AS dst, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (a.v[i] > 0) <> (b.v[i] > 0) THEN 1 ELSE 0 END))::BIGINT AS value FROM g a JOIN g b ON a.s = b.s AND a.id <> b.id)
+@query("GM1_hamming_distances", f"""WITH {FEATURES}, {GROUP}, h AS (SELECT a.id AS src, b.id AS dst, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (a.v[i] > 0) <> (b.v[i] > 0) THEN 1 ELSE 0 END))::BIGINT AS value FROM g a JOIN g b ON a.sid = b.sid AND a.id <> b.id)
 SELECT * FROM h""")
 def hamming(spark, sf):
     w = group(spark, sf).select("feature_id", "set_id", V.sign_words(F.col("descriptor")).alias("words"))
-    return G.hamming_distances(w, by="set_id")
+    return G.hamming_distances(w, by=BY)
 
 
 @query("GM2_angle_distances", f"WITH {ANGLE} SELECT src, dst, round(value, 6) AS value FROM ad")
 def angle(spark, sf):
-    return rounded(G.angle_distances(group(spark, sf), "set_id"), "value")
+    return rounded(G.angle_distances(group(spark, sf), BY).drop(BY), "value")
 
 
 @query("GM3_weights", f"WITH {ANGLE} SELECT src, dst, round(w, 6) AS w FROM ew")
 def weights(spark, sf):
-    return rounded(edges(spark, sf), "w")
+    return rounded(edges(spark, sf).drop(BY), "w")
 
 
-@query("GM4_edge_threshold", f"WITH {ANGLE}, {threshold_sql(f'2.5 * 2 * {N_V}', 600)} SELECT round(t, 6) AS t FROM th")
+@query("GM4_edge_threshold", f"WITH {ANGLE}, {threshold_sql('2.5 * 2 * zs.n', 600)} SELECT sid AS set_id, round(t, 6) AS t FROM th")
 def edge_threshold(spark, sf):
-    return spark.range(1).select(F.round(G.edge_threshold(edges(spark, sf), group(spark, sf).count(), 2.5), 6).alias("t"))
+    return rounded(G.edge_threshold(edges(spark, sf), sizes(spark, sf), 2.5, by=BY), "t")
 
 
-PRUNED = f"{ANGLE}, {threshold_sql(f'2.5 * 2 * {N_V}', 600)}, pr AS (SELECT src, dst, w FROM ew, th WHERE w > t AND w <> 1)"
+PRUNED = f"{ANGLE}, {threshold_sql('2.5 * 2 * zs.n', 600)}, pr AS (SELECT sid, src, dst, w FROM ew JOIN th USING (sid) WHERE w > t AND w <> 1)"
 
 
 def pruned(spark, sf, full=None):
-    return G.prune_threshold(edges(spark, sf) if full is None else full, group(spark, sf).count(), 2.5)
+    return G.prune_threshold(edges(spark, sf) if full is None else full, sizes(spark, sf), 2.5, by=BY)
 
 
 @query("GM5_prune_threshold", f"WITH {PRUNED} SELECT src, dst, round(w, 6) AS w FROM pr")
 def prune_threshold(spark, sf):
-    return rounded(pruned(spark, sf), "w")
+    return rounded(pruned(spark, sf).drop(BY), "w")
 
 
-@query("GM6_prune_fraction", f"WITH {ANGLE}, {threshold_sql(f'0.05 * {CELLS}', 500)} SELECT src, dst, round(w, 6) AS w FROM ew, th WHERE w > t AND w <> 1")
+@query("GM6_prune_fraction", f"WITH {ANGLE}, {threshold_sql('0.05 * zs.n * zs.n', 500)} SELECT src, dst, round(w, 6) AS w FROM ew JOIN th USING (sid) WHERE w > t AND w <> 1")
 def prune_fraction(spark, sf):
-    return rounded(G.prune_fraction(edges(spark, sf), cells(spark, sf), 0.05), "w")
+    return rounded(G.prune_fraction(edges(spark, sf), sizes(spark, sf), 0.05, by=BY).drop(BY), "w")
 
 
-@query("GM7_prune_rows", f"""WITH {ANGLE}, mx AS (SELECT dst, max(w) AS m FROM ew GROUP BY dst), st AS (SELECT max(m) AS hi, min(m) AS lo, count(*) AS n FROM mx),
-ks AS (SELECT range AS k, hi + range * (lo - hi) / 999.0 AS t FROM range(1000), st), sh AS (SELECT k, t, count(m) AS c FROM ks JOIN mx ON m > t GROUP BY k, t),
-th AS (SELECT max(t) AS t FROM sh, st WHERE c >= 0.3 * n) SELECT src, dst, round(w, 6) AS w FROM ew, th WHERE w > t AND w <> 1""")
+@query("GM7_prune_rows", f"""WITH {ANGLE}, mx AS (SELECT sid, dst, max(w) AS m FROM ew GROUP BY sid, dst), st AS (SELECT sid, max(m) AS hi, min(m) AS lo, count(*) AS n FROM mx GROUP BY sid),
+ks AS (SELECT sid, range AS k, hi + range * (lo - hi) / 999.0 AS t FROM range(1000), st), sh AS (SELECT ks.sid, k, t, count(m) AS c FROM ks JOIN mx ON ks.sid = mx.sid AND m > t GROUP BY ALL),
+th AS (SELECT sh.sid, max(t) AS t FROM sh JOIN st USING (sid) WHERE c >= 0.3 * n GROUP BY sh.sid) SELECT src, dst, round(w, 6) AS w FROM ew JOIN th USING (sid) WHERE w > t AND w <> 1""")
 def prune_rows(spark, sf):
-    return rounded(G.prune_rows(edges(spark, sf), 0.3), "w")
+    return rounded(G.prune_rows(edges(spark, sf), 0.3, by=BY).drop(BY), "w")
 
 
 @query("TK1_prune_highest", f"""WITH {ANGLE}, k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS r FROM ew)
@@ -120,24 +120,24 @@ def degrees(spark, sf):
 
 
 MOD = f"""{PRUNED}, {PART}, {IMAGES}, ce AS (SELECT e.*, a.cluster AS c1, b.cluster AS c2 FROM pr e JOIN pt a ON e.src = a.vertex JOIN pt b ON e.dst = b.vertex),
-ks AS (SELECT sum(w) AS k FROM pr), mp AS (SELECT c1 AS cluster, sum(CASE WHEN c1 = c2 THEN w ELSE 0 END) AS inside, sum(w) AS degree FROM ce GROUP BY c1),
-mq AS (SELECT cluster, inside, degree, inside / k - (degree / k) * (degree / k) AS q FROM mp, ks)"""
+ks AS (SELECT sid, sum(w) AS k FROM pr GROUP BY sid), mp AS (SELECT sid, c1 AS cluster, sum(CASE WHEN c1 = c2 THEN w ELSE 0 END) AS inside, sum(w) AS degree FROM ce GROUP BY sid, c1),
+mq AS (SELECT sid, cluster, inside, degree, inside / k - (degree / k) * (degree / k) AS q FROM mp JOIN ks USING (sid))"""
 
 
-@query("AG21_modularity", f"WITH {MOD} SELECT round(sum(q), 6) AS modularity FROM mq")
+@query("AG21_modularity", f"WITH {MOD} SELECT sid AS set_id, round(sum(q), 6) AS modularity FROM mq GROUP BY sid")
 def modularity(spark, sf):
-    return rounded(G.modularity(pruned(spark, sf), communities(spark, sf)), "modularity")
+    return rounded(G.modularity(pruned(spark, sf), communities(spark, sf), BY), "modularity")
 
 
 @query("AG21_modularity_parts", f"WITH {MOD} SELECT cluster::BIGINT AS cluster, round(inside, 6) AS inside, round(degree, 6) AS degree, round(q, 6) AS q FROM mq")
 def modularity_parts(spark, sf):
-    return rounded(G.modularity_parts(pruned(spark, sf), communities(spark, sf)), "inside", "degree", "q")
+    return rounded(G.modularity_parts(pruned(spark, sf), communities(spark, sf), BY).drop(BY), "inside", "degree", "q")
 
 
 @query("GM11_move_gains", f"""WITH {MOD}, dg AS (SELECT src AS vertex, sum(w) AS degree FROM pr GROUP BY src), lk AS (SELECT src AS vertex, c2 AS cluster, sum(w) AS links FROM ce GROUP BY ALL)
-SELECT lk.vertex, lk.cluster::BIGINT AS cluster, round((2 * links - (dg.degree * (2 * mp.degree - inside) + dg.degree * dg.degree) / k) / k, 6) AS gain FROM lk JOIN dg ON lk.vertex = dg.vertex JOIN mp ON lk.cluster = mp.cluster, ks""")
+SELECT lk.vertex, lk.cluster::BIGINT AS cluster, round((2 * links - (dg.degree * (2 * mp.degree - inside) + dg.degree * dg.degree) / k) / k, 6) AS gain FROM lk JOIN dg ON lk.vertex = dg.vertex JOIN mp ON lk.cluster = mp.cluster JOIN ks ON ks.sid = mp.sid""")
 def move_gains(spark, sf):
-    return rounded(G.move_gains(pruned(spark, sf), communities(spark, sf)), "gain")
+    return rounded(G.move_gains(pruned(spark, sf), communities(spark, sf), BY), "gain")
 
 
 COH = f"""{MOD}, ci AS (SELECT c.*, a.image AS i1, b.image AS i2 FROM ce c JOIN im a ON c.src = a.vertex JOIN im b ON c.dst = b.vertex WHERE c1 = c2),
@@ -182,10 +182,11 @@ def community(spark, sf):
     return rounded(community_matches(spark, sf), "ratio", "w")
 
 
-@query("GM17_community_similarity", f"WITH {COMM} SELECT count(*) AS n_matches, round(count(*)::DOUBLE / {N_V}, 6) AS similarity FROM (SELECT * FROM sg UNION ALL SELECT * FROM lm)")
+@query("GM17_community_similarity", f"WITH {COMM}, ms AS (SELECT i // {SET} AS sid, count(*) AS c FROM (SELECT * FROM sg UNION ALL SELECT * FROM lm) GROUP BY ALL) SELECT zs.sid AS set_id, coalesce(c, 0) AS n_matches, round(coalesce(c, 0)::DOUBLE / n, 6) AS similarity FROM zs LEFT JOIN ms USING (sid)")
 def community_similarity(spark, sf):
-    n = group(spark, sf).agg(F.count(F.lit(1))).scalar()
-    return rounded(community_matches(spark, sf).agg(F.count(F.lit(1)).alias("n_matches")).select("n_matches", (F.col("n_matches") / n).alias("similarity")), "similarity")
+    found = community_matches(spark, sf).groupBy(F.floor(F.col("i") / SET).alias(BY)).agg(F.count(F.lit(1)).alias("c"))
+    n = F.coalesce("c", F.lit(0))
+    return rounded(sizes(spark, sf).join(found, BY, "left").select(BY, n.alias("n_matches"), (n / F.col("vertices")).alias("similarity")), "similarity")
 
 
 @query("GM15_heaviest_cross_edges", f"""WITH {COH}, x AS (SELECT c1 AS cluster, src, dst, w, row_number() OVER (PARTITION BY c1 ORDER BY w DESC, src, dst) AS r, count(*) OVER (PARTITION BY c1) AS n FROM ci WHERE i1 = 0 AND i2 = 1)
@@ -194,18 +195,18 @@ def heaviest(spark, sf):
     return rounded(G.heaviest_cross_edges(pruned(spark, sf), communities(spark, sf), images(spark, sf), 0, 1), "w")
 
 
-POS = f"{FEATURES}, {GROUP}, pd AS (SELECT a.id AS src, b.id AS dst, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS value FROM g a JOIN g b ON a.s = b.s AND a.id <> b.id)"
+POS = f"{FEATURES}, {GROUP}, pd AS (SELECT a.id AS src, b.id AS dst, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS value FROM g a JOIN g b ON a.sid = b.sid AND a.id <> b.id)"
 
 
 @query("GM18_position_distances", f"WITH {POS} SELECT src, dst, round(value, 4) AS value FROM pd")
 def position_distances(spark, sf):
-    return G.position_distances(group(spark, sf), "set_id").select("src", "dst", F.round("value", 4).alias("value"))
+    return G.position_distances(group(spark, sf), BY).select("src", "dst", F.round("value", 4).alias("value"))
 
 
-@query("GM19_geometric_weights", f"""WITH {ANGLE}, {IMAGES}, pd AS (SELECT a.id AS src, b.id AS dst, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS value FROM g a JOIN g b ON a.s = b.s AND a.id <> b.id)
-SELECT pd.src, pd.dst, round(CASE WHEN a.image = b.image THEN value / (SELECT max(value) FROM pd) ELSE coalesce(w, 0) END, 6) AS w FROM pd LEFT JOIN ew ON pd.src = ew.src AND pd.dst = ew.dst JOIN im a ON pd.src = a.vertex JOIN im b ON pd.dst = b.vertex""")
+@query("GM19_geometric_weights", f"""WITH {ANGLE}, {IMAGES}, pd AS (SELECT a.sid, a.id AS src, b.id AS dst, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS value FROM g a JOIN g b ON a.sid = b.sid AND a.id <> b.id)
+SELECT pd.src, pd.dst, round(CASE WHEN a.image = b.image THEN value / max(value) OVER (PARTITION BY pd.sid) ELSE coalesce(w, 0) END, 6) AS w FROM pd LEFT JOIN ew ON pd.src = ew.src AND pd.dst = ew.dst JOIN im a ON pd.src = a.vertex JOIN im b ON pd.dst = b.vertex""")
 def geometric_weights(spark, sf):
-    return rounded(G.geometric_weights(edges(spark, sf), G.position_distances(group(spark, sf), "set_id"), images(spark, sf)), "w")
+    return rounded(G.geometric_weights(edges(spark, sf), G.position_distances(group(spark, sf), BY), images(spark, sf), BY), "w")
 
 
 @query("PF10_vertex_filter", f"WITH {FEATURES}, {PART} SELECT vertex FROM pt WHERE cluster % 16 IN (1, 3, 5)")
@@ -226,7 +227,7 @@ def mask_union(spark, sf):
 
 @query("AG19_partition_links", f"WITH {MOD} SELECT c1::BIGINT AS p1, c2::BIGINT AS p2, count(*) AS n FROM ce GROUP BY ALL")
 def partition_links(spark, sf):
-    e = G._clustered(pruned(spark, sf), communities(spark, sf))
+    e = G._clustered(pruned(spark, sf).drop(BY), communities(spark, sf))
     return e.groupBy(F.col("c1").alias("p1"), F.col("c2").alias("p2")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -240,7 +241,7 @@ def image_indices(spark, sf):
 
 @query("TK4_heaviest_edge", f"WITH {PRUNED} SELECT src, dst, round(w, 6) AS w FROM pr WHERE src < dst ORDER BY w DESC, src, dst LIMIT 1")
 def heaviest_edge(spark, sf):
-    return rounded(pruned(spark, sf).where("src < dst").orderBy(F.desc("w"), "src", "dst").limit(1), "w")
+    return rounded(pruned(spark, sf).where("src < dst").orderBy(F.desc("w"), "src", "dst").limit(1).drop(BY), "w")
 
 
 RES = f"""{FEATURES}, sc AS (SELECT a.id AS p1, b.id AS p2, CASE WHEN (a.id + b.id) % 7 = 0 THEN 'NaN'::DOUBLE ELSE list_distance(a.v, b.v) END AS score FROM f a JOIN f b ON b.id BETWEEN a.id + 1 AND a.id + 8),
@@ -266,24 +267,32 @@ def result_matrix(spark, sf):
 @query("GM30_face_graph", f"WITH {RES}, m AS (SELECT p1 AS src, p2 AS dst, 1 - (v - (SELECT least(min(v), 0) FROM bo)) / (SELECT greatest(max(v), 0) - least(min(v), 0) FROM bo) AS w FROM bo) SELECT src, dst, round(w, 6) AS w FROM m WHERE w > 0.3 AND w <> 1")
 def face_graph(spark, sf):
     m = G.result_matrix(named_scores(spark, sf)).select(F.col("p1").alias("src"), F.col("p2").alias("dst"), (1 - F.col("value")).alias("w"))
-    return rounded(G.above(m, F.lit(0.3)), "w")
+    return rounded(G.above(m, 0.3), "w")
 
 
 SCORED = f"""{COH}, bt AS (SELECT cluster FROM pt JOIN im ON pt.vertex = im.vertex GROUP BY cluster HAVING count(*) FILTER (image = 0) > 0 AND count(*) FILTER (image = 1) > 0),
-ms AS (SELECT mq.cluster, q AS m, coherence AS c, q / (SELECT sum(q) FROM mq JOIN bt USING (cluster)) AS share FROM mq JOIN bt USING (cluster) JOIN co USING (cluster)),
-sr AS (SELECT cluster, share, m, c, CASE WHEN c > 0 THEN m + c ELSE 0 END * share AS score FROM ms)"""
+ms AS (SELECT mq.sid, mq.cluster, q AS m, coherence AS c, q / tq.total AS share FROM mq JOIN bt USING (cluster) JOIN co USING (cluster) JOIN (SELECT sid, sum(q) AS total FROM mq JOIN bt USING (cluster) GROUP BY sid) tq ON tq.sid = mq.sid),
+sr AS (SELECT sid, cluster, share, m, c, CASE WHEN c > 0 THEN m + c ELSE 0 END * share AS score FROM ms)"""
 
 
 @query("GM32_cluster_scores", f"WITH {SCORED} SELECT cluster::BIGINT AS cluster, round(share, 6) AS share, round(m, 6) AS m, round(c, 6) + 0.0 AS c, round(score, 6) + 0.0 AS score FROM sr")
 def cluster_scores(spark, sf):
-    out = rounded(G.match_scores(pruned(spark, sf), communities(spark, sf), images(spark, sf)), "share", "m", "c", "score")
+    out = rounded(G.match_scores(pruned(spark, sf), communities(spark, sf), images(spark, sf), BY).drop(BY), "share", "m", "c", "score")
     return out.withColumn("c", F.col("c") + 0.0).withColumn("score", F.col("score") + 0.0)
 
 
-@query("GM33_bipartite_scores", f"""WITH {COH}, bt AS (SELECT cluster FROM pt JOIN im ON pt.vertex = im.vertex GROUP BY cluster HAVING count(*) FILTER (image = 0) > 1 AND count(*) FILTER (image = 1) > 1),
-mn AS (SELECT c1 AS cluster, avg(w) AS mean FROM ci WHERE i1 = 0 AND i2 = 1 GROUP BY c1) SELECT bt.cluster::BIGINT AS cluster, round(mean / (SELECT count(*) FROM bt) / 10, 6) AS score FROM bt LEFT JOIN mn USING (cluster)""")
+@query("GM32_scoring_hook", f"WITH {SCORED} SELECT cluster::BIGINT AS cluster, round(greatest(m, c) * share, 6) + 0.0 AS score FROM ms")
+def scoring_hook(spark, sf):
+    """The same with a scoring function handed in."""
+    s = G.match_scores(pruned(spark, sf), communities(spark, sf), images(spark, sf), BY, scoring=F.greatest)
+    return s.select("cluster", (F.round("score", 6) + 0.0).alias("score"))
+
+
+@query("GM33_bipartite_scores", f"""WITH {COH}, bt AS (SELECT cluster, cluster // 16 AS sid FROM pt JOIN im ON pt.vertex = im.vertex GROUP BY cluster HAVING count(*) FILTER (image = 0) > 1 AND count(*) FILTER (image = 1) > 1),
+mn AS (SELECT c1 AS cluster, avg(w) AS mean FROM ci WHERE i1 = 0 AND i2 = 1 GROUP BY c1) SELECT bt.cluster::BIGINT AS cluster, round(mean / count(*) OVER (PARTITION BY sid) / 10, 6) AS score FROM bt LEFT JOIN mn USING (cluster)""")
 def bipartite(spark, sf):
-    return rounded(G.bipartite_scores(pruned(spark, sf), communities(spark, sf), images(spark, sf)), "score")
+    part = communities(spark, sf).withColumn(BY, F.floor(F.col("cluster") / 16))
+    return rounded(G.bipartite_scores(pruned(spark, sf).drop(BY), part, images(spark, sf), BY), "score")
 
 
 DEV = "dv AS (SELECT pt.cluster, img AS image_id, sqrt((var_pop(x) + var_pop(y)) / 2) AS sd FROM pt JOIN f ON pt.vertex = f.id GROUP BY ALL)"
@@ -307,9 +316,9 @@ def multiplier(spark, sf):
 
 
 @query("GM35_image_score", f"""WITH {SCORED}, {DEV}, mu AS (SELECT cluster, CASE WHEN max(sd) < 3 THEN 1.0 ELSE 3.0 / max(sd) END AS k FROM dv WHERE image_id IN (0, 1) GROUP BY cluster)
-SELECT round(sum(score * k) * CASE WHEN count(*) < 20 THEN count(*) * (40.0 - count(*)) / 400.0 ELSE 1.0 END, 6) + 0.0 AS score, count(*) AS n_clusters FROM sr JOIN mu USING (cluster)""")
+SELECT sid AS set_id, round(sum(score * k) * CASE WHEN count(*) < 20 THEN count(*) * (40.0 - count(*)) / 400.0 ELSE 1.0 END, 6) + 0.0 AS score, count(*) AS n_clusters FROM sr JOIN mu USING (cluster) GROUP BY sid""")
 def image_score(spark, sf):
     d = G.partition_deviation(communities(spark, sf), group(spark, sf)).where("image_id in (0, 1)").groupBy("cluster").agg(G.geometry_multiplier(F.max("sd")).alias("k"))
-    s = G.match_scores(pruned(spark, sf), communities(spark, sf), images(spark, sf)).join(d, "cluster")
+    s = G.match_scores(pruned(spark, sf), communities(spark, sf), images(spark, sf), BY).join(d, "cluster")
     n = F.count(F.lit(1)).cast("double")
-    return s.agg((F.round(F.sum(F.col("score") * F.col("k")) * G.certainty(n), 6) + 0.0).alias("score"), F.count(F.lit(1)).alias("n_clusters"))
+    return s.groupBy(BY).agg((F.round(F.sum(F.col("score") * F.col("k")) * G.certainty(n), 6) + 0.0).alias("score"), F.count(F.lit(1)).alias("n_clusters"))

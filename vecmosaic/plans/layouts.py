@@ -13,7 +13,7 @@ from vecmosaic.operators import images as I
 from vecmosaic.plans.catalog import query
 from vecmosaic.plans.faces import people
 from vecmosaic.plans.geometry import ERRORS, H, matches
-from vecmosaic.plans.graphs import MOD, TOP, communities, edges, pruned
+from vecmosaic.plans.graphs import BY, MOD, TOP, communities, edges, pruned
 from vecmosaic.plans.images import GRID, PIX, SIDE, images
 from vecmosaic.operators.tiles import long
 from vecmosaic.plans.matching import FEATURES, rounded
@@ -126,12 +126,12 @@ def crop_and_resize(spark, sf):
 
 
 GAINS = f"""{MOD}, dg AS (SELECT src AS vertex, sum(w) AS degree FROM pr GROUP BY src), lk AS (SELECT src AS vertex, c2 AS cluster, sum(w) AS links FROM ce GROUP BY ALL),
-gn AS (SELECT lk.vertex, lk.cluster, (2 * links - (dg.degree * (2 * mp.degree - inside) + dg.degree * dg.degree) / k) / k AS gain FROM lk JOIN dg ON lk.vertex = dg.vertex JOIN mp ON lk.cluster = mp.cluster, ks)"""
+gn AS (SELECT lk.vertex, lk.cluster, (2 * links - (dg.degree * (2 * mp.degree - inside) + dg.degree * dg.degree) / k) / k AS gain FROM lk JOIN dg ON lk.vertex = dg.vertex JOIN mp ON lk.cluster = mp.cluster JOIN ks ON ks.sid = mp.sid)"""
 
 
 @query("GM10_best_moves", f"WITH {GAINS} SELECT vertex, cluster::BIGINT AS cluster, round(gain, 6) AS gain FROM gn QUALIFY row_number() OVER (PARTITION BY vertex ORDER BY gain DESC, cluster DESC) = 1")
 def best_moves(spark, sf):
-    g = G.move_gains(pruned(spark, sf), communities(spark, sf))
+    g = G.move_gains(pruned(spark, sf), communities(spark, sf), BY)
     top = g.groupBy("vertex").agg(F.max(F.struct("gain", "cluster")).alias("t"))
     return rounded(top.select("vertex", "t.cluster", "t.gain"), "gain")
 
