@@ -2,9 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vecmosaic.operators import cluster as K
 from vecmosaic.operators import faces as X
+from vecmosaic.operators import graph as G
 from vecmosaic.plans import catalog
 from vecmosaic.plans.graphs import SET, pruned
 
@@ -23,16 +25,37 @@ def small(spark, tmp_path_factory):
 
 
 def pruned_by_hand(vec):
-    unit = vec / np.linalg.norm(vec, axis=1, keepdims=True)
-    dots = unit @ unit.T
-    w = 1 - np.arccos(np.clip(dots / dots.max(), -1, 1)) / np.pi
-    sets = np.arange(len(w)) // SET
-    together = (sets[:, None] == sets[None, :]) & ~np.eye(len(w), dtype=bool)
-    dots = np.where(sets[:, None] == sets[None, :], dots, -1)
-    w = np.where(together, 1 - np.arccos(np.clip(dots / dots.max(), -1, 1)) / np.pi, 0)
-    off = w[together]
-    t = next(t for t in (1 + k * -1.0 / 599 for k in range(600)) if (off > t).sum() >= 2.5 * 2 * len(w))
-    return {(i, j): w[i, j] for i, j in zip(*np.nonzero((w > t) & (w != 1)), strict=True)}
+    """Each set's edges by its own largest cosine and its own threshold."""
+    out = {}
+    for first in range(0, len(vec), SET):
+        unit = vec[first : first + SET] / np.linalg.norm(vec[first : first + SET], axis=1, keepdims=True)
+        dots = unit @ unit.T
+        w = 1 - np.arccos(np.clip(dots / dots.max(), -1, 1)) / np.pi
+        np.fill_diagonal(w, 0)
+        t = next(t for t in (1 + k * -1.0 / 599 for k in range(600)) if (w > t).sum() >= 2.5 * 2 * len(w))
+        out |= {(i + first, j + first): w[i, j] for i, j in zip(*np.nonzero((w > t) & (w != 1)), strict=True)}
+    return out
+
+
+def test_a_second_set_leaves_the_first_alone(spark):
+    """Edges, thresholds and modularity of a set don't change with the sets beside it."""
+    rng = np.random.default_rng(12)
+    one, other = rng.normal(size=(60, 8)), rng.normal(size=(1, 8)) + 0.01 * rng.normal(size=(90, 8))  # near copies
+    rows = [(i, 0, v.tolist()) for i, v in enumerate(one)] + [(1000 + i, 1, v.tolist()) for i, v in enumerate(other)]
+    both = spark.createDataFrame(rows, "feature_id long, set_id long, descriptor array<double>")
+    part = both.select(F.col("feature_id").alias("vertex"), (F.col("set_id") * 10 + F.col("feature_id") % 3).alias("cluster"))
+
+    def results(f):
+        e = G.weights(G.angle_distances(f, "set_id"))
+        n = G.vertex_counts(f, "set_id")
+        kept = G.prune_threshold(e, n, 2.5, by="set_id")
+        alike = lambda df: {tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.where("set_id = 0").collect()}
+        return [alike(x) for x in (e, G.edge_threshold(e, n, 2.5, by="set_id"), kept, G.prune_fraction(e, n, 0.05, by="set_id"), G.prune_rows(e, 0.3, by="set_id"), G.modularity(kept, part, "set_id"))]
+
+    alone = results(both.where("set_id = 0"))
+    assert results(both) == alone and all(len(x) for x in alone)
+    e = G.weights(G.angle_distances(both.where("set_id = 0").drop("set_id")))
+    assert {(r.src, r.dst) for r in G.prune_threshold(e, G.vertex_counts(both.where("set_id = 0")), 2.5).collect()} == {(x[0], x[1]) if isinstance(x[2], float) else (x[1], x[2]) for x in alone[2]}
 
 
 def test_pruned_graph_of_all_features(spark, small):
@@ -55,13 +78,14 @@ def test_queries_reach_features_beyond_the_twins_group(spark, small):
     for c in set(component.values()):
         own = np.array([component[v] == c for v in src.tolist()])
         ids = np.unique(src[own])
-        want |= dict(zip(ids.tolist(), K.louvain_kernel(ids, src[own], dst[own], w[own], w.sum()).tolist(), strict=True))
+        total = w[src // SET == ids[0] // SET].sum()
+        want |= dict(zip(ids.tolist(), K.louvain_kernel(ids, src[own], dst[own], w[own], total).tolist(), strict=True))
     assert max(want) >= SET
     q = catalog.queries()
     assert {r.vertex: r.cluster for r in q["GM9_louvain"](spark, at).collect()} == want
     for name in ("GM12_split_large_clusters", "GM29_spin_glass"):
         assert {r.vertex for r in q[name](spark, at).collect()} == set(want), name
-    assert q["GM9_louvain_modularity"](spark, at).first()[0] > 0.5
+    assert all(r.modularity > 0.5 for r in q["GM9_louvain_modularity"](spark, at).collect())
     for name in ("GM16_cluster_match", "BD4_spectral_over_clusters"):
         assert max(max(r.i, r.j) for r in q[name](spark, at).collect()) >= 200, name
     for name in ("BD2_cluster_benchmark", "AG33_mutual_information"):
