@@ -2,12 +2,15 @@
 
 The tree is fitted on the driver to a bounded sample; every row is then put into its leaf.  A
 query visits leaves best bin first: a priority queue holds the nodes by the inner product with
-their centroids, and the number of leaves to visit is widened until a calibration set of queries,
-searched exactly against all rows, reaches the asked recall.  Leaves next to each other in the tree
-share a shelf; a query goes to a shelf once, with the list of its leaves there, and only rows of
-those leaves compete.  Shelves and their queries meet in blocks of bounded size, so a leaf or a
-vector with very many rows is spread over tasks.  Each result row says which share of all rows its
-query's leaves held; vectors without structure leave little to prune.
+their centroids, and a node's children are scored when it is taken from the queue.  The number of leaves to visit is
+widened until a calibration set of queries, searched exactly against all rows, reaches the asked recall.  Each query also
+stops on its own: no row of a leaf has a larger product than its centroid's plus the leaf's radius times the query's
+length, so a leaf where this is below the query's k-th product in the sample is left out.
+
+Leaves next to each other in the tree share a shelf; a query goes to a shelf once, with the list of its leaves there, and
+is multiplied with the rows of those leaves alone.  Shelves and their queries meet in blocks of bounded size, so a leaf or
+a vector with very many rows is spread over tasks.  Each result row says with which share of all rows its
+query was multiplied; vectors without structure leave little to prune.
 
 Scores are inner products of the original vectors in double precision, summed in one fixed order,
 so equal vectors have equal scores; ties go to the smaller id.
@@ -106,18 +109,26 @@ class KMeansTree:
             work += [(kid, rows[near == j]) for j, kid in enumerate(kids) if (near == j).any()]
         return out
 
-    def visits(self, q: np.ndarray, n: int, counts: dict[int, int] | None = None, rows: int = 0) -> Iterator[list[int]]:
-        """The first ``n`` leaves of each query row, best bin first; more while they hold fewer than ``rows``."""
-        for row in q @ self.centroids.T:
-            queue, order, held = [(-row[0], 0)], [], 0
-            while queue and (len(order) < n or held < rows):
-                _, node = heapq.heappop(queue)
-                if self.children[node]:
-                    for kid in self.children[node]:
-                        heapq.heappush(queue, (-row[kid], kid))
-                else:
-                    order.append(self.leaf_of[node])
-                    held += counts.get(order[-1], 0) if counts else 0
+    def visits(self, q: np.ndarray, n: int, counts: np.ndarray | None = None, rows: int = 0, radius: np.ndarray | None = None, least: np.ndarray | None = None) -> Iterator[list[int]]:
+        """The first ``n`` leaves of each query row, best bin first; more while they hold fewer than ``rows``.
+
+        With ``radius`` of the leaves and the ``least`` product that matters to each query, leaves that can't reach it are left out.
+        """
+        for i, row in enumerate(q):
+            length = float(np.sqrt(row @ row))
+            queue, order, seen, held = [(-float(row @ self.centroids[0]), 0)], [], 0, 0
+            while queue and (seen < n or held < rows):
+                near, node = heapq.heappop(queue)
+                if kids := self.children[node]:
+                    for kid, product in zip(kids, (self.centroids[kids] @ row).tolist(), strict=True):
+                        heapq.heappush(queue, (-product, kid))
+                    continue
+                leaf = self.leaf_of[node]
+                seen += 1
+                if counts is not None:
+                    held += int(counts[leaf])
+                if least is None or -near + radius[leaf] * length >= least[i]:
+                    order.append(leaf)
             yield order
 
 
@@ -153,41 +164,59 @@ def usable(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") ->
 
 
 def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, leaf: np.ndarray | None = None, visited: list[np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, scores) of each query's k nearest rows but itself, exact within the block or its visited leaves.
+    """(ids, scores) of each query's k nearest rows but itself, exact within the rows or within its visited leaves.
 
-    Equal vectors, which are in one leaf, are scored once; of their rows only the k + 1 smallest ids
-    can be among the nearest.  The matrix product only picks candidates, with a slack beyond its
-    rounding.
+    A query is multiplied with the rows of its leaves only.  Equal vectors, which are in one leaf, are scored once;
+    of their rows only the k + 1 smallest ids can be among the nearest.  The matrix product only picks
+    candidates, with a slack beyond its rounding.
     """
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], np.ascontiguousarray(x[order])
-    rows, group = np.unique(x.view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_inverse=True)
+    leaf = np.zeros(len(ids), dtype=np.int32) if leaf is None else leaf
+    order = np.lexsort((ids, leaf))
+    ids, leaf, x = ids[order], leaf[order], np.ascontiguousarray(x[order])
+    cuts = [0, *(np.flatnonzero(np.diff(leaf)) + 1).tolist(), len(ids)]
+    if visited is None:
+        asks = {int(leaf[0]): np.arange(len(q))} if len(ids) else {}
+    else:
+        place = np.repeat(np.arange(len(q)), [len(v) for v in visited])
+        names = np.concatenate(visited) if visited else np.zeros(0, dtype=np.int32)
+        by = np.argsort(names, kind="stable")
+        ends = np.flatnonzero(np.diff(names[by], append=-1)) + 1
+        asks = {int(names[by[a]]): place[by[a:b]] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)} if len(by) else {}
+    length, found = np.sqrt((q * q).sum(axis=1)), []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        who = asks.get(int(leaf[a])) if a < b else None
+        if who is not None:
+            found += _leaf_best(who, q, length, ids[a:b], x[a:b], k)
+    row, got, score = (np.concatenate([f[c] for f in found]) if found else np.zeros(0, dtype=kind) for c, kind in enumerate((np.int64, np.int64, np.float64)))
+    other = got != q_ids[row]
+    row, got, score = row[other], got[other], score[other]
+    order = np.lexsort((got, -score, row))
+    row, got, score = row[order], got[order], score[order]
+    starts = np.searchsorted(row, np.arange(len(q) + 1))
+    for i, j in zip(starts.tolist(), starts[1:].tolist(), strict=False):
+        j = min(j, i + k)
+        yield got[i:j], score[i:j]
+
+
+def _leaf_best(who: np.ndarray, q: np.ndarray, length: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, id, score) of the candidates of one leaf for the queries that visit it; ids are ascending."""
+    _, group = np.unique(x.view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_inverse=True)
     by = np.argsort(group, kind="stable")
-    ends = np.cumsum(np.bincount(group, minlength=len(rows)))
+    ends = np.cumsum(np.bincount(group))
     starts = np.concatenate([[0], ends[:-1]])
-    distinct = x[by[starts]]
-    if visited is not None:
-        names, place = np.unique(leaf[order][by[starts]], return_inverse=True)
-    slack = 1e-12 * x.shape[1]
-    top = min(k + 1, len(rows))
-    norms = np.sqrt((distinct * distinct).sum(axis=1)).max()
-    for a in range(0, len(q), 256):
-        s = q[a : a + 256] @ distinct.T
-        if visited is not None:
-            seen = np.stack([np.isin(names, v) for v in visited[a : a + 256]])
-            s[~seen[:, place]] = -np.inf
+    rows = x[by[starts]]
+    slack = 1e-12 * x.shape[1] * np.sqrt((rows * rows).sum(axis=1)).max()
+    top, out = min(k + 1, len(rows)), []
+    for a in range(0, len(who), 256):
+        ask = who[a : a + 256]
+        s = q[ask] @ rows.T
         least = np.partition(s, len(rows) - top, axis=1)[:, len(rows) - top]
-        for i, row in enumerate(s):
-            one = q[a + i]
-            cand = np.flatnonzero((row >= least[i] - slack * norms * np.sqrt(one @ one)) & (row > -np.inf))
-            score = (distinct[cand] * one).sum(axis=1)
-            take = np.minimum(ends[cand] - starts[cand], k + 1)
-            at = np.repeat(starts[cand] - np.concatenate([[0], np.cumsum(take)[:-1]]), take) + np.arange(take.sum())
-            got, sc = ids[by[at]], np.repeat(score, take)
-            other = got != q_ids[a + i]
-            got, sc = got[other], sc[other]
-            first = np.lexsort((got, -sc))[:k]
-            yield got[first], sc[first]
+        i, c = np.nonzero(s >= (least - slack * length[ask])[:, None])
+        score = (rows[c] * q[ask[i]]).sum(axis=1)
+        take = np.minimum(ends[c] - starts[c], k + 1)
+        at = np.repeat(starts[c] - np.concatenate([[0], np.cumsum(take)[:-1]]), take) + np.arange(take.sum())
+        out.append((np.repeat(ask[i], take), ids[by[at]], np.repeat(score, take)))
+    return out
 
 
 def _nearest(placed: DataFrame, dim: int, k: int, parallel: int) -> DataFrame:
@@ -238,7 +267,9 @@ class AnnIndex:
     rows: DataFrame  # leaf, id, v binary
     tree: KMeansTree
     dim: int
-    counts: dict[int, int]
+    counts: np.ndarray  # rows of each leaf
+    radius: np.ndarray  # largest distance of a leaf's rows from its centroid
+    sample: np.ndarray
     visits: int
     calibrated: float
     options: AnnOptions
@@ -247,7 +278,7 @@ class AnnIndex:
         """The shelf of each leaf: leaves in order, as many as hold ``block`` rows together."""
         out, held, shelf = np.zeros(self.tree.leaves, dtype=np.int32), 0, 0
         for leaf in range(self.tree.leaves):
-            c = self.counts.get(leaf, 0)
+            c = int(self.counts[leaf])
             if held and held + c > self.options.block:
                 shelf, held = shelf + 1, 0
             out[leaf], held = shelf, held + c
@@ -255,9 +286,10 @@ class AnnIndex:
 
     def search(self, queries: DataFrame) -> DataFrame:
         """RESULT rows for queries (vec_id, v array<double>)."""
-        spark, o, tree, n, dim, counts = queries.sparkSession, self.options, self.tree, self.visits, self.dim, self.counts
+        spark, o, tree, n, dim, counts, radius = queries.sparkSession, self.options, self.tree, self.visits, self.dim, self.counts, self.radius
+        sample = spark.sparkContext.broadcast(self.sample)  # at most sample_rows rows
         parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        shelf_of, rows_of = self.shelves(), sum(counts.values())
+        shelf_of, rows_of = self.shelves(), int(counts.sum())
 
         def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -265,18 +297,22 @@ class AnnIndex:
                     part = batch.slice(a, 256)
                     q, ids = _matrix(part.column("v"), dim), part.column("vec_id").to_pylist()
                     out: list[tuple] = []
-                    for qid, row, order in zip(ids, q, tree.visits(q, n, counts, o.k + 1), strict=True):
+                    least = kth_product(q, sample.value, o.k + 1)
+                    for qid, row, order in zip(ids, q, tree.visits(q, n, counts, o.k + 1, radius, least), strict=True):
+                        if not order:
+                            continue
                         raw, leaves = row.astype("<f8").tobytes(), np.sort(np.array(order, dtype="<i4"))
-                        share = sum(counts.get(x, 0) for x in order) / rows_of
+                        share = float(counts[leaves].sum()) / rows_of
                         shelf = shelf_of[leaves]
                         cuts = np.flatnonzero(np.diff(shelf)) + 1
                         out += [(int(s[0]), qid, raw, x.tobytes(), share) for s, x in zip(np.split(shelf, cuts), np.split(leaves, cuts), strict=True)]
-                    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.float64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["shelf", "id", "v", "leaves", "share"])
+                    if out:
+                        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.float64())
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["shelf", "id", "v", "leaves", "share"])
 
         asked = written(queries.select("vec_id", "v").mapInArrow(visit, "shelf int, id long, v binary, leaves binary, share double"), "visits")
         per_shelf = {r["shelf"]: r["count"] for r in asked.groupBy("shelf").count().collect()}  # a row per shelf, of which there are at most max_leaves
-        held = np.bincount(shelf_of, weights=[counts.get(x, 0) for x in range(tree.leaves)]).astype(int).tolist()
+        held = np.bincount(shelf_of, weights=counts).astype(int).tolist()
         sizes = spark.createDataFrame(
             [(shelf, max(1, -(-c // o.block)), -(-per_shelf.get(shelf, 1) // o.block)) for shelf, c in enumerate(held)], "shelf int, row_blocks int, query_blocks int"
         )
@@ -294,15 +330,24 @@ class AnnIndex:
         return _nearest(placed, dim, o.k, parallel)
 
 
+def kth_product(q: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    """Each query's k-th largest product with some of the rows, less the rounding: no larger than that with all rows."""
+    if len(rows) < k:
+        return np.full(len(q), -np.inf)
+    least = np.partition(q @ rows.T, len(rows) - k, axis=1)[:, len(rows) - k]
+    return least - 1e-9 * (1 + np.abs(least))
+
+
 def build_index(vectors: DataFrame, dim: int, count: int, queries: DataFrame, options: AnnOptions = AnnOptions()) -> AnnIndex:
     """Fit the tree to a bounded sample, place every row, and calibrate on some of the queries."""
     spark = vectors.sparkSession
     part = F.pmod(F.xxhash64("vec_id", F.lit(options.seed)), F.lit(1 << 30))
     share = min(1.0, 0.95 * options.sample_rows / count)
-    sample = vectors.where(part < int(share * (1 << 30)) + 1).limit(options.sample_rows).select("v").toPandas()["v"]
+    sample = vectors.where(part < int(share * (1 << 30)) + 1).limit(options.sample_rows).toPandas()
     if not len(sample):
-        sample = vectors.limit(1).select("v").toPandas()["v"]
-    x = np.array([np.asarray(v, dtype=np.float64) for v in sample])
+        sample = vectors.limit(1).toPandas()
+    x = np.array([np.asarray(v, dtype=np.float64) for v in sample["v"]])
+    once = x[np.unique(sample["vec_id"].to_numpy(), return_index=True)[1]]  # an id counts once
     tree = KMeansTree.fit(x, max(1, min(options.max_leaves, len(x) // 4, round(count**0.5))), options)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,10 +355,19 @@ def build_index(vectors: DataFrame, dim: int, count: int, queries: DataFrame, op
             for a in range(0, batch.num_rows, 4096):
                 piece = batch.slice(a, 4096)
                 m = _matrix(piece.column("v"), dim)
-                yield pa.RecordBatch.from_arrays([pa.array(tree.assign(m)), piece.column("vec_id"), pa.array([r.astype("<f8").tobytes() for r in m], pa.binary())], names=["leaf", "id", "v"])
-
-    rows = written(vectors.mapInArrow(place, "leaf int, id long, v binary"), "leaves")
-    counts = {r["leaf"]: r["count"] for r in rows.groupBy("leaf").count().collect()}  # a row per leaf
+                leaf = tree.assign(m)
+                away = np.sqrt(((m - centres[leaf]) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(leaf), piece.column("vec_id"), pa.array([r.astype("<f8").tobytes() for r in m], pa.binary()), pa.array(away)], names=["leaf", "id", "v", "away"])
+
+    centres = np.zeros((tree.leaves, dim))
+    for centroid, leaf in zip(tree.centroids, tree.leaf_of, strict=True):
+        if leaf >= 0:
+            centres[leaf] = centroid
+    rows = written(vectors.mapInArrow(place, "leaf int, id long, v binary, away double"), "leaves")
+    counts, radius = np.zeros(tree.leaves, dtype=np.int64), np.zeros(tree.leaves)
+    for r in rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("r")).collect():  # a row per leaf
+        counts[r["leaf"]], radius[r["leaf"]] = r["n"], r["r"] * (1 + 1e-9)
+    rows = rows.drop("away")
 
     few = queries.orderBy(F.xxhash64("vec_id", F.lit(options.seed)), "vec_id").limit(options.calibration_queries).toPandas()
     q_ids = few["vec_id"].to_numpy()
@@ -336,7 +390,7 @@ def build_index(vectors: DataFrame, dim: int, count: int, queries: DataFrame, op
     visits, reached = 1, 1.0
     while len(places) and (reached := float((places < visits).mean())) < options.recall and visits < tree.leaves:
         visits += 1 + visits // 8
-    return AnnIndex(rows, tree, dim, counts, min(visits, tree.leaves), reached, options)
+    return AnnIndex(rows, tree, dim, counts, radius, once, min(visits, tree.leaves), reached, options)
 
 
 def nearest_neighbours(df: DataFrame, query: Column | None = None, options: AnnOptions = AnnOptions(), vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
