@@ -61,11 +61,11 @@ def correspondences(first: DataFrame, second: DataFrame, h: Matrix, limit: float
     return with_errors(a.join(b, ["cx", "cy"]), h).where(F.col("error") <= limit).select("a", "b", "error")
 
 
-def lines(points: DataFrame, f: Matrix) -> DataFrame:
-    """(id, la, lb, lc): the normalised epipolar line of each point (id, x, y)."""
+def lines(points: DataFrame, f: Matrix, *keep: str) -> DataFrame:
+    """(id, la, lb, lc): the normalised epipolar line of each point (id, x, y), with the columns to keep."""
     a, b, c = (f[3 * k] * F.col("x") + f[3 * k + 1] * F.col("y") + f[3 * k + 2] for k in range(3))
     n = F.sqrt(a * a + b * b)
-    return points.select("id", F.try_divide(a, n).alias("la"), F.try_divide(b, n).alias("lb"), F.try_divide(c, n).alias("lc"))
+    return points.select("id", *keep, F.try_divide(a, n).alias("la"), F.try_divide(b, n).alias("lb"), F.try_divide(c, n).alias("lc"))
 
 
 def line_distance(x: Column, y: Column, la: Column | str = "la", lb: Column | str = "lb", lc: Column | str = "lc") -> Column:
@@ -73,38 +73,42 @@ def line_distance(x: Column, y: Column, la: Column | str = "la", lb: Column | st
     return F.abs(la * x + lb * y + lc)
 
 
-def band_join(lines_: DataFrame, points: DataFrame, limit: float, size: float = 1000.0, cell: float = 50.0) -> DataFrame:
+def band_join(lines_: DataFrame, points: DataFrame, limit: float, size: float = 1000.0, cell: float = 50.0, by: str | None = None) -> DataFrame:
     """(line, point, dist): points (id, x, y) nearer than ``limit`` to lines (id, la, lb, lc).
 
-    A line is laid out as the cells that its band crosses, column by column where it is flat and
+    With ``by`` both sides have that column, a line meets the points of its own value only, and the result has it, too.  A line is laid out as the cells that its band crosses, column by column where it is flat and
     row by row where it is steep, and meets points by cell.  Points outside the ``size`` frame are
     brought to its border cells.
     """
-    n = int(size // cell)
+    n, of = int(size // cell), [by] if by else []
     flat = F.abs("lb") >= F.abs("la")
     across = lambda s: F.when(flat, -(F.col("la") * s + F.col("lc")) / F.col("lb")).otherwise(-(F.col("lb") * s + F.col("lc")) / F.col("la"))
     slack = limit * 1.5 + 1e-6
-    at = lines_.select(F.col("id").alias("line"), "la", "lb", "lc", flat.alias("flat"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
+    at = lines_.select(F.col("id").alias("line"), *of, "la", "lb", "lc", flat.alias("flat"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
     lo, hi = F.least(across(F.col("k") * cell), across((F.col("k") + 1) * cell)) - slack, F.greatest(across(F.col("k") * cell), across((F.col("k") + 1) * cell)) + slack
     clip = lambda c: F.greatest(F.lit(0), F.least(F.lit(n - 1), c)).cast("int")
     first = clip(F.floor(F.greatest(F.lit(-1e9), F.least(F.lit(1e9), lo)) / cell))
     last = clip(F.floor(F.greatest(F.lit(-1e9), F.least(F.lit(1e9), hi)) / cell))
     at = at.withColumn("m", F.explode(F.sequence(first, last)))
-    at = at.select("line", "la", "lb", "lc", F.when(F.col("flat"), F.col("k")).otherwise(F.col("m")).alias("cx"), F.when(F.col("flat"), F.col("m")).otherwise(F.col("k")).alias("cy"))
-    inside = points.select(F.col("id").alias("point"), "x", "y", clip(F.floor(F.col("x") / cell)).alias("cx"), clip(F.floor(F.col("y") / cell)).alias("cy"))
-    return at.join(inside, ["cx", "cy"]).withColumn("dist", line_distance(F.col("x"), F.col("y"))).where(F.col("dist") < limit).select("line", "point", "dist")
+    at = at.select("line", *of, "la", "lb", "lc", F.when(F.col("flat"), F.col("k")).otherwise(F.col("m")).alias("cx"), F.when(F.col("flat"), F.col("m")).otherwise(F.col("k")).alias("cy"))
+    inside = points.select(F.col("id").alias("point"), *of, "x", "y", clip(F.floor(F.col("x") / cell)).alias("cx"), clip(F.floor(F.col("y") / cell)).alias("cy"))
+    return at.join(inside, ["cx", "cy", *of]).withColumn("dist", line_distance(F.col("x"), F.col("y"))).where(F.col("dist") < limit).select("line", *of, "point", "dist")
 
 
-def two_hop(matches: DataFrame, b_points: DataFrame, f_ac: Matrix, f_ab: Matrix, f_bc: Matrix, limit: float) -> DataFrame:
+def two_hop(matches: DataFrame, b_points: DataFrame, f_ac: Matrix, f_ab: Matrix, f_bc: Matrix, limit: float, by: str | None = None) -> DataFrame:
     """(a, c, error) for matches (a, ax, ay, c, cx, cy): the AC line distance, and where that is below
-    the limit and view B has candidates, the larger of it and the least BC line distance."""
-    ends = matches.select(F.col("a").alias("id"), F.col("ax").alias("x"), F.col("ay").alias("y")).distinct()
-    ac = lines(ends, f_ac).withColumnRenamed("id", "a")
-    direct = matches.join(ac, "a").withColumn("d_ac", line_distance(F.col("cx"), F.col("cy"))).drop("la", "lb", "lc")
-    near = band_join(lines(ends, f_ab), b_points, limit).select(F.col("line").alias("a"), F.col("point").alias("id"))
-    bc = near.join(lines(b_points, f_bc), "id").select("a", "la", "lb", "lc")
-    hop = direct.where(F.col("d_ac") < limit).join(bc, "a").groupBy("a", "c").agg(F.min(line_distance(F.col("cx"), F.col("cy"))).alias("d_bc"))
-    return direct.join(hop, ["a", "c"], "left").select("a", "c", F.when(F.col("d_bc").isNotNull(), F.greatest("d_ac", "d_bc")).otherwise(F.col("d_ac")).alias("error"))
+    the limit and view B has candidates, the larger of it and the least BC line distance.
+
+    With ``by``, a column of both tables, each match is verified by the points of its own view B.
+    """
+    of = [by] if by else []
+    ends = matches.select(F.col("a").alias("id"), *of, F.col("ax").alias("x"), F.col("ay").alias("y")).distinct()
+    ac = lines(ends, f_ac, *of).withColumnRenamed("id", "a")
+    direct = matches.join(ac, ["a", *of]).withColumn("d_ac", line_distance(F.col("cx"), F.col("cy"))).drop("la", "lb", "lc")
+    near = band_join(lines(ends, f_ab, *of), b_points, limit, by=by).select(F.col("line").alias("a"), *of, F.col("point").alias("id"))
+    bc = near.join(lines(b_points, f_bc, *of), ["id", *of]).select("a", *of, "la", "lb", "lc")
+    hop = direct.where(F.col("d_ac") < limit).join(bc, ["a", *of]).groupBy("a", "c", *of).agg(F.min(line_distance(F.col("cx"), F.col("cy"))).alias("d_bc"))
+    return direct.join(hop, ["a", "c", *of], "left").select("a", "c", *of, F.when(F.col("d_bc").isNotNull(), F.greatest("d_ac", "d_bc")).otherwise(F.col("d_ac")).alias("error"))
 
 
 def three_view(a_points: DataFrame, b_points: DataFrame, c_points: DataFrame, f_ac: Matrix, f_ab: Matrix, f_bc: Matrix, limit: float) -> DataFrame:

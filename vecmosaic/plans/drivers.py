@@ -12,7 +12,7 @@ from vecmosaic.operators import spectral as S
 from vecmosaic.operators import stitch as T
 from vecmosaic.plans.catalog import query
 from vecmosaic.plans.clusters import iso_match, whole_graph
-from vecmosaic.plans.geometry import ERRORS, F_AB, F_AC, F_BC, H, T_SQL, THRESHOLDS, VIEWS, error_sql, matches, near_pairs, points
+from vecmosaic.plans.geometry import ERRORS, H, T_SQL, THRESHOLDS, VIEWS, error_sql, matches, points, verified
 from vecmosaic.plans.graphs import ANGLE, BY, IMAGES, PART, PRUNED, SCORED, communities, edges, group, images, pruned, sizes, threshold_sql
 from vecmosaic.plans.matching import FEATURES, PAIRS, ranked_sql, rounded
 from vecmosaic.sources.tables import features
@@ -58,9 +58,9 @@ def iso_benchmark(spark, sf):
     return Geo.with_errors(rows, H).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("error"), 6).alias("mean_error"))
 
 
-@query("BD10_match_distances", f"WITH {VIEWS} SELECT count(*) AS n, count(*) FILTER (CASE WHEN d_bc IS NOT NULL THEN greatest(d_ac, d_bc) ELSE d_ac END < 30) AS n_near FROM d LEFT JOIN h ON d.a = h.a AND d.c = h.c")
+@query("BD10_match_distances", f"WITH {VIEWS} SELECT d.view, count(*) AS n, count(*) FILTER (CASE WHEN d_bc IS NOT NULL THEN greatest(d_ac, d_bc) ELSE d_ac END < 30) AS n_near FROM d LEFT JOIN h ON d.a = h.a AND d.c = h.c AND d.view = h.view GROUP BY d.view")
 def match_distances(spark, sf):
-    return Geo.two_hop(near_pairs(spark, sf), points(spark, sf, 1), F_AC, F_AB, F_BC, 30.0).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("error") < 30).alias("n_near"))
+    return verified(spark, sf).groupBy("view").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("error") < 30).alias("n_near"))
 
 
 @query("GM26_weighted_graph", f"WITH {PRUNED} SELECT src, dst, round(w, 6) AS w FROM pr WHERE src < dst AND w > 0")

@@ -119,21 +119,28 @@ def band(spark, sf):
     return rounded(G.band_join(G.lines(points(spark, sf, 0), F_AC), points(spark, sf, 2), 8.0), "dist")
 
 
-VIEWS = f"""{LINES}, m AS (SELECT a.id AS a, c.id AS c, c.x AS cx, c.y AS cy FROM f a JOIN f c ON a.img = 0 AND c.img = 2 AND c.id BETWEEN a.id - 60 AND a.id + 60),
-d AS (SELECT m.*, abs(la * cx + lb * cy + lc) AS d_ac FROM m JOIN ac ON m.a = ac.id),
-nb AS (SELECT l.id AS a, p.id AS b FROM ab l JOIN f p ON p.img = 1 AND abs(la * x + lb * y + lc) < 30),
-h AS (SELECT d.a, d.c, min(abs(la * cx + lb * cy + lc)) AS d_bc FROM d JOIN nb ON d.a = nb.a JOIN bc ON bc.id = nb.b WHERE d.d_ac < 30 GROUP BY d.a, d.c)"""
+VIEWS = f"""{ORIENTED_SQL}, {LINES.replace(FEATURES + ', ', '').replace(' WHERE img = 0', '').replace(' WHERE img = 1', '')}, im AS (SELECT DISTINCT img AS view FROM f),
+mt AS (SELECT m.i AS a, m.j AS c, view, q.x AS cx, q.y AS cy FROM m JOIN f q ON m.j = q.id JOIN im ON view <> im_i AND view <> im_j WHERE ratio < 9.0),
+d AS (SELECT mt.*, abs(la * cx + lb * cy + lc) AS d_ac FROM mt JOIN ac ON mt.a = ac.id),
+nb AS (SELECT DISTINCT d.a, d.view, p.id AS b FROM d JOIN ab l ON l.id = d.a JOIN f p ON p.img = d.view AND abs(l.la * x + l.lb * y + l.lc) < 30),
+h AS (SELECT d.a, d.c, d.view, min(abs(la * cx + lb * cy + lc)) AS d_bc FROM d JOIN nb ON d.a = nb.a AND d.view = nb.view JOIN bc ON bc.id = nb.b WHERE d.d_ac < 30 GROUP BY ALL)"""
 
 
-def near_pairs(spark, sf):
-    """Pairs of points of images 0 and 2 whose ids are at most 60 apart."""
-    a = points(spark, sf, 0).select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.explode(F.sequence(F.col("id") - 60, F.col("id") + 60)).alias("c"))
-    return a.join(points(spark, sf, 2).select(F.col("id").alias("c"), F.col("x").alias("cx"), F.col("y").alias("cy")), "c")
+def seen_by(spark, sf):
+    """Every match between two images with each third image as the view that verifies it."""
+    views = features(spark, sf).select(F.col("image_id").alias("view")).distinct()
+    m = matches(spark, sf).select(F.col("i").alias("a"), F.col("x1").alias("ax"), F.col("y1").alias("ay"), F.col("j").alias("c"), F.col("x2").alias("cx"), F.col("y2").alias("cy"), "im_i", "im_j")
+    return m.join(views, (F.col("view") != F.col("im_i")) & (F.col("view") != F.col("im_j"))).drop("im_i", "im_j")
 
 
-@query("JN18_two_hop_verification", f"WITH {VIEWS} SELECT d.a, d.c, round(CASE WHEN d_bc IS NOT NULL THEN greatest(d_ac, d_bc) ELSE d_ac END, 6) AS error FROM d LEFT JOIN h ON d.a = h.a AND d.c = h.c")
+def verified(spark, sf):
+    everyone = features(spark, sf).select(F.col("feature_id").alias("id"), F.col("image_id").alias("view"), "x", "y")
+    return G.two_hop(seen_by(spark, sf), everyone, F_AC, F_AB, F_BC, 30.0, "view")
+
+
+@query("JN18_two_hop_verification", f"WITH {VIEWS} SELECT d.a, d.c, d.view, round(CASE WHEN d_bc IS NOT NULL THEN greatest(d_ac, d_bc) ELSE d_ac END, 6) AS error FROM d LEFT JOIN h ON d.a = h.a AND d.c = h.c AND d.view = h.view")
 def two_hop(spark, sf):
-    return rounded(G.two_hop(near_pairs(spark, sf), points(spark, sf, 1), F_AC, F_AB, F_BC, 30.0), "error")
+    return rounded(verified(spark, sf), "error")
 
 
 VIEW3 = f"""{LINES}, g AS (SELECT DISTINCT l.id AS a, p.id AS c FROM ac l JOIN f p ON p.img = 2 AND abs(l.la * p.x + l.lb * p.y + l.lc) < 30
