@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from vecmosaic.operators import boxes as B
 from vecmosaic.operators import images as I
 from vecmosaic.operators import keypoints as K
 
@@ -30,7 +31,7 @@ def matched(a, b):
     return [(i, int(d[i].argmin())) for i in range(len(p)) if order[i, 0] < 0.8 * order[i, 1]]
 
 
-@pytest.mark.parametrize("find", [K.scale_space_features, K.binary_features], ids=["scale-space", "binary"])
+@pytest.mark.parametrize("find", [K.scale_space_features, K.binary_features, B.box_features], ids=["scale-space", "binary", "boxes"])
 def test_turned_image_has_the_same_features(scene, find):
     a, b = find(scene), find(np.rot90(scene).copy())
     pairs = matched(a, b)
@@ -41,8 +42,9 @@ def test_turned_image_has_the_same_features(scene, find):
     assert len(a) >= 20 and len(pairs) >= 10 and right >= 0.8 * len(pairs)
 
 
-def test_shrunk_image_has_the_same_scale_space_features(scene):
-    a, b = K.scale_space_features(scene), K.scale_space_features(K._shrunk(scene, 1.5))
+@pytest.mark.parametrize("find", [K.scale_space_features, B.box_features], ids=["scale-space", "boxes"])
+def test_shrunk_image_has_the_same_scale_space_features(scene, find):
+    a, b = find(scene), find(K._shrunk(scene, 1.5))
     pairs = matched(a, b)
     good = [np.hypot(b[j][0].y * 1.5 - a[i][0].y, b[j][0].x * 1.5 - a[i][0].x) < 4 for i, j in pairs]
     assert len(pairs) >= 8 and np.mean(good) >= 0.7
@@ -56,6 +58,30 @@ def test_descriptors_are_normal_and_bits(scene):
 
 def test_features_of_a_table(spark, scene):
     df = spark.createDataFrame([(3, 128, 128, scene.ravel().tolist())], I.IMAGE)
-    for kind, size in (("SIFT", 128), ("ORB", 256), ("BRIEF", 256)):
+    for kind, size in (("SIFT", 128), ("SURF", 64), ("ORB", 256), ("BRIEF", 256)):
         rows = I.features_of(df, kind, max_kp=15).collect()
         assert len(rows) == 15 and all(r.image_id == 3 and len(r.descriptor) == size for r in rows)
+
+
+def test_boxes_against_plain_sums():
+    rng = np.random.default_rng(4)
+    x = rng.random((40, 33))
+    sums = B.integral(x)
+    for y, z, h, w in ((0, 0, 5, 5), (10, 7, 3, 20), (-4, 30, 9, 9), (38, -3, 6, 5), (50, 2, 3, 3)):
+        want = x[max(y, 0) : max(y + h, 0), max(z, 0) : max(z + w, 0)].sum()
+        assert abs(B.box(sums, np.array(y), np.array(z), h, w) - want) < 1e-9
+    got = B.determinant(sums, 9)
+    y, z = 17, 14
+    across = x[y - 2 : y + 3, z - 4 : z + 5].sum() - 3 * x[y - 2 : y + 3, z - 1 : z + 2].sum()
+    down = x[y - 4 : y + 5, z - 2 : z + 3].sum() - 3 * x[y - 1 : y + 2, z - 2 : z + 3].sum()
+    mixed = x[y - 3 : y, z + 1 : z + 4].sum() + x[y + 1 : y + 4, z - 3 : z].sum() - x[y - 3 : y, z - 3 : z].sum() - x[y + 1 : y + 4, z + 1 : z + 4].sum()
+    assert abs(got[y, z] - (across * down - 0.81 * mixed**2) / 9**4) < 1e-12
+    assert np.isinf(got[3]).all() and np.isfinite(got[4:36, 4:29]).all()
+    assert B.box_features(np.zeros((60, 60))) == B.box_features(np.zeros((4, 4))) == []
+
+
+def test_a_box_feature_lies_on_its_disc():
+    ys, xs = np.mgrid[0:80, 0:80]
+    x = np.where((ys - 41.0) ** 2 + (xs - 33.0) ** 2 <= 36, 200.0, 10.0)
+    best = B.box_features(x)[0][0]
+    assert np.hypot(best.y - 41, best.x - 33) < 1.5

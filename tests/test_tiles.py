@@ -70,7 +70,7 @@ def test_table_wide_statistics_and_histograms(table, pictures, tile):
 
 
 def test_features_do_not_depend_on_the_tiles(table, pictures):
-    for kind in ("HARRIS", "FAST", "DENSE"):
+    for kind in ("HARRIS", "GFTT", "FAST", "DENSE"):
         got = [{r.feature_id: (r.image_id, r.x, r.y, round(r.response, 6), tuple(np.round(r.descriptor, 6))) for r in T.features(T.tiles_of(table, tile, 20), kind).collect()} for tile in (13, 200)]
         assert got[0] == got[1]
         whole = {(r.image_id, r.x, r.y, round(r.response, 6)) for r in I.features_of(table, kind).collect()}

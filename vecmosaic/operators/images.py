@@ -192,6 +192,18 @@ def corner_response(x: np.ndarray, k: float = 0.04) -> np.ndarray:
     return a * c - b * b - k * (a + c) ** 2
 
 
+def least_eigenvalue(x: np.ndarray) -> np.ndarray:
+    """The lesser eigenvalue of the mean products of gradients around each pixel: large where these go in several directions."""
+    if min(x.shape) < 2:
+        return np.zeros(x.shape)
+    gy, gx = np.gradient(x)
+    a, b, c = gaussian(gx * gx, 1.5), gaussian(gx * gy, 1.5), gaussian(gy * gy, 1.5)
+    return (a + c) / 2 - np.sqrt((a - c) ** 2 / 4 + b * b)
+
+
+CORNERS = {"HARRIS": corner_response, "GFTT": least_eigenvalue}
+
+
 def fast_score(x: np.ndarray, threshold: float = 20.0, run: int = 9) -> np.ndarray:
     """How much an arc of a radius-three circle is brighter or darker than its centre; zero without one."""
     ring = ((0, 3), (1, 3), (2, 2), (3, 1), (3, 0), (3, -1), (2, -2), (1, -3), (0, -3), (-1, -3), (-2, -2), (-3, -1), (-3, 0), (-3, 1), (-2, 2), (-1, 3))
@@ -230,21 +242,22 @@ def gradient_cells(x: np.ndarray, places: list[tuple[int, int]]) -> list[list[fl
     return out
 
 
-DETECTORS = ("HARRIS", "FAST", "DENSE", "SIFT", "ORB", "BRIEF")
+DETECTORS = ("HARRIS", "GFTT", "FAST", "DENSE", "MSER", "SIMPLEBLOB", "SIFT", "SURF", "ORB", "BRIEF")
 #: Detectors that bring their own descriptor.
-OWN = {"SIFT": "SIFT", "ORB": "ORB", "BRIEF": "BRIEF"}
-PRECOMPUTED = ("SURF", "STAR", "MSER", "BRISK", "GFTT", "SIMPLEBLOB", "FREAK")
+OWN = ("SIFT", "SURF", "ORB", "BRIEF")
+PRECOMPUTED = ("STAR", "BRISK", "FREAK")
 
 
 def features_of(images: DataFrame, keypoint: str = "HARRIS", descriptor: str = "GRADIENT", max_kp: int = 9999, step: int = 8) -> DataFrame:
     """(feature_id, image_id, x, y, response, descriptor) of grey images.
 
-    Corners, arcs or a dense grid; each is described by orientation histograms of gradients in a
-    4 x 4 grid around it, scaled to length one.  ``SIFT``, ``ORB`` and ``BRIEF`` are the scale-space,
-    oriented and upright binary features of ``keypoints``, whatever the descriptor named with them.
-    Other kinds need features computed elsewhere.
+    Corners (``HARRIS``, ``GFTT`` for the lesser eigenvalue), arcs (``FAST``), stable regions, blobs or a dense grid; each is
+    described by orientation histograms of gradients in a 4 x 4 grid around it, scaled to length one.
+    ``SIFT``, ``SURF``, ``ORB`` and ``BRIEF`` are the scale-space, box-filter, oriented and upright binary
+    features of ``keypoints`` and ``boxes``, whatever the descriptor named with them.  Other kinds need features
+    computed elsewhere.
     """
-    from vecmosaic.operators import keypoints
+    from vecmosaic.operators import boxes, keypoints, regions
 
     kind = keypoint.upper()
     if kind in OWN:
@@ -253,6 +266,7 @@ def features_of(images: DataFrame, keypoint: str = "HARRIS", descriptor: str = "
         raise ValueError(f"{keypoint}/{descriptor} features are read precomputed, not detected here")
     if kind not in DETECTORS or descriptor.upper() != "GRADIENT":
         raise ValueError(f"unknown keypoint {keypoint} or descriptor {descriptor}")
+    own_kind = {"SIFT": keypoints.scale_space_features, "SURF": boxes.box_features, "ORB": keypoints.binary_features, "BRIEF": lambda x: keypoints.binary_features(x, False)}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -260,14 +274,17 @@ def features_of(images: DataFrame, keypoint: str = "HARRIS", descriptor: str = "
             for i, h, w, p in zip(frame["image_id"], frame["height"], frame["width"], frame["pixels"], strict=True):
                 x = np.asarray(p, dtype=float).reshape(int(h), int(w))
                 if kind in OWN:
-                    own = keypoints.scale_space_features(x) if kind == "SIFT" else keypoints.binary_features(x, kind == "ORB")
+                    own = own_kind[kind](x)
                     rows += [(int(i) * 1_000_000 + k, int(i), q.x, q.y, q.response, d.tolist()) for k, (q, d) in enumerate(own[:max_kp])]
                     continue
                 if kind == "DENSE":
                     found = [(a, b, 1.0) for a in range(step // 2, x.shape[0], step) for b in range(step // 2, x.shape[1], step)][:max_kp]
+                elif kind in ("MSER", "SIMPLEBLOB"):
+                    areas = regions.stable_regions(x) if kind == "MSER" else regions.blobs(x)
+                    found = [(q.y, q.x, q.response) for q in areas[:max_kp]]
                 else:
-                    found = peaks(corner_response(x) if kind == "HARRIS" else fast_score(x), 0.0, max_kp)
-                for k, ((a, b, r), d) in enumerate(zip(found, gradient_cells(x, [(a, b) for a, b, _ in found]), strict=True)):
+                    found = peaks(CORNERS[kind](x) if kind in CORNERS else fast_score(x), 0.0, max_kp)
+                for k, ((a, b, r), d) in enumerate(zip(found, gradient_cells(x, [(round(a), round(b)) for a, b, _ in found]), strict=True)):
                     rows.append((int(i) * 1_000_000 + k, int(i), float(b), float(a), r, d))
             yield pd.DataFrame(rows, columns=["feature_id", "image_id", "x", "y", "response", "descriptor"])
 

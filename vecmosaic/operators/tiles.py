@@ -286,7 +286,7 @@ def features(tiles: DataFrame, keypoint: str = "HARRIS", step: int = 8) -> DataF
     doesn't depend on the tiles.
     """
     kind = keypoint.upper()
-    if kind not in ("HARRIS", "FAST", "DENSE"):
+    if kind not in (*I.CORNERS, "FAST", "DENSE"):
         raise ValueError(f"{keypoint} isn't found in tiles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +298,7 @@ def features(tiles: DataFrame, keypoint: str = "HARRIS", step: int = 8) -> DataF
                 if kind == "DENSE":
                     found = [(a - top, b - left, 1.0) for a in range(step // 2, h, step) for b in range(step // 2, w, step) if ct <= a < ct + cn and cl <= b < cl + cm]
                 else:
-                    found = I.peaks(I.corner_response(x) if kind == "HARRIS" else I.fast_score(x), 0.0)
+                    found = I.peaks(I.CORNERS[kind](x) if kind in I.CORNERS else I.fast_score(x), 0.0)
                     found = [(a, b, r) for a, b, r in found if ct <= a + top < ct + cn and cl <= b + left < cl + cm]
                 for (a, b, r), d in zip(found, I.gradient_cells(x, [(a, b) for a, b, _ in found]), strict=True):
                     y, z = a + top, b + left

@@ -173,6 +173,11 @@ def harris(spark, sf):
     return T.features(tiles(spark, sf, 20), "HARRIS").drop("descriptor")
 
 
+@query("FX2_keypoints_eigenvalue")
+def eigenvalue(spark, sf):
+    return T.features(tiles(spark, sf, 20), "GFTT").drop("descriptor")
+
+
 RING = ((0, 3), (1, 3), (2, 2), (3, 1), (3, 0), (3, -1), (2, -2), (1, -3), (0, -3), (-1, -3), (-2, -2), (-3, -1), (-3, 0), (-3, 1), (-2, 2), (-1, 3))
 
 
@@ -216,6 +221,9 @@ def multi_size(spark, sf):
 
 POINT = ("feature_id", "image_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.size("descriptor").alias("n"))
 query("FX1_features_scale_space")(lambda spark, sf: I.features_of(images(spark, sf), "SIFT").select(*POINT))
+query("FX1_features_box_filters")(lambda spark, sf: I.features_of(images(spark, sf), "SURF").select(*POINT))
+query("FX2_keypoints_stable_regions")(lambda spark, sf: I.features_of(images(spark, sf), "MSER").select(*POINT))
+query("FX2_keypoints_blobs")(lambda spark, sf: I.features_of(images(spark, sf), "SIMPLEBLOB").select(*POINT))
 query("FX3_oriented_binary")(lambda spark, sf: I.features_of(images(spark, sf), "ORB").select(*POINT))
 query("FX4_binary_tests")(lambda spark, sf: I.features_of(images(spark, sf), "BRIEF").select("feature_id", "image_id", F.size(F.filter("descriptor", lambda b: b > 0)).alias("n_set")))
 
