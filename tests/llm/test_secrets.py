@@ -130,3 +130,24 @@ def test_clashing_names_of_columns(spark):
     docs = spark.createDataFrame([(1, "token=abcdef12", "b", "s", "c", "d")], "doc_id long, text string, base string, spans string, clean string, cand string")
     r = redacted(docs).first()
     assert r.asDict() == {"doc_id": 1, "text": "[REDACTED]", "base": "b", "spans": "s", "clean": "c", "cand": "d"}
+
+
+def test_names_dates_and_paths_are_not_secrets(docs_of):
+    """Words joined by capitals or signs, with short numbers, are let through; random strings hardly ever look like them."""
+    names = ["getUserProfileByAccountId2", "VeryLongClassNameFactoryBean3Impl", "http_request_total_count_v2_by_region", "2021-05-06T12-33-44-report-final-v2", "https://host.org/articles/2021/05/some-long-title-of-page", "test_utf_8_decode_error2_handler"]
+    got = {r.doc_id: r.spans for r in secret_spans(docs_of(list(enumerate(names)))).collect()}
+    assert set(got.values()) == {""} and len(got) == len(names)
+    rng = random.Random(17)
+    keys = ["".join(rng.choices(string.ascii_letters + string.digits + "+/", k=32)) for _ in range(2000)]
+    keys += ["".join(rng.choices(string.ascii_lowercase + string.digits, k=40)) for _ in range(2000)]
+    new = SecretOptions().allowed[4:]
+    assert len(new) == 2 and sum(any(re.search(p, k) for p in new) for k in keys) <= 4
+    assert sum(r.n_spans > 0 for r in secret_spans(docs_of(list(enumerate(keys)))).collect()) >= 0.98 * len(keys)
+
+
+def test_allow_list_takes_time_in_proportion():
+    for long in ("aB1" * 300_000, "ab" * 500_000 + "9Z9", "Aa" * 400_000 + "1a", "a-1" * 300_000 + "--Q9x", "A" * 1_000_000 + "a1", "T1" * 400_000):
+        t = time.perf_counter()
+        for p in SecretOptions().allowed:
+            re.search(p, long)
+        assert time.perf_counter() - t < 3

@@ -60,6 +60,10 @@ class SecretOptions:
         r"^[0-9+/_=-]+$",  # no letter: numbers, dates, rules
         r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",  # UUID
         r"^/?[A-Za-z_-]++[0-9]{0,3}+(?:/[A-Za-z_-]++[0-9]{0,3}+)++/?$",  # paths
+        # words and short numbers with a sign between any two: slugs, dates, paths
+        r"^[/_+=-]*+(?:[A-Za-z]++|[vT]?[0-9]{1,4}(?![0-9]))(?:[/_+=-]++(?:[A-Za-z]++(?![0-9])|[vT]?[0-9]{1,4}(?![0-9])(?:T(?=[0-9]))?(?:(?<=T)[0-9]{1,4})?))++[/_+=-]*+$",
+        # words joined by capitals, signs and short numbers: names in programs
+        r"^[/_+=-]*+(?:(?:[A-Z]?[a-z]{2,}+|(?:By|Id|In|Is|Of|On|Or|To|At|As|No)(?![a-z])|[A-Z]{2,6}(?![a-z])|[0-9]{1,4}+(?![0-9a-z]))[/_+=-]*+)++$",
     )
     #: Parts that aren't secret; what lies between them is judged by itself if it fills a window.
     parts: str = r"(?i:example|sample|dummy|changeme|placeholder|redacted|xxxxx)|0123456789|abcdefghij|ABCDEFGHIJ"
