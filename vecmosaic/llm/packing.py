@@ -149,8 +149,9 @@ def pack(docs: DataFrame, options: PackingOptions = PackingOptions(), doc_id: st
     often = written(docs.groupBy(F.col(doc_id).cast("long").alias("often")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > options.shard_rows), "frequent-ids")
     salt = F.lit(0).cast("long")
     if often.limit(1).count():
-        rows = rows.join(often, F.col("doc_id").eqNullSafe(F.col("often")), "left")
-        salt = F.when(F.col("c").isNotNull(), F.monotonically_increasing_id()).otherwise(salt)
+        # numbered before the join, so a row keeps its number when a task after a shuffle is run again
+        rows = rows.withColumn("number", F.monotonically_increasing_id()).join(often, F.col("doc_id").eqNullSafe(F.col("often")), "left")
+        salt = F.when(F.col("c").isNotNull(), F.col("number")).otherwise(salt)
     shards = max(1, -(-docs.count() // options.shard_rows))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "src", salt), F.lit(shards))).select("doc_id", "n", "src", "cluster", "shard")
 
