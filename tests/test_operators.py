@@ -244,3 +244,29 @@ def test_components_in_small_chunks(spark):
     finally:
         spark.conf.set(size, before)
     assert connected_components(df.limit(0)).count() == 0
+
+
+def test_clusters_of_each_image_pair_alone(spark):
+    """Every pair's clusters are those of its own points, and its links those by their own counts."""
+    rng = np.random.default_rng(21)
+    rows = []
+    for a, b in ((0, 1), (0, 2), (1, 2)):
+        for k in range(60):
+            spot = rng.integers(0, 3)
+            rows.append((a, b, 1000 * a + k, 1000 * b + k, *(200.0 * spot + rng.normal(0, 9, 2)), *(300.0 * (spot if k % 7 else rng.integers(0, 3)) + rng.normal(0, 9, 2))))
+    m = spark.createDataFrame([tuple(float(x) if i > 3 else int(x) for i, x in enumerate(r)) for r in rows], "im_i int, im_j int, i long, j long, x1 double, y1 double, x2 double, y2 double")
+    o = K.IsodataOptions(k_init=5, max_iterations=5, min_size=4)
+    points = m.select("im_i", "im_j", F.col("i").alias("id"), F.col("x1").alias("x"), F.col("y1").alias("y"))
+    got = {(r.im_i, r.im_j, r.id): (r.cluster, round(r.dist, 6)) for r in K.isodata_groups(points, o, "im_i", "im_j").collect()}
+    want = {}
+    for a, b in ((0, 1), (0, 2), (1, 2)):
+        own = K.isodata(points.where(f"im_i = {a} and im_j = {b}"), o).collect()
+        want |= {(a, b, r.id): (r.cluster, round(r.dist, 6)) for r in own}
+    assert got == want
+    linked = K.linked_clusters(m, o).collect()
+    by = {}
+    side2 = {(r.im_i, r.im_j, r.id): r.cluster for r in K.isodata_groups(m.select("im_i", "im_j", F.col("j").alias("id"), F.col("x2").alias("x"), F.col("y2").alias("y")), o, "im_i", "im_j").collect()}
+    for a, b, i, j, *_ in rows:
+        by.setdefault((a, b, want[a, b, i][0], side2[a, b, j]), []).append((i, j))
+    good = {k for k, v in by.items() if len(v) > 5 and len(v) > 0.5 * max(len(w) for q, w in by.items() if q[:3] == k[:3])}
+    assert {(r.im_i, r.im_j, r.i, r.j) for r in linked} == {(*k[:2], *p) for k in good for p in by[k]} and len(linked) > 100

@@ -162,19 +162,56 @@ def isodata(points: DataFrame, options: IsodataOptions = IsodataOptions()) -> Da
     Start centres are the points of least hash.  Clusters under the least size are dissolved;
     wide ones are split along their wider axis; close centres are merged in pairs.
     """
-    o = options
-    first = points.orderBy(F.xxhash64("id", F.lit(o.seed)), "id").limit(o.k_init).select("x", "y").collect()
+    first = points.orderBy(F.xxhash64("id", F.lit(options.seed)), "id").limit(options.k_init).select("x", "y").collect()
     centres = [(float(r["x"]), float(r["y"])) for r in first]
     if not centres:
         return points.select("id", "x", "y", F.lit(0).alias("cluster"), F.lit(0.0).alias("dist"))
+    return assign(points, settled(centres, lambda c: centres_of(assign(points, c)), options))
+
+
+def isodata_groups(points: DataFrame, options: IsodataOptions, *by: str) -> DataFrame:
+    """(by, id, x, y, cluster, dist): the same for each group of points alone, a group in one task.
+
+    A group is the points of one image in the matches of a pair, say, so it is bounded by an image's features.
+    """
+    keyed = points.select(*by, F.col("id").cast("long").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.xxhash64("id", F.lit(options.seed)).alias("h"))
+
+    def nearest(xy: np.ndarray, centres: list[tuple[float, float]]) -> tuple[np.ndarray, np.ndarray]:
+        d = ((xy[:, None, :] - np.array(centres)[None]) ** 2).sum(axis=2)
+        at = d.argmin(axis=1)
+        return at, np.sqrt(d[np.arange(len(xy)), at])
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["h", "id"], kind="stable")
+        xy = rows[["x", "y"]].to_numpy()
+
+        def stats(centres: list[tuple[float, float]]) -> list[dict]:
+            at, dist = nearest(xy, centres)
+            out = []
+            for k in np.unique(at).tolist():
+                p = xy[at == k]
+                (cx, cy), (sx, sy) = p.mean(axis=0).tolist(), p.std(axis=0).tolist()
+                out.append({"cluster": k, "n": len(p), "cx": cx, "cy": cy, "spread": float(dist[at == k].mean()), "sx": sx, "sy": sy})
+            return out
+
+        at, dist = nearest(xy, settled([tuple(p) for p in xy[: options.k_init].tolist()], stats, options))
+        return rows.assign(cluster=at.astype(np.int32), dist=dist)[[*by, "id", "x", "y", "cluster", "dist"]]
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema if f.name in by)
+    return keyed.groupBy(*by).applyInPandas(run, f"{kinds}, id long, x double, y double, cluster int, dist double")
+
+
+def settled(centres: list[tuple[float, float]], stats_of: Callable[[list[tuple[float, float]]], list[dict]], options: IsodataOptions) -> list[tuple[float, float]]:
+    """The centres after all iterations; ``stats_of`` measures the clusters around given centres."""
+    o = options
     for it in range(o.max_iterations):
         while True:
-            stats = centres_of(assign(points, centres))
+            stats = stats_of(centres)
             kept = [s for s in stats if s["n"] >= o.min_size] or [max(stats, key=lambda s: s["n"])]
             centres = [(s["cx"], s["cy"]) for s in kept]
             if len(kept) == len(stats):
                 break
-        stats = centres_of(assign(points, centres))
+        stats = stats_of(centres)
         k, last = len(centres), it == o.max_iterations - 1
         mean = sum(s["spread"] * s["n"] for s in stats) / sum(s["n"] for s in stats)
         if not (last or (2 * k > o.k_init and it % 2 == 0) or k >= 2 * o.k_init):
@@ -200,7 +237,25 @@ def isodata(points: DataFrame, options: IsodataOptions = IsodataOptions()) -> Da
                     gone |= {i, j}
             if joined:
                 centres = [(s["cx"], s["cy"]) for i, s in enumerate(stats) if i not in gone] + joined
-    return assign(points, centres)
+    return centres
+
+
+def linked_clusters(matches: DataFrame, options: IsodataOptions, share: float = 0.5, least: int = 5) -> DataFrame:
+    """Matches (im_i, im_j, i, j, x1, y1, x2, y2) of every image pair in linked clusters, with these: p1, p2.
+
+    The points of both images of a pair are clustered apart.  A cluster of the first image is linked with those of the
+    second that more than ``share`` of its most frequent one's matches lead to, and more than ``least``.
+    """
+    pair = ["im_i", "im_j"]
+    sides = []
+    for n, key in ((1, "i"), (2, "j")):
+        points = matches.select(*pair, F.col(key).alias("id"), F.col(f"x{n}").alias("x"), F.col(f"y{n}").alias("y")).distinct()
+        sides.append(isodata_groups(points, options, *pair).select(*pair, F.col("id").alias(key), F.col("cluster").alias(f"p{n}")))
+    linked = matches.join(sides[0], [*pair, "i"]).join(sides[1], [*pair, "j"])
+    counts = linked.groupBy(*pair, "p1", "p2").agg(F.count(F.lit(1)).alias("n"))
+    most = counts.groupBy(*pair, "p1").agg(F.max("n").alias("most"))
+    good = counts.join(most, [*pair, "p1"]).where((F.col("n") > share * F.col("most")) & (F.col("n") > least)).select(*pair, "p1", "p2")
+    return linked.join(good, [*pair, "p1", "p2"], "left_semi")
 
 
 def spin_glass(edges: DataFrame, k: int = 8, sweeps: int = 200, gamma: float = 1.0, seed: int = 7) -> DataFrame:

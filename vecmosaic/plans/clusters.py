@@ -11,6 +11,7 @@ from vecmosaic.operators import graph as G
 from vecmosaic.operators import match as M
 from vecmosaic.operators import spectral as S
 from vecmosaic.operators.components import connected_components
+from vecmosaic.operators.knn import KnnOptions, knn_join
 from vecmosaic.plans.catalog import query
 from vecmosaic.plans.geometry import H, matches
 from vecmosaic.plans.graphs import BY, communities, edges, images, next_ones, pruned
@@ -100,18 +101,11 @@ def centre_distances(spark, sf):
 
 @query("GM22_iso_match")
 def iso_match(spark, sf):
-    """Matches in pairs of geometric clusters that are linked by most matches of their row."""
+    """Matches of every image pair in geometric clusters that are linked by most matches of their row."""
     f = features(spark, sf)
-    m = M.with_positions(M.mirror_match(f, 9.0), f).where("im_i = 0 or im_j = 1")
-    parts = []
-    for n, key in ((1, "i"), (2, "j")):
-        pts = m.select(F.col(key).alias("id"), F.col(f"x{n}").alias("x"), F.col(f"y{n}").alias("y")).distinct()
-        parts.append(K.isodata(pts, K.IsodataOptions(k_init=6, max_iterations=4, min_size=4)).select(F.col("id").alias(key), F.col("cluster").alias(f"p{n}")))
-    linked = m.join(parts[0], "i").join(parts[1], "j")
-    counts = linked.groupBy("p1", "p2").agg(F.count(F.lit(1)).alias("n"))
-    most = counts.groupBy("p1").agg(F.max("n").alias("most"))
-    good = counts.join(most, "p1").where("n > 0.5 * most and n > 5").select("p1", "p2")
-    return linked.join(good, ["p1", "p2"], "left_semi").select("i", "j", "p1", "p2")
+    near = knn_join(f, options=KnnOptions(k=3, scope="other")).withColumn("ratio", F.lit(1.0))
+    m = M.with_positions(M.first_of_pairs(M.oriented(near)), f)
+    return K.linked_clusters(m, K.IsodataOptions(k_init=4, max_iterations=4, min_size=4, max_sd=60.0), least=2).select("im_i", "im_j", "i", "j", "p1", "p2")
 
 
 query("GM29_spin_glass")(lambda spark, sf: K.spin_glass(G.prune_highest(checkpointed(pruned(spark, sf)), 2), k=6, sweeps=30))
