@@ -242,31 +242,30 @@ def gradient_cells(x: np.ndarray, places: list[tuple[int, int]]) -> list[list[fl
     return out
 
 
-DETECTORS = ("HARRIS", "GFTT", "FAST", "DENSE", "MSER", "SIMPLEBLOB", "SIFT", "SURF", "ORB", "BRIEF")
+DETECTORS = ("HARRIS", "GFTT", "FAST", "STAR", "DENSE", "MSER", "SIMPLEBLOB", "SIFT", "SURF", "BRISK", "ORB", "BRIEF")
 #: Detectors that bring their own descriptor.
-OWN = ("SIFT", "SURF", "ORB", "BRIEF")
-PRECOMPUTED = ("STAR", "BRISK", "FREAK")
+OWN = ("SIFT", "SURF", "BRISK", "ORB", "BRIEF")
 
 
 def features_of(images: DataFrame, keypoint: str = "HARRIS", descriptor: str = "GRADIENT", max_kp: int = 9999, step: int = 8) -> DataFrame:
     """(feature_id, image_id, x, y, response, descriptor) of grey images.
 
-    Corners (``HARRIS``, ``GFTT`` for the lesser eigenvalue), arcs (``FAST``), stable regions, blobs or a dense grid; each is
-    described by orientation histograms of gradients in a 4 x 4 grid around it, scaled to length one.
-    ``SIFT``, ``SURF``, ``ORB`` and ``BRIEF`` are the scale-space, box-filter, oriented and upright binary
-    features of ``keypoints`` and ``boxes``, whatever the descriptor named with them.  Other kinds need features
-    computed elsewhere.
+    Corners (``HARRIS``, ``GFTT`` for the lesser eigenvalue), arcs (``FAST``), stars, stable regions, blobs or a dense grid;
+    each is described by orientation histograms of gradients in a 4 x 4 grid around it, scaled to length one, or with
+    ``FREAK`` by the bits of retinal fields.  ``SIFT``, ``SURF``, ``BRISK``, ``ORB`` and ``BRIEF`` are the scale-space,
+    box-filter, ring, oriented and upright binary features of ``keypoints``, ``boxes`` and ``rings``, whatever the
+    descriptor named with them.
     """
-    from vecmosaic.operators import boxes, keypoints, regions
-
-    kind = keypoint.upper()
-    if kind in OWN:
-        descriptor = "GRADIENT"
-    if kind in PRECOMPUTED or descriptor.upper() in PRECOMPUTED:
-        raise ValueError(f"{keypoint}/{descriptor} features are read precomputed, not detected here")
-    if kind not in DETECTORS or descriptor.upper() != "GRADIENT":
+    from vecmosaic.operators import boxes, keypoints, regions, rings, stars
+
+    kind, bits = keypoint.upper(), descriptor.upper()
+    if kind not in DETECTORS or (kind not in OWN and bits not in ("GRADIENT", "FREAK")):
         raise ValueError(f"unknown keypoint {keypoint} or descriptor {descriptor}")
-    own_kind = {"SIFT": keypoints.scale_space_features, "SURF": boxes.box_features, "ORB": keypoints.binary_features, "BRIEF": lambda x: keypoints.binary_features(x, False)}
+    own_kind = {
+        "SIFT": keypoints.scale_space_features, "SURF": boxes.box_features, "BRISK": rings.ring_features,
+        "ORB": keypoints.binary_features, "BRIEF": lambda x: keypoints.binary_features(x, False),
+    }
+    places = {"MSER": regions.stable_regions, "SIMPLEBLOB": regions.blobs, "STAR": stars.star_keypoints}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -279,12 +278,15 @@ def features_of(images: DataFrame, keypoint: str = "HARRIS", descriptor: str = "
                     continue
                 if kind == "DENSE":
                     found = [(a, b, 1.0) for a in range(step // 2, x.shape[0], step) for b in range(step // 2, x.shape[1], step)][:max_kp]
-                elif kind in ("MSER", "SIMPLEBLOB"):
-                    areas = regions.stable_regions(x) if kind == "MSER" else regions.blobs(x)
-                    found = [(q.y, q.x, q.response) for q in areas[:max_kp]]
+                elif kind in places:
+                    found = [(q.y, q.x, q.response) for q in places[kind](x)[:max_kp]]
                 else:
                     found = peaks(CORNERS[kind](x) if kind in CORNERS else fast_score(x), 0.0, max_kp)
-                for k, ((a, b, r), d) in enumerate(zip(found, gradient_cells(x, [(round(a), round(b)) for a, b, _ in found]), strict=True)):
+                if bits == "FREAK":
+                    described = [d.tolist() for d in rings.retinal_bits(x, [(a, b) for a, b, _ in found])]
+                else:
+                    described = gradient_cells(x, [(round(a), round(b)) for a, b, _ in found])
+                for k, ((a, b, r), d) in enumerate(zip(found, described, strict=True)):
                     rows.append((int(i) * 1_000_000 + k, int(i), float(b), float(a), r, d))
             yield pd.DataFrame(rows, columns=["feature_id", "image_id", "x", "y", "response", "descriptor"])
 

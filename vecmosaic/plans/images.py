@@ -224,6 +224,9 @@ query("FX1_features_scale_space")(lambda spark, sf: I.features_of(images(spark,
 query("FX1_features_box_filters")(lambda spark, sf: I.features_of(images(spark, sf), "SURF").select(*POINT))
 query("FX2_keypoints_stable_regions")(lambda spark, sf: I.features_of(images(spark, sf), "MSER").select(*POINT))
 query("FX2_keypoints_blobs")(lambda spark, sf: I.features_of(images(spark, sf), "SIMPLEBLOB").select(*POINT))
+query("FX1_features_rings")(lambda spark, sf: I.features_of(images(spark, sf), "BRISK").select(*POINT))
+query("FX2_keypoints_stars")(lambda spark, sf: I.features_of(images(spark, sf), "STAR").select(*POINT))
+query("FX4_retinal_bits")(lambda spark, sf: I.features_of(images(spark, sf), "FAST", "FREAK").select("feature_id", "image_id", F.size(F.filter("descriptor", lambda b: b > 0)).alias("n_set")))
 query("FX3_oriented_binary")(lambda spark, sf: I.features_of(images(spark, sf), "ORB").select(*POINT))
 query("FX4_binary_tests")(lambda spark, sf: I.features_of(images(spark, sf), "BRIEF").select("feature_id", "image_id", F.size(F.filter("descriptor", lambda b: b > 0)).alias("n_set")))
 
