@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecmosaic.operators.communities import annealed, local_moving
 from vecmosaic.operators.components import connected_components
 from vecmosaic.session import checkpointed
 
@@ -63,11 +64,21 @@ def louvain_kernel(ids: np.ndarray, src: np.ndarray, dst: np.ndarray, w: np.ndar
     return ids[label]
 
 
-def louvain(edges: DataFrame, by: str | None = None) -> DataFrame:
-    """(vertex, cluster) for every vertex with an edge, by connected component at every size.
+def _by_size(edges: DataFrame, task_edges: int) -> tuple[DataFrame, DataFrame | None]:
+    """The edges with their component: of components that one task holds, and of larger ones if there are any."""
+    named = checkpointed(edges.join(connected_components(edges).withColumnRenamed("vertex", "src"), "src"))
+    large = checkpointed(named.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > task_edges).select("component"))
+    if not large.limit(1).count():
+        return named, None
+    return named.join(large, "component", "left_anti"), named.join(large, "component")
 
-    Gains use the weight of the whole graph, or with ``by`` of the vertex's set; a component's sweeps stop by
-    themselves.  A component is one task, whose memory goes with its edges.
+
+def louvain(edges: DataFrame, by: str | None = None, task_edges: int = 2_000_000) -> DataFrame:
+    """(vertex, cluster) for every vertex with an edge.
+
+    Gains use the weight of the whole graph, or with ``by`` of the vertex's set.  A component of at most ``task_edges``
+    edges is one task, where vertices move one by one in order of their ids until a sweep gains nothing; in
+    larger ones they move a class at a time over tables (``communities``), which is another order of the same moves.
     """
     of = [by] if by else []
     edges = checkpointed(edges.select("src", "dst", "w", *of))
@@ -76,9 +87,12 @@ def louvain(edges: DataFrame, by: str | None = None) -> DataFrame:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         return _moved(rows, float(rows["total"].iloc[0]))
 
-    named = edges.join(connected_components(edges).withColumnRenamed("vertex", "src"), "src")
-    named = named.join(totals, by) if by else named.join(F.broadcast(totals))  # one row
-    return named.select("component", "src", "dst", "w", "total").groupBy("component").applyInPandas(run, "vertex long, cluster long")
+    small, large = _by_size(edges, task_edges)
+    named = small.join(totals, by) if by else small.join(F.broadcast(totals))  # one row
+    found = named.select("component", "src", "dst", "w", "total").groupBy("component").applyInPandas(run, "vertex long, cluster long")
+    if large is None:
+        return found
+    return found.unionByName(local_moving(large.select("src", "dst", "w", *of), by, totals=totals))
 
 
 def _moved(rows: pd.DataFrame, total: float) -> pd.DataFrame:
@@ -258,13 +272,14 @@ def linked_clusters(matches: DataFrame, options: IsodataOptions, share: float =
     return linked.join(good, [*pair, "p1", "p2"], "left_semi")
 
 
-def spin_glass(edges: DataFrame, k: int = 8, sweeps: int = 200, gamma: float = 1.0, seed: int = 7) -> DataFrame:
+def spin_glass(edges: DataFrame, k: int = 8, sweeps: int = 200, gamma: float = 1.0, seed: int = 7, task_edges: int = 2_000_000) -> DataFrame:
     """(vertex, cluster): communities of least Potts energy by simulated annealing, by component.
 
-    A step looks at the edges of one vertex only, so memory goes with the edges of a component.
+    A component of at most ``task_edges`` edges is one task, where a step looks at the edges of one vertex only; larger
+    ones are annealed a class of vertices at a time over tables (``communities``).
     """
     total = edges.agg(F.sum("w")).first()[0] or 1.0
-    where = connected_components(edges).withColumnRenamed("vertex", "src")
+    temperatures = np.geomspace(1.0, 0.01, sweeps)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["src", "dst"], kind="stable")
@@ -276,7 +291,7 @@ def spin_glass(edges: DataFrame, k: int = 8, sweeps: int = 200, gamma: float = 1
         degree = np.bincount(s, weights=w, minlength=len(ids))
         label = rng.integers(0, k, len(ids))
         mass = np.bincount(label, weights=degree, minlength=k)
-        for t in np.geomspace(1.0, 0.01, sweeps):
+        for t in temperatures:
             for v in range(len(ids)):
                 a, b = first[v], first[v + 1]
                 mass[label[v]] -= degree[v]
@@ -286,30 +301,9 @@ def spin_glass(edges: DataFrame, k: int = 8, sweeps: int = 200, gamma: float = 1
                 mass[label[v]] += degree[v]
         return pd.DataFrame({"vertex": ids, "cluster": (ids[0] * k + label).astype(np.int64)})
 
-    return edges.join(where, "src").select("component", "src", "dst", "w").groupBy("component").applyInPandas(run, "vertex long, cluster long")
-
-
-def adjusted_mutual_information(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row (mi, ami) of two partitions (vertex, cluster), from their contingency table."""
-    from math import lgamma
-
-    both = a.select("vertex", F.col("cluster").alias("x")).join(b.select("vertex", F.col("cluster").alias("y")), "vertex")
-    cells = both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        t = rows.pivot_table(index="x", columns="y", values="n", fill_value=0, aggfunc="sum").to_numpy().astype(float)
-        n, r, c = t.sum(), t.sum(axis=1), t.sum(axis=0)
-        nz = t > 0
-        mi = float((t[nz] / n * np.log(n * t[nz] / np.outer(r, c)[nz])).sum())
-        entropy = lambda m: float(-(m[m > 0] / n * np.log(m[m > 0] / n)).sum())
-        expected = 0.0
-        for i in r.astype(int):
-            for j in c.astype(int):
-                for k in range(max(1, i + j - int(n)), min(i, j) + 1):
-                    p = lgamma(i + 1) + lgamma(j + 1) + lgamma(n - i + 1) + lgamma(n - j + 1) - lgamma(n + 1) - lgamma(k + 1) - lgamma(i - k + 1) - lgamma(j - k + 1) - lgamma(n - i - j + k + 1)
-                    expected += k / n * np.log(n * k / (i * j)) * np.exp(p)
-        top = (entropy(r) + entropy(c)) / 2 - expected
-        return pd.DataFrame({"mi": [mi], "ami": [(mi - expected) / top if abs(top) > 1e-15 else 1.0]})
-
-    # the contingency table has a row per pair of clusters
-    return cells.groupBy(F.lit(1).alias("one")).applyInPandas(run, "mi double, ami double")
+    small, large = _by_size(edges, task_edges)
+    found = small.select("component", "src", "dst", "w").groupBy("component").applyInPandas(run, "vertex long, cluster long")
+    if large is None:
+        return found
+    where = large.select(F.col("src").alias("vertex"), "component").distinct()
+    return found.unionByName(annealed(large.select("src", "dst", "w"), where, k, temperatures.tolist(), gamma, seed=seed, total=total))
