@@ -43,7 +43,7 @@ def _class(vertex: str, classes: int) -> Column:
 
 
 def local_moving(edges: DataFrame, by: str | None = None, classes: int = 4, gain: float = 1e-5, max_sweeps: int = 20, totals: DataFrame | None = None) -> DataFrame:
-    """(vertex, cluster): each vertex moves to the neighbouring cluster of largest gain in modularity, until none gains.
+    """(vertex, cluster): each vertex moves to the neighbouring cluster of largest gain in modularity, until none moves or ``max_sweeps`` times.
 
     A cluster is named by the vertex that began it.  Equal gains go to the smaller cluster; a vertex alone joins
     another one alone only if that one's id is smaller, as both may move at once.  With ``by`` the gain is in the
@@ -54,7 +54,6 @@ def local_moving(edges: DataFrame, by: str | None = None, classes: int = 4, gain
     if not e.limit(1).count():
         return spark.createDataFrame([], "vertex long, cluster long")
     parts, at = written_at(_vertices(e, by, totals, unit).withColumn("cluster", F.col("vertex")), new_path(spark, "labels"))
-    before = None
     for _ in range(max_sweeps):
         moved = 0
         for c in range(classes):
@@ -62,10 +61,8 @@ def local_moving(edges: DataFrame, by: str | None = None, classes: int = 4, gain
             moved += new.where("moved").count()
             discard(spark, at)
             parts, at = new.drop("moved"), new_at
-        now = _quality(e, parts)
-        if not moved or (before is not None and now <= before):
+        if not moved:
             break
-        before = now
     discard(spark, e_at)
     return parts.select("vertex", "cluster")
 
@@ -90,15 +87,6 @@ def _moved(e: DataFrame, parts: DataFrame, own: Column, gain: float) -> DataFram
     return parts.join(moves, "vertex", "left").select("vertex", "degree", "total", F.coalesce("to", "cluster").alias("cluster"), F.col("to").isNotNull().alias("moved"))
 
 
-def _quality(e: DataFrame, parts: DataFrame) -> float:
-    """The sum of the modularities of all sets."""
-    label = lambda k, c: parts.select(F.col("vertex").alias(k), F.col("cluster").alias(c))
-    inside = e.join(label("src", "a"), "src").join(label("dst", "b"), "dst").where("a = b").groupBy(F.col("a").alias("cluster")).agg(F.sum("w").alias("inside"))
-    held = parts.groupBy("cluster").agg(F.sum("degree").alias("held"), F.max("total").alias("total"))
-    share = F.col("held") / F.col("total")
-    return held.join(inside, "cluster", "left").agg(F.sum(F.round(F.coalesce("inside", F.lit(0)) / F.col("total") - share * share, 12).cast("decimal(30,12)"))).first()[0] or 0.0
-
-
 def annealed(edges: DataFrame, components: DataFrame, k: int, temperatures: list[float], gamma: float = 1.0, classes: int = 4, seed: int = 7, total: float | None = None) -> DataFrame:
     """(vertex, cluster): labels of low Potts energy in each component (vertex, component) by annealing.
 
