@@ -95,6 +95,16 @@ def metric_of(kind: str) -> str:
     return METRIC_OF[kind.upper()]
 
 
+def metric_column(kind: Column) -> Column:
+    """The metric of the kind of descriptor in a column; null for an unknown one."""
+    return F.create_map(*[F.lit(x) for pair in METRIC_OF.items() for x in pair])[F.upper(kind)]
+
+
+def steps(first: Column, last: Column, step: int) -> Column:
+    """The numbers from ``first`` to at most ``last`` as an array; none where last comes before first."""
+    return F.when(last >= first, F.sequence(first, F.greatest(first, last), F.lit(step))).otherwise(F.slice(F.sequence(first, first), 1, 0))
+
+
 def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 

@@ -91,12 +91,14 @@ def statistics(spark, sf):
     return rounded(s.where("n >= 5"), "cx", "cy", "spread", "sx", "sy")
 
 
-@query("SO2_centre_distances", f"WITH {NEAR} SELECT a.k AS a, b.k AS b, round(sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2), 6) AS dist FROM c a JOIN c b ON a.k < b.k")
+@query("SO2_centre_distances", f"WITH {NEAR}, m AS (SELECT cluster, id % 20 AS part, avg(x) AS cx, avg(y) AS cy FROM n GROUP BY ALL) SELECT a.part, a.cluster AS a, b.cluster AS b, round(sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2), 6) AS dist FROM m a JOIN m b ON a.part = b.part AND a.cluster < b.cluster")
 def centre_distances(spark, sf):
-    c = spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate(CENTRES)], "k int, x double, y double")
+    """The distances between the cluster centres of each twentieth of the points, the nearest first."""
+    c = K.assign(points(spark, sf), CENTRES).groupBy((F.col("id") % 20).alias("part"), "cluster").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
     a, b = c.alias("a"), c.alias("b")
-    d = F.hypot(F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y"))
-    return a.join(b, F.col("a.k") < F.col("b.k")).select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), F.round(d, 6).alias("dist")).orderBy("dist")
+    d = F.hypot(F.col("a.cx") - F.col("b.cx"), F.col("a.cy") - F.col("b.cy"))
+    pairs = a.join(b, (F.col("a.part") == F.col("b.part")) & (F.col("a.cluster") < F.col("b.cluster")))
+    return pairs.select("a.part", F.col("a.cluster").alias("a"), F.col("b.cluster").alias("b"), F.round(d, 6).alias("dist")).orderBy("dist")
 
 
 @query("GM22_iso_match")

@@ -8,7 +8,7 @@ from vecmosaic.functions import vectors as V
 from vecmosaic.operators import faces as X
 from vecmosaic.plans.catalog import query
 from vecmosaic.plans.matching import rounded
-from vecmosaic.sources.tables import faces
+from vecmosaic.sources.tables import faces, table
 
 FACES = f"""fa AS (SELECT CAST(vec_id AS BIGINT) AS id, CAST(label AS INTEGER) AS label, CAST(vec_id % 5 AS INTEGER) AS grp, CAST(embedding AS DOUBLE[]) AS vec, list_transform(CAST(embedding AS DOUBLE[]), lambda e: abs(e)) AS h FROM embeddings)"""
 DIM = "range(1, len(a.h) + 1)"
@@ -116,9 +116,15 @@ query("CL2_svm_linear")(lambda spark, sf: X.svm_grid(faces(spark, sf), [1.0], [N
 query("CL3_svm_grid")(lambda spark, sf: X.best_setting(X.svm_grid(faces(spark, sf), V.powers_of_two(-1, 3, 2), V.powers_of_two(-3, 1, 2), 3)))
 
 
-@query("SF17_parameter_grid", "SELECT pow(2.0, c)::DOUBLE AS c, pow(2.0, g)::DOUBLE AS gamma FROM (SELECT unnest(range(-5, 16, 2)) AS c), (SELECT unnest(range(-15, 4, 2)) AS g)")
+@query("SF17_parameter_grid", """SELECT s_suppkey, pow(2.0, c)::DOUBLE AS c, pow(2.0, g)::DOUBLE AS gamma FROM (SELECT s_suppkey, unnest(range(-(s_nationkey % 4) - 1, s_nationkey % 5 + 3, 2)) AS c, s_nationkey FROM supplier) t,
+(SELECT unnest(range(-15, 4, 2)) AS g) WHERE g >= -(s_nationkey % 7) - 9""")
 def parameter_grid(spark, sf):
-    return spark.createDataFrame([(c, g) for c in V.powers_of_two(-5, 15, 2) for g in V.powers_of_two(3, -15, -2)], "c double, gamma double")
+    """A grid of powers of two for every supplier, with bounds of its own."""
+    n = F.col("s_nationkey")
+    power = lambda k: F.pow(F.lit(2.0), k.cast("double"))
+    s = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", V.steps(-(n % 4) - 1, n % 5 + 2, 2).alias("cs"), V.steps(F.lit(-15), F.lit(3), 2).alias("gs"))
+    grid = s.select("s_suppkey", "s_nationkey", F.explode("cs").alias("c"), "gs").select("s_suppkey", "s_nationkey", "c", F.explode("gs").alias("g"))
+    return grid.where(F.col("g") >= -(n % 7) - 9).select("s_suppkey", power(F.col("c")).alias("c"), power(F.col("g")).alias("gamma"))
 
 
 COV = f"""{FACES}, mu AS (SELECT k, avg(vec[k]) AS m FROM fa, (SELECT unnest(range(1, 65)) AS k) GROUP BY k)"""
@@ -223,9 +229,15 @@ def gather(spark, sf):
     return people(spark, sf).where("id % 4 in (0, 2)").select("id", "vec", k).select("id", "k", F.round(F.element_at("vec", F.col("k")), 6).alias("v"))
 
 
-@query("SF16_metric_names", "SELECT * FROM (VALUES ('SIFT', 'minkowski'), ('SURF', 'minkowski'), ('ORB', 'hamming'), ('BRISK', 'hamming'), ('BRIEF', 'hamming'), ('FREAK', 'hamming')) t(kind, metric)")
+KINDS = ("SIFT", "surf", "ORB", "Brisk", "BRIEF", "FREAK", "none")
+
+
+@query("SF16_metric_names", f"""SELECT p_partkey, kind, CASE WHEN upper(kind) IN ('SIFT', 'SURF') THEN 'minkowski' WHEN upper(kind) IN ('ORB', 'BRISK', 'BRIEF', 'FREAK') THEN 'hamming' END AS metric
+FROM (SELECT p_partkey, [{', '.join(f"'{k}'" for k in KINDS)}][p_size % {len(KINDS)} + 1] AS kind FROM part)""")
 def metric_names(spark, sf):
-    return spark.createDataFrame(list(V.METRIC_OF.items()), "kind string, metric string")
+    """The metric of the kind of descriptor that each row names; none of an unknown one."""
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("p_size") % len(KINDS) + 1)
+    return table(spark, sf, "part").select("p_partkey", kind.alias("kind")).withColumn("metric", V.metric_column(F.col("kind")))
 
 
 @query("SO4_shuffled", f"WITH {FACES} SELECT id, label FROM fa")

@@ -10,7 +10,6 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from vecmosaic.operators import geometry as Geo
 from vecmosaic.operators import images as I
 from vecmosaic.operators import tiles as T
 from vecmosaic.operators.tiles import long
@@ -303,12 +302,17 @@ def face_labels(spark, sf):
     return S.face_folder(c).select("path", "label")
 
 
-_REL = Geo.inverse([1.1, 0.0, 2.0, 0.1, 0.9, -1.0, 0.0, 0.0, 1.0])
-_M = (np.array(H).reshape(3, 3) @ np.linalg.inv(np.array([1.1, 0.0, 2.0, 0.1, 0.9, -1.0, 0.0, 0.0, 1.0]).reshape(3, 3)))
-_M = (_M / _M[2, 2]).ravel()
+def relative_sql():
+    """A homography times the inverse of a shift by (tx, ty), as nine rows a part."""
+    n = f"({H[8]!r} - {H[6]!r} * tx - {H[7]!r} * ty)"
+    cells = [f"({H[3 * r + c]!r} / {n})" if c < 2 else f"(({H[3 * r + 2]!r} - {H[3 * r]!r} * tx - {H[3 * r + 1]!r} * ty) / {n})" for r in range(3) for c in range(3)]
+    return f"SELECT p_partkey, k - 1 AS k, round(m[k]::DOUBLE, 6) AS v FROM (SELECT p_partkey, [{', '.join(cells)}] AS m, unnest(range(1, 10)) AS k FROM (SELECT p_partkey, p_size::DOUBLE AS tx, p_retailprice / 100 AS ty FROM part))"
 
 
-@query("SRC11_relative_homography", "SELECT * FROM (VALUES " + ", ".join(f"({k}, round({float(v)!r}::DOUBLE, 6))" for k, v in enumerate(_M)) + ") t(k, v)")
+@query("SRC11_relative_homography", relative_sql())
 def relative(spark, sf):
-    m = S.relative_homography(F.array(*map(F.lit, [1.1, 0.0, 2.0, 0.1, 0.9, -1.0, 0.0, 0.0, 1.0])), F.array(*map(F.lit, H)))
-    return spark.range(1).select(F.posexplode(m).alias("k", "v")).select("k", F.round("v", 6).alias("v"))
+    """From an image that is shifted against the first one of its series to another one; the shift is a matrix as text."""
+    cells = [F.lit("1.0"), F.lit("0.0"), F.col("p_size").cast("double").cast("string"), F.lit("0.0"), F.lit("1.0"), (F.col("p_retailprice") / 100).cast("string"), F.lit("0.0"), F.lit("0.0"), F.lit("1.0")]
+    rows = table(spark, sf, "part").select("p_partkey", F.split(F.concat_ws(" ", *cells), " ").cast("array<double>").alias("first"))
+    rows = rows.select("p_partkey", S.relative_homography(F.col("first"), F.array(*map(F.lit, H))).alias("m"))
+    return rows.select("p_partkey", F.posexplode("m").alias("k", "v")).select("p_partkey", F.col("k").cast("long").alias("k"), F.round("v", 6).alias("v"))

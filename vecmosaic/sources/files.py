@@ -101,15 +101,17 @@ def calibration_index(angle: Column, pattern: int) -> Column:
 
 
 def relative_homography(first: Column, other: Column) -> Column:
-    """other times the inverse of first, both arrays of nine."""
+    """other times the inverse of first, both arrays of nine, scaled to a last element of one; null elements where that is zero."""
     e = lambda m, k: F.element_at(m, k + 1)
     co = [
         (4, 8, 5, 7), (2, 7, 1, 8), (1, 5, 2, 4), (5, 6, 3, 8), (0, 8, 2, 6), (2, 3, 0, 5), (3, 7, 4, 6), (1, 6, 0, 7), (0, 4, 1, 3),
     ]
-    adj = [e(first, a) * e(first, b) - e(first, c) * e(first, d) for a, b, c, d in co]
-    det = e(first, 0) * adj[0] + e(first, 1) * adj[3] + e(first, 2) * adj[6]
-    prod = [sum((e(other, 3 * r + k) * adj[3 * k + c] for k in range(3)), F.lit(0.0)) / det for r in range(3) for c in range(3)]
-    return F.array(*[p / prod[8] for p in prod])
+    # the inverse is this by the determinant, which the scaling takes out again
+    adjugate = F.array(*[e(first, a) * e(first, b) - e(first, c) * e(first, d) for a, b, c, d in co])
+    product = lambda m: F.array(*[sum((e(other, 3 * r + k) * e(m, 3 * k + c) for k in range(3)), F.lit(0.0)) for r in range(3) for c in range(3)])
+    scaled = lambda p: F.transform(p, lambda v: F.try_divide(v, e(p, 8)))
+    # each step's array is computed once, as an element that the next one is a function of
+    return F.element_at(F.transform(F.transform(F.array(adjugate), product), scaled), 1)
 
 
 def _png(grey: np.ndarray) -> bytes:
