@@ -218,15 +218,20 @@ def multi_size(spark, sf):
     return dense(spark, sf, 8).unionByName(dense(spark, sf, 12)).select("image_id", "x", "y").distinct()
 
 
-POINT = ("feature_id", "image_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.size("descriptor").alias("n"))
-query("FX1_features_scale_space")(lambda spark, sf: I.features_of(images(spark, sf), "SIFT").select(*POINT))
-query("FX1_features_box_filters")(lambda spark, sf: I.features_of(images(spark, sf), "SURF").select(*POINT))
-query("FX2_keypoints_stable_regions")(lambda spark, sf: I.features_of(images(spark, sf), "MSER").select(*POINT))
-query("FX2_keypoints_blobs")(lambda spark, sf: I.features_of(images(spark, sf), "SIMPLEBLOB").select(*POINT))
-query("FX1_features_rings")(lambda spark, sf: I.features_of(images(spark, sf), "BRISK").select(*POINT))
-query("FX2_keypoints_stars")(lambda spark, sf: I.features_of(images(spark, sf), "STAR").select(*POINT))
+def found(spark, sf, keypoint):
+    """The keypoints of whole images, with the length of their descriptors."""
+    rows = I.features_of(images(spark, sf), keypoint)
+    return rows.select("feature_id", "image_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.size("descriptor").alias("n"))
+
+
+query("FX1_features_scale_space")(lambda spark, sf: found(spark, sf, "SIFT"))
+query("FX1_features_box_filters")(lambda spark, sf: found(spark, sf, "SURF"))
+query("FX2_keypoints_stable_regions")(lambda spark, sf: found(spark, sf, "MSER"))
+query("FX2_keypoints_blobs")(lambda spark, sf: found(spark, sf, "SIMPLEBLOB"))
+query("FX1_features_rings")(lambda spark, sf: found(spark, sf, "BRISK"))
+query("FX2_keypoints_stars")(lambda spark, sf: found(spark, sf, "STAR"))
 query("FX4_retinal_bits")(lambda spark, sf: I.features_of(images(spark, sf), "FAST", "FREAK").select("feature_id", "image_id", F.size(F.filter("descriptor", lambda b: b > 0)).alias("n_set")))
-query("FX3_oriented_binary")(lambda spark, sf: I.features_of(images(spark, sf), "ORB").select(*POINT))
+query("FX3_oriented_binary")(lambda spark, sf: found(spark, sf, "ORB"))
 query("FX4_binary_tests")(lambda spark, sf: I.features_of(images(spark, sf), "BRIEF").select("feature_id", "image_id", F.size(F.filter("descriptor", lambda b: b > 0)).alias("n_set")))
 
 
