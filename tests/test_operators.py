@@ -187,8 +187,10 @@ def test_model_round_trip(spark, tmp_path):
 
 def test_unknown_features_are_refused(spark):
     df = spark.createDataFrame([], I.IMAGE)
-    with pytest.raises(ValueError, match="precomputed"):
-        I.features_of(df, "SURF")
+    for kind in I.DETECTORS:
+        assert I.features_of(df, kind).count() == 0
+    with pytest.raises(ValueError, match="unknown"):
+        I.features_of(df, "HARRIS", "SURF")
     with pytest.raises(ValueError, match="unknown"):
         I.features_of(df, "nothing")
 
