@@ -431,18 +431,17 @@ def _classes(docs: DataFrame, options: NearDupOptions) -> DataFrame:
     )
 
 
-_MARKS = 1 << 26
+_MARKS = (1 << 24, 1 << 26)
 
 
 def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows whose id may be among ``ids``, so that few texts go into the shuffle of a join with those.
 
-    Ids are marked in a bitmap of 16 bits for each, ``_MARKS`` bits (8 MB) at most.  An id outside passes
+    Ids are marked in a bitmap of 16 bits for each, 2 MB at least and 8 MB at most (``_MARKS``).  An id outside passes
     by chance, one in 16 or fewer up to 4 million ids; with very many more all rows pass
     and the join shuffles every text once.
     """
-    wanted = ids.count()
-    bits = min(_MARKS, max(1 << 15, 1 << (16 * wanted).bit_length()))
+    bits = min(_MARKS[1], max(_MARKS[0], 1 << (16 * ids.count()).bit_length()))
     place = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(bits)) + 1
     marks = ids.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
     marks = marks.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
