@@ -17,7 +17,7 @@ from vecmosaic.operators import images as I
 from vecmosaic.operators import match as M
 from vecmosaic.operators import scores as S
 from vecmosaic.operators.components import connected_components
-from vecmosaic.operators.knn import KnnOptions, knn_join
+from vecmosaic.operators.knn import KnnOptions, knn_join, radius_counts
 from vecmosaic.operators.spectral import affinity_simple
 from vecmosaic.sources import files
 
@@ -50,6 +50,30 @@ def test_strategies_agree(spark, strategy):
     assert knn_join(df.limit(0), options=KnnOptions(strategy=strategy)).count() == 0
 
 
+@pytest.mark.parametrize("scope,metric", [("all", "l2"), ("same", "l2"), ("other", "angle")])
+def test_grid_copies_no_rows(spark, scope, metric):
+    """Disk in proportion to the tables: every row is dealt out once, and the nearest are those of a full search."""
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(300, 6)), 1)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, i % 4, v.tolist()) for i, v in enumerate(x)], "feature_id long, image_id int, descriptor array<double>")
+    near = knn_join(df, options=KnnOptions(k=3, scope=scope, metric=metric, strategy="grid", block=16))
+    assert "explode" not in near._jdf.queryExecution().toString().lower()
+    d = np.arccos(np.clip(0.9999 * (x[:, None] * x[None]).sum(axis=2), -1, 1)) if metric == "angle" else np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    ok = {"all": lambda i, j: i != j, "same": lambda i, j: i != j and i % 4 == j % 4, "other": lambda i, j: i % 4 != j % 4}[scope]
+    want = {(i, r, j) for i in range(300) for r, (_, j) in enumerate(sorted((d[i, j], j) for j in range(300) if ok(i, j))[:3], 1)}
+    assert {(r.q, r.r, r.t) for r in near.collect()} == want
+
+
+def test_radius_counts_by_the_shared_folder(spark):
+    x = np.random.default_rng(4).normal(size=(200, 3))
+    df = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "feature_id long, image_id int, descriptor array<double>")
+    got = radius_counts(df, 1.0, KnnOptions(broadcast_bytes=1, block=32))
+    assert "explode" not in got._jdf.queryExecution().toString().lower()
+    want = (np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)) <= 1.0).sum(axis=1)
+    assert {r.feature_id: r.group_size for r in got.collect()} == dict(enumerate(want.tolist()))
+
+
 def test_transfer_error(spark):
     h = [1.0, 0, 5, 0, 1, -3, 0, 0, 1]
     df = spark.createDataFrame([(1.0, 1.0, 6.0, -2.0), (1.0, 1.0, 9.0, 2.0)], "x1 double, y1 double, x2 double, y2 double")

@@ -1,8 +1,8 @@
 """k-nearest-neighbour joins of feature tables.
 
 Strategies: ``block`` keeps the targets in every worker and is used only while their measured
-size is below ``broadcast_bytes``; ``grid`` splits both sides into blocks that meet in pairs and
-holds at any size; ``sql`` stays in the JVM; ``forest`` is approximate, by randomised kd-trees tuned to ``precision``.
+size is below ``broadcast_bytes``; ``grid`` writes the targets to the shared folder once, where every
+task reads them past its queries, and holds at any size; ``sql`` stays in the JVM; ``forest`` is approximate, by randomised kd-trees tuned to ``precision``.
 The first three agree: distances are computed from the component differences, ties go to the
 smaller id, and a feature is never its own neighbour.
 """
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecmosaic.functions import vectors as V
+from vecmosaic.operators.passes import Stored, pass_over, stored
 
 KNN = "q long, qi int, r int, t long, ti int, d double"
 
@@ -44,28 +45,99 @@ def _distances(q: np.ndarray, t: np.ndarray, o: KnnOptions) -> np.ndarray:
     return np.sqrt(((q - t) ** 2).sum(axis=-1))
 
 
+class _Nearest:
+    """The k nearest of some queries over blocks of targets, one block at a time.
+
+    A product of single precision, with a bound on its rounding, only picks the candidates: those not surely beyond a
+    query's k-th nearest so far.  Their distances are exact; ties go to the smaller id.
+    """
+
+    def __init__(self, qid: np.ndarray, qi: np.ndarray, q: np.ndarray, o: KnnOptions, tile: int = 1024) -> None:
+        self.qid, self.qi, self.q, self.o, self.tile = qid, qi, q, o, tile
+        self.q2 = (q * q).sum(axis=1)
+        self.left = np.concatenate([-q, np.ones((len(q), 1))], axis=1).astype(np.float32)
+        self.n = np.zeros(len(q), dtype=np.int64)  # found so far
+        self.d = np.full((len(q), o.k), np.inf)
+        self.t = np.zeros((len(q), o.k), dtype=np.int64)
+        self.ti = np.zeros((len(q), o.k), dtype=np.int64)
+        self.bound = np.full(len(q), np.inf)  # of the product, for the k-th distance
+
+    def add(self, tid: np.ndarray, ti: np.ndarray, t: np.ndarray) -> None:
+        for b in range(0, len(tid), 4096):
+            self._block(tid[b : b + 4096], ti[b : b + 4096], t[b : b + 4096])
+
+    def _block(self, tid: np.ndarray, ti: np.ndarray, t: np.ndarray) -> None:
+        o, t2 = self.o, (t * t).sum(axis=1)
+        angle = o.metric == "angle"
+        right = np.concatenate([t, np.zeros((len(t), 1)) if angle else t2[:, None] / 2], axis=1)
+        right32 = np.ascontiguousarray(right.astype(np.float32).T)
+        # of the rounding of a product of so many single-precision terms
+        loose = 1.2e-7 * (t.shape[1] + 8) * (np.sqrt(self.q2 * t2.max(initial=0)) + t2.max(initial=0) / 2)
+        tight = 1e-9 * (1 + self.q2 + t2.max(initial=0))
+        for a in range(0, len(self.q), self.tile):
+            at = slice(a, a + self.tile)
+            open_ = np.isinf(self.bound[at])
+            bad = None
+            if o.scope != "all":
+                same = self.qi[at, None] == ti[None, :]
+                bad = ~same if o.scope == "same" else same
+            if open_.any():
+                own = self.qid[at, None] == tid[None, :]
+                bad = own if bad is None else bad | own
+            with np.errstate(over="ignore", invalid="ignore"):
+                i, j = self._candidates(self.left[at] @ right32, loose[at], bad, open_, at, tid)
+                if len(i) > 16 * len(t) + len(open_) * len(t) // 16:  # the rounding lets too much through
+                    i, j = self._candidates(np.concatenate([-self.q[at], np.ones((len(open_), 1))], axis=1) @ right.T, tight[at], bad, open_, at, tid)
+            for c in range(0, len(i), 65_536):
+                row, col = i[c : c + 65_536] + a, j[c : c + 65_536]
+                self._merge(row, _distances(self.q[row], t[col], o), tid[col], ti[col])
+
+    def _candidates(self, rough: np.ndarray, slack: np.ndarray, bad: np.ndarray | None, open_: np.ndarray, at: slice, tid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if bad is not None:
+            rough[bad] = np.inf
+        most = self.bound[at] + slack
+        if open_.any():
+            k = min(self.o.k, rough.shape[1])
+            most[open_] = np.partition(rough[open_], k - 1, axis=1)[:, k - 1] + 2 * slack[open_]
+        # over the largest number only where nothing bounds a query yet
+        most = np.nextafter(np.minimum(most, np.finfo(np.float32).max).astype(rough.dtype), rough.dtype.type(np.inf))
+        i, j = np.nonzero(rough < most[:, None])
+        other = self.qid[at][i] != tid[j]
+        return i[other], j[other]
+
+    def _merge(self, row: np.ndarray, d: np.ndarray, t: np.ndarray, ti: np.ndarray) -> None:
+        k = self.o.k
+        some = np.unique(row)
+        r, c = np.nonzero(np.arange(k)[None, :] < self.n[some, None])
+        old = some[r]
+        row, d, t, ti = (np.concatenate(p) for p in ((row, old), (d, self.d[old, c]), (t, self.t[old, c]), (ti, self.ti[old, c])))
+        order = np.lexsort((t, d, row))
+        row, d, t, ti = row[order], d[order], t[order], ti[order]
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        place = np.arange(len(row)) - np.repeat(first, np.diff(first, append=len(row)))
+        keep = place < k
+        at = row[keep], place[keep]
+        self.d[at], self.t[at], self.ti[at] = d[keep], t[keep], ti[keep]
+        self.n[some] = np.minimum(np.diff(first, append=len(row)), k)
+        full = some[self.n[some] == k]
+        last = self.d[full, k - 1]
+        if self.o.metric == "angle":
+            # a cosine beyond -1 has the same angle as any other
+            self.bound[full] = np.where(last < np.pi - 1e-6, -np.cos(last) / self.o.dot_scale, np.inf) + 1e-9 * (1 + self.q2[full])
+        else:
+            self.bound[full] = (last * last - self.q2[full]) / 2 + 1e-9 * (1 + self.q2[full] + last * last)
+
+    def columns(self) -> tuple[np.ndarray, ...]:
+        """The arrays of KNN rows, by query and rank."""
+        i, r = np.nonzero(np.arange(self.o.k)[None, :] < self.n[:, None])
+        return self.qid[i], self.qi[i], r + 1, self.t[i, r], self.ti[i, r], self.d[i, r]
+
+
 def _topk(qid: np.ndarray, qi: np.ndarray, q: np.ndarray, tid: np.ndarray, ti: np.ndarray, t: np.ndarray, o: KnnOptions) -> list[tuple]:
-    """KNN rows of one block against one block; a matrix product only picks the candidates."""
-    rows: list[tuple] = []
-    t2 = (t * t).sum(axis=1)
-    for a in range(0, len(q), 256):
-        part = q[a : a + 256]
-        q2 = (part * part).sum(axis=1)
-        rough = -(part @ t.T) if o.metric == "angle" else q2[:, None] + t2[None, :] - 2 * part @ t.T
-        slack = 1e-9 * (1 + q2[:, None] + t2.max(initial=0))
-        bad = qid[a : a + 256, None] == tid[None, :]
-        if o.scope != "all":
-            same = qi[a : a + 256, None] == ti[None, :]
-            bad |= ~same if o.scope == "same" else same
-        rough[bad] = np.inf
-        k = min(o.k, len(t))
-        least = np.partition(rough, k - 1, axis=1)[:, k - 1 : k]
-        for i, near in enumerate((rough <= least + slack) & ~bad):
-            c = np.flatnonzero(near)
-            d = _distances(part[i], t[c], o)
-            for r, j in enumerate(np.lexsort((tid[c], d))[: o.k]):
-                rows.append((int(qid[a + i]), int(qi[a + i]), r + 1, int(tid[c[j]]), int(ti[c[j]]), float(d[j])))
-    return rows
+    """KNN rows of one block against one block."""
+    near = _Nearest(qid, qi, q, o)
+    near.add(tid, ti, t)
+    return list(zip(*(c.tolist() for c in near.columns()), strict=True))
 
 
 def _record(rows: list[tuple]) -> pa.RecordBatch:
@@ -93,7 +165,9 @@ def _block(queries: DataFrame, targets: DataFrame, o: KnnOptions) -> DataFrame:
         t = held.value
         for batch in batches:
             if batch.num_rows and len(t[0]):
-                yield _record(_topk(*_arrays(batch), *t, o))
+                near = _Nearest(*_arrays(batch), o)
+                near.add(*t)
+                yield _columns(near)
 
     return queries.mapInArrow(run, KNN)
 
@@ -103,19 +177,25 @@ def ranked(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("r", r).where(F.col("r") <= k).select("q", "qi", "r", "t", "ti", "d")
 
 
-def _grid(queries: DataFrame, targets: DataFrame, nq: int, nt: int, o: KnnOptions) -> DataFrame:
-    qb, tb = max(1, -(-nq // o.block)), max(1, -(-nt // o.block))
-    mine = lambda n: F.pmod(F.xxhash64("feature_id"), F.lit(n)).cast("int")
-    other = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("*", mine(qb).alias("a")).select("*", other(tb).alias("b")).withColumn("side", F.lit(0))
-    right = targets.select("*", mine(tb).alias("b")).select("*", other(qb).alias("a")).withColumn("side", F.lit(1))
+def _columns(near: _Nearest) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(near.columns(), kinds, strict=True)], names=["q", "qi", "r", "t", "ti", "d"])
+
+
+def stream_knn(queries: DataFrame, n: int, targets: Stored, o: KnnOptions) -> DataFrame:
+    """KNN rows of about ``n`` queries, each task's against the targets in the shared folder, ``block`` of them at a time."""
 
-    def run(group: pa.Table) -> pa.Table:
-        side = group.column("side").to_numpy()
-        q, t = group.filter(pa.array(side == 0)), group.filter(pa.array(side == 1))
-        return pa.Table.from_batches([_record(_topk(*_arrays(q), *_arrays(t), o) if q.num_rows and t.num_rows else [])])
+    def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        near = _Nearest(*_arrays(table), o)
+        for batch in targets.batches(o.block):
+            near.add(*_arrays(batch))
+        yield _columns(near)
 
-    return ranked(left.unionByName(right).groupBy("a", "b").applyInArrow(run, KNN), o.k)
+    return pass_over(queries, n, "feature_id", run, KNN, 8 * o.block)
+
+
+def _grid(queries: DataFrame, targets: DataFrame, nq: int, o: KnnOptions) -> DataFrame:
+    return stream_knn(queries, nq, stored(targets, "targets"), o)
 
 
 def _sql(queries: DataFrame, targets: DataFrame, nq: int, nt: int, o: KnnOptions) -> DataFrame:
@@ -152,7 +232,7 @@ def knn_join(queries: DataFrame, targets: DataFrame | None = None, options: KnnO
     if o.strategy == "block" or (o.strategy == "auto" and small):
         n = max(1, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         return _block(queries.repartition(n, "feature_id") if size["n"] > 512 else queries, targets, o)
-    return _grid(queries, targets, size["n"] if own else queries.count(), size["n"], o)
+    return _grid(queries, targets, size["n"] if own else queries.count(), o)
 
 
 def _within(q: np.ndarray, t: np.ndarray, radius: float) -> np.ndarray:
@@ -175,7 +255,7 @@ def radius_counts(features: DataFrame, radius: float, options: KnnOptions = KnnO
     """(feature_id, group_size): features within the radius of each, itself included.
 
     The same two strategies as the neighbour join: targets in every worker while their measured
-    size allows it, else blocks that meet in pairs and whose counts are added.
+    size allows it, else read from the shared folder past each task's features.
     """
     f = _narrow(features)
     size = f.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("descriptor")).alias("cells")).first()
@@ -191,15 +271,10 @@ def radius_counts(features: DataFrame, radius: float, options: KnnOptions = KnnO
 
         n = max(1, int(f.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         return f.repartition(n, "feature_id").mapInArrow(near, "feature_id long, n long").withColumnRenamed("n", "group_size")
-    blocks = max(1, -(-size["n"] // options.block))
-    mine, other = F.pmod(F.xxhash64("feature_id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = f.select("*", mine.alias("a")).select("*", other.alias("b")).withColumn("side", F.lit(0))
-    right = f.select("*", mine.alias("b")).select("*", other.alias("a")).withColumn("side", F.lit(1))
-
-    def run(group: pa.Table) -> pa.Table:
-        side = group.column("side").to_numpy()
-        q, t = (group.filter(pa.array(side == k)) for k in (0, 1))
-        (i, _, x), (_, _, y) = _arrays(q), _arrays(t)
-        return pa.Table.from_batches([counted(i, _within(x, y, radius)) if len(i) and t.num_rows else counted([], [])])
-
-    return left.unionByName(right).groupBy("a", "b").applyInArrow(run, "feature_id long, n long").groupBy("feature_id").agg(F.sum("n").alias("group_size"))
+    targets = stored(f, "targets")
+
+    def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        i, _, q = _arrays(table)
+        yield counted(i, sum((_within(q, _arrays(batch)[2], radius) for batch in targets.batches(options.block)), np.zeros(len(q), dtype=np.int64)))
+
+    return pass_over(f, size["n"], "feature_id", run, "feature_id long, n long", 8 * options.block).withColumnRenamed("n", "group_size")
