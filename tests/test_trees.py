@@ -122,6 +122,16 @@ def test_forest_without_structure(spark):
     assert recall(forest_knn(f, f, o, ForestOptions(block=300)), knn_join(f, options=o)) >= 0.9
 
 
+def test_all_leaves_meet_every_query_once(spark):
+    """A search of all leaves is the exact one, without a copy of a query for each leaf."""
+    f = table(spark, clustered(500, seed=7), images=5)
+    o = KnnOptions(k=3, scope="other")
+    got = forest_knn(f, f, o, ForestOptions(leaf=20, precision=1.0))
+    plan = got._jdf.queryExecution().toString()
+    assert plan.count("MapInArrow") and "explode" not in plan.lower() and "Window" not in plan
+    assert {(r.q, r.r, r.t) for r in got.collect()} == {(r.q, r.r, r.t) for r in knn_join(f, options=o).collect()}
+
+
 def test_forest_of_few_or_equal_rows(spark):
     f = table(spark, np.zeros((300, 4)))
     got = forest_knn(f, f, KnnOptions(k=2), ForestOptions(leaf=8))

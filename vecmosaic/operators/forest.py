@@ -8,7 +8,8 @@ asked share of their true neighbours was met is taken.
 
 The trees come from a bounded sample drawn by hash; every row is put into its leaf of each tree, so the index holds a row
 once per tree.  Queries and rows meet by leaf, in blocks where a leaf or its queries are many; a query that
-visits a leaf is compared with its rows alone.  The distances are exact.
+visits a leaf is compared with its rows alone.  The distances are exact.  A search of all leaves takes one tree, whose
+leaves are read past each task's queries.
 
 Rows without an id or a vector take no part; with fewer targets than asked all may be returned; equal distances go to
 the smaller id; a feature is never its own neighbour; no targets give no rows.
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 
 from vecmosaic.operators.balltree import _matrix
 from vecmosaic.operators.grouped import runs
-from vecmosaic.operators.knn import KNN, KnnOptions, _narrow, _record, _topk, ranked
+from vecmosaic.operators.knn import KNN, KnnOptions, _narrow, _record, _topk, ranked, stream_knn
+from vecmosaic.operators.passes import stored
 from vecmosaic.session import written
 
 
@@ -123,7 +125,13 @@ class KdForest:
     options: ForestOptions
 
     def search(self, queries: DataFrame, knn: KnnOptions) -> DataFrame:
-        """KNN rows of queries (feature_id, image_id, descriptor)."""
+        """KNN rows of queries (feature_id, image_id, descriptor).
+
+        Where every leaf is to be visited, the leaves of one tree hold every row; its rows are read past the queries.
+        """
+        if self.checks > sum(int(c.sum()) for c in self.counts):
+            every = self.rows.where("tree = 0").select("feature_id", "image_id", "descriptor")
+            return stream_knn(queries, queries.count(), stored(every, "leaves"), knn)
         spark, trees, counts, checks, block = queries.sparkSession, self.trees, self.counts, self.checks, self.options.block
         parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -172,7 +180,8 @@ def build_forest(targets: DataFrame, queries: DataFrame, knn: KnnOptions, option
     part = F.pmod(F.xxhash64("feature_id", F.lit(options.seed)), F.lit(1 << 30))
     x = _matrix(targets.where(part < int(share * (1 << 30)) + 1).select("descriptor").limit(options.sample_rows).toArrow().column("descriptor"))
     rng = np.random.default_rng(options.seed)
-    trees = [KdTree.fit(x, options, rng) for _ in range(options.trees)]
+    # the leaves of any one tree hold all rows, so no more are of use where all are visited
+    trees = [KdTree.fit(x, options, rng) for _ in range(options.trees if options.precision < 1 else 1)]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
