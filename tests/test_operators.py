@@ -81,6 +81,36 @@ def test_transfer_error(spark):
     assert G.crop_homography([1, 0, 0, 0, 1, 0, 0, 0, 1], 10, 20, 4, 5, 1.0) == [1, 0, 6, 0, 1, 15, 0, 0, 1]
 
 
+def test_views_against_brute_force(spark):
+    """Two-hop and three-view verification make no row for a pair of a line and a point."""
+    fs = [[0.0, -0.001, 0.3, 0.0012, 0.0, -0.5, -0.28, 0.45, 1.0], [0.0, -0.0008, 0.2, 0.001, 0.0, -0.4, -0.25, 0.35, 2.0], [0.0, -0.0011, 0.25, 0.0009, 0.0, -0.35, -0.2, 0.4, 1.5]]
+    p = np.random.default_rng(8).uniform(0, 1000, (240, 2))
+
+    def far(f, i, j):
+        a, b, c = (f[3 * k] * p[i, 0] + f[3 * k + 1] * p[i, 1] + f[3 * k + 2] for k in range(3))
+        return abs(a * p[j, 0] + b * p[j, 1] + c) / math.hypot(a, b)
+
+    views = [spark.createDataFrame([(i, *p[i].tolist()) for i in range(s, s + 80)], "id long, x double, y double") for s in (0, 80, 160)]
+    want = {(a, c) for a in range(80) for c in range(160, 240) if far(fs[0], a, c) < 40 and any(far(fs[1], a, b) < 40 and far(fs[2], b, c) < 40 for b in range(80, 160))}
+    got = G.three_view(*views, *fs, 40.0)
+    assert "join" not in got._jdf.queryExecution().toString().lower()
+    assert 0 < len(want) == got.count() and {(r.a, r.c) for r in got.collect()} == want
+    one = G.three_view(*views, *fs, 40.0, once=True).collect()
+    assert sorted(r.a for r in one) == sorted({a for a, _ in want}) and {(r.a, r.c) for r in one} <= want
+
+    rows = [(a, *p[a].tolist(), c, *p[c].tolist(), a % 2) for a in range(80) for c in range(160, 240, 7)]
+    matches = spark.createDataFrame(rows, "a long, ax double, ay double, c long, cx double, cy double, view int")
+    seen = views[1].withColumn("view", (F.col("id") % 2).cast("int"))
+    got = G.two_hop(matches, seen, *fs, 40.0, "view")
+    assert "join" not in got._jdf.queryExecution().toString().lower()
+    errors = {(r.a, r.c): r.error for r in got.collect()}
+    assert len(errors) == len(rows)
+    for a, *_, c, _, _, view in rows:
+        d = far(fs[0], a, c)
+        hop = [far(fs[2], b, c) for b in range(80, 160) if b % 2 == view and far(fs[1], a, b) < 40]
+        assert abs(errors[a, c] - (max(d, min(hop)) if d < 40 and hop else d)) < 1e-9
+
+
 def test_homography_and_fundamental_fits():
     rng = np.random.default_rng(2)
     p = rng.uniform(0, 500, (60, 2))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vecmosaic.operators.passes import pass_over, stored
+
 Matrix = Sequence[float]  # nine numbers, row by row
 
 
@@ -95,28 +98,98 @@ def band_join(lines_: DataFrame, points: DataFrame, limit: float, size: float =
     return at.join(inside, ["cx", "cy", *of]).withColumn("dist", line_distance(F.col("x"), F.col("y"))).where(F.col("dist") < limit).select("line", *of, "point", "dist")
 
 
+def _numbers(table: pa.Table | pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [table.column(c).to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else table.column(c).to_numpy() for c in names]
+
+
+def _distances(line: Sequence[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The distance of each line (a row) to each point (a column)."""
+    la, lb, lc = (c[:, None] for c in line)
+    out = la * x
+    out += lb * y
+    out += lc
+    return np.abs(out, out=out)
+
+
 def two_hop(matches: DataFrame, b_points: DataFrame, f_ac: Matrix, f_ab: Matrix, f_bc: Matrix, limit: float, by: str | None = None) -> DataFrame:
     """(a, c, error) for matches (a, ax, ay, c, cx, cy): the AC line distance, and where that is below
     the limit and view B has candidates, the larger of it and the least BC line distance.
 
-    With ``by``, a column of both tables, each match is verified by the points of its own view B.
+    With ``by``, a column of both tables, each match is verified by the points of its own view B.  The points are read
+    past the matches of a task, whose least distances are kept: no pair of a line and a point becomes a row.
     """
     of = [by] if by else []
-    ends = matches.select(F.col("a").alias("id"), *of, F.col("ax").alias("x"), F.col("ay").alias("y")).distinct()
-    ac = lines(ends, f_ac, *of).withColumnRenamed("id", "a")
-    direct = matches.join(ac, ["a", *of]).withColumn("d_ac", line_distance(F.col("cx"), F.col("cy"))).drop("la", "lb", "lc")
-    near = band_join(lines(ends, f_ab, *of), b_points, limit, by=by).select(F.col("line").alias("a"), *of, F.col("point").alias("id"))
-    bc = near.join(lines(b_points, f_bc, *of), ["id", *of]).select("a", *of, "la", "lb", "lc")
-    hop = direct.where(F.col("d_ac") < limit).join(bc, ["a", *of]).groupBy("a", "c", *of).agg(F.min(line_distance(F.col("cx"), F.col("cy"))).alias("d_bc"))
-    return direct.join(hop, ["a", "c", *of], "left").select("a", "c", *of, F.when(F.col("d_bc").isNotNull(), F.greatest("d_ac", "d_bc")).otherwise(F.col("d_ac")).alias("error"))
-
-
-def three_view(a_points: DataFrame, b_points: DataFrame, c_points: DataFrame, f_ac: Matrix, f_ab: Matrix, f_bc: Matrix, limit: float) -> DataFrame:
-    """(a, c): points of view C compatible with a point of A through some point of B."""
-    ac = band_join(lines(a_points, f_ac), c_points, limit).select(F.col("line").alias("a"), F.col("point").alias("c"))
-    ab = band_join(lines(a_points, f_ab), b_points, limit).select(F.col("line").alias("a"), F.col("point").alias("b"))
-    bc = band_join(lines(b_points, f_bc), c_points, limit).select(F.col("line").alias("b"), F.col("point").alias("c"))
-    return ac.join(ab.join(bc, "b").select("a", "c").distinct(), ["a", "c"], "left_semi")
+    own = matches.select(F.col("a").alias("id"), "c", *of, F.col("ax").alias("x"), F.col("ay").alias("y"), "cx", "cy")
+    direct = lines(own, f_ac, "c", *of, "x", "y", "cx", "cy").withColumn("d_ac", line_distance(F.col("cx"), F.col("cy"))).drop("la", "lb", "lc")
+    asked = lines(direct, f_ab, "c", *of, "cx", "cy", "d_ac").withColumnRenamed("id", "a")
+    points = stored(lines(b_points, f_bc, *of, "x", "y").select(*of, "x", "y", "la", "lb", "lc"), "view-points")
+
+    def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        ab, (cx, cy, d_ac) = _numbers(table, "la", "lb", "lc"), _numbers(table, "cx", "cy", "d_ac")
+        view = table.column(by).to_numpy() if by else np.zeros(len(d_ac), dtype=np.int8)
+        least, close = np.full(len(d_ac), np.inf), d_ac < limit
+        mine = {v: np.flatnonzero(close & (view == v)) for v in np.unique(view[close]).tolist()}
+        for batch in points.batches(8192) if mine else ():
+            x, y, *bc = _numbers(batch, "x", "y", "la", "lb", "lc")
+            none = np.isnan(bc[2])  # a point without a line reaches nothing
+            bc = [np.where(none, far, c) for c, far in zip(bc, (0.0, 0.0, np.inf), strict=True)]
+            where = batch.column(by).to_numpy(zero_copy_only=False) if by else np.zeros(len(x), dtype=np.int8)
+            for v in np.unique(where).tolist():
+                at = np.flatnonzero(where == v)
+                for i in range(0, len(mine.get(v, ())), 1024):
+                    rows = mine[v][i : i + 1024]
+                    near = _distances([c[rows] for c in ab], x[at], y[at]) < limit
+                    d = _distances([c[at] for c in bc], cx[rows], cy[rows]).T
+                    least[rows] = np.minimum(least[rows], np.where(near, d, np.inf).min(axis=1))
+        error = pa.array(np.where(np.isfinite(least), np.maximum(d_ac, least), d_ac), from_pandas=True)
+        yield from pa.table([*(table.column(c) for c in ("a", "c", *of)), error], names=["a", "c", *of, "error"]).to_batches()
+
+    kinds = ", ".join(f"{c} {asked.schema[c].dataType.simpleString()}" for c in ("a", "c", *of))
+    return pass_over(asked, None, "a", run, f"{kinds}, error double")
+
+
+def three_view(a_points: DataFrame, b_points: DataFrame, c_points: DataFrame, f_ac: Matrix, f_ab: Matrix, f_bc: Matrix, limit: float, once: bool = False) -> DataFrame:
+    """(a, c): points of view C compatible with a point of A through some point of B; with ``once`` one of them for each a.
+
+    Both other views are read past the points of A, and whether some point of B leads from one to the other is a product
+    of zeros and ones; only the pairs of the result become rows.
+    """
+    asked = lines(lines(a_points, f_ac, "x", "y").select("id", "x", "y", *(F.col(c).alias(f"c_{c}") for c in ("la", "lb", "lc"))), f_ab, "c_la", "c_lb", "c_lc")
+    b = stored(lines(b_points, f_bc, "x", "y").select("x", "y", "la", "lb", "lc"), "view-b")
+    c = stored(c_points.select("id", "x", "y"), "view-c")
+
+    def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids = table.column("id").combine_chunks()
+        ac, ab = _numbers(table, "c_la", "c_lb", "c_lc"), _numbers(table, "la", "lb", "lc")
+        found = np.zeros(len(ids), dtype=bool)
+        for points in c.batches(4096):
+            cx, cy = _numbers(points, "x", "y")
+            todo = _distances(ac, cx, cy) < limit
+            todo[found & once] = False
+            yes = np.zeros_like(todo)
+            for via in b.batches(1024):
+                i, j = np.flatnonzero(todo.any(axis=1)), np.flatnonzero(todo.any(axis=0))
+                if not len(i):
+                    break
+                x, y, *bc = _numbers(via, "x", "y", "la", "lb", "lc")
+                there = (_distances([k[i] for k in ab], x, y) < limit).astype(np.float32)
+                met = there @ (_distances(bc, cx[j], cy[j]) < limit).astype(np.float32) > 0.5
+                met &= todo[np.ix_(i, j)]
+                yes[np.ix_(i, j)] |= met
+                todo[np.ix_(i, j)] &= ~met
+                if once:
+                    todo[i[met.any(axis=1)]] = False
+            a, k = np.nonzero(yes)
+            if once:
+                a, first = np.unique(a, return_index=True)
+                k, found[a] = k[first], True
+            for n in range(0, len(a), 100_000):
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a[n : n + 100_000])), points.column("id").take(pa.array(k[n : n + 100_000]))], names=["a", "c"])
+            if found.all():
+                return
+
+    kinds = f"a {asked.schema['id'].dataType.simpleString()}, c {c_points.schema['id'].dataType.simpleString()}"
+    return pass_over(asked, None, "id", run, kinds, 1024)
 
 
 def crop_homography(h: Matrix, left1: float, top1: float, left2: float, top2: float, scale: float) -> list[float]:

@@ -54,9 +54,10 @@ def held(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(kept).combine_chunks()
 
 
-def pass_over(rows: DataFrame, n: int, key: str, kernel: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, hold: int = 16_384) -> DataFrame:
-    """The rows, of which there are about ``n``, dealt by the key and given to the kernel ``hold`` at a time."""
-    parts = max(1, min(n, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // hold))))
+def pass_over(rows: DataFrame, n: int | None, key: str, kernel: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, hold: int = 16_384) -> DataFrame:
+    """The rows, of which there are about ``n`` if known, dealt by the key and given to the kernel ``hold`` at a time."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts if n is None else max(1, min(n, max(parts, -(-n // hold))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in held(batches, hold):

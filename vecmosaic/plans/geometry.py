@@ -147,8 +147,8 @@ VIEW3 = f"""{LINES}, g AS (SELECT DISTINCT l.id AS a, p.id AS c FROM ac l JOIN f
 JOIN ab k ON k.id = l.id JOIN f b ON b.img = 1 AND abs(k.la * b.x + k.lb * b.y + k.lc) < 30 JOIN bc j ON j.id = b.id AND abs(j.la * p.x + j.lb * p.y + j.lc) < 30)"""
 
 
-def three(spark, sf):
-    return G.three_view(*(points(spark, sf, k) for k in range(3)), F_AC, F_AB, F_BC, 30.0)
+def three(spark, sf, once=False):
+    return G.three_view(*(points(spark, sf, k) for k in range(3)), F_AC, F_AB, F_BC, 30.0, once)
 
 
 query("JN19_three_view_truth", f"WITH {VIEW3} SELECT a, c FROM g")(three)
@@ -157,7 +157,7 @@ query("JN19_three_view_truth", f"WITH {VIEW3} SELECT a, c FROM g")(three)
 @query("AG5_ground_truth", f"WITH {VIEW3} SELECT count(DISTINCT a) AS n_with, (SELECT count(*) FROM f WHERE img = 0) - count(DISTINCT a) AS n_without FROM g")
 def truth(spark, sf):
     n = points(spark, sf, 0).agg(F.count(F.lit(1))).scalar()
-    return three(spark, sf).agg(F.count_distinct("a").alias("n_with")).select("n_with", (n - F.col("n_with")).alias("n_without"))
+    return three(spark, sf, once=True).agg(F.count_distinct("a").alias("n_with")).select("n_with", (n - F.col("n_with")).alias("n_without"))
 
 
 CURVE = f"""{COUNTS}, s AS (SELECT threshold, sum(n_correct)::BIGINT AS n_correct, sum(n_total)::BIGINT AS n_total FROM c GROUP BY threshold),
