@@ -7,7 +7,7 @@ tables of centres: points are assigned in the JVM with the centres as literals.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -309,27 +309,47 @@ def spin_glass(edges: DataFrame, k: int = 8, sweeps: int = 200, gamma: float = 1
     return found.unionByName(annealed(large.select("src", "dst", "w"), where, k, temperatures.tolist(), gamma, seed=seed, total=total))
 
 
-def adjusted_mutual_information(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row (mi, ami) of two partitions (vertex, cluster), from their contingency table."""
+def _expected_information(i: int, j: int, n: int, part: int = 1 << 20) -> float:
+    """The expected contribution to the mutual information of two clusters of i and j of n rows, over their chance overlaps."""
     from math import lgamma
 
-    both = a.select("vertex", F.col("cluster").alias("x")).join(b.select("vertex", F.col("cluster").alias("y")), "vertex")
-    cells = both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    first, last = max(1, i + j - n), min(i, j)
+    log_p = lgamma(i + 1) + lgamma(j + 1) + lgamma(n - i + 1) + lgamma(n - j + 1) - lgamma(n + 1) - lgamma(first + 1) - lgamma(i - first + 1) - lgamma(j - first + 1) - lgamma(n - i - j + first + 1)
+    out = 0.0
+    for a in range(first, last + 1, part):
+        k = np.arange(a, min(a + part, last + 1), dtype=float)
+        # the chance of one overlap more, from that before
+        up = np.log((i - k) * (j - k), where=k < last, out=np.zeros(len(k))) - np.log((k + 1) * (n - i - j + k + 1))
+        logs = log_p + np.concatenate([[0.0], np.cumsum(up[:-1])])
+        out += float((k / n * np.log(n * k / (float(i) * j)) * np.exp(logs)).sum())
+        log_p = logs[-1] + up[-1]
+    return out
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        t = rows.pivot_table(index="x", columns="y", values="n", fill_value=0, aggfunc="sum").to_numpy().astype(float)
-        n, r, c = t.sum(), t.sum(axis=1), t.sum(axis=0)
-        nz = t > 0
-        mi = float((t[nz] / n * np.log(n * t[nz] / np.outer(r, c)[nz])).sum())
-        entropy = lambda m: float(-(m[m > 0] / n * np.log(m[m > 0] / n)).sum())
-        expected = 0.0
-        for i in r.astype(int):
-            for j in c.astype(int):
-                for k in range(max(1, i + j - int(n)), min(i, j) + 1):
-                    p = lgamma(i + 1) + lgamma(j + 1) + lgamma(n - i + 1) + lgamma(n - j + 1) - lgamma(n + 1) - lgamma(k + 1) - lgamma(i - k + 1) - lgamma(j - k + 1) - lgamma(n - i - j + k + 1)
-                    expected += k / n * np.log(n * k / (i * j)) * np.exp(p)
-        top = (entropy(r) + entropy(c)) / 2 - expected
-        return pd.DataFrame({"mi": [mi], "ami": [(mi - expected) / top if abs(top) > 1e-15 else 1.0]})
-
-    # the contingency table has a row per pair of clusters
-    return cells.groupBy(F.lit(1).alias("one")).applyInPandas(run, "mi double, ami double")
+
+def adjusted_mutual_information(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row (mi, ami) of two partitions (vertex, cluster), from the cells of their contingency table that aren't zero.
+
+    The expected information depends on the sizes of clusters alone, so it is taken once for each two sizes that occur; of
+    n rows these are at most 2 n pairs.
+    """
+    both = a.select("vertex", F.col("cluster").alias("x")).join(b.select("vertex", F.col("cluster").alias("y")), "vertex")
+    cells = checkpointed(both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")))
+    total = cells.agg(F.sum("n")).first()[0]
+    sizes = {k: cells.groupBy(k).agg(F.sum("n").alias(f"n{k}")) for k in ("x", "y")}
+    n = F.lit(float(total or 0))
+    share = lambda c: F.col(c) / n
+    mi = cells.join(sizes["x"], "x").join(sizes["y"], "y").agg(F.sum(share("n") * (F.log(n * F.col("n")) - F.log("nx") - F.log("ny"))).alias("mi"))
+    entropy = {k: s.agg(F.sum(-share(f"n{k}") * F.log(share(f"n{k}"))).alias(f"h{k}")) for k, s in sizes.items()}
+    often = {k: s.groupBy(f"n{k}").agg(F.count(F.lit(1)).alias(f"m{k}")) for k, s in sizes.items()}
+
+    def expect(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            each = [x * y * _expected_information(int(i), int(j), int(total)) for i, x, j, y in zip(f["nx"], f["mx"], f["ny"], f["my"], strict=True)]
+            yield pd.DataFrame({"e": [float(sum(each))]})
+
+    parallel = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = often["x"].crossJoin(often["y"]).repartition(parallel, "nx", "ny")
+    expected = pairs.mapInPandas(expect, "e double").agg(F.sum("e").alias("e"))
+    one = mi.crossJoin(entropy["x"]).crossJoin(entropy["y"]).crossJoin(expected).where("mi is not null")
+    top = (F.col("hx") + F.col("hy")) / 2 - F.col("e")
+    return one.select("mi", F.when(F.abs(top) > 1e-15, (F.col("mi") - F.col("e")) / top).otherwise(F.lit(1.0)).alias("ami"))
