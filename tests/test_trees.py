@@ -74,6 +74,17 @@ def test_ball_tree_from_a_sample_holds_every_row(spark):
     assert ball_tree(table(spark, x).limit(0)).nodes.count() == 0
 
 
+def test_large_ball_tree_has_the_halves_of_all_rows(spark):
+    """Beyond the sample, too, a node's halves are those of all of its rows."""
+    x = clustered(1500, seed=8)
+    x[300:900] = x[7]  # far more equal rows than a bracket around the half has
+    x[:, 2] = np.round(x[:, 2])
+    want = brute_tree(x, 6)
+    got = {r.node: r for r in ball_tree(table(spark, x), BallOptions(leaf=6, block=40, sample_rows=200)).nodes.collect()}
+    assert set(got) == set(want)
+    assert all(got[n].n == len(rows) and abs(got[n].radius - r) < 1e-9 and got[n].is_leaf == last for n, (rows, r, last) in want.items())
+
+
 def test_matches_inside_nodes(spark):
     x = clustered(240, seed=3)
     f = table(spark, x)

@@ -4,11 +4,12 @@ A node is split in half along the component of largest spread (the first of equa
 component and then of their ids; a node of at most twice ``leaf`` rows is a leaf.  Nodes are numbered as in a heap:
 the root is 1, the children of n are 2 n and 2 n + 1, so a node's ancestors are its halves.
 
-The splits at the top come from a bounded sample, drawn by hash over the whole table (from all rows where they are no
-more than that), until a node stands for ``block`` rows.  Every row is placed by these splits, and each
+The splits at the top are those of all rows: found at once until a node stands for ``block`` rows where there are no
+more than ``sample_rows``, else by passes over the table, a level at a time, until a node stands for ``sample_rows``; a
+sample only tells where to look for the halves.  Every row is placed by these splits, and each
 part is split further in one task by all of its rows.  Centres and radii are those of all rows: a part's task knows the
 nodes inside it; for the nodes above, centres follow from the parts' and radii are the largest distances in one more
-pass.  The driver holds at most ``max_parts`` splits and centres; beyond that many blocks, parts grow.
+pass.  The driver holds at most ``max_parts`` splits and centres; beyond that many parts, these grow.
 
 Rows without an id or a vector take no part; vectors have one length; repeated rows are rows of their own; an empty
 table has no nodes.
@@ -21,7 +22,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecmosaic.operators.grouped import groups, runs
@@ -51,11 +52,11 @@ class Splits:
     cuts: dict[int, tuple[int, float, int]] = field(default_factory=dict)
 
     @staticmethod
-    def fit(x: np.ndarray, ids: np.ndarray, share: float, options: BallOptions) -> Splits:
+    def fit(x: np.ndarray, ids: np.ndarray, options: BallOptions) -> Splits:
         out, open_ = Splits(), [(1, np.arange(len(x)))]
         while open_ and len(out.cuts) < options.max_parts:
             node, rows = open_.pop(0)
-            if len(rows) / share <= max(options.block, 2 * options.leaf) or len(rows) < 2:
+            if len(rows) <= max(options.block, 2 * options.leaf) or len(rows) < 2:
                 continue
             dim, order = halves(x[rows], ids[rows])
             rows = rows[order]
@@ -64,6 +65,34 @@ class Splits:
             open_ += [(2 * node, rows[:half]), (2 * node + 1, rows[half:])]
         return out
 
+    @staticmethod
+    def exact(rows: DataFrame, n: int, x: np.ndarray, ids: np.ndarray, options: BallOptions) -> Splits:
+        """Halves of all ``n`` rows (feature_id, descriptor), level by level, while a node has more than ``sample_rows``.
+
+        A pass over the rows finds the spreads of a level's nodes.  The sample (x, ids) gives a bracket around each half;
+        a second pass counts the rows below it, and only those inside are ordered.  A half outside its bracket is
+        looked for among all rows of the node.
+        """
+        out, open_ = Splits(), {1: n}
+        while open_:
+            level = {k: m for k, m in open_.items() if m > max(options.sample_rows, options.block, 2 * options.leaf)}
+            level = dict(list(level.items())[: options.max_parts - len(out.cuts)])
+            open_, at = {}, out.place(x, ids)
+            brackets = {}
+            for node, dim in _widest(rows, out, set(level)).items():
+                v = np.sort(x[at == node, dim])
+                half, slack = len(v) // 2, int(3 * np.sqrt(len(v))) + 1
+                low, high = half - slack, half + slack
+                brackets[node] = dim, float(v[low]) if low >= 0 else -np.inf, float(v[high]) if high < len(v) else np.inf, level[node] // 2
+            cuts = _cuts(rows, out, brackets)
+            missed = {k: (dim, -np.inf, np.inf, half) for k, (dim, _, _, half) in brackets.items() if k not in cuts}
+            if missed:
+                cuts |= _cuts(rows, out, missed)
+            for node, (value, first) in cuts.items():
+                out.cuts[node] = brackets[node][0], value, first
+                open_ |= {2 * node: level[node] // 2, 2 * node + 1: level[node] - level[node] // 2}
+        return out
+
     def place(self, x: np.ndarray, ids: np.ndarray) -> np.ndarray:
         out, work = np.ones(len(x), dtype=np.int64), [(1, np.arange(len(x)))]
         while work:
@@ -77,6 +106,57 @@ class Splits:
         return out
 
 
+def _widest(rows: DataFrame, splits: Splits, level: set[int]) -> dict[int, int]:
+    """The component of largest spread of each node, the first of equal ones."""
+    if not level:
+        return {}
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low: dict[int, np.ndarray] = {}
+        high: dict[int, np.ndarray] = {}
+        for batch in batches:
+            x = _matrix(batch.column("descriptor"))
+            at = splits.place(x, batch.column("feature_id").to_numpy())
+            for k in level.intersection(np.unique(at).tolist()):
+                part = x[at == k]
+                low[k] = np.minimum(low.get(k, np.inf), part.min(axis=0))
+                high[k] = np.maximum(high.get(k, -np.inf), part.max(axis=0))
+        many = pa.list_(pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(list(low), pa.int64()), pa.array([v.tolist() for v in low.values()], many), pa.array([v.tolist() for v in high.values()], many)], names=["node", "low", "high"])
+
+    each = rows.mapInArrow(ends, "node long, low array<double>, high array<double>").select("node", F.posexplode(F.arrays_zip("low", "high")).alias("dim", "e"))
+    spread = each.groupBy("node", "dim").agg((F.max("e.high") - F.min("e.low")).alias("spread"))
+    return {r["node"]: r["dim"] for r in spread.groupBy("node").agg(F.max_by("dim", F.struct("spread", -F.col("dim"))).alias("dim")).collect()}  # a row per node
+
+
+def _cuts(rows: DataFrame, splits: Splits, brackets: dict[int, tuple[int, float, float, int]]) -> dict[int, tuple[float, int]]:
+    """The (component, id) of the first row of each node's second half, for nodes (dim, low, high, half) where it lies in the bracket."""
+    if not brackets:
+        return {}
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        below = dict.fromkeys(brackets, 0)
+        kinds, names = (pa.int64(), pa.int64(), pa.float64(), pa.int64()), ["node", "below", "v", "id"]
+        for batch in batches:
+            x, ids = _matrix(batch.column("descriptor")), batch.column("feature_id").to_numpy()
+            at = splits.place(x, ids)
+            for k in brackets.keys() & set(np.unique(at).tolist()):
+                dim, low, high, _ = brackets[k]
+                v, i = x[at == k, dim], ids[at == k]
+                below[k] += int((v < low).sum())
+                some = (v >= low) & (v <= high)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((np.full(some.sum(), k), np.zeros(some.sum()), v[some], i[some]), kinds, strict=True)], names=names)
+        none = [None] * len(below)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((list(below), list(below.values()), none, none), kinds, strict=True)], names=names)
+
+    found = written(rows.mapInArrow(inside, "node long, below long, v double, id long"), "ball-cuts")
+    half = rows.sparkSession.createDataFrame([(k, b[3]) for k, b in brackets.items()], "node long, half long")
+    start = found.groupBy("node").agg(F.sum("below").alias("below")).join(F.broadcast(half), "node")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("v", "id"))
+    first = found.where("v is not null").drop("below").withColumn("place", place).join(F.broadcast(start), "node").where("below + place = half + 1")
+    return {r["node"]: (r["v"], r["id"]) for r in first.select("node", "v", "id").collect()}  # a row per node
+
+
 def subtree(x: np.ndarray, ids: np.ndarray, root: int, leaf: int) -> tuple[np.ndarray, list[tuple[int, int, float, bool, np.ndarray]]]:
     """The leaf of each row, and (node, rows, radius, is a leaf, centre) of every node from ``root`` down."""
     at, nodes, work = np.zeros(len(x), dtype=np.int64), [], [(root, np.arange(len(x)))]
@@ -134,7 +214,12 @@ def ball_tree(features: DataFrame, options: BallOptions = BallOptions()) -> Ball
     share = min(1.0, 0.95 * options.sample_rows / n) if n > options.sample_rows else 1.0
     some = f.where(F.pmod(F.xxhash64("feature_id", F.lit(options.seed)), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else f
     sample = some.select("feature_id", "descriptor").limit(options.sample_rows).toArrow()
-    splits = Splits.fit(_matrix(sample.column("descriptor")), sample.column("feature_id").to_numpy(), share, options) if sample.num_rows else Splits()
+    x, ids = _matrix(sample.column("descriptor")), sample.column("feature_id").to_numpy()
+    if share < 1:
+        f = written(f, "ball-rows")
+        splits = Splits.exact(f.select("feature_id", "descriptor"), n, x, ids, options)
+    else:
+        splits = Splits.fit(x, ids, options) if sample.num_rows else Splits()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
