@@ -65,6 +65,19 @@ def test_grid_copies_no_rows(spark, scope, metric):
     assert {(r.q, r.r, r.t) for r in near.collect()} == want
 
 
+@pytest.mark.parametrize("metric", ["l2", "angle"])
+def test_sql_ranks_pairs_within_a_bound_only(spark, metric):
+    """Few pairs are ranked, and ties, small images and vectors of other lengths keep their neighbours."""
+    x = np.round(np.random.default_rng(6).normal(size=(150, 5)), 0)
+    df = spark.createDataFrame([(i, 0 if i < 2 else 1 + i % 3, v.tolist()) for i, v in enumerate(x)], "feature_id long, image_id int, descriptor array<double>")
+    rows = lambda f, s, scope: [(r.q, r.r, r.t, round(r.d, 9)) for r in knn_join(f, options=KnnOptions(k=3, scope=scope, strategy=s, metric=metric)).orderBy("q", "r").collect()]
+    assert rows(df, "sql", "all") == rows(df, "block", "all") and rows(df, "sql", "same") == rows(df, "block", "same")
+    near = knn_join(df, options=KnnOptions(k=3, strategy="sql", metric=metric))
+    assert "explode" not in near._jdf.queryExecution().toString().lower()
+    uneven = df.limit(4).withColumn("descriptor", F.when(F.col("feature_id") < 2, F.slice("descriptor", 1, 3)).otherwise(F.col("descriptor")))
+    assert {(r.q, r.t) for r in knn_join(uneven, options=KnnOptions(k=1, scope="same", strategy="sql", metric=metric)).where("q < 2").collect()} == {(0, 1), (1, 0)}
+
+
 def test_radius_counts_by_the_shared_folder(spark):
     x = np.random.default_rng(4).normal(size=(200, 3))
     df = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "feature_id long, image_id int, descriptor array<double>")

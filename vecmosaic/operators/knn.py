@@ -99,6 +99,10 @@ class _Nearest:
         if open_.any():
             k = min(self.o.k, rough.shape[1])
             most[open_] = np.partition(rough[open_], k - 1, axis=1)[:, k - 1] + 2 * slack[open_]
+        if self.o.metric == "angle":
+            # cosines beyond 1 or -1 share an angle, and the smaller id decides
+            end = 1 / self.o.dot_scale
+            most = np.where(most >= end - slack, np.inf, np.maximum(most, slack - end))
         # over the largest number only where nothing bounds a query yet
         most = np.nextafter(np.minimum(most, np.finfo(np.float32).max).astype(rough.dtype), rough.dtype.type(np.inf))
         i, j = np.nonzero(rough < most[:, None])
@@ -122,8 +126,7 @@ class _Nearest:
         full = some[self.n[some] == k]
         last = self.d[full, k - 1]
         if self.o.metric == "angle":
-            # a cosine beyond -1 has the same angle as any other
-            self.bound[full] = np.where(last < np.pi - 1e-6, -np.cos(last) / self.o.dot_scale, np.inf) + 1e-9 * (1 + self.q2[full])
+            self.bound[full] = -np.cos(last) / self.o.dot_scale + 1e-9 * (1 + self.q2[full])
         else:
             self.bound[full] = (last * last - self.q2[full]) / 2 + 1e-9 * (1 + self.q2[full] + last * last)
 
@@ -198,20 +201,31 @@ def _grid(queries: DataFrame, targets: DataFrame, nq: int, o: KnnOptions) -> Dat
     return stream_knn(queries, nq, stored(targets, "targets"), o)
 
 
-def _sql(queries: DataFrame, targets: DataFrame, nq: int, nt: int, o: KnnOptions) -> DataFrame:
-    """Distances as expressions; both sides are dealt into blocks that meet by an equi-join."""
-    qb, tb = max(1, -(-nq // o.block)), max(1, -(-nt // o.block))
-    mine = lambda n: F.pmod(F.xxhash64("feature_id"), F.lit(n)).cast("int")
-    other = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    queries = queries.select("*", mine(qb).alias("a")).select("*", other(tb).alias("b"))
-    targets = targets.select("*", mine(tb).alias("b")).select("*", other(qb).alias("a"))
-    q = queries.select("a", "b", F.col("feature_id").alias("q"), F.col("image_id").alias("qi"), F.col("descriptor").alias("qv"))
-    t = targets.select(F.col("a").alias("ta"), F.col("b").alias("tb"), F.col("feature_id").alias("t"), F.col("image_id").alias("ti"), F.col("descriptor").alias("tv"))
-    on = (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")) & (F.col("q") != F.col("t"))
+def _sql(queries: DataFrame, targets: DataFrame, o: KnnOptions) -> DataFrame:
+    """Distances as expressions, in two passes over the pairs, of which none is shuffled.
+
+    The targets are dealt into segments.  The k-th least of a query's least distances to the segments bounds its k-th
+    distance; the second pass ranks the pairs within that bound only.
+    """
+    about = queries.select(F.size("descriptor").alias("n")).union(targets.select(F.size("descriptor"))).agg(F.min("n").alias("least"), F.max("n").alias("most")).first()
+    dims = range(about["most"] or 0) if about["most"] == about["least"] else ()
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # vectors of one length as columns, as sums of these are compiled and folds over arrays aren't
+    wide = lambda k: [F.coalesce(F.get("descriptor", F.lit(i)), F.lit(float("nan"))).alias(f"{k}{i}") for i in dims] or [F.col("descriptor").alias(f"{k}v")]
+    q = queries.repartition(parts, "feature_id").select(F.col("feature_id").alias("q"), F.col("image_id").alias("qi"), *wide("q"))
+    t = targets.repartition(max(1, parts // 8), "feature_id").select(F.col("feature_id").alias("t"), F.col("image_id").alias("ti"), F.pmod(F.xxhash64("feature_id"), F.lit(8 * o.k)).alias("segment"), *wide("t"))
+    on = F.col("q") != F.col("t")
     if o.scope != "all":
         on = on & ((F.col("qi") == F.col("ti")) if o.scope == "same" else (F.col("qi") != F.col("ti")))
-    d = V.euclidean(F.col("qv"), F.col("tv")) if o.metric == "l2" else F.acos(F.greatest(F.least(o.dot_scale * V.dot(F.col("qv"), F.col("tv")), F.lit(1.0)), F.lit(-1.0)))
-    return ranked(q.join(t, on).select("q", "qi", "t", "ti", d.alias("d")), o.k)
+    if o.metric == "l2":
+        d = F.expr(f"sqrt({' + '.join(['0.0D', *(f'(q{i} - t{i}) * (q{i} - t{i})' for i in dims)])})") if dims else V.euclidean(F.col("qv"), F.col("tv"))
+    else:
+        dot = F.expr(" + ".join(["0.0D", *(f"q{i} * t{i}" for i in dims)])) if dims else V.dot(F.col("qv"), F.col("tv"))
+        d = F.acos(F.greatest(F.least(o.dot_scale * dot, F.lit(1.0)), F.lit(-1.0)))
+    least = q.join(t, on).select("q", "segment", d.alias("d")).groupBy("q", "segment").agg(F.min("d").alias("d"))
+    bound = least.groupBy("q").agg(F.get(F.sort_array(F.collect_list("d")), F.lit(o.k - 1)).alias("bound"))
+    near = q.join(bound, "q", "left").join(t, on & (F.col("bound").isNull() | (d <= F.col("bound"))))
+    return ranked(near.select("q", "qi", "t", "ti", d.alias("d")), o.k)
 
 
 def knn_join(queries: DataFrame, targets: DataFrame | None = None, options: KnnOptions = KnnOptions()) -> DataFrame:
@@ -220,7 +234,7 @@ def knn_join(queries: DataFrame, targets: DataFrame | None = None, options: KnnO
     queries = _narrow(queries)
     targets = queries if own else _narrow(targets)
     if o.strategy == "sql":
-        return _sql(queries, targets, queries.count(), targets.count(), o)
+        return _sql(queries, targets, o)
     if o.strategy == "forest":
         from vecmosaic.operators.forest import ForestOptions, forest_knn
 
