@@ -18,7 +18,8 @@ from vecmosaic.operators import match as M
 from vecmosaic.operators import scores as S
 from vecmosaic.operators.components import connected_components
 from vecmosaic.operators.knn import KnnOptions, knn_join, radius_counts
-from vecmosaic.operators.spectral import affinity_simple
+from vecmosaic.operators import spectral as Sp
+from vecmosaic.operators.spectral import affinity_simple, spectral_match
 from vecmosaic.sources import files
 
 
@@ -186,6 +187,18 @@ def test_affinity_certainty_and_geometry(spark):
     assert (round(r.a, 3), r.c, r.d, r.g) == (4.495, 0.75, 1.0, 0.5)
 
 
+def test_spectral_selection_without_the_matrix(spark, monkeypatch):
+    p = np.random.default_rng(11).uniform(0, 400, (90, 4))
+    rows = [(k % 2, 1000 + k, *v.tolist(), 0.1 + k / 100) for k, v in enumerate(p)]
+    m = spark.createDataFrame(rows, "pair long, id long, x1 double, y1 double, x2 double, y2 double, score double")
+    pick = lambda n: {(r.id, round(r.x, 9)) for r in spectral_match(m, rounds=5, dense_entries=n).collect()}
+    want = pick(10**6)
+    made = []
+    monkeypatch.setattr(Sp, "affinities", lambda matches, *a, whole=Sp.affinities: made.append(matches.count()) or whole(matches, *a))
+    assert len(want) == 44 and pick(100) == want
+    assert made == [0]  # no entry of the matrix is made
+
+
 def test_greedy_distinct_matches(spark):
     rows = [(1, 1, 0, 1, 0.0, 0.0, 0.0, 0.0), (2, 2, 0, 1, 3.0, 0.0, 3.0, 0.0), (3, 3, 0, 1, 3.0, 0.0, 30.0, 0.0)]
     df = spark.createDataFrame(rows, "i long, j long, im_i int, im_j int, x1 double, y1 double, x2 double, y2 double")

@@ -24,6 +24,10 @@ class Stored:
 
     uri: str
 
+    @staticmethod
+    def at(path: str) -> Stored:
+        return Stored(path if ":/" in path else f"file://{path}")
+
     def batches(self, rows: int) -> Iterator[pa.RecordBatch]:
         system, path = fs.FileSystem.from_uri(self.uri)
         for info in sorted(system.get_file_info(fs.FileSelector(path)), key=lambda f: f.path):
@@ -35,7 +39,7 @@ class Stored:
 def stored(df: DataFrame, tag: str) -> Stored:
     at = new_path(df.sparkSession, tag)
     df.write.parquet(at)
-    return Stored(at if ":/" in at else f"file://{at}")
+    return Stored.at(at)
 
 
 def held(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
