@@ -120,7 +120,7 @@ def top_share(x: DataFrame, keep: float) -> DataFrame:
     return ranked.where((k < 1) | (F.col("r") <= k)).select("pair", "id", "x")
 
 
-def spectral_match(matches: DataFrame, sigma: float = 50.0, keep: float = 0.5, rounds: int = 20, affinity_fun: Callable[[Column, Column, float], Column] = affinity_simple, dense_entries: int = 4_000_000) -> DataFrame:
+def spectral_match(matches: DataFrame, sigma: float = 50.0, keep: float = 0.5, rounds: int = 20, affinity_fun: Callable[[Column, Column, float], Column] = affinity_simple, dense_entries: int = 250_000) -> DataFrame:
     """The matches of each image pair that agree best with each other.
 
     With the plain affinities the matrix of a pair of more than ``dense_entries`` entries isn't written.
