@@ -1,5 +1,6 @@
 """Fixtures with values worked out by hand, and properties."""
 
+import glob
 import math
 import struct
 import zlib
@@ -17,9 +18,11 @@ from vecmosaic.operators import images as I
 from vecmosaic.operators import match as M
 from vecmosaic.operators import scores as S
 from vecmosaic.operators.components import connected_components
-from vecmosaic.operators.knn import KnnOptions, knn_join, radius_counts
+from vecmosaic.operators.knn import KnnOptions, _Nearest, knn_join, radius_counts, stream_knn
 from vecmosaic.operators import spectral as Sp
+from vecmosaic.operators.passes import stored
 from vecmosaic.operators.spectral import affinity_simple, spectral_match
+from vecmosaic.session import shared_dir
 from vecmosaic.sources import files
 
 
@@ -66,6 +69,39 @@ def test_grid_copies_no_rows(spark, scope, metric):
     assert {(r.q, r.r, r.t) for r in near.collect()} == want
 
 
+def test_grid_searches_once(spark):
+    """However often a plan uses the neighbours, their search isn't part of it; no copy of the targets stays."""
+    x = np.random.default_rng(5).normal(size=(200, 4))
+    df = spark.createDataFrame([(i, i % 4, v.tolist()) for i, v in enumerate(x)], "feature_id long, image_id int, descriptor array<double>")
+    before = set(glob.glob(f"{shared_dir(spark)}/vecmosaic/targets-*"))
+    o = KnnOptions(k=2, strategy="grid", block=16)
+    m = S.dense(S.pair_scores(M.mirror_match(df, 9.0, M.RatioOptions("all", "all", o))), df.select("image_id").distinct(), "score")
+    assert "MapInArrow" not in S.norm_scores(m)._jdf.queryExecution().toString()
+    assert set(glob.glob(f"{shared_dir(spark)}/vecmosaic/targets-*")) <= before
+    search = stream_knn(df, 200, stored(df, "targets"), o)
+    assert "explode" not in search._jdf.queryExecution().toString().lower()
+
+
+@pytest.mark.parametrize("scope", ["same", "other"])
+def test_images_are_rectangles_of_the_product(scope, monkeypatch):
+    """No mask of single pairs: targets of the query's image are not multiplied or are left out by ranges, and queries in any order keep it."""
+    x = np.round(np.random.default_rng(7).normal(size=(400, 3)), 1)
+    ids, image = np.random.default_rng(8).permutation(400), np.arange(400) % 5
+    sizes = []
+    found = _Nearest._candidates
+    monkeypatch.setattr(_Nearest, "_candidates", lambda self, left, right, *rest: sizes.append(len(left) * right.shape[1]) or found(self, left, right, *rest))
+    near = _Nearest(ids, image, x, KnnOptions(k=3, scope=scope), 64)
+    near.add(ids, image, x)
+    assert sum(sizes) <= (400 * 80 if scope == "same" else 400 * 400) * 2
+    q, qi, r, t, ti, _ = near.columns()
+    assert q.tolist() == np.repeat(ids, 3).tolist() and r.tolist() == [1, 2, 3] * 400
+    assert ((qi == ti) == (scope == "same")).all()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    for i in range(400):
+        ok = [j for j in range(400) if i != j and (image[i] == image[j]) == (scope == "same")]
+        assert t[3 * i : 3 * i + 3].tolist() == [ids[j] for j in sorted(ok, key=lambda j: (d[i, j], ids[j]))[:3]]
+
+
 @pytest.mark.parametrize("metric", ["l2", "angle"])
 def test_sql_ranks_pairs_within_a_bound_only(spark, metric):
     """Few pairs are ranked, and ties, small images and vectors of other lengths keep their neighbours."""

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from vecmosaic.functions import vectors as V
 from vecmosaic.operators.passes import Stored, pass_over, stored
+from vecmosaic.session import discard, written
 
 KNN = "q long, qi int, r int, t long, ti int, d double"
 
@@ -49,13 +50,15 @@ class _Nearest:
     """The k nearest of some queries over blocks of targets, one block at a time.
 
     A product of single precision, with a bound on its rounding, only picks the candidates: those not surely beyond a
-    query's k-th nearest so far.  Their distances are exact; ties go to the smaller id.
+    query's k-th nearest so far.  Their distances are exact; ties go to the smaller id.  Where images matter, queries and
+    targets are in order of them, so that those of one image are a rectangle of the product.
     """
 
-    def __init__(self, qid: np.ndarray, qi: np.ndarray, q: np.ndarray, o: KnnOptions, tile: int = 1024) -> None:
-        self.qid, self.qi, self.q, self.o, self.tile = qid, qi, q, o, tile
-        self.q2 = (q * q).sum(axis=1)
-        self.left = np.concatenate([-q, np.ones((len(q), 1))], axis=1).astype(np.float32)
+    def __init__(self, qid: np.ndarray, qi: np.ndarray, q: np.ndarray, o: KnnOptions, tile: int = 256) -> None:
+        self.order = np.arange(len(q)) if o.scope == "all" else np.argsort(qi, kind="stable")
+        self.qid, self.qi, self.q, self.o, self.tile = qid[self.order], qi[self.order], q[self.order], o, tile
+        self.q2 = (self.q * self.q).sum(axis=1)
+        self.left = np.concatenate([-self.q, np.ones((len(q), 1))], axis=1).astype(np.float32)
         self.n = np.zeros(len(q), dtype=np.int64)  # found so far
         self.d = np.full((len(q), o.k), np.inf)
         self.t = np.zeros((len(q), o.k), dtype=np.int64)
@@ -67,45 +70,54 @@ class _Nearest:
             self._block(tid[b : b + 4096], ti[b : b + 4096], t[b : b + 4096])
 
     def _block(self, tid: np.ndarray, ti: np.ndarray, t: np.ndarray) -> None:
-        o, t2 = self.o, (t * t).sum(axis=1)
-        angle = o.metric == "angle"
-        right = np.concatenate([t, np.zeros((len(t), 1)) if angle else t2[:, None] / 2], axis=1)
+        o, same = self.o, []
+        if o.scope != "all":
+            order = np.argsort(ti, kind="stable")
+            tid, ti, t = tid[order], ti[order], t[order]
+            images, first = np.unique(ti, return_index=True)
+            rows = np.searchsorted(self.qi, images), np.searchsorted(self.qi, images, side="right")
+            same = [r for r in zip(*(x.tolist() for x in rows), first.tolist(), [*first[1:].tolist(), len(ti)], strict=True) if r[0] < r[1]]
+        t2 = (t * t).sum(axis=1)
+        right = np.concatenate([t, np.zeros((len(t), 1)) if o.metric == "angle" else t2[:, None] / 2], axis=1)
         right32 = np.ascontiguousarray(right.astype(np.float32).T)
         # of the rounding of a product of so many single-precision terms
         loose = 1.2e-7 * (t.shape[1] + 8) * (np.sqrt(self.q2 * t2.max(initial=0)) + t2.max(initial=0) / 2)
         tight = 1e-9 * (1 + self.q2 + t2.max(initial=0))
-        for a in range(0, len(self.q), self.tile):
-            at = slice(a, a + self.tile)
-            open_ = np.isinf(self.bound[at])
-            bad = None
-            if o.scope != "all":
-                same = self.qi[at, None] == ti[None, :]
-                bad = ~same if o.scope == "same" else same
-            if open_.any():
-                own = self.qid[at, None] == tid[None, :]
-                bad = own if bad is None else bad | own
-            with np.errstate(over="ignore", invalid="ignore"):
-                i, j = self._candidates(self.left[at] @ right32, loose[at], bad, open_, at, tid)
-                if len(i) > 16 * len(t) + len(open_) * len(t) // 16:  # the rounding lets too much through
-                    i, j = self._candidates(np.concatenate([-self.q[at], np.ones((len(open_), 1))], axis=1) @ right.T, tight[at], bad, open_, at, tid)
-            for c in range(0, len(i), 65_536):
-                row, col = i[c : c + 65_536] + a, j[c : c + 65_536]
-                self._merge(row, _distances(self.q[row], t[col], o), tid[col], ti[col])
-
-    def _candidates(self, rough: np.ndarray, slack: np.ndarray, bad: np.ndarray | None, open_: np.ndarray, at: slice, tid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if bad is not None:
-            rough[bad] = np.inf
+        for top, end, first, last in same if o.scope == "same" else [(0, len(self.q), 0, len(t))]:
+            for a in range(top, end, self.tile):
+                at = slice(a, min(end, a + self.tile))
+                bad = [(max(x, at.start) - a, min(y, at.stop) - a, c, d) for x, y, c, d in same if x < at.stop and y > at.start] if o.scope == "other" else []
+                i, j = self._candidates(self.left[at], right32[:, first:last], loose[at], bad, at, tid[first:last])
+                if len(i) > 16 * (last - first) + (at.stop - a) * (last - first) // 16:  # the rounding lets too much through
+                    wide = np.concatenate([-self.q[at], np.ones((at.stop - a, 1))], axis=1)
+                    i, j = self._candidates(wide, right[first:last].T, tight[at], bad, at, tid[first:last])
+                for c in range(0, len(i), 65_536):
+                    row, col = i[c : c + 65_536] + a, j[c : c + 65_536] + first
+                    self._merge(row, _distances(self.q[row], t[col], o), tid[col], ti[col])
+
+    def _candidates(self, left: np.ndarray, right: np.ndarray, slack: np.ndarray, bad: list[tuple[int, int, int, int]], at: slice, tid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        with np.errstate(over="ignore", invalid="ignore"):
+            rough = left @ right
+        for top, end, first, last in bad:
+            rough[top:end, first:last] = np.inf
         most = self.bound[at] + slack
-        if open_.any():
+        open_ = np.flatnonzero(np.isinf(self.bound[at]))
+        if len(open_):
             k = min(self.o.k, rough.shape[1])
-            most[open_] = np.partition(rough[open_], k - 1, axis=1)[:, k - 1] + 2 * slack[open_]
+            some = rough[open_]
+            some[self.qid[at][open_, None] == tid[None, :]] = np.inf
+            most[open_] = np.partition(some, k - 1, axis=1)[:, k - 1] + 2 * slack[open_]
         if self.o.metric == "angle":
             # cosines beyond 1 or -1 share an angle, and the smaller id decides
             end = 1 / self.o.dot_scale
             most = np.where(most >= end - slack, np.inf, np.maximum(most, slack - end))
         # over the largest number only where nothing bounds a query yet
-        most = np.nextafter(np.minimum(most, np.finfo(np.float32).max).astype(rough.dtype), rough.dtype.type(np.inf))
-        i, j = np.nonzero(rough < most[:, None])
+        with np.errstate(over="ignore"):
+            most = np.nextafter(np.minimum(most, np.finfo(np.float32).max).astype(rough.dtype), rough.dtype.type(np.inf))
+        # few queries have a candidate in a block once many rows are read; a least product that isn't a number tells nothing
+        some = np.flatnonzero(~(rough.min(axis=1) >= most))
+        i, j = np.nonzero(rough[some] < most[some, None])
+        i = some[i]
         other = self.qid[at][i] != tid[j]
         return i[other], j[other]
 
@@ -132,7 +144,9 @@ class _Nearest:
 
     def columns(self) -> tuple[np.ndarray, ...]:
         """The arrays of KNN rows, by query and rank."""
-        i, r = np.nonzero(np.arange(self.o.k)[None, :] < self.n[:, None])
+        back = np.argsort(self.order)
+        i, r = np.nonzero(np.arange(self.o.k)[None, :] < self.n[back, None])
+        i = back[i]
         return self.qid[i], self.qi[i], r + 1, self.t[i, r], self.ti[i, r], self.d[i, r]
 
 
@@ -198,7 +212,11 @@ def stream_knn(queries: DataFrame, n: int, targets: Stored, o: KnnOptions) -> Da
 
 
 def _grid(queries: DataFrame, targets: DataFrame, nq: int, o: KnnOptions) -> DataFrame:
-    return stream_knn(queries, nq, stored(targets, "targets"), o)
+    """The neighbours are written, so that a plan that uses them more than once doesn't search again."""
+    spark, at = queries.sparkSession, stored(targets, "targets")
+    near = written(stream_knn(queries, nq, at, o), "neighbours")
+    discard(spark, at.uri)
+    return near
 
 
 def _sql(queries: DataFrame, targets: DataFrame, o: KnnOptions) -> DataFrame:
