@@ -388,3 +388,16 @@ def test_clusters_of_each_image_pair_alone(spark):
         by.setdefault((a, b, want[a, b, i][0], side2[a, b, j]), []).append((i, j))
     good = {k for k, v in by.items() if len(v) > 5 and len(v) > 0.5 * max(len(w) for q, w in by.items() if q[:3] == k[:3])}
     assert {(r.im_i, r.im_j, r.i, r.j) for r in linked} == {(*k[:2], *p) for k in good for p in by[k]} and len(linked) > 100
+
+def test_fits_make_no_square_matrix_of_the_matches(monkeypatch):
+    """Many inliers: the decomposition has nine columns, and the fit is the one that made the points."""
+    svd, wide = np.linalg.svd, []
+    monkeypatch.setattr(np.linalg, "svd", lambda a, *rest, **named: wide.append((u := svd(a, *rest, **named))[0].shape[1]) or u)
+    p = np.random.default_rng(9).uniform(0, 1000, (500, 2))
+    h = np.array([[1.01, 0.02, 5.0], [-0.01, 0.99, -3.0], [1e-5, -2e-5, 1.0]])
+    q = np.c_[p, np.ones(500)] @ h.T
+    q = q[:, :2] / q[:, 2:]
+    got, inside = G.fit_homography(p, q, rounds=5)
+    assert inside.all() and np.allclose(got, h, rtol=1e-5)
+    assert G.fit_fundamental(p, q, rounds=5, limit=50.0) is not None
+    assert max(wide) <= 9

@@ -200,13 +200,18 @@ def crop_homography(h: Matrix, left1: float, top1: float, left2: float, top2: fl
     return (m / m[2, 2]).ravel().tolist()
 
 
+def _null(rows: np.ndarray) -> np.ndarray:
+    """The vector that the rows come nearest to mapping to zero; no matrix is square in the rows."""
+    return np.linalg.svd(rows, full_matrices=len(rows) < rows.shape[1])[2][-1]
+
+
 def fit_homography(p: np.ndarray, q: np.ndarray, rounds: int = 500, limit: float = 3.0, seed: int = 7) -> tuple[np.ndarray | None, np.ndarray]:
     """A homography from p to q by sample consensus, refitted to its inliers, and the inlier mask."""
     def solve(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
         z, o = np.zeros(len(a)), np.ones(len(a))
         x, y, u, v = a[:, 0], a[:, 1], b[:, 0], b[:, 1]
         rows = np.concatenate([np.stack([x, y, o, z, z, z, -u * x, -u * y, -u], 1), np.stack([z, z, z, x, y, o, -v * x, -v * y, -v], 1)])
-        h = np.linalg.svd(rows)[2][-1].reshape(3, 3)
+        h = _null(rows).reshape(3, 3)
         return h / h[2, 2] if abs(h[2, 2]) > 1e-12 else None
 
     def errors(h: np.ndarray) -> np.ndarray:
@@ -235,7 +240,7 @@ def fit_fundamental(p: np.ndarray, q: np.ndarray, rounds: int = 500, limit: floa
 
     def solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         (x, ta), (u, tb) = normal(a), normal(b)
-        f = np.linalg.svd(np.einsum("ni,nj->nij", u, x).reshape(len(a), 9))[2][-1].reshape(3, 3)
+        f = _null(np.einsum("ni,nj->nij", u, x).reshape(len(a), 9)).reshape(3, 3)
         w, s, v = np.linalg.svd(f)
         return tb.T @ (w @ np.diag([s[0], s[1], 0]) @ v) @ ta
 
