@@ -45,6 +45,19 @@ def test_ratio_scopes(five):
         M.ratio_rows(five, M.RatioOptions("query", "all"))
 
 
+@pytest.mark.parametrize("rule", [r for r in M.RULES if M.RULES[r][0] != M.RULES[r][2]])
+def test_ratio_rules_compare_each_pair_once(spark, rule, monkeypatch):
+    """Two scopes are searched that share no pair, and the rows are those of two whole searches."""
+    x = np.round(np.random.default_rng(10).normal(size=(90, 3)), 0)
+    df = spark.createDataFrame([(i, 0 if i < 1 else 1 + i % 3, v.tolist()) for i, v in enumerate(x)], "feature_id long, image_id int, descriptor array<double>")
+    asked = []
+    monkeypatch.setattr(M, "knn_join", lambda f, targets=None, options=None: asked.append(options.scope) or knn_join(f, targets, options))
+    rows = lambda s: {tuple(round(c, 9) if isinstance(c, float) else c for c in r) for r in M.ratio_rows(df, M.RatioOptions(*rule, KnnOptions(strategy=s))).collect()}
+    got = rows("auto")
+    assert sorted(asked) == ["other", "same"]
+    assert got == rows("sql")
+
+
 @pytest.mark.parametrize("strategy", ["block", "grid", "sql"])
 def test_strategies_agree(spark, strategy):
     rng = np.random.default_rng(1)

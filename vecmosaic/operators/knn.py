@@ -263,7 +263,8 @@ def knn_join(queries: DataFrame, targets: DataFrame | None = None, options: KnnO
         raise ValueError("the targets are over broadcast_bytes; use grid")
     if o.strategy == "block" or (o.strategy == "auto" and small):
         n = max(1, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        return _block(queries.repartition(n, "feature_id") if size["n"] > 512 else queries, targets, o)
+        near = _block(queries.repartition(n, "feature_id") if size["n"] > 512 else queries, targets, o)
+        return written(near, "neighbours") if size["n"] > 10_000 else near  # many, so that no plan searches them twice
     return _grid(queries, targets, size["n"] if own else queries.count(), o)
 
 

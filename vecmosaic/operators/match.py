@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecmosaic.operators.balltree import BallOptions, ball_tree, neighbours_inside
-from vecmosaic.operators.knn import KnnOptions, knn_join, radius_counts
+from vecmosaic.operators.knn import KnnOptions, knn_join, radius_counts, ranked
 
 SCOPES = ("query", "target", "all")
 #: proposed and baseline scope -> (neighbour join, ranks proposed, baseline join, its rank)
@@ -41,16 +41,29 @@ def ratio_rows(features: DataFrame, options: RatioOptions = RatioOptions()) -> D
         raise ValueError(f"no ratio test proposes {options.proposed} against {options.baseline}")
     scope, ranks, base_scope, base_rank = rule
     k = max(max(ranks), base_rank if base_scope == scope else 0)
-    near = knn_join(features, options=replace(options.knn, k=k, scope=scope))
+    if "all" in (scope, base_scope) and scope != base_scope and options.knn.strategy in ("auto", "block", "grid"):
+        near, other = _both_scopes(features, options.knn, {scope: k, base_scope: base_rank}, scope, base_scope)
+    else:
+        near = knn_join(features, options=replace(options.knn, k=k, scope=scope))
+        other = knn_join(features, options=replace(options.knn, k=base_rank, scope=base_scope)) if base_scope != scope else None
     if base_scope == scope:
         base = F.max(F.when(F.col("r") == base_rank, F.col("d"))).over(Window.partitionBy("q"))
         near = near.withColumn("base", base)
     else:
-        other = knn_join(features, options=replace(options.knn, k=base_rank, scope=base_scope))
         near = near.join(other.where(F.col("r") == base_rank).select("q", F.col("d").alias("base")), "q", "left")
     return near.where(F.col("r").isin(*ranks)).select("q", "qi", "r", "t", "ti", "d", F.try_divide("d", "base").alias("ratio"))
 
 
+def _both_scopes(features: DataFrame, knn: KnnOptions, k: dict[str, int], *scopes: str) -> list[DataFrame]:
+    """Neighbours of ``all`` and of a narrower scope; each pair is compared once, as the nearest of all are among those of both parts."""
+    part = next(s for s in scopes if s != "all")
+    rest = "same" if part == "other" else "other"
+    near = {part: knn_join(features, options=replace(knn, k=max(k.values()), scope=part))}
+    near["all"] = ranked(near[part].union(knn_join(features, options=replace(knn, k=k["all"], scope=rest))), k["all"])
+    near[part] = near[part].where(F.col("r") <= k[part])
+    return [near[s] for s in scopes]
+
+
 def oriented(rows: DataFrame) -> DataFrame:
     """Matches between images with the lower image first; ``scan`` keeps the order of the search."""
     low = F.col("qi") < F.col("ti")
