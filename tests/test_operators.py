@@ -414,3 +414,13 @@ def test_fits_make_no_square_matrix_of_the_matches(monkeypatch):
     assert inside.all() and np.allclose(got, h, rtol=1e-5)
     assert G.fit_fundamental(p, q, rounds=5, limit=50.0) is not None
     assert max(wide) <= 9
+
+
+def test_image_pairs_of_affinities_are_dealt_over_tasks(spark):
+    """Matches are few bytes, but image pairs aren't put together in one task; the rows are the same."""
+    x = np.random.default_rng(11).uniform(0, 300, (60, 5))
+    df = spark.createDataFrame([(i % 6, i, *v) for i, v in enumerate(x.tolist())], "pair long, id long, x1 double, y1 double, x2 double, y2 double, score double")
+    rows = lambda w: {(r.pair, r.a, r.b, round(r.w, 9)) for r in w.collect()}
+    dealt = Sp.affinities(df, parts=16)
+    assert rows(dealt) == rows(Sp.affinities(df))
+    assert dealt.where("a <> b").select(F.spark_partition_id().alias("p")).distinct().count() > 1

@@ -20,9 +20,13 @@ def affinity_simple(d0: Column, d1: Column, sigma: float = 50.0) -> Column:
     return F.when(F.abs(diff) < 3 * sigma, 4.5 - diff * diff / (2 * sigma * sigma)).otherwise(F.lit(0.0))
 
 
-def affinities(matches: DataFrame, sigma: float = 50.0, affinity_fun: Callable[[Column, Column, float], Column] = affinity_simple) -> DataFrame:
+def affinities(matches: DataFrame, sigma: float = 50.0, affinity_fun: Callable[[Column, Column, float], Column] = affinity_simple, parts: int | None = None) -> DataFrame:
     """(pair, a, b, w) of matches (pair, id, x1, y1, x2, y2, score): all pairs of matches of one image pair, and
-    the scores on the diagonal; quadratic in the matches of an image pair, as the operator asks."""
+    the scores on the diagonal; quadratic in the matches of an image pair, as the operator asks.
+
+    With ``parts`` the image pairs are dealt into as many tasks: the matches are few bytes, so adaptive execution would
+    put many image pairs into one task, whose result is large."""
+    matches = matches if parts is None else matches.repartition(parts, "pair")
     a, b = matches.alias("a"), matches.alias("b")
     dist = lambda n: F.hypot(F.col(f"a.x{n}") - F.col(f"b.x{n}"), F.col(f"a.y{n}") - F.col(f"b.y{n}"))
     pairs = a.join(b, (F.col("a.pair") == F.col("b.pair")) & (F.col("a.id") != F.col("b.id")))

@@ -127,7 +127,7 @@ def some_matches(spark, sf):
 
 @query("GM24_affinity_matrix", f"WITH {MATCHES} SELECT pair::BIGINT AS pair, a, b, round(w, 5) + 0.0 AS w FROM aw")
 def affinity_matrix(spark, sf):
-    return S.affinities(some_matches(spark, sf)).select("pair", "a", "b", (F.round("w", 5) + 0.0).alias("w"))
+    return S.affinities(some_matches(spark, sf), parts=int(spark.conf.get("spark.sql.shuffle.partitions"))).select("pair", "a", "b", (F.round("w", 5) + 0.0).alias("w"))
 
 
 @query("GM23_affinity", "SELECT o_orderkey, round(CASE WHEN abs(d) < 150 THEN 4.5 - d * d / 5000 ELSE 0 END, 6)::DOUBLE AS affinity FROM (SELECT o_orderkey, o_totalprice / 1000 - 100 AS d FROM orders)")
