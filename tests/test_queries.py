@@ -19,7 +19,7 @@ SAMPLE = ["JN1_knn_exact_all", "JN3_knn_grid", "JN5_ratio_target_against_query",
 
 
 #: Queries on the neighbour join that are run as for targets which no worker holds.
-LARGE = ["AG9_norm_scores", "JN5_ratio_target_against_query"]
+LARGE = ["AG9_norm_scores", "JN5_ratio_target_against_query", "WN1_rank_within_query"]
 
 
 @pytest.fixture(scope="module")
