@@ -19,7 +19,7 @@ SAMPLE = ["JN1_knn_exact_all", "JN3_knn_grid", "JN5_ratio_target_against_query",
 
 
 #: Queries on the neighbour join that are run as for targets which no worker holds.
-LARGE = ["AG9_norm_scores", "JN5_ratio_target_against_query", "WN1_rank_within_query", "GM22_iso_match", "JN6_symmetric_dedupe", "AG31_false_positives_removed", "PF3_threshold_filter", "BD6_standard_match", "AG8_normalize_matches", "GM37_homography_errors"]
+LARGE = ["AG9_norm_scores", "JN5_ratio_target_against_query", "WN1_rank_within_query", "GM22_iso_match", "JN6_symmetric_dedupe", "AG31_false_positives_removed", "PF3_threshold_filter", "BD6_standard_match", "AG8_normalize_matches", "GM37_homography_errors", "AG11_normalize_scores"]
 
 
 @pytest.fixture(scope="module")
