@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vecmosaic.functions import vectors as V
@@ -128,6 +129,21 @@ def test_sql_ranks_pairs_within_a_bound_only(spark, metric):
     assert {(r.q, r.t) for r in knn_join(uneven, options=KnnOptions(k=1, scope="same", strategy="sql", metric=metric)).where("q < 2").collect()} == {(0, 1), (1, 0)}
 
 
+@pytest.mark.parametrize("scope", ["all", "same", "other"])
+def test_sql_keeps_rows_that_no_product_takes(spark, scope):
+    """Nulls, infinite and very long vectors, ties, repeated ids and empty sides: the rows of all pairs ranked."""
+    x = np.round(np.random.default_rng(11).normal(size=(120, 4)), 1).tolist()
+    x[5][1], x[6][0], x[7][2], x[8] = None, float("nan"), float("inf"), [1e200, 0.0, -1e200, 3.0]
+    df = spark.createDataFrame([(None if i == 10 else min(i, 117), None if i == 9 else i % 7, v) for i, v in enumerate(x)], "feature_id long, image_id int, descriptor array<double>")
+    q, t = (df.select(F.col("feature_id").alias(k), F.col("image_id").alias(f"{k}i"), F.transform("descriptor", lambda c: F.coalesce(c, F.lit(float("nan")))).alias(f"{k}v")) for k in "qt")
+    on = {"all": F.lit(True), "same": F.col("qi") == F.col("ti"), "other": F.col("qi") != F.col("ti")}[scope]
+    want = q.crossJoin(t).where((F.col("q") != F.col("t")) & on).withColumn("d", V.euclidean(F.col("qv"), F.col("tv"))).withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "t"))).where("r <= 3")
+    o = KnnOptions(k=3, scope=scope, strategy="sql")
+    rows = lambda f: sorted((r.q, r.r, r.t, repr(r.d)) for r in f.collect())
+    assert rows(knn_join(df, options=o)) == rows(want)
+    assert knn_join(df, df.limit(0), o).count() == knn_join(df.limit(0), df, o).count() == 0
+
+
 def test_radius_counts_by_the_shared_folder(spark):
     x = np.random.default_rng(4).normal(size=(200, 3))
     df = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "feature_id long, image_id int, descriptor array<double>")

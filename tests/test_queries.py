@@ -67,5 +67,20 @@ def test_large_query_copies_no_rows(spark, sql, name, monkeypatch):
     assert sum(v for k, v in dealt(spark).items() if k not in before) <= 32 * n
 
 
+def plans(spark):
+    """The plans run so far by the numbers of their executions."""
+    all_ = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return {e.executionId(): e.physicalPlanDescription() for e in (all_.apply(i) for i in range(all_.size()))}
+
+
+def test_sql_neighbours_join_no_pairs_row_by_row(spark, sql):
+    """The rows are the twin's, and no plan compares every row with every other one by one."""
+    before = plans(spark)
+    got = sorted(tuple(plain(v) for v in r) for r in catalog.queries()["JN3_knn_sql"](spark, SF).select("q", "qi", "r", "t", "ti", "d").collect())
+    new = [v for k, v in plans(spark).items() if k not in before]
+    assert new and not any("CartesianProduct" in v or "NestedLoopJoin" in v for v in new)
+    assert got == sorted(tuple(plain(v) for v in r) for r in sql.sql(catalog.oracle_sql()["JN3_knn_sql"]).fetchall())
+
+
 def test_every_twin_belongs_to_a_query():
     assert set(catalog.oracle_sql()) <= set(catalog.queries()) and catalog.FLAGSHIP in catalog.queries()

@@ -2,7 +2,8 @@
 
 Strategies: ``block`` keeps the targets in every worker and is used only while their measured
 size is below ``broadcast_bytes``; ``grid`` writes the targets to the shared folder once, where every
-task reads them past its queries, and holds at any size; ``sql`` stays in the JVM; ``forest`` is approximate, by randomised kd-trees tuned to ``precision``.
+task reads them past its queries, and holds at any size; ``sql`` takes candidates in the same way and leaves distances and
+ranks to expressions; ``forest`` is approximate, by randomised kd-trees tuned to ``precision``.
 The first three agree: distances are computed from the component differences, ties go to the
 smaller id, and a feature is never its own neighbour.
 """
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecmosaic.functions import vectors as V
@@ -43,6 +44,8 @@ class KnnOptions:
 def _distances(q: np.ndarray, t: np.ndarray, o: KnnOptions) -> np.ndarray:
     if o.metric == "angle":
         return np.arccos(np.clip(o.dot_scale * (q * t).sum(axis=-1), -1, 1))
+    if o.strategy == "sql":  # added in the order of the components like the expressions, to the last bit
+        return np.sqrt(np.add.accumulate((q - t) ** 2, axis=-1)[..., -1])
     return np.sqrt(((q - t) ** 2).sum(axis=-1))
 
 
@@ -219,8 +222,8 @@ def _grid(queries: DataFrame, targets: DataFrame, nq: int, o: KnnOptions) -> Dat
     return near
 
 
-def _sql(queries: DataFrame, targets: DataFrame, o: KnnOptions) -> DataFrame:
-    """Distances as expressions, in two passes over the pairs, of which none is shuffled.
+def _pairs(queries: DataFrame, targets: DataFrame, o: KnnOptions) -> DataFrame:
+    """All pairs, for what no product takes: distances as expressions, in two passes over the pairs, of which none is shuffled.
 
     The targets are dealt into segments.  The k-th least of a query's least distances to the segments bounds its k-th
     distance; the second pass ranks the pairs within that bound only.
@@ -232,9 +235,7 @@ def _sql(queries: DataFrame, targets: DataFrame, o: KnnOptions) -> DataFrame:
     wide = lambda k: [F.coalesce(F.get("descriptor", F.lit(i)), F.lit(float("nan"))).alias(f"{k}{i}") for i in dims] or [F.col("descriptor").alias(f"{k}v")]
     q = queries.repartition(parts, "feature_id").select(F.col("feature_id").alias("q"), F.col("image_id").alias("qi"), *wide("q"))
     t = targets.repartition(max(1, parts // 8), "feature_id").select(F.col("feature_id").alias("t"), F.col("image_id").alias("ti"), F.pmod(F.xxhash64("feature_id"), F.lit(8 * o.k)).alias("segment"), *wide("t"))
-    on = F.col("q") != F.col("t")
-    if o.scope != "all":
-        on = on & ((F.col("qi") == F.col("ti")) if o.scope == "same" else (F.col("qi") != F.col("ti")))
+    on = _scoped(o.scope)
     if o.metric == "l2":
         d = F.expr(f"sqrt({' + '.join(['0.0D', *(f'(q{i} - t{i}) * (q{i} - t{i})' for i in dims)])})") if dims else V.euclidean(F.col("qv"), F.col("tv"))
     else:
@@ -246,6 +247,64 @@ def _sql(queries: DataFrame, targets: DataFrame, o: KnnOptions) -> DataFrame:
     return ranked(near.select("q", "qi", "t", "ti", d.alias("d")), o.k)
 
 
+def _scoped(scope: str) -> Column:
+    on = F.col("q") != F.col("t")
+    return on if scope == "all" else on & ((F.col("qi") == F.col("ti")) if scope == "same" else (F.col("qi") != F.col("ti")))
+
+
+def _candidates(queries: DataFrame, n: int, targets: Stored, o: KnnOptions, block: int = 2048) -> DataFrame:
+    """(q, qi, qv, t, ti, tv): the pairs of about ``n`` queries that hold each one's k nearest, with their vectors."""
+
+    def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        near = _Nearest(*_arrays(table), o)
+        for batch in targets.batches(block):
+            near.add(*_arrays(batch))
+        i, r = np.nonzero(np.arange(o.k)[None, :] < near.n[:, None])
+        t, i = np.unique(np.stack([near.t[i, r], i]), axis=1)  # each once, as an id may have several rows
+        for batch in targets.batches(block):
+            tid, ti, tv = _arrays(batch)
+            first, last = np.searchsorted(t, tid), np.searchsorted(t, tid, side="right")
+            j = np.repeat(np.arange(len(tid)), last - first)
+            row = i[np.arange(len(j)) + np.repeat(last - np.cumsum(last - first), last - first)]
+            for a in range(0, len(j), 8192):
+                x, y = row[a : a + 8192], j[a : a + 8192]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(near.qid[x], pa.int64()), pa.array(near.qi[x], pa.int32()), _lists(near.q[x]), pa.array(tid[y], pa.int64()), pa.array(ti[y], pa.int32()), _lists(tv[y])],
+                    names=["q", "qi", "qv", "t", "ti", "tv"],
+                )
+
+    return pass_over(queries, n, "feature_id", run, "q long, qi int, qv array<double>, t long, ti int, tv array<double>", 8 * block)
+
+
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)), pa.array(rows.ravel()))
+
+
+def _sql(queries: DataFrame, targets: DataFrame, o: KnnOptions) -> DataFrame:
+    """Distances and ranks as expressions, over the candidates of a search that compares every pair.
+
+    The search adds in the same order, so its nearest are those of the expressions.  Rows with a null, with a component that
+    isn't finite, or too long for single precision are compared as expressions with every row.
+    """
+    spark = queries.sparkSession
+    square = F.coalesce(F.aggregate("descriptor", F.lit(0.0), lambda a, x: a + x * x), F.lit(float("nan")))
+    fits = (square < 1e30) & F.col("feature_id").isNotNull() & F.col("image_id").isNotNull()
+    about = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.count_if(~fits).alias("odd"), F.min(F.size("descriptor")).alias("least"), F.max(F.size("descriptor")).alias("most")).first()
+    a = about(queries)
+    b = a if targets is queries else about(targets)
+    if o.metric != "l2" or len({x[k] for x in (a, b) for k in ("least", "most") if x["n"]}) > 1 or (a["least"] or 0) < 1:
+        return _pairs(queries, targets, o)
+    at = stored(targets.where(fits), "targets")
+    near = _candidates(queries.where(fits), a["n"], at, o).where(_scoped(o.scope))
+    near = near.select("q", "qi", "t", "ti", V.euclidean(F.col("qv"), F.col("tv")).alias("d"))
+    for q, t, some in ((queries.where(~fits), targets, a["odd"]), (queries.where(fits), targets.where(~fits), b["odd"])):
+        if some:
+            near = near.union(_pairs(q, t, o).select(near.columns))
+    out = written(ranked(near, o.k), "neighbours")
+    discard(spark, at.uri)
+    return out
+
+
 def knn_join(queries: DataFrame, targets: DataFrame | None = None, options: KnnOptions = KnnOptions()) -> DataFrame:
     """KNN rows: each query's k nearest targets within the scope, nearest first."""
     o, own = options, targets is None
